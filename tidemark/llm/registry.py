@@ -1,7 +1,7 @@
 """All queries of this subpackage and their SQL."""
 
-from . import packing, quality, sharding
+from . import licenses, packing, quality, sharding
 
-_MODULES = (quality, packing, sharding)
+_MODULES = (quality, licenses, packing, sharding)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
