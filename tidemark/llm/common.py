@@ -48,6 +48,11 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once, also where the body uses it inside other lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (xor-shift and multiply), in place where possible."""
     x = x ^ (x >> np.uint64(30))

@@ -120,16 +120,14 @@ def _labelled(at: Column, label: str) -> Column:
 
 def _hits(norm: Column, active: Column) -> Column:
     """struct(start, end, label, priority, confidence, rule) of all matches of the active rules, in code points."""
-    each = F.filter(F.transform(active, lambda r: F.struct(r.alias("r"), F.regexp_extract_all(norm, r["pattern"], F.lit(0)).alias("m"))), lambda x: F.size(x["m"]) > 0)
+    each = F.filter(F.transform(active, lambda r: F.struct(r.alias("r"), F.regexp_extract_all(norm, r["pattern"], F.lit(0)).alias("m"), F.split(norm, r["pattern"]).alias("p"))), lambda x: F.size(x["m"]) > 0)
 
     def spans(x: Column) -> Column:
-        pieces = F.split(norm, x["r"]["pattern"])
-
         def total(parts: Column) -> Column:
             return F.aggregate(parts, F.lit(0), lambda a, y: a + F.length(y))
 
         def one(m: Column, k: Column) -> Column:
-            start = total(F.slice(pieces, F.lit(1), k + 1)) + total(F.slice(x["m"], F.lit(1), k))
+            start = total(F.slice(x["p"], F.lit(1), k + 1)) + total(F.slice(x["m"], F.lit(1), k))
             r = x["r"]
             return F.struct(start.alias("start"), (start + F.length(m)).alias("end"), r["label"].alias("label"), r["priority"].alias("priority"), r["confidence"].alias("confidence"), r["rule"].alias("rule"))
 
