@@ -1,7 +1,7 @@
 """All queries of this subpackage and their SQL."""
 
-from . import bpe, licenses, packing, pii, quality, sharding
+from . import bpe, licenses, packing, pii, quality, sharding, tokenfile
 
-_MODULES = (quality, licenses, bpe, pii, packing, sharding)
+_MODULES = (quality, licenses, bpe, pii, packing, sharding, tokenfile)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
