@@ -1,7 +1,7 @@
 """All queries of this subpackage and their SQL."""
 
-from . import bpe, jaccard, licenses, packing, pii, quality, repeats, sharding, tokenfile
+from . import bpe, jaccard, licenses, packing, pii, quality, repeats, sharding, tokenfile, topk
 
-_MODULES = (quality, licenses, repeats, bpe, jaccard, pii, packing, sharding, tokenfile)
+_MODULES = (quality, topk, licenses, repeats, bpe, jaccard, pii, packing, sharding, tokenfile)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
