@@ -29,7 +29,7 @@ from . import common
 
 WIDTH, GRAM = 50, 20
 BLOCK_BYTES = 8 << 20
-PART_BYTES = 32 << 20
+PART_BYTES = 16 << 20
 #: Bytes of contexts for one suffix array; anchors are never split.
 ARRAY_BYTES = 1 << 21
 COPIES, HASHES, RANGES = range(3)
@@ -106,8 +106,9 @@ def repeated_anchors(pdf: pd.DataFrame) -> pd.DataFrame:
     again = np.unique(np.concatenate((h[1:][h[1:] >> np.uint64(1) == h[:-1] >> np.uint64(1)], h[h & np.uint64(1) == 1])) & ~np.uint64(1))
     rows = []
     for block, x in zip(pdf["block"], held, strict=True):
-        x = x & ~np.uint64(1)
-        found = x[np.isin(x, again)]
+        x = x & ~np.uint64(1)  # sorted, as sent
+        at = np.searchsorted(again, x)
+        found = x[again[np.minimum(at, len(again) - 1)] == x] if len(again) else x[:0]
         if len(found):
             rows.append((block, HASHES, [], found.tobytes()))
     return _control(rows)
