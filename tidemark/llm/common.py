@@ -30,7 +30,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -11,7 +11,9 @@ other; an empty table gives an empty file and result; other columns do not matte
 
 from __future__ import annotations
 
+import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -35,12 +37,13 @@ LENGTHS = np.stack([(np.arange(256) >> (2 * k) & 3) + 1 for k in range(4)], axis
 
 @cache
 def encoder(path: str) -> pretoken.Encoder:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     library = Tokenizer.from_file(path)
     library.no_truncation()
     library.no_padding()
 
     def encode_new(words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in library.encode_batch_fast(words, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in library.encode_batch_fast(words, add_special_tokens=False)]
 
     return pretoken.Encoder(pretoken.vocabulary(path).special, encode_new)
 
