@@ -35,7 +35,8 @@ def test_edges(spark, edge, empty):
     assert sharding.shard(empty).count() == 0
 
 
-def test_hot_group(spark):
+def test_hot_group(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "FETCH_GROUPS", 0)
     rows = [(i, "hot text" if i % 3 == 0 else f"text {i} " * (i % 7 + 1), "en", "a", 1) for i in range(400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     check(docs, sharding.shard(docs).collect())

@@ -22,6 +22,8 @@ SHARDS = 16
 PROBES = 24
 #: Groups are summed up in at most about this many chunks for the driver.
 CHUNKS = 2048
+#: Chunks of at most so many groups are looked through on the driver once fetched; larger ones by an aggregate.
+FETCH_GROUPS = 50_000
 
 
 def _size(text: Column) -> Column:
@@ -67,7 +69,9 @@ class Lookup:
     def __init__(self, prefix: DataFrame, total: int) -> None:
         self.width = max(1, -(-total // CHUNKS))
         self.prefix = prefix.withColumn("chunk", F.floor((F.col("upto") - 1) / self.width).cast("int"))
-        found = self.prefix.groupBy("chunk").agg(F.min("upto").alias("least"), F.max("upto").alias("most")).collect()  # at most CHUNKS + 1 rows
+        found = self.prefix.groupBy("chunk").agg(F.min("upto").alias("least"), F.max("upto").alias("most"), F.count("*").alias("n")).collect()  # at most CHUNKS + 1 rows
+        self.rows = {r["chunk"]: r["n"] for r in found}
+        self.fetched: dict[int, list[int]] = {}
         self.chunks = sorted((r["least"], r["most"], r["chunk"]) for r in found)
         self.least = [c[0] for c in self.chunks]
         self.known: dict[int, int] = {}
@@ -83,6 +87,18 @@ class Lookup:
                 self.known[b] = self.chunks[k][1]
             else:
                 inside.append((b, self.chunks[k][2], self.chunks[k][0]))
+        wanted: set[int] = set()
+        for c in sorted({c for _, c, _ in inside} - self.fetched.keys()):
+            if sum(self.rows[x] for x in wanted) + self.rows[c] <= FETCH_GROUPS:
+                wanted.add(c)
+        if wanted:
+            self.fetched |= {c: [] for c in wanted}
+            for r in self.prefix.where(F.col("chunk").isin(sorted(wanted))).select("chunk", "upto").collect():  # FETCH_GROUPS at most
+                self.fetched[r["chunk"]].append(r["upto"])
+            for c in wanted:
+                self.fetched[c].sort()
+        self.known |= {b: self.fetched[c][bisect_right(self.fetched[c], b) - 1] for b, c, _ in inside if c in self.fetched}
+        inside = [x for x in inside if x[1] not in self.fetched]
         if inside:
             within = self.prefix.where(F.col("chunk").isin(sorted({c for _, c, _ in inside})))
             names = [F.max(F.when((F.col("chunk") == c) & (F.col("upto") <= b), F.col("upto"))).alias(f"b{k}") for k, (b, c, _) in enumerate(inside)]
