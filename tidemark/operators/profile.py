@@ -20,7 +20,3 @@ def refresh_progress(log: DataFrame) -> DataFrame:
     """done, total from lines "Forecast a/b", and the last line that is not blank."""
     part = lambda k: F.max(F.regexp_extract("line", r"Forecast (\d+)/(\d+)", k).try_cast("int"))
     return log.agg(part(1).alias("done"), part(2).alias("total"), F.max_by("line", F.when(F.trim("line") != "", F.col("line_no"))).alias("last_line"))
-
-
-def cache_bars(bars: DataFrame, path: str) -> None:
-    bars.write.mode("overwrite").partitionBy("symbol").parquet(path)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fx
@@ -73,9 +73,17 @@ def size_basket(orders: DataFrame, accounts: DataFrame, quotes: DataFrame, rates
     return sized.select("order_id", "primary_pair", "is_buy", F.when(good, F.col("size.amount")).alias("amount"), F.when(good, F.col("size.lots")).alias("lots"), F.when(good, stop).alias("stop_rate"), error.alias("error"))
 
 
-def lifecycle(events: DataFrame, timeout_seconds: float = 30.0) -> DataFrame:
-    """order_id, status: complete when added, changed and deleted follow within the timeout of each stage, else timeout."""
+def stage_times(events: DataFrame, *keys: Column) -> DataFrame:
+    """order_id (and keys) with the first times, in microseconds, of added (a), changed (c), deleted (d), and has_trade."""
     at = lambda k: F.min(F.when(F.col("kind") == k, F.unix_micros(F.col("ts").cast("timestamp"))))
-    d = events.groupBy("order_id").agg(at("added").alias("a"), at("changed").alias("c"), at("deleted").alias("d"), F.max(F.when(F.col("kind") == "trade", 1)).isNotNull().alias("has_trade"))
+    return events.groupBy("order_id", *keys).agg(at("added").alias("a"), at("changed").alias("c"), at("deleted").alias("d"), F.max(F.when(F.col("kind") == "trade", 1)).isNotNull().alias("has_trade"))
+
+
+def verdicts(times: DataFrame, timeout_seconds: float = 30.0) -> DataFrame:
     gap = lambda x, y: F.coalesce((F.col(y) - F.col(x)) <= timeout_seconds * 1e6, F.lit(False))
-    return d.select("order_id", F.when(gap("a", "c") & gap("c", "d"), "complete").otherwise("timeout").alias("status"), "has_trade")
+    return times.select("order_id", F.when(gap("a", "c") & gap("c", "d"), "complete").otherwise("timeout").alias("status"), "has_trade")
+
+
+def lifecycle(events: DataFrame, timeout_seconds: float = 30.0) -> DataFrame:
+    """order_id, status: complete when added, changed and deleted follow within the timeout of each stage, else timeout."""
+    return verdicts(stage_times(events), timeout_seconds)

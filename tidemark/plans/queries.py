@@ -16,7 +16,9 @@ from ..operators import screen as C
 from ..operators import signals as S
 from ..operators import sizing as Z
 from ..operators import stats as T
+from ..sources import files
 from ..sources import standins as X
+from ..streaming import lifecycle as L
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -318,7 +320,7 @@ def book_selected(spark, sf):
     return K.selected(K.select_book(ranked(spark, sf))).select("forecast_date", "selection_rank", "primary_pair", "side", "pair_score", "ranking_rank")
 
 
-@query()
+@query(f"{BOOK} SELECT p.forecast_date, primary_pair, CAST(rank AS INTEGER) AS ranking_rank, concat('shares ', list_min(list_intersect(p.used, [substring(primary_pair, 1, 3), substring(primary_pair, 5, 3)])), ' with already-selected pair(s)') AS skipped_because FROM wk p JOIN rk ON rk.forecast_date = p.forecast_date AND rk.rank = p.k + 1 WHERE p.got < 2 AND list_has_any(p.used, [substring(primary_pair, 1, 3), substring(primary_pair, 5, 3)])")
 def book_skips(spark, sf):
     return K.skips(K.select_book(ranked(spark, sf)))
 
@@ -355,7 +357,7 @@ def history(spark: SparkSession, sf: str) -> DataFrame:
     return p.select(F.from_json(F.to_json(F.struct(*p.columns)), K.PAYLOAD).alias("j")).select("j.*")
 
 
-@query()
+@query(f"{BOOK}, {DIFF}, dt AS (SELECT DISTINCT forecast_date FROM rk ORDER BY 1 DESC LIMIT 20), bw AS (SELECT forecast_date, string_agg(concat('#', CAST(selection_rank AS VARCHAR), ' ', primary_pair, ' ', side), ', ' ORDER BY selection_rank) AS book FROM bk GROUP BY 1), np AS (SELECT forecast_date, count(DISTINCT concat(primary_pair, side)) AS n FROM df WHERE decision <> 'open' GROUP BY 1) SELECT concat(dt.forecast_date, 'T17:00:00') AS finished_at, coalesce(book, '') AS book, '(none)' AS actions, CAST(coalesce(n, 0) AS INTEGER) AS n_positions, CAST(0 AS INTEGER) AS n_errors FROM dt LEFT JOIN bw ON bw.forecast_date = dt.forecast_date LEFT JOIN np ON np.forecast_date = dt.forecast_date")
 def book_daily_check(spark, sf):
     return K.summary(history(spark, sf)).select("finished_at", "book", "actions", "n_positions", "n_errors")
 
@@ -388,7 +390,12 @@ def rates(spark: SparkSession) -> DataFrame:
     return Z.conversions(spark.sql(X.QUOTES))
 
 
-@query()
+DIRECT = f"ed AS (SELECT substring(instrument, 1, 3) AS a, substring(instrument, 5, 3) AS b, (bid + ask) / 2 AS m FROM ({X.QUOTES}) q WHERE bid > 0 AND ask >= bid AND subscription_status = 'T'), ud AS (SELECT a AS src, m AS mult FROM ed WHERE b = 'USD' UNION ALL SELECT b, 1 / m FROM ed WHERE a = 'USD' UNION ALL SELECT 'USD', 1.0)"
+EQUITY = f"eq AS (SELECT account_id, coalesce(CASE WHEN equity > 0 THEN equity END, CASE WHEN balance > 0 THEN balance END, CASE WHEN usable_margin > 0 THEN usable_margin END) AS amount, CASE WHEN regexp_full_match(upper(trim(currency)), '[A-Z]{{3}}') THEN upper(trim(currency)) ELSE 'USD' END AS src FROM ({ACCOUNTS}) q)"
+
+
+# every currency of these accounts that has a path to the dollar has a quote against it, so the twin needs no recursion
+@query(f"WITH {DIRECT}, {EQUITY} SELECT account_id, eq.src, CASE WHEN amount > 0 THEN round(amount * mult, 6) END AS converted, CASE WHEN amount IS NULL OR amount <= 0 THEN 'amount not positive' WHEN mult IS NULL THEN 'no path' END AS error FROM eq LEFT JOIN ud ON ud.src = eq.src")
 def sizing_conversions(spark, sf):
     """Balances of all accounts in US dollars, over the quotes' shortest paths."""
     a = Z.account_equity(X.sql(spark, sf, ACCOUNTS)).select("account_id", F.col("money").alias("src"), F.lit("USD").alias("dst"), F.col("equity_used").alias("amount"))
@@ -432,3 +439,65 @@ def pairs_hints(spark, sf):
     d = P.fit_stats(fitted(spark, sf))
     label = F.concat(F.lit("A long category of pairs "), "y", F.lit(" against "), "x")
     return d.select("y", "x", fx.trade_hint(F.col("percentile")).alias("hint"), fx.ellipsis(label).alias("label"))
+
+
+def order_events(orders: DataFrame) -> DataFrame:
+    """ORDER_EVENTS by one pass over orders, also over a stream of them."""
+    at, status = F.col("o_orderdate").cast("timestamp"), F.col("o_orderstatus")
+    def event(kind, seconds, holds):
+        return F.when(holds, F.struct(F.lit(kind).alias("kind"), (at + F.make_dt_interval(secs=F.lit(seconds))).alias("ts")))
+    done = status == "F"
+    kinds = F.array(event("added", 0, F.lit(True)), event("changed", 10, status != "O"), event("deleted", 35, done), event("trade", 36, done & (F.col("o_orderkey") % 2 == 0)))
+    return orders.select(F.col("o_orderkey").alias("order_id"), F.explode(F.array_compact(kinds)).alias("e")).select("order_id", "e.kind", "e.ts")
+
+
+@query("SELECT o_orderkey AS order_id, CASE WHEN o_orderstatus = 'F' THEN 'complete' ELSE 'timeout' END AS status, o_orderstatus = 'F' AND o_orderkey % 2 = 0 AS has_trade FROM orders WHERE o_orderdate < (SELECT max(o_orderdate) FROM orders)")
+def stream_lifecycle(spark, sf):
+    """Orders as a stream of files. Those of the last day are still open: the watermark has not passed them."""
+    schema = spark.read.parquet(f"{sf}/orders.parquet").schema
+    orders = spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet").parquet(sf)
+    return L.drained(L.lifecycle(order_events(orders)), "stream_lifecycle")
+
+
+@query(f"WITH {BARS}, m AS ({MACRO}) SELECT m.symbol, count(ts) AS n, round(sum(volume), 6) AS volume FROM (SELECT DISTINCT symbol FROM m) m LEFT JOIN d ON d.symbol = m.symbol GROUP BY m.symbol")
+def source_many(spark, sf):
+    """Bars of a list of symbols, two of which have none."""
+    d = files.many(daily(spark, sf), spark.sql(MACRO), keep_missing=True)
+    return rounded(d.groupBy("symbol").agg(F.count("ts").alias("n"), F.sum("volume").alias("volume")), "volume")
+
+
+@query(f"WITH {BARS} SELECT symbol, count(*) AS n, round(max(close), 6) AS top, round(max(open), 6) AS adjusted FROM w GROUP BY symbol")
+def source_normalise(spark, sf):
+    raw = weekly(spark, sf).select(F.col("symbol").alias("Ticker"), F.col("ts").alias("Datetime"), F.col("close").alias("Close"), F.col("open").alias("Adj Close"))
+    d = files.normal_bars(raw)
+    return rounded(d.groupBy("symbol").agg(F.count("ts").alias("n"), F.max("close").alias("top"), F.max("adj_close").alias("adjusted")), "top", "adjusted")
+
+
+@query(f"WITH {BARS} SELECT symbol, count(*) AS n, round(sum(volume), 6) AS volume FROM d WHERE symbol IN ('Brand#1', 'Brand#2', 'Brand#9') GROUP BY symbol")
+def source_cache(spark, sf):
+    """Writes the bars a folder a symbol, and reads three of the folders."""
+    path = files.shared_path(spark, "bars_cache")
+    files.write_cache(daily(spark, sf), path)
+    d = files.read_cache(spark, path, ["Brand#1", "Brand#2", "Brand#9"])
+    return rounded(d.groupBy("symbol").agg(F.count("*").alias("n"), F.sum("volume").alias("volume")), "volume")
+
+
+@query(f"WITH {CLASSIFIED} SELECT 'data_through_date' AS key, max(forecast_date) AS value FROM sg UNION ALL SELECT 'signals', CAST(count(*) AS VARCHAR) FROM sg")
+def source_metadata(spark, sf):
+    wide = signals(spark, sf).agg(F.max("forecast_date").alias("data_through_date"), F.count("*").alias("signals"))
+    return files.normal_metadata(wide)
+
+
+@query(f"WITH {CLASSIFIED} SELECT event_id, CASE WHEN pred_class <> 'x' THEN CAST(TRY_CAST(pred_class AS DOUBLE) AS DOUBLE) END AS pred_class, CAST(NULL AS DOUBLE) AS lead_days, avg_oos_accuracy FROM sg")
+def source_signals(spark, sf):
+    """A signal table brought to fixed types: text that is no number becomes null, an absent column too."""
+    return files.with_columns_of(signals(spark, sf), {"event_id": "bigint", "pred_class": "double", "lead_days": "double", "avg_oos_accuracy": "double"})
+
+
+@query(f"{BOOK}, dt AS (SELECT DISTINCT forecast_date FROM rk ORDER BY 1 DESC LIMIT 20), bw AS (SELECT forecast_date, count(*) AS n FROM bk GROUP BY 1) SELECT concat(dt.forecast_date, 'T17:00:00') AS finished_at, CAST(coalesce(n, 0) AS INTEGER) AS n_book FROM dt LEFT JOIN bw ON bw.forecast_date = dt.forecast_date")
+def source_history(spark, sf):
+    """The passes appended as JSON lines, read again, the newest twenty with the sizes of their books."""
+    path = files.shared_path(spark, "history")
+    K.append_history(history(spark, sf), path)
+    d = K.read_history(spark, path).orderBy(F.desc("finished_at")).limit(20)
+    return d.select("finished_at", F.coalesce(F.size("selected_book"), F.lit(0)).alias("n_book"))
