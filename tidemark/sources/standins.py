@@ -33,7 +33,7 @@ SELECT o_orderkey AS trade_id, u.primary_pair AS instrument, CASE WHEN substring
 FROM orders JOIN ({PAIRS}) u ON o_orderkey % 10 = u.universe_idx
 """
 QUOTES = """
-SELECT * FROM (VALUES (0, 'EUR/USD', 1.10, 1.1002, 5, 'T'), (1, 'GBP/USD', 1.25, 1.2503, 5, 'T'), (2, 'USD/JPY', 150.1, 150.12, 3, 'T'),
+SELECT offer_idx, instrument, CAST(bid AS DOUBLE) AS bid, CAST(ask AS DOUBLE) AS ask, digits, subscription_status FROM (VALUES (0, 'EUR/USD', 1.10, 1.1002, 5, 'T'), (1, 'GBP/USD', 1.25, 1.2503, 5, 'T'), (2, 'USD/JPY', 150.1, 150.12, 3, 'T'),
   (3, 'USD/CHF', 0.90, 0.9002, 5, 'T'), (4, 'AUD/USD', 0.65, 0.6502, 5, 'D'), (5, 'NZD/USD', 0.61, 0.6, 5, 'T'), (6, 'USD/CAD', 1.35, 1.3503, 12, 'T'),
   (7, 'EUR/JPY', 165.2, 165.23, 3, 'T'), (8, 'EUR/GBP', 0.86, 0.8602, 5, 'T'), (9, 'SEK/NOK', 0.98, 0.9803, 5, 'T')
 ) AS t(offer_idx, instrument, bid, ask, digits, subscription_status)
