@@ -61,24 +61,42 @@ def near_copies(n, edits, seed):
     return out
 
 
-def test_near_copies_and_chunks(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "CHUNK", 8)
+def test_near_copies_and_chunks(spark):
     texts = near_copies(60, 6, 1) + near_copies(40, 3, 2) + ["A b C", "a B c", "a b", " ", "q r s t u v", "Q R S T U V w"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    check(jaccard.cluster(docs).collect(), docs)
+    for chunk in (8, jaccard.CHUNK):
+        check(jaccard.cluster(docs, chunk).collect(), docs)
 
 
-def test_row_groups_hold_every_pair(monkeypatch):
-    monkeypatch.setattr(jaccard, "CHUNK", 4)
+def test_chains_in_several_components(spark):
+    """Groups that share a passage but are not all near copies: what the chunks leave open is multiplied after them."""
+    rng = random.Random(5)
+    shared = " ".join(f"s{k}" for k in range(40))
+    own = [" ".join(f"f{f}w{rng.randint(0, 10**6)}" for _ in range(12)) for f in range(4)]
+    texts = [f"{shared} {own[rng.randrange(4)]} {' '.join(f'y{rng.randint(0, 10**6)}' for _ in range(rng.randint(0, 3)))}" for _ in range(70)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for chunk in (4, 8):
+        check(jaccard.cluster(docs, chunk).collect(), docs)
+
+
+def test_row_groups_hold_every_set():
     rng = np.random.default_rng(0)
     for _ in range(30):
         m = int(rng.integers(2, 40))
         sig, n = rng.permutation(1000)[:m].astype(np.int64), rng.integers(50, 80, m)
-        got = {p for g in jaccard.row_groups(np.zeros(m, np.uint64), sig, n) for a in g.tolist() for b in g.tolist() for p in [(a, b)]}
+        chains = {}
+        for chain, place, low, high, g in jaccard.row_groups(np.zeros(m, np.uint64), sig, n, 4):
+            size = dict(zip(sig.tolist(), n.tolist(), strict=True))
+            assert low == min(size[x] for x in g.tolist()) and high == max(size[x] for x in g.tolist()) and len(g) <= 5
+            chains.setdefault(chain, []).append((place, g.tolist()))
+        for chain, parts in chains.items():
+            parts.sort()
+            assert chain is None or all(a[-1] == b[0] for (_, a), (_, b) in zip(parts, parts[1:], strict=False))
+        group = {x: chain for chain, parts in chains.items() if chain is not None for _, g in parts for x in g}
         for i in range(m):
             for j in range(m):
-                if 100 * min(n[i], n[j]) >= 80 * max(n[i], n[j]) and i != j:
-                    assert (sig[i], sig[j]) in got
+                if chains and 100 * min(n[i], n[j]) >= 80 * max(n[i], n[j]) and i != j:
+                    assert group.get(int(sig[i])) == group.get(int(sig[j]))
 
 
 def test_components(spark):

@@ -5,8 +5,12 @@ threshold share one among the first n - ceil(0.8 n) + 1 of each (the prefix). Th
 dealt into blocks by shingle; documents in one column whose sizes allow the threshold form a row group. Row groups
 are gathered by a label into tiles of bounded size; a tile multiplies the full sets of its rows, accumulates the
 overlap counts and drops the pairs below the bound that their sizes give. Within a tile only pairs that are not yet
-connected are multiplied, so a large group of near copies costs little more than a chain. Tiles return a spanning
-set of links; components are joined over all tiles.
+connected are multiplied. Tiles return a spanning set of links; components are joined over all tiles.
+
+A row group of more than CHUNK rows is cut into a chain of chunks, ordered by size, each sharing a row with the next.
+First every chunk is a tile. Where that leaves a chain in several components, the rows outside its largest one are
+multiplied with all its chunks of fitting size: every pair of rows in two components has such a row. So a large group
+of near copies costs as much as its chain, not as the square of its chunks.
 
 Defined results: a null or empty text, or one without words, has 0 shingles and is its own component; equal texts
 link; rows of one doc_id are one document; an empty table gives an empty result; other columns do not matter.
@@ -19,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common, shingles
@@ -30,7 +34,7 @@ PERCENT = 80
 SKETCH_BITS, SKETCH_PARTS = 20, 16
 FLUSH_BYTES = 24 << 20
 BLOCK_SHINGLES = 2_000_000
-#: Rows of a group that one tile takes; larger groups become tiles for each pair of chunks.
+#: Rows of a group that one tile takes; larger groups become chains of chunks.
 CHUNK = 512
 
 
@@ -135,8 +139,11 @@ def prefixes(docs: DataFrame, sketch: np.ndarray, blocks: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "block int, h binary, sig binary, n binary")
 
 
-def row_groups(h: np.ndarray, sig: np.ndarray, n: np.ndarray) -> Iterator[np.ndarray]:
-    """The sets (as sig) that share a shingle and whose sizes may reach the threshold; at most 2 CHUNK at a time."""
+def row_groups(h: np.ndarray, sig: np.ndarray, n: np.ndarray, chunk: int = CHUNK) -> Iterator[tuple[int | None, int, int, int, np.ndarray]]:
+    """(chain, place, low, high, members): the sets (as sig) that share a shingle and whose sizes may reach the threshold.
+
+    A group of more than `chunk` sets is a chain, named by its members; each of its parts holds the next one's first set.
+    """
     order = np.lexsort((sig, n, h))
     h, sig, n = h[order], sig[order], n[order]
     fresh = np.ones(len(h), dtype=bool)
@@ -147,28 +154,51 @@ def row_groups(h: np.ndarray, sig: np.ndarray, n: np.ndarray) -> Iterator[np.nda
     at = np.flatnonzero(apart)
     long = np.flatnonzero(np.diff(at) > 1)
     for a, b in zip(at[long].tolist(), at[long + 1].tolist(), strict=True):
-        if b - a <= CHUNK:
-            yield sig[a:b]
+        if b - a <= chunk:
+            yield None, 0, int(n[a]), int(n[b - 1]), sig[a:b]
             continue
-        cuts = list(range(a, b, CHUNK))
-        for i, p in enumerate(cuts):
-            for q in cuts[i + 1 :] or [None]:
-                if q is None:
-                    if i == 0 or len(cuts) == 1:
-                        yield sig[p:b]
-                elif q == cuts[i + 1] or 100 * n[min(p + CHUNK, b) - 1] >= PERCENT * n[q]:
-                    yield np.concatenate((sig[p : p + CHUNK], sig[q : min(q + CHUNK, b)]))
-
-
-def groups_of(entries: DataFrame) -> DataFrame:
-    """gid, members: the distinct row groups of all blocks."""
+        chain = int(_signature(sig[a:b].view(np.uint64), np.array([b - a]))[0])
+        for place, p in enumerate(range(a, b, chunk)):
+            q = min(p + chunk + 1, b)
+            yield chain, place, int(n[p]), int(n[q - 1]), sig[p:q]
+
+
+GROUPS = "chain long, place int, low long, high long, members array<long>"
+
+
+def groups_of(entries: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """gid, chain, place, low, high, members: the distinct row groups of all blocks."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         h, sig, n = (np.concatenate([np.frombuffer(x, dtype=t) for x in pdf[c]]) for c, t in (("h", np.uint64), ("sig", np.int64), ("n", np.uint32)))
-        out = {tuple(np.sort(g).tolist()) for g in row_groups(h, sig, n.astype(np.int64))}
-        return pd.DataFrame({"members": pd.Series([list(g) for g in out], dtype=object)})
-
-    found = entries.groupBy("block").applyInPandas(run, "members array<long>")
-    return found.withColumn("gid", F.xxhash64("members")).dropDuplicates(["gid"])
+        out = {(chain, place, tuple(np.sort(g).tolist())): (low, high) for chain, place, low, high, g in row_groups(h, sig, n.astype(np.int64), chunk)}
+        return pd.DataFrame({
+            "chain": pd.Series([k[0] for k in out], dtype="Int64"), "place": pd.Series([k[1] for k in out], dtype="int32"),
+            "low": pd.Series([v[0] for v in out.values()], dtype="int64"), "high": pd.Series([v[1] for v in out.values()], dtype="int64"),
+            "members": pd.Series([list(k[2]) for k in out], dtype=object),
+        })
+
+    found = entries.groupBy("block").applyInPandas(run, GROUPS)
+    return found.withColumn("gid", F.xxhash64("chain", "place", "members")).dropDuplicates(["gid"])
+
+
+def unsettled(groups: DataFrame, roots: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """gid, members, roots: the products that chains in several components still need.
+
+    The rows outside a chain's largest component, gathered in order of size, meet all its chunks of fitting size.
+    """
+    chains = groups.where("chain is not null").select("chain", "place", "low", "high", "members")
+    row = chains.select("chain", "place", "low", "high", F.explode("members").alias("sig")).join(roots.select(F.col("node").alias("sig"), "root"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    counts = row.groupBy("chain", "root").agg(F.count("*").alias("rows"))
+    lead = counts.groupBy("chain").agg(F.max_by("root", F.struct("rows", "root")).alias("lead"), F.count("*").alias("parts")).where("parts > 1").select("chain", "lead")
+    open_ = common.written(row.join(lead, "chain").groupBy("chain", "place", "low", "high").agg(
+        F.collect_list(F.struct("sig", "root")).alias("all"), F.collect_list(F.when(F.col("root") != F.col("lead"), F.struct("sig", "root"))).alias("rest")), "open_chains")
+    before = Window.partitionBy("chain").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    rest = open_.where(F.size("rest") > 0).select("chain", "place", "low", "high", "rest")
+    rest = rest.withColumn("bin", F.floor(F.coalesce(F.sum(F.size("rest")).over(before), F.lit(0)) / chunk))
+    rest = rest.groupBy("chain", "bin").agg(F.min("low").alias("least"), F.max("high").alias("most"), F.flatten(F.collect_list("rest")).alias("rest"))
+    fits = (100 * F.col("most") >= PERCENT * F.col("low")) & (100 * F.col("high") >= PERCENT * F.col("least"))
+    both = rest.join(open_.select("chain", "low", "high", "all"), "chain").where(fits).select(F.array_sort(F.array_union("rest", "all")).alias("m"))
+    return both.select(F.col("m.sig").alias("members"), F.col("m.root").alias("roots")).withColumn("gid", F.xxhash64("members")).dropDuplicates(["gid"])
 
 
 class Forest:
@@ -202,9 +232,14 @@ def linked(x: np.ndarray, y: np.ndarray) -> bool:
     return 100 * both >= PERCENT * (a + b - both)
 
 
-def tile_links(groups: list[list[int]], sets: dict[int, np.ndarray]) -> list[tuple[int, int]]:
-    """A spanning set of the links among the pairs of the groups: neighbours first, then what is not yet joined."""
+def tile_links(groups: list[list[int]], sets: dict[int, np.ndarray], roots: dict[int, int] | None = None) -> list[tuple[int, int]]:
+    """A spanning set of the links among the pairs of the groups: neighbours first, then what is not yet joined.
+
+    roots: what earlier tiles have joined.
+    """
     forest, out, tried = Forest(), [], set()
+    for x, root in (roots or {}).items():
+        forest.join(x, root)
 
     def test(a: int, b: int) -> None:
         key = (a, b) if a < b else (b, a)
@@ -231,20 +266,9 @@ def tile_links(groups: list[list[int]], sets: dict[int, np.ndarray]) -> list[tup
     return out
 
 
-def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """nodes (doc_id, n, sig, rep) and links (a, b) between representatives that span every component."""
-    described = common.written(describe(docs), "shingle_sets")
-    sizes = described.where("doc_id is not null").select("doc_id", "n", "sig")
-    reps = common.written(sizes.where("n > 0").groupBy("n", "sig").agg(F.min("doc_id").alias("rep")), "shingle_reps")
-    total = sizes.agg(F.sum("n")).first()[0] or 0
-    entries = prefixes(docs, sketch_of(described), common.bucket_count(total, BLOCK_SHINGLES, 4))
-    groups = common.written(groups_of(entries), "row_groups")
-    member = groups.select("gid", F.explode("members").alias("sig"))
-    first = member.join(groups.select("gid", F.array_min("members").alias("low")), "gid").groupBy("sig").agg(F.min("low").alias("label"))
-    tile = common.written(member.join(first, "sig").groupBy("gid").agg(F.min("label").alias("tile"), F.count("*").alias("rows")), "tiles")
-    # many small groups share a label; a large group is a tile of its own
-    tile = tile.select("gid", F.when(F.col("rows") > CHUNK, F.xxhash64("gid", "tile")).otherwise(F.col("tile")).alias("tile"))
-    wanted = member.join(tile, "gid").select("tile", "sig").distinct().join(reps, "sig").select("tile", "sig", F.col("rep").alias("doc_id"))
+def multiply(docs: DataFrame, reps: DataFrame, groups: DataFrame, name: str) -> DataFrame:
+    """(a, b): the links that tiles of groups (gid, tile, members, roots) find."""
+    wanted = groups.select("tile", F.explode("members").alias("sig")).distinct().join(reps, "sig").select("tile", "sig", F.col("rep").alias("doc_id"))
     wanted = wanted.groupBy("doc_id", "sig").agg(F.collect_set("tile").alias("tiles"))
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,27 +289,52 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     sets = docs.select("doc_id", "text").join(wanted, "doc_id").select("sig", "tiles", "text").mapInArrow(full, "tile long, sig long, h binary")
 
-    def multiply(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         held = {}
         for s, raw in zip(right["sig"].tolist(), right["h"], strict=True):
             if s not in held:
                 wide = np.zeros((len(raw) // 6, 8), dtype=np.uint8)
                 wide[:, :6] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 6)
                 held[s] = wide.view("<u8").reshape(-1)
-        return pd.DataFrame(tile_links([list(g) for g in left["members"]], held), columns=["a", "b"], dtype="int64")
+        members = [list(g) for g in left["members"]]
+        roots = {x: r for g, known in zip(members, left["roots"], strict=True) if known is not None for x, r in zip(g, list(known), strict=True)}
+        return pd.DataFrame(tile_links(members, held, roots), columns=["a", "b"], dtype="int64")
 
-    dealt = groups.join(tile, "gid").select("tile", "members")
-    found = dealt.groupBy("tile").cogroup(sets.groupBy("tile")).applyInPandas(multiply, "a long, b long")
-    found = common.written(found, "links").distinct()
+    found = groups.select("tile", "members", "roots").groupBy("tile").cogroup(sets.groupBy("tile")).applyInPandas(run, "a long, b long")
+    return common.written(found, name).distinct()
+
+
+def links(docs: DataFrame, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
+    """nodes (doc_id, n, sig, rep) and links (a, b) between representatives that span every component."""
+    described = common.written(describe(docs), "shingle_sets")
+    sizes = described.where("doc_id is not null").select("doc_id", "n", "sig")
+    reps = common.written(sizes.where("n > 0").groupBy("n", "sig").agg(F.min("doc_id").alias("rep")), "shingle_reps")
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    entries = prefixes(docs, sketch_of(described), common.bucket_count(total, BLOCK_SHINGLES, 4))
+    groups = common.written(groups_of(entries, chunk), "row_groups")
+    # many small groups share a label; a chunk of a chain is a tile of its own
+    short = groups.where("chain is null")
+    member = short.select("gid", F.explode("members").alias("sig"))
+    first = member.join(short.select("gid", F.array_min("members").alias("low")), "gid").groupBy("sig").agg(F.min("low").alias("label"))
+    tile = member.join(first, "sig").groupBy("gid").agg(F.min("label").alias("tile"))
+    known = F.lit(None).cast("array<long>").alias("roots")
+    dealt = short.join(tile, "gid").select("tile", "members", known).union(groups.where("chain is not null").select(F.xxhash64("gid").alias("tile"), "members", known))
+    found = multiply(docs, reps, common.written(dealt, "tiles"), "links")
+    if not groups.where("chain is not null").isEmpty():
+        joined = components(found)
+        more = common.written(unsettled(groups, joined, chunk).select(F.xxhash64("gid").alias("tile"), "members", "roots"), "open_tiles")
+        found = joined.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        if not more.isEmpty():
+            found = found.union(multiply(docs, reps, more, "more_links"))
     name = reps.select("sig", "rep")
     ends = found.join(name.select(F.col("sig").alias("a"), F.col("rep").alias("x")), "a").join(name.select(F.col("sig").alias("b"), F.col("rep").alias("y")), "b")
     nodes = sizes.join(reps, ["n", "sig"], "left")
     return nodes, ends.select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
-def cluster(docs: DataFrame) -> DataFrame:
+def cluster(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
-    nodes, edges = links(docs)
+    nodes, edges = links(docs, chunk)
     roots = components(edges)
     out = nodes.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "rep", "doc_id").alias("component_id"))
