@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common, shingles
@@ -33,7 +33,11 @@ PERCENT = 80
 #: The frequency sketch: a fixed number of counters (it only orders shingles, it decides nothing).
 SKETCH_BITS, SKETCH_PARTS = 20, 16
 FLUSH_BYTES = 24 << 20
-BLOCK_SHINGLES = 2_000_000
+#: Shingles for each block of the incidence. A fifth of them are in prefixes, 20 bytes each; one set's entries lie
+#: together, so longer blocks compress better and repeat fewer row groups.
+BLOCK_SHINGLES = 8_000_000
+#: The bitmap of wanted doc_ids: 4 MB, broadcast in rows of 2^15 bits.
+MARK_BITS, MARK_ROW = 25, 1 << 15
 #: Rows of a group that one tile takes; larger groups become chains of chunks.
 CHUNK = 512
 
@@ -266,10 +270,25 @@ def tile_links(groups: list[list[int]], sets: dict[int, np.ndarray], roots: dict
     return out
 
 
+def marked(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The documents (doc_id, text) whose bit is set in a bitmap of the wanted doc_ids, so that few texts are shuffled.
+
+    The bitmap has a fixed size of 2^MARK_BITS bits and may let others pass; a join by doc_id follows.
+    """
+    def bit() -> Column:
+        return F.pmod(F.xxhash64("doc_id"), F.lit(1 << MARK_BITS))
+
+    low = bit() % MARK_ROW
+    bits = wanted.groupBy(F.floor(bit() / MARK_ROW).alias("mark")).agg(F.bitmap_construct_agg(low).alias("bits"))
+    byte = F.conv(F.hex(F.expr("substring(bits, int(place div 8) + 1, 1)")), 16, 10).cast("int")
+    out = docs.withColumns({"mark": F.floor(bit() / MARK_ROW), "place": low}).join(F.broadcast(bits), "mark")
+    return out.where(F.getbit(byte, (F.col("place") % 8).cast("int")) == 1).select("doc_id", "text")
+
+
 def multiply(docs: DataFrame, reps: DataFrame, groups: DataFrame, name: str) -> DataFrame:
     """(a, b): the links that tiles of groups (gid, tile, members, roots) find."""
     wanted = groups.select("tile", F.explode("members").alias("sig")).distinct().join(reps, "sig").select("tile", "sig", F.col("rep").alias("doc_id"))
-    wanted = wanted.groupBy("doc_id", "sig").agg(F.collect_set("tile").alias("tiles"))
+    wanted = common.written(wanted.groupBy("doc_id", "sig").agg(F.collect_set("tile").alias("tiles")), f"{name}_wanted")
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -287,7 +306,7 @@ def multiply(docs: DataFrame, reps: DataFrame, groups: DataFrame, name: str) ->
                     start = e
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["tile", "sig", "h"])
 
-    sets = docs.select("doc_id", "text").join(wanted, "doc_id").select("sig", "tiles", "text").mapInArrow(full, "tile long, sig long, h binary")
+    sets = marked(docs.select("doc_id", "text"), wanted).join(wanted, "doc_id").select("sig", "tiles", "text").mapInArrow(full, "tile long, sig long, h binary")
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         held = {}
