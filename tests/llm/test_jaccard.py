@@ -99,13 +99,6 @@ def test_row_groups_hold_every_set():
                     assert group.get(int(sig[i])) == group.get(int(sig[j]))
 
 
-def test_marked_holds_every_wanted_document(spark):
-    docs = spark.range(5000).selectExpr("id * 7919 - 9000000 AS doc_id", "'t' AS text")
-    wanted = docs.where("doc_id % 9 = 0").select("doc_id")
-    got = jaccard.marked(docs, wanted)
-    assert got.join(wanted, "doc_id").count() == wanted.count() and got.count() <= wanted.count() + 5
-
-
 def test_components(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 200), (200, 150)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
