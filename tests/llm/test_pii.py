@@ -77,3 +77,30 @@ def test_trees_follow_the_table():
     assert pii.predict(trees, prior, table[2][0]) > pii.predict(trees, prior, table[1][0])
     assert pii.predict(trees, prior, table[1][0]) < threshold
     assert pii.fit([]) == ([], 0.0, float("inf")) and len(pii.chosen(table)) < pii.CELLS
+
+
+PLANTED = {
+    "secret": ["password=correcthorsebattery", "pwd: 8274619305", 'token: "verysecretwords"'],
+    "number": ["030 123456789", "(555) 123-4567", "0171 5550199"],
+    "contact": ["jane.roe [at] mail [dot] org", "info(at)firm.net"],
+    "account": ["DE89370400440532013000", "GB29 NWBK 6016 1331 9268 19", "NO93 8601 1117 947", "FR14 2004 1010 0505 0001 3M02 606"],
+    "key": ["0123456789abcdef0123456789abcdef", "9e107d9d372bb682"],
+}
+DECOYS = ["secret: required", "8305551234567", "noon (at) cafe. Then", "DE00370400440532013000", "GB00 NWBK 6016 1331 9268 19", "1234567890123455", "0000000000000011"]
+
+
+def test_each_wide_kind_stays_among_decoys(spark):
+    rows = [(kind, m, f"word {'tel: ' if kind == 'number' else ''}{m} end") for kind, all_of in PLANTED.items() for m in all_of]
+    texts = [t for _, _, t in rows] + [f"word {d} end" for d in DECOYS for _ in range(60)] + [f"mail a{i}@x.example and 10.0.0.{i}" for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r["doc_id"]: r["spans"].split(",") for r in pii.detect(docs).collect()}
+    redacted = {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}
+    for i, (kind, m, text) in enumerate(rows):
+        assert f"{kind}:{text.index(m)}:{text.index(m) + len(m.rstrip(chr(34)))}" in spans[i], text
+        assert redacted[i].startswith("word ") and redacted[i].replace('"', "").endswith("] end"), redacted[i]
+    for i in range(len(rows), len(rows) + 60 * len(DECOYS)):
+        assert redacted[i] == texts[i]
+
+
+def test_all_positive_takes_all():
+    assert len(pii.chosen([((4, 1, 2, 0, 1, 1), 5, 5)])) == pii.CELLS and pii.chosen([((4, 1, 2, 0, 1, 1), 0, 5)]) == set()

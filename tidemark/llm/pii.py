@@ -1,10 +1,12 @@
 """Personal data: high-recall generators, boosted trees over format and context, a calibrated threshold.
 
 Base kinds (email, ip, card, phone) are matched and validated as they stand; their spans always stay. Wider
-generators propose overlapping spans; every candidate is put in a cell of binned features. The cells' counts over
-all documents are one aggregate of at most CELLS rows, on which gradient-boosted trees are fitted on the driver to
-weak labels (does a validated span or a mixed secret stand there). The trees go back as CASE expressions; the
-threshold is the lowest at which the chosen cells reach PRECISION. All work on rows is in built-in expressions.
+generators propose overlapping spans, each kind with its own validation (see _valid); what passes it stays too. Every
+candidate is put in a cell of binned features. The cells' counts over all documents are one aggregate of at most CELLS
+rows, on which gradient-boosted trees are fitted on the driver to weak labels (is it validated, or does it overlap a
+validated span). The trees go back as CASE expressions and add candidates that fail their validation; the threshold is
+the lowest at which the chosen cells reach PRECISION, and none is needed where all candidates are positive. All work on
+rows is in built-in expressions.
 
 Defined results: a null text is empty and has no spans; offsets count code points, ends are exclusive; repeated
 rows are judged each; without candidates nothing is added; an empty table gives an empty result.
@@ -27,21 +29,30 @@ BASE = (
     ("card", r"[0-9](?:[\x20-]?+[0-9])++"),
     ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"),
 )
+#: The countries by the length of their account numbers (IBAN).
+IBAN = {
+    15: "NO", 16: "BE", 18: "DK|FI|FK|FO|GL|NL|SD", 19: "MK|SI", 20: "AT|BA|EE|KZ|LT|LU|MN|XK", 21: "CH|HR|LI|LV",
+    22: "BG|BH|CR|DE|GB|GE|IE|ME|RS|VA", 23: "AE|GI|IL|IQ|OM|SO|TL", 24: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG", 25: "LY|PT|ST",
+    26: "IS|TR", 27: "BI|DJ|FR|GR|IT|MC|MR|SM", 28: "AL|AZ|BY|CY|DO|GT|HN|HU|LB|NI|PL|SV", 29: "BR|EG|PS|QA|UA", 30: "JO|KW|MU|YE",
+    31: "MT|SC", 32: "LC", 33: "RU",
+}
+_BY_LENGTH = "".join(rf"(?:{c})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}(?![A-Za-z0-9])|" for n, c in IBAN.items())
 #: The wider generators in order.
 WIDE = (
     ("secret", r"""(?i)(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\x20?[=:]\x20?["']?[A-Za-z0-9+/_-]{8,64}"""),
-    ("number", r"(?<![0-9])[0-9(](?:[\x20().-]?+[0-9]){6,24}+"),
+    ("number", r"(?<![0-9])[0-9(](?:[\x20().-]{0,2}+[0-9]){6,24}+"),
     ("contact", r"(?i)[a-z0-9._]{1,64}\x20?[(\[]at[)\]]\x20?[a-z0-9-]{1,64}\x20?(?:\.|[(\[]dot[)\]])\x20?[a-z]{2,24}"),
-    ("account", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?![A-Za-z0-9])"),
+    ("account", r"(?<![A-Za-z0-9])(?=[A-Z]{2}[0-9]{2})(?:" + _BY_LENGTH + r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?![A-Za-z0-9]))"),
     ("key", r"(?<![A-Za-z0-9])[0-9a-f]{16,64}(?![A-Za-z0-9])"),
 )
 KINDS = [k for k, _ in BASE + WIDE]
 CONTEXT = r"(?i)(?:phone|tel|fax|mail|contact|card|visa|account|iban|ssn|password|passwd|secret|token|key|ip|address)[\x20:=\x22#.]{0,4}$"
+_CALL = r"(?i)(?:phone|(?<![a-z])(?:tel|telefon|tel[e\u00e9]fono|t[e\u00e9]l|fax|mobile|mobil|cell|handy|call))(?:\x20(?:number|no|nr))?[\x20:=\x22#.]{0,4}$"
 #: Features and how many values each has; their product bounds the training table.
 BINS = {"kind": len(KINDS), "digits": 4, "length": 4, "marks": 3, "context": 2, "mixed": 2}
 CELLS = math.prod(BINS.values())
 ROUNDS, RATE, PRECISION = 16, 0.4, 0.95
-CANDIDATE = "array<struct<start:int,kind:int,end:int,base:boolean,digits:int,length:int,marks:int,context:int,mixed:int>>"
+CANDIDATE = "array<struct<start:int,kind:int,end:int,base:boolean,valid:boolean,digits:int,length:int,marks:int,context:int,mixed:int>>"
 
 
 def _matches(text: Column, pattern: str) -> Column:
@@ -74,7 +85,22 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.transform(F.split(digits, ""), worth), F.lit(0), lambda a, x: a + x) % 10 == 0
 
 
-def _valid(kind: str, m: Column) -> Column:
+def _iban(m: Column) -> Column:
+    """Whether the country is known, the length is the country's and the remainder by 97 is 1."""
+    a = F.regexp_replace(m, r"\x20", "")
+    form = "|".join(f"(?:{c})[0-9]{{2}}[A-Z0-9]{{{n - 4}}}" for n, c in IBAN.items())
+
+    def step(r: Column, x: Column) -> Column:
+        v = F.ascii(x)
+        return F.when(v < 58, r * 10 + v - 48).otherwise(r * 100 + v - 55) % 97
+
+    turned = F.concat(F.substring(a, 5, 40), F.substring(a, 1, 4))
+    return F.when(a.rlike(f"^(?:{form})$"), F.aggregate(F.split(turned, ""), F.lit(0), step) == 1).otherwise(False)
+
+
+def _valid(kind: str, m: Column, before: Column) -> Column:
+    """secret: holds a digit, mixes case after its first character, or is assigned or quoted; number: 7 to 15 digits after a word for a telephone;
+    contact: no blanks around a bare dot; account: see _iban; key: letters and digits."""
     d = _digits(m)
     if kind == "ip":
         return F.forall(F.split(m, r"\."), lambda p: F.length(F.regexp_replace(p, "^0+", "")) <= 3) & F.forall(F.split(m, r"\."), lambda p: F.coalesce(F.try_to_number(F.right(F.regexp_replace(p, "^0+(?=[0-9])", ""), F.lit(4)), F.lit("9999")), F.lit(0)) <= 255)
@@ -82,6 +108,16 @@ def _valid(kind: str, m: Column) -> Column:
         return F.length(d).between(14, 19) & F.when(F.length(d).between(14, 19), _luhn(d)).otherwise(False)
     if kind == "phone":
         return F.length(d).between(10, 15)
+    if kind == "secret":
+        return m.rlike("[=:].*[0-9]") | (m.rlike(r"[=:]\x20?[^=:]+[A-Z]") & m.rlike("[=:].*[a-z]")) | m.rlike(r"""^[^=:]*(?:=|:\x20?["'])""")
+    if kind == "number":
+        return F.length(d).between(7, 15) & before.rlike(_CALL)
+    if kind == "contact":
+        return ~m.rlike(r"\x20\.|\.\x20")
+    if kind == "account":
+        return _iban(m)
+    if kind == "key":
+        return m.rlike("[0-9]") & m.rlike("[a-f]")
     return F.lit(True)
 
 
@@ -96,9 +132,10 @@ def _described(text: Column, kind: str, pattern: str) -> Column:
         marks = F.length(F.regexp_replace(m, r"[^\x20().:=/@-]", ""))
         before = F.substring(text, F.greatest(x["start"] - 23, F.lit(1)), F.least(x["start"], F.lit(24)))
         context = before.rlike(CONTEXT) | m.rlike(r"(?i)^(?:password|passwd|pwd|secret|token|api|access)")
+        valid = _valid(kind, m, before)
         return F.struct(
             x["start"].alias("start"), F.lit(number).alias("kind"), x["end"].alias("end"),
-            (_valid(kind, m) if number < len(BASE) else F.lit(False)).alias("base"),
+            (valid if number < len(BASE) else F.lit(False)).alias("base"), valid.alias("valid"),
             F.when(digits < 8, 0).when(digits < 14, 1).when(digits < 20, 2).otherwise(3).alias("digits"),
             F.when(n < 12, 0).when(n < 20, 1).when(n < 32, 2).otherwise(3).alias("length"),
             F.least(marks, F.lit(2)).alias("marks"), context.cast("int").alias("context"),
@@ -121,18 +158,20 @@ def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
 def cells(found: DataFrame) -> list[tuple[tuple[int, ...], int, int]]:
     """(features, positives, candidates) of each cell: one pre-aggregated shuffle, at most CELLS rows."""
     def near(c: Column) -> Column:
-        return F.exists("_found", lambda b: b["base"] & (b["start"] < c["end"]) & (c["start"] < b["end"]))
+        return F.exists("_found", lambda b: b["valid"] & (b["start"] < c["end"]) & (c["start"] < b["end"]))
 
-    labelled = F.transform("_found", lambda c: c.withField("y", (c["base"] | near(c) | ((c["kind"] == KINDS.index("secret")) & (c["mixed"] == 1))).cast("int")))
+    labelled = F.transform("_found", lambda c: c.withField("y", (c["valid"] | near(c)).cast("int")))
     rows = found.where(F.size("_found") > 0).select(F.inline(labelled)).groupBy(*BINS).agg(F.sum("y").alias("y"), F.count("*").alias("n")).collect()
     return sorted((tuple(r[f] for f in BINS), r["y"], r["n"]) for r in rows)
 
 
 def fit(table: list[tuple[tuple[int, ...], int, int]], rounds: int = ROUNDS) -> tuple[list, float, float]:
-    """Trees of depth two ((f, at), (f, at, w, w), (f, at, w, w)), the prior log-odds and the threshold on the score."""
+    """Trees of depth two ((f, at), (f, at, w, w), (f, at, w, w)), the prior log-odds and the threshold on the score.
+
+    There are no trees where all labels are equal: the threshold then takes nothing or, if all are positive, everything."""
     total, good = sum(n for _, _, n in table), sum(y for _, y, _ in table)
     if not good or good == total:
-        return [], 0.0, math.inf
+        return [], 0.0, -math.inf if good else math.inf
     prior = math.log(good / (total - good))
     score = [prior] * len(table)
     options = [(f, at) for f, size in enumerate(BINS.values()) for at in range(size - 1)]
@@ -185,8 +224,6 @@ def predict(trees: list, prior: float, x: tuple[int, ...]) -> float:
 def chosen(table: list[tuple[tuple[int, ...], int, int]]) -> set[int]:
     """The numbers of all cells, seen or not, whose score reaches the threshold."""
     trees, prior, threshold = fit(table)
-    if not trees:
-        return set()
     return {n for n, x in enumerate(product(*(range(b) for b in BINS.values()))) if predict(trees, prior, x) >= threshold}
 
 
@@ -206,9 +243,8 @@ def spans(docs: DataFrame, text: str = "text") -> DataFrame:
     trees, prior, threshold = fit(cells(found))
 
     def keep(c: Column) -> Column:
-        if math.isinf(threshold):
-            return c["base"]
-        return c["base"] | ((c["kind"] >= len(BASE)) & (score_expression(trees, prior, c) >= threshold))
+        more = F.lit(threshold < 0) if math.isinf(threshold) else score_expression(trees, prior, c) >= threshold
+        return c["valid"] | ((c["kind"] >= len(BASE)) & more)
 
     slim = F.transform(F.filter("_found", keep), lambda c: F.struct(c["start"], c["kind"], c["end"], c["base"]))
     return found.withColumn("_spans", F.array_sort(slim)).drop("_found")
