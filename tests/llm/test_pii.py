@@ -104,3 +104,18 @@ def test_each_wide_kind_stays_among_decoys(spark):
 
 def test_all_positive_takes_all():
     assert len(pii.chosen([((4, 1, 2, 0, 1, 1), 5, 5)])) == pii.CELLS and pii.chosen([((4, 1, 2, 0, 1, 1), 0, 5)]) == set()
+
+
+def test_long_runs_are_whole_spans(spark):
+    word = "aB3" * 40
+    cases = [
+        ("secret", f"secret={word}"), ("secret", f"token: {word[:36]}.{word[:90]}.{word[:43]}"), ("secret", f"api_key = {word}=="), ("key", "0123456789abcdef" * 8),
+        ("contact", "first-name+tag [at] mail [dot] host [dot] org"), ("contact", "x" * 100 + "(at)firm.co.net"), ("secret", "token=" + "a" * 30_000),
+    ]
+    docs = spark.createDataFrame([(i, f"word {m} end") for i, (_, m) in enumerate(cases)], "doc_id long, text string")
+    redacted = {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}
+    spans = {r["doc_id"]: r["spans"].split(",") for r in pii.detect(docs).collect()}
+    for i, (kind, m) in enumerate(cases):
+        assert f"{kind}:5:{5 + len(m)}" in spans[i] and re.fullmatch(r"word \[[A-Z]+\] end", redacted[i]), (kind, redacted[i])
+    found = pii.candidates(spark.createDataFrame([("12-" * 40 + "1 x",)], "text string")).selectExpr("inline(_found)").where("kind = 5").collect()
+    assert [(r["start"], r["end"]) for r in found] == [(0, 121)]

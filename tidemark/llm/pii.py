@@ -37,13 +37,13 @@ IBAN = {
     31: "MT|SC", 32: "LC", 33: "RU",
 }
 _BY_LENGTH = "".join(rf"(?:{c})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}(?![A-Za-z0-9])|" for n, c in IBAN.items())
-#: The wider generators in order.
+#: The wider generators in order. Their runs are open-ended: a span never stops inside a longer run.
 WIDE = (
-    ("secret", r"""(?i)(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\x20?[=:]\x20?["']?[A-Za-z0-9+/_-]{8,64}"""),
-    ("number", r"(?<![0-9])[0-9(](?:[\x20().-]{0,2}+[0-9]){6,24}+"),
-    ("contact", r"(?i)[a-z0-9._]{1,64}\x20?[(\[]at[)\]]\x20?[a-z0-9-]{1,64}\x20?(?:\.|[(\[]dot[)\]])\x20?[a-z]{2,24}"),
+    ("secret", r"""(?i)(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\x20?[=:]\x20?["']?[A-Za-z0-9+/_-]{8,}+(?:\.[A-Za-z0-9+/_-]++)*+={0,2}+"""),
+    ("number", r"(?<![0-9])[0-9(](?:[\x20().-]{0,2}+[0-9]){6,}+"),
+    ("contact", r"(?i)(?:(?<![a-z0-9._%+-])|\G)[a-z0-9._%+-]++\x20?[(\[]at[)\]]\x20?[a-z0-9-]++\x20?(?:\.|[(\[]dot[)\]])\x20?[a-z0-9-]++(?:(?:\.|\x20?[(\[]dot[)\]]\x20?)[a-z0-9-]++)*+"),
     ("account", r"(?<![A-Za-z0-9])(?=[A-Z]{2}[0-9]{2})(?:" + _BY_LENGTH + r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?![A-Za-z0-9]))"),
-    ("key", r"(?<![A-Za-z0-9])[0-9a-f]{16,64}(?![A-Za-z0-9])"),
+    ("key", r"(?<![A-Za-z0-9])[0-9a-f]{16,}+(?![A-Za-z0-9])"),
 )
 KINDS = [k for k, _ in BASE + WIDE]
 CONTEXT = r"(?i)(?:phone|tel|fax|mail|contact|card|visa|account|iban|ssn|password|passwd|secret|token|key|ip|address)[\x20:=\x22#.]{0,4}$"
@@ -100,7 +100,7 @@ def _iban(m: Column) -> Column:
 
 def _valid(kind: str, m: Column, before: Column) -> Column:
     """secret: holds a digit, mixes case after its first character, or is assigned or quoted; number: 7 to 15 digits after a word for a telephone;
-    contact: no blanks around a bare dot; account: see _iban; key: letters and digits."""
+    contact: no blanks around a bare dot, letters at the end; account: see _iban; key: letters and digits."""
     d = _digits(m)
     if kind == "ip":
         return F.forall(F.split(m, r"\."), lambda p: F.length(F.regexp_replace(p, "^0+", "")) <= 3) & F.forall(F.split(m, r"\."), lambda p: F.coalesce(F.try_to_number(F.right(F.regexp_replace(p, "^0+(?=[0-9])", ""), F.lit(4)), F.lit("9999")), F.lit(0)) <= 255)
@@ -113,7 +113,7 @@ def _valid(kind: str, m: Column, before: Column) -> Column:
     if kind == "number":
         return F.length(d).between(7, 15) & before.rlike(_CALL)
     if kind == "contact":
-        return ~m.rlike(r"\x20\.|\.\x20")
+        return ~m.rlike(r"\x20\.|\.\x20") & m.rlike(r"(?i)[^a-z0-9-][a-z]{2,24}$")
     if kind == "account":
         return _iban(m)
     if kind == "key":
