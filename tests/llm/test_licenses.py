@@ -52,3 +52,19 @@ def test_there_are_hundreds_of_rules():
     gate = re.compile(licenses._GATE)
     for _, _, _, _, keyword, _ in licenses.rules():
         assert keyword == keyword.lower() and (gate.search(keyword + " license ") is not None)
+
+
+def test_each_name_implies_its_keyword():
+    for _, _, keyword, names, _ in licenses.FAMILIES:
+        for name in names:
+            least = re.sub(r"\(\?:([^|)]*)[^)]*\)", r"\1", re.sub(r"\(\?:[^)]*\)\?|.\?", "", name.replace("(?:c )?", ""))).replace("[sc]", "c")
+            assert keyword in least and keyword in least.replace("licence", "license"), name
+
+
+def test_names_without_the_keyword_of_another(spark):
+    texts = ["Licensed under the PSF License.", "licensed under the ASF license 2.0", "PSF licence 2", "asf licence v1.1"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = licenses.scan(docs).orderBy("doc_id").select("licence.labels", "licence.score").collect()
+    assert [tuple(r) for r in rows] == [("psf", 0.9), ("apache", 1.0), ("psf", 0.75), ("apache", 0.8)]
+    ungated = [{r[1] for r in licenses.rules() if re.search(r[5], " ".join(WORD.findall(t.lower())))} for t in texts]
+    assert [set(r["labels"].split(",")) for r in rows] == ungated

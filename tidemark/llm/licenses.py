@@ -36,7 +36,8 @@ FAMILIES = (
     ("lgpl", 70, "lesser", ("gnu lesser general public licen[sc]e", "lesser general public licen[sc]e", "lesser gpl"), ("2", "2 1", "3", "3 0")),
     ("gpl", 60, "general public", ("gnu general public licen[sc]e", "general public licen[sc]e"), ("1", "2", "3", "2 0", "3 0")),
     ("gpl", 55, "gpl", ("gnu gpl", "gplv2", "gplv3", "gpl v2", "gpl v3"), ("2", "3", "2 0", "3 0")),
-    ("apache", 60, "apache", ("apache licen[sc]e", "apache software licen[sc]e", "asf licen[sc]e"), ("1 0", "1 1", "2", "2 0")),
+    ("apache", 60, "apache", ("apache licen[sc]e", "apache software licen[sc]e"), ("1 0", "1 1", "2", "2 0")),
+    ("apache", 60, "asf", ("asf licen[sc]e",), ("1 0", "1 1", "2", "2 0")),
     ("mit", 60, "mit", ("mit licen[sc]e", "mit x11 licen[sc]e", "expat mit licen[sc]e"), ()),
     ("bsd", 60, "bsd", ("bsd licen[sc]e", "new bsd licen[sc]e", "modified bsd licen[sc]e", "simplified bsd licen[sc]e", "bsd 2 clause", "bsd 3 clause", "bsd 4 clause", "2 clause bsd", "3 clause bsd"), ()),
     ("mpl", 60, "mozilla", ("mozilla public licen[sc]e",), ("1 0", "1 1", "2 0")),
@@ -50,7 +51,8 @@ FAMILIES = (
     ("artistic", 60, "artistic", ("artistic licen[sc]e",), ("1 0", "2 0")),
     ("unlicense", 60, "unlicense", ("the unlicense", "unlicense org"), ()),
     ("wtfpl", 60, "wtfpl", ("wtfpl",), ("1", "2")),
-    ("psf", 60, "python", ("python software foundation licen[sc]e", "psf licen[sc]e", "python licen[sc]e"), ("2",)),
+    ("psf", 60, "python", ("python software foundation licen[sc]e", "python licen[sc]e"), ("2",)),
+    ("psf", 60, "psf", ("psf licen[sc]e",), ("2",)),
     ("ofl", 60, "open font", ("sil open font licen[sc]e", "open font licen[sc]e"), ("1 0", "1 1")),
     ("odbl", 60, "open database", ("open database licen[sc]e", "open data commons open database licen[sc]e"), ("1 0",)),
     ("openssl", 60, "openssl", ("openssl licen[sc]e",), ()),
