@@ -103,3 +103,10 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 200), (200, 150)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(51)} | {100: 100, 150: 100, 200: 100}
+
+
+def test_documents_without_an_id_stay(spark, small):
+    text = "one two three four five six seven eight"
+    docs = spark.createDataFrame([(1, text), (2, text), (None, text), (None, None), (None, text)], "doc_id long, text string")
+    assert Counter(map(tuple, jaccard.cluster(docs).collect())) == Counter({(1, 4, 1): 1, (2, 4, 1): 1, (None, 0, None): 3})
+    assert Counter(map(tuple, jaccard.stage(spark, docs, small).collect())) == Counter({(1, text): 1, (None, text): 2, (None, None): 1})

@@ -333,17 +333,18 @@ def links(docs: DataFrame, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
 
 
 def cluster(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document."""
-    nodes, edges = links(docs, chunk)
+    """doc_id, n_shingles, component_id of every document; as in SQL, 0 and null where doc_id is null."""
+    nodes, edges = links(docs.where("doc_id is not null"), chunk)
     roots = components(edges)
     out = nodes.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "rep", "doc_id").alias("component_id"))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "rep", "doc_id").alias("component_id"))
+    return out.union(docs.where("doc_id is null").select("doc_id", F.lit(0).cast(out.schema["n_shingles"].dataType), "doc_id"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component, the one of smallest doc_id, with all columns."""
+    """One document of each component, the one of smallest doc_id, with all columns; those of null doc_id all stay."""
     stay = cluster(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(stay, "doc_id", "left_semi")
+    return docs.join(stay, "doc_id", "left_semi").union(docs.where("doc_id is null").select("doc_id", *(c for c in docs.columns if c != "doc_id")))
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
