@@ -110,3 +110,47 @@ def test_documents_without_an_id_stay(spark, small):
     docs = spark.createDataFrame([(1, text), (2, text), (None, text), (None, None), (None, text)], "doc_id long, text string")
     assert Counter(map(tuple, jaccard.cluster(docs).collect())) == Counter({(1, 4, 1): 1, (2, 4, 1): 1, (None, 0, None): 3})
     assert Counter(map(tuple, jaccard.stage(spark, docs, small).collect())) == Counter({(1, text): 1, (None, text): 2, (None, None): 1})
+
+
+def test_parities_bound_the_difference():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        n = int(rng.integers(1, 200))
+        both = rng.integers(0, 1 << 63, 2 * n).astype(np.uint64)
+        x = np.unique(both[:n])
+        y = np.unique(np.concatenate((x[: int(rng.integers(0, len(x) + 1))], both[n : n + int(rng.integers(1, n + 1))])))
+        raw = jaccard.parities(np.concatenate((x, y)), np.array([len(x), len(x) + len(y)]))
+        rows = jaccard.Parities(np.array([len(x), len(y)]), raw)
+        same = len(np.intersect1d(x, y))
+        linked = 100 * same >= 80 * (len(x) + len(y) - same)
+        assert rows.near(np.array([0]), np.array([1]))[0] or not linked
+        assert rows.near(np.array([0]), np.array([0]))[0]
+
+
+def test_products_count_overlaps(monkeypatch):
+    rng = np.random.default_rng(4)
+    monkeypatch.setattr(jaccard, "SLAB_CELLS", 64)
+    for _ in range(40):
+        m = int(rng.integers(2, 9))
+        sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50)).astype(np.uint64)) for _ in range(m)]
+        sets[1] = np.unique(np.append(sets[0], np.uint64(99)))
+        n = np.array([len(x) for x in sets])
+        counts = jaccard.overlaps(np.concatenate(sets), np.repeat(np.arange(m), n), n)
+        for i in range(m):
+            for j in range(i):
+                k = len(np.intersect1d(sets[i], sets[j]))
+                assert (counts[i, j] >= jaccard.required(n[i], n[j])) == (100 * k >= 80 * (n[i] + n[j] - k))
+
+
+def test_large_parts_in_chunks(spark, monkeypatch):
+    """Parts of many rows over several size bands: chunks of few rows and shingles find the same links."""
+    rng = random.Random(8)
+    base = [f"w{k}" for k in range(60)]
+    texts = []
+    for k in range(120):
+        w = base + [f"z{j}" for j in range(k // 4)]
+        w[rng.randrange(len(w))] = f"x{k}"
+        texts.append(" ".join(w))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(jaccard, "PART_SHINGLES", 400)
+    check(jaccard.cluster(docs, 6).collect(), docs)
