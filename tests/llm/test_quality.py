@@ -46,3 +46,17 @@ def test_prior_is_bounded():
     a, b = quality.beta_prior(10, 100, 1.0, 0.1, 1.0, 10)
     assert a > 0 and b > 0 and quality.STRENGTH[0] <= a + b <= quality.STRENGTH[1] * 1.001
     assert quality.beta_prior(0, 0, 0, 0, 0, 0)
+
+
+def test_weak_rules_count_where_the_host_is_suspect(spark):
+    """Symbols are a fault on a host full of them and none on a host of clean pages; stage and query agree, null ids too."""
+    good = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, f"{good} {'# ' * 20 if i % 3 == 0 else ''}{i}", "en", "noisy", 1) for i in range(300)]
+    rows += [(1000 + i, f"{good} {'# ' * 20 if i == 7 else ''}{i}", "en", "clean", 1) for i in range(900)]
+    rows += [(None, f"{good} # {'# ' * 20}", "en", "noisy", 1), (None, good, "en", "noisy", 1), (None, "short", None, None, None), (5000, f"{good} {'# ' * 20}", "en", None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = Counter(r["doc_id"] for r in quality.quality(docs).where("kept").collect())
+    assert kept == Counter({i: 1 for i in range(300) if i % 3}) + Counter({1000 + i: 1 for i in range(900)}) + Counter({None: 1, 5000: 1})
+    assert Counter(r["doc_id"] for r in quality.stage(spark, docs, "").collect()) == kept
+    out = quality.stage(spark, docs.withColumnRenamed("lang", "rule"), "")
+    assert out.columns == ["doc_id", "text", "rule", "source", "n_chars"] and out.count() == sum(kept.values())
