@@ -6,6 +6,9 @@ EDGE = [
     (5, LONG, "de", "a", 5), (6, "é" * 5000 + " " + "ab\ncd\n" * 50, "fr", "b", 5), (7, "\x00\x01 \t\n", "en", "c", 3),
     (8, "one two three four five six seven eight nine ten " * 3, "en", "a", 1), (8, "one two three four five six seven eight nine ten " * 3, "en", "a", 1),
     (9, "😀 😀 text with emoji 12 34", "en", "a", 1),
+    (None, "a row without an id, of some words and more than fifty bytes", "en", "a", 1), (None, None, None, None, None), (None, "x", "en", "b", None),
+    (2**53 + 1, "ids beyond the floats, of some words and more than fifty bytes", "en", "a", 1), (2**53 + 3, "ids beyond the floats, of some words and more than fifty bytes", "en", "a", 1),
+    (-4, "a negative id", "en", "a", 1), (11, "one id with two texts", "en", "a", 1), (11, "another text of this id", "en", "b", 1),
 ]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 

@@ -15,9 +15,10 @@ def shingle_set(text):
     return frozenset(map(tuple, [w[i : i + 5] for i in range(len(w) - 4)] if len(w) >= 5 else [w]))
 
 
-def brute(texts):
-    sets = {i: shingle_set(t) for i, t in texts}
-    ids = sorted(sets)
+def brute(rows):
+    """(n_shingles, component) of each row (doc_id, text); rows of one doc_id are linked."""
+    sets = [shingle_set(t) for _, t in rows]
+    ids = sorted({i for i, _ in rows if i is not None})
     root = {i: i for i in ids}
 
     def find(x):
@@ -25,19 +26,19 @@ def brute(texts):
             x = root[x]
         return x
 
-    for k, a in enumerate(ids):
-        for b in ids[k + 1 :]:
-            x = len(sets[a] & sets[b])
-            if x and 100 * x >= 80 * (len(sets[a]) + len(sets[b]) - x):
-                p, q = sorted((find(a), find(b)))
+    for k, a in enumerate(sets):
+        for m in range(k):
+            b = sets[m]
+            x = len(a & b)
+            if x and 100 * x >= 80 * (len(a) + len(b) - x) and None not in (rows[k][0], rows[m][0]):
+                p, q = sorted((find(rows[k][0]), find(rows[m][0])))
                 root[q] = p
-    return {i: (len(sets[i]), find(i)) for i in ids}
+    return [(0, None) if i is None else (len(s), find(i)) for (i, _), s in zip(rows, sets, strict=True)]
 
 
 def check(rows, docs):
     texts = [(r["doc_id"], r["text"]) for r in docs.collect()]
-    want = brute(texts)
-    assert Counter(map(tuple, rows)) == Counter((i, *want[i]) for i, _ in texts)
+    assert Counter(map(tuple, rows)) == Counter((i, *w) for (i, _), w in zip(texts, brute(texts), strict=True))
 
 
 def test_whole_table(spark, small):

@@ -16,3 +16,24 @@ def test_stages_follow_each_other(spark, small):
     out = pipeline.run(spark, small)
     assert sorted(map(tuple, out.collect())) == want and len(pipeline.STAGES) == 5
     packing.check_bins(out.collect())
+
+
+def test_stages_on_edge_and_empty_tables(spark, edge, empty, tmp_path):
+    """Each stage on nulls in any column, odd ids, clashing names and on no rows: all columns stay, and so do clean rows."""
+    long = " ".join(f"word{k}" for k in range(60))
+    rows = spark.createDataFrame([(None, long, None, None, None), (None, long, "en", "a", 1), (2**53 + 1, long + " one", "en", "a", 1), (2**53 + 3, long + " one", None, "b", 1)], edge.select("doc_id", "text", "lang", "source", "n_chars").schema)
+    names = [c for c in edge.columns if c not in rows.columns]
+    for start in (edge, empty, rows.selectExpr("*", *(f"7 AS {c}" for c in names))):
+        docs = start
+        for k, (_, stage) in enumerate(pipeline.STAGES):
+            out = stage(spark, docs, "")
+            path = str(tmp_path / f"{len(start.columns)}-{id(start)}-{k}")
+            out.write.parquet(path)
+            docs, before = spark.read.parquet(path), docs
+            if k < 4:
+                assert docs.columns == before.columns
+        packing.check_bins(docs.collect())
+        if start is not edge and start is not empty:
+            assert sorted((r["doc_id"] or 0) for r in docs.collect()) == [0, 0, 2**53 + 1]
+        if start is empty:
+            assert docs.count() == 0

@@ -11,26 +11,25 @@ W = repeats.WIDTH
 
 
 def brute(texts):
-    """texts: {doc_id: bytes}; plain set of the windows of smaller documents."""
+    """texts: (doc_id, bytes) of each row; plain set of the windows of smaller documents; rows without an id stand apart."""
     seen, out = set(), {}
-    for i in sorted(texts):
-        t = texts[i]
-        lost = bytearray(len(t))
-        own = [t[k : k + W] for k in range(len(t) - W + 1)]
-        for k, x in enumerate(own):
-            if x in seen:
-                lost[k : k + W] = b"\x01" * W
-        seen.update(own)
-        rest = bytes(c for c, gone in zip(t, lost) if not gone)
-        out[i] = (len(t), sum(lost), sum(a < b for a, b in pairwise([0, *lost])), hashlib.sha256(rest).hexdigest())
-    return out
+    for i in sorted({i for i, _ in texts if i is not None}):
+        for t in {t for k, t in texts if k == i}:
+            lost = bytearray(len(t))
+            for k in range(len(t) - W + 1):
+                if t[k : k + W] in seen:
+                    lost[k : k + W] = b"\x01" * W
+            rest = bytes(c for c, gone in zip(t, lost) if not gone)
+            out[i, t] = (len(t), sum(lost), sum(a < b for a, b in pairwise([0, *lost])), rest)
+        seen |= {t[k : k + W] for j, t in texts if j == i for k in range(len(t) - W + 1)}
+    return out | {(None, t): (len(t), 0, 0, t) for i, t in texts if i is None}
 
 
 def check(rows, docs):
     texts = [(r["doc_id"], (r["text"] or "").encode()) for r in docs.collect()]
-    want = brute(dict(texts))
+    want = brute(texts)
     got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows)
-    assert got == Counter((i, *want[i]) for i, _ in texts)
+    assert got == Counter((i, *want[i, t][:3], hashlib.sha256(want[i, t][3]).hexdigest()) for i, t in texts)
 
 
 def test_whole_table(spark, small):
@@ -80,3 +79,24 @@ def test_stage_keeps_columns_and_clean_documents(spark, small):
     result = {r["doc_id"]: r["n_removed"] for r in repeats.remove_repeats(docs).collect()}
     after = {r["doc_id"]: r["text"] for r in out.collect()}
     assert all(after[i] == before[i] for i, n in result.items() if n == 0)
+
+
+def test_stage_on_edges(spark, edge, empty):
+    """Every column comes through as it was, nulls, long ids and clashing names too."""
+    out = repeats.stage(spark, edge, "")
+    assert out.columns == edge.columns and repeats.stage(spark, empty, "").count() == 0
+    want = brute([(r["doc_id"], (r["text"] or "").encode()) for r in edge.collect()])
+    expected = Counter()
+    for r in edge.collect():
+        _, n, _, rest = want[r["doc_id"], (r["text"] or "").encode()]
+        if n == 0 or rest.strip():
+            text = rest.decode() if n else r["text"]
+            expected[tuple({**r.asDict(), "text": text, "n_chars": text if r["doc_id"] is None else text and len(text)}.values())] += 1
+    got = Counter(tuple({**r.asDict(), "n_chars": r["text"] if r["doc_id"] is None else r["text"] and len(r["text"])}.values()) for r in out.collect())
+    assert got == expected
+
+
+def test_long_ranks_are_paired_exactly():
+    rng = np.random.default_rng(7)
+    a, b = rng.integers(0, 5, 200), rng.integers(0, 5, 200)
+    assert (repeats._paired(a, b) == repeats._paired(a + 2**31, b) - 0).all()

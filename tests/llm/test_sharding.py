@@ -1,5 +1,5 @@
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
@@ -7,14 +7,17 @@ from tidemark.llm import sharding
 
 
 def check(docs, rows, shards=16):
-    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
-    assert len(rows) == docs.count()
+    def named(i, raw):
+        return i, len(raw) + 1, zlib.crc32(raw)
+
+    held = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in rows) == Counter(named(i, (t or "").encode()) for i, t in held)
+    text = {named(i, (t or "").encode()): t for i, t in held}
     by_shard, home = defaultdict(list), {}
     for r in rows:
-        raw = (texts[r["doc_id"]] or "").encode()
-        assert (r["size"], r["text_crc32"]) == (len(raw) + 1, zlib.crc32(raw))
         by_shard[r["shard"]].append(r)
-        assert home.setdefault(texts[r["doc_id"]], r["shard"]) == r["shard"]
+        t = text[r["doc_id"], r["size"], r["text_crc32"]]
+        assert home.setdefault(t, r["shard"]) == r["shard"]
     for held in by_shard.values():
         assert sorted(r["slot"] for r in held) == list(range(len(held)))
     groups = sharding.keyed(docs).groupBy("g1", "g2").agg(F.sum("size").alias("size")).orderBy("g1", "g2").collect()

@@ -12,7 +12,7 @@ LIBRARY = Tokenizer.from_file(public_tokenizers.path(tokenfile.MODEL))
 
 def check(rows, docs):
     want, at = Counter(), 0
-    texts = sorted((r["doc_id"], r["text"] or "") for r in docs.collect())
+    texts = sorted(((r["doc_id"], r["text"] or "") for r in docs.collect()), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
     for (i, _), e in zip(texts, LIBRARY.encode_batch([t for _, t in texts], add_special_tokens=False), strict=True):
         ids = np.array([*e.ids, 0], "<u4")
         want[i, at, len(ids), zlib.crc32(ids.tobytes())] += 1
@@ -25,8 +25,12 @@ def test_whole_table(spark, small):
 
 
 def test_edges(spark, edge, empty):
-    check(tokenfile.read_back(*tokenfile.write(edge)).collect(), edge)
-    assert tokenfile.read_back(*tokenfile.write(empty)).count() == 0
+    folder = tokenfile.write(edge)
+    check(tokenfile.read_back(spark, folder).collect(), edge)
+    assert tokenfile.read_back(spark, tokenfile.write(empty)).count() == 0
+    counts = {r["id"]: r["n"] for r in spark.read.parquet(f"{folder}/ids").where("n > 0").collect()}
+    ids = Counter(i for r in tokenfile.read_back(spark, folder, with_ids=True).collect() for i in r["ids"])
+    assert counts == ids
 
 
 def test_codec_round_trip():

@@ -16,8 +16,8 @@ components, the rows outside its largest one are compared with all its chunks of
 two components has such a row. So a large group of near copies costs as much as its chunks, not as their square.
 
 Defined results: a null or empty text, or one without words, has 0 shingles and is its own component; equal texts
-link; rows of one doc_id are one document; a null doc_id has 0 shingles and a null component, and stays in the stage;
-an empty table gives an empty result; other columns do not matter.
+link; rows of one doc_id are linked, each with its own number of shingles; a null doc_id has 0 shingles and a null
+component, and stays in the stage; an empty table gives an empty result; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -498,14 +498,17 @@ def links(docs: DataFrame, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
     name = reps.select("sig", "rep")
     ends = found.join(name.select(F.col("sig").alias("a"), F.col("rep").alias("x")), "a").join(name.select(F.col("sig").alias("b"), F.col("rep").alias("y")), "b")
     nodes = sizes.drop("parity").join(reps.drop("parity"), ["n", "sig"], "left")
-    return nodes, ends.select(F.col("x").alias("a"), F.col("y").alias("b"))
+    # rows of one doc_id that differ are linked by it
+    differ = sizes.groupBy("doc_id").agg(F.min("sig").alias("low"), F.max("sig").alias("high")).where("low <> high").select("doc_id")
+    own = nodes.where("rep is not null").join(differ, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    return nodes, ends.select(F.col("x").alias("a"), F.col("y").alias("b")).union(own)
 
 
 def cluster(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """doc_id, n_shingles, component_id of every document; as in SQL, 0 and null where doc_id is null."""
     nodes, edges = links(docs.where("doc_id is not null"), chunk)
     roots = components(edges)
-    out = nodes.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
+    out = nodes.withColumn("rep", F.coalesce("rep", "doc_id")).join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "rep", "doc_id").alias("component_id"))
     return out.union(docs.where("doc_id is null").select("doc_id", F.lit(0).cast(out.schema["n_shingles"].dataType), "doc_id"))
 

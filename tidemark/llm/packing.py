@@ -5,11 +5,12 @@ the rest is packed, longest first, into the bin with the least residual that fit
 and carry bitmaps of the sources and duplicate clusters they hold: the successor search goes on to the next larger
 residual until a bin has neither the document's cluster nor its source PER_SOURCE times; else a bin is opened.
 
-Packing is done in shards of about SHARD_ROWS documents dealt by a hash of doc_id, so that neither a source nor a
+Packing is done in shards of about SHARD_ROWS documents dealt by a hash of doc_id, source and text, so that neither a source nor a
 cluster gathers in one task; every shard packs all its rows.
 
-Defined results: null and empty texts count one word; a null source is a source of its own; equal texts are one
-cluster; an empty table gives an empty result; repeated rows are packed each; other columns do not matter.
+Defined results: null and empty texts count one word; a null source is a source of its own; equal texts (null as
+empty) are one cluster; a null doc_id is packed like any other; repeated rows are packed each; an empty table gives
+an empty result; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,36 +60,38 @@ def best_fit(length: list[int], source: list[int], cluster: list[int], capacity:
     return bins, offsets
 
 
-def pack_shard(pdf: pd.DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE) -> pd.DataFrame:
-    pdf = pdf.sort_values(["n_words", "doc_id"], ascending=[False, True], kind="stable", ignore_index=True)
-    n = pdf["n_words"].to_numpy()
+def pack_shard(table: pa.Table, capacity: int = CAPACITY, per_source: int = PER_SOURCE) -> pa.Table:
+    """The pieces of a shard's rows; longest rows first, then by doc_id, null ids first."""
+    n, ids, names = table["n_words"].to_numpy(), table["doc_id"], table["cluster"].to_numpy()
+    order = np.lexsort((names, ids.fill_null(0).to_numpy(), ~ids.is_null().to_numpy(), -n))
+    n, ids, names = n[order], ids.take(pa.array(order)), names[order]
     full = n // capacity
-    doc = np.repeat(pdf["doc_id"].to_numpy(), full)
-    piece = np.arange(len(doc)) - np.repeat(np.cumsum(full) - full, full)
-    out = [pd.DataFrame({"doc_id": doc, "piece": piece, "bin": np.arange(len(doc)), "bin_offset": 0, "n_words": capacity})]
+    wide = np.repeat(np.arange(len(n)), full)
     rest = n - full * capacity
     keep = np.argsort(-rest, kind="stable")
     keep = keep[rest[keep] > 0]
-    source = pd.factorize(pdf["source"].fillna("\0"))[0][keep].tolist()
-    cluster = pd.factorize(pdf["cluster"])[0][keep].tolist()
-    bins, offsets = best_fit(rest[keep].tolist(), source, cluster, capacity, per_source)
-    out.append(pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy()[keep], "piece": full[keep], "bin": np.array(bins, dtype=np.int64) + len(doc), "bin_offset": offsets, "n_words": rest[keep]}))
-    both = pd.concat(out, ignore_index=True)
-    shard = int(pdf["shard"].iloc[0])
-    both["bin_id"] = [f"{shard}-{b}" for b in both["bin"]]
-    return both[["doc_id", "piece", "bin_id", "bin_offset", "n_words"]]
+    source = pd.factorize(table["source"].take(pa.array(order[keep])).to_pandas(), use_na_sentinel=False)[0].tolist()
+    bins, offsets = best_fit(rest[keep].tolist(), source, pd.factorize(names[keep])[0].tolist(), capacity, per_source)
+    shard = table["shard"][0].as_py()
+    row = np.concatenate((wide, keep))
+    piece = np.concatenate((np.arange(len(wide)) - np.repeat(np.cumsum(full) - full, full), full[keep]))
+    at = np.concatenate((np.zeros(len(wide), np.int64), np.array(offsets, dtype=np.int64)))
+    size = np.concatenate((np.full(len(wide), capacity), rest[keep]))
+    bin_id = [f"{shard}-{b}" for b in range(len(wide))] + [f"{shard}-{b + len(wide)}" for b in bins]
+    return pa.table([ids.take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(bin_id, pa.string()), pa.array(at, pa.int32()), pa.array(size, pa.int32())], names=["doc_id", "piece", "bin_id", "bin_offset", "n_words"])
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """doc_id, piece (from 0), bin_id, bin_offset, n_words: the pieces of every document with their bins."""
     n_words = F.greatest(F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(1)).cast("int")
     shards = common.bucket_count(docs.count(), shard_rows)
-    narrow = docs.select("doc_id", "source", n_words.alias("n_words"), F.xxhash64("text").alias("cluster"), F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard"))
+    name = F.xxhash64(F.coalesce("text", F.lit("")))
+    narrow = docs.select("doc_id", "source", n_words.alias("n_words"), name.alias("cluster")).withColumn("shard", F.pmod(F.xxhash64("doc_id", "source", "cluster"), F.lit(shards)).cast("int"))
 
-    def shard_of(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pack_shard(pdf, capacity, per_source)
+    def shard_of(table: pa.Table) -> pa.Table:
+        return pack_shard(table, capacity, per_source)
 
-    return narrow.groupBy("shard").applyInPandas(shard_of, SCHEMA)
+    return narrow.groupBy("shard").applyInArrow(shard_of, SCHEMA)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -148,7 +148,8 @@ class Encoder:
         segments = [self._segments(t) if "<" in t else [(t, -1)] for t in texts]
         plain = [s for parts in segments for s, known in parts if known < 0]
         size = np.array([len(s) for s in plain], dtype=np.int64)
-        points = np.frombuffer("".join(plain).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        joined = "".join(plain)
+        points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         ends = np.zeros(len(plain) + 1, dtype=np.int64)
         ids = np.empty(0, dtype=np.uint32)
         if len(points):
@@ -156,8 +157,14 @@ class Encoder:
             begin = pieces(points, text_start[size > 0])
             end = np.append(begin[1:], len(points))
             hashes = common.Slices(points).hashes(begin, end)
-            known, where, which = np.unique(hashes, return_index=True, return_inverse=True)
-            found = self._look_up(known.tolist(), points, begin[where], end[where])
+            _, where, which = np.unique(hashes, return_index=True, return_inverse=True)
+            size_of = end - begin
+            if (size_of != size_of[where][which]).any() or (points != points[spread(begin[where][which], size_of)]).any():
+                # two pieces have one hash: number the pieces themselves
+                number: dict[str, int] = {}
+                which = np.array([number.setdefault(joined[p:q], len(number)) for p, q in zip(begin.tolist(), end.tolist(), strict=True)])
+                where = np.unique(which, return_index=True)[1]
+            found = self._look_up([joined[p:q] for p, q in zip(begin[where].tolist(), end[where].tolist(), strict=True)])
             length = np.array([len(x) for x in found], dtype=np.int64) >> 2
             pool = np.frombuffer(b"".join(found), dtype="<u4")
             offset = np.cumsum(length) - length
@@ -176,15 +183,14 @@ class Encoder:
                     k += 1
             yield out[0] if len(out) == 1 else np.concatenate(out) if out else np.empty(0, dtype=np.uint32)
 
-    def _look_up(self, hashes: list[int], points: np.ndarray, begin: np.ndarray, end: np.ndarray) -> list[bytes]:
+    def _look_up(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct pieces."""
         if len(self.store) > STORE:
             self.store.clear()
-        get = self.store.get
-        found = [get(h) for h in hashes]
-        new = [i for i, x in enumerate(found) if x is None]
+        found = list(map(self.store.get, words))
+        new = [w for w, x in zip(words, found, strict=True) if x is None]
         if new:
-            raw, b, e = points.tobytes(), (begin[new] * 4).tolist(), (end[new] * 4).tolist()
-            for i, x in zip(new, self.encode_new([raw[p:q].decode("utf-32-le", "surrogatepass") for p, q in zip(b, e, strict=True)]), strict=True):
-                found[i] = x
-                self.store[hashes[i]] = x
+            fresh = dict(zip(new, self.encode_new(new), strict=True))
+            self.store |= fresh
+            found = [fresh[w] if x is None else x for w, x in zip(words, found, strict=True)]
         return found

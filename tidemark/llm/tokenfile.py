@@ -2,16 +2,18 @@
 
 Ids are ranked by how often they occur, so that frequent ids take one byte. A block holds some documents: their
 numbers of ids, a control stream (two bits for each id: its length less one) and a data stream (little-endian
-bytes). Blocks are rows of Parquet files in the shared folder, numbered in ascending doc_id order; decoding looks
-each control byte up in a table of four lengths and gathers the data bytes with numpy.
+bytes). A file is a folder with two Parquet tables: `blocks`, numbered in ascending doc_id order, and `ids`, the ids
+by rank with their counts, so that its path alone is enough to read it. Decoding looks each control byte up in a
+table of four lengths and gathers the data bytes with numpy.
 
-Defined results: a null text is empty and has the end id alone; repeated rows are written each, one after the
-other; an empty table gives an empty file and result; other columns do not matter.
+Defined results: a null text is empty and has the end id alone; rows of a null doc_id come first; rows of one doc_id
+are written each, in order of their texts; an empty table gives an empty file and result; other columns do not matter.
 """
 
 from __future__ import annotations
 
 import os
+import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -28,8 +30,8 @@ from . import common, pretoken
 
 MODEL = "byte_bpe_50k.json"
 END_ID = 0
-BLOCK_DOCS = "part int, block int, doc_ids binary, counts binary, n long, ids binary"
-FILE = "part int, block int, doc_ids binary, counts binary, n long, control binary, data binary"
+BLOCK_DOCS = "part int, block int, nulls int, doc_ids binary, counts binary, n long, ids binary"
+FILE = "part int, block int, nulls int, doc_ids binary, counts binary, n long, control binary, data binary"
 
 #: The four lengths that each control byte stands for.
 LENGTHS = np.stack([(np.arange(256) >> (2 * k) & 3) + 1 for k in range(4)], axis=1).astype(np.uint8)
@@ -68,7 +70,7 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 def blocks(docs: DataFrame, path: str) -> DataFrame:
     """Encoded blocks in ascending doc_id order: range partitions, each sorted; ids as uint16 where they fit."""
-    ordered = docs.select("doc_id", "text").repartitionByRange(common.partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id")
+    ordered = docs.select("doc_id", "text").repartitionByRange(common.partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
     ordered = ordered.select(F.spark_partition_id().alias("part"), "doc_id", "text")
     kind = "<u2" if pretoken.vocabulary(path).size <= 1 << 16 else "<u4"
 
@@ -78,12 +80,13 @@ def blocks(docs: DataFrame, path: str) -> DataFrame:
             if not batch.num_rows:
                 continue
             part = batch.column(0)[0].as_py()
-            doc_ids = np.asarray(batch.column(1).to_numpy(zero_copy_only=False), dtype="<i8")
+            doc_ids = batch.column(1).fill_null(0).to_numpy(zero_copy_only=False).astype("<i8", copy=False)
+            null = batch.column(1).is_null().to_numpy(zero_copy_only=False)  # the first rows, if any
             texts = [t or "" for t in batch.column(2).to_pylist()]
             for a, b in common.batches(texts, pretoken.BATCH_CHARS):
                 ids = [np.append(x, END_ID) for x in enc.texts(texts[a:b])]
                 counts = np.array([len(x) for x in ids], dtype="<i8")
-                row = (part, k, doc_ids[a:b].tobytes(), counts.tobytes(), int(counts.sum()), np.concatenate(ids).astype(kind).tobytes())
+                row = (part, k, int(null[a:b].sum()), doc_ids[a:b].tobytes(), counts.tobytes(), int(counts.sum()), np.concatenate(ids).astype(kind).tobytes())
                 yield _row(row, BLOCK_DOCS)
                 k += 1
 
@@ -122,13 +125,14 @@ def ranking(counts: list[tuple[int, int]], size: int) -> np.ndarray:
     return np.lexsort((np.arange(size), -n)).astype(np.int64)
 
 
-def write(docs: DataFrame, path: str | None = None) -> tuple[DataFrame, np.ndarray]:
-    """The written file's blocks and the ids by rank."""
+def write(docs: DataFrame, path: str | None = None) -> str:
+    """The folder of the written file."""
     path = path or public_tokenizers.path(MODEL)
     size = max(pretoken.vocabulary(path).size, END_ID + 1)
     kind = "<u2" if size <= 1 << 16 else "<u4"
     encoded = common.written(blocks(docs, path), "token_blocks")
-    by_rank = ranking(frequencies(encoded, size), size)
+    counts = frequencies(encoded, size)
+    by_rank = ranking(counts, size)
     rank = np.empty(size, dtype="<u4")
     rank[by_rank] = np.arange(size)
 
@@ -136,9 +140,14 @@ def write(docs: DataFrame, path: str | None = None) -> tuple[DataFrame, np.ndarr
         for batch in batches:
             for r in batch.to_pylist():
                 control, data = pack(rank[np.frombuffer(r["ids"], dtype=kind)])
-                yield _row((r["part"], r["block"], r["doc_ids"], r["counts"], r["n"], control, data), FILE)
+                yield _row((r["part"], r["block"], r["nulls"], r["doc_ids"], r["counts"], r["n"], control, data), FILE)
 
-    return common.written(encoded.mapInArrow(run, FILE), "token_file"), by_rank
+    folder, seen = f"{common.shared_dir(docs.sparkSession)}/token-file-{uuid.uuid4().hex}", dict(counts)
+    encoded.mapInArrow(run, FILE).write.option("compression", "zstd").parquet(f"{folder}/blocks")
+    # one row for each id of the vocabulary
+    table = pa.table({"rank": pa.array(range(size), pa.int32()), "id": pa.array(by_rank, pa.int64()), "n": pa.array([seen.get(i, 0) for i in by_rank.tolist()], pa.int64())})
+    docs.sparkSession.createDataFrame(table).coalesce(1).write.parquet(f"{folder}/ids")
+    return folder
 
 
 def starts(file: DataFrame) -> DataFrame:
@@ -150,8 +159,14 @@ def starts(file: DataFrame) -> DataFrame:
     return inner.join(before, "part").select("part", "block", (F.col("base") + F.col("inner")).cast("long").alias("first"))
 
 
-def read_back(file: DataFrame, by_rank: np.ndarray, with_ids: bool = False) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 (and ids) of each document, decoded from the blocks."""
+def read_back(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 (and ids) of each document, decoded from the file."""
+    file = spark.read.schema(FILE).parquet(f"{folder}/blocks")
+    ranked = spark.read.parquet(f"{folder}/ids").select("rank", "id").collect()  # one row for each id of the vocabulary
+    by_rank = np.zeros(len(ranked), dtype=np.int64)
+    for r in ranked:
+        by_rank[r["rank"]] = r["id"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
@@ -159,7 +174,7 @@ def read_back(file: DataFrame, by_rank: np.ndarray, with_ids: bool = False) -> D
                 ids = by_rank[unpack(r["control"], r["data"], r["n"])].astype("<u4")
                 ends = np.cumsum(counts)
                 each = np.split(ids, ends[:-1])
-                columns = [pa.array(doc_ids), pa.array(ends - counts + r["first"]), pa.array(counts), pa.array([zlib.crc32(x.tobytes()) for x in each], pa.int64())]
+                columns = [pa.array(doc_ids, mask=np.arange(len(doc_ids)) < r["nulls"]), pa.array(ends - counts + r["first"]), pa.array(counts), pa.array([zlib.crc32(x.tobytes()) for x in each], pa.int64())]
                 names = ["doc_id", "start", "n_tokens", "ids_crc32"]
                 if with_ids:
                     columns.append(pa.array([x.tolist() for x in each], pa.list_(pa.int64())))
@@ -171,7 +186,7 @@ def read_back(file: DataFrame, by_rank: np.ndarray, with_ids: bool = False) -> D
 
 
 def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_back(*write(common.read(spark, sf_dir, "documents")))
+    return read_back(spark, write(common.read(spark, sf_dir, "documents")))
 
 
 QUERIES = {"op10_token_file": op10_token_file}
