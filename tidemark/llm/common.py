@@ -26,14 +26,27 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: The folders that written() made and nobody has released yet.
+TABLES: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    TABLES.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, keep: list[str]) -> None:
+    """Deletes the tables of written() but those to keep; for callers whose result is written and no longer reads them."""
+    for path in [x for x in TABLES if x not in keep]:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        TABLES.remove(path)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -53,6 +66,39 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def scanned(values: Column, join) -> Column:
+    """The running join (an associative function, such as a sum) of an array, itself included; null adds nothing.
+
+    Each pass joins twice as many: n log n steps for an array of any size, where a sum for each place takes n^2.
+    """
+    def double(a: Column, k: Column) -> Column:
+        def step(x: Column, i: Column) -> Column:
+            y = F.get(a, i - F.call_function("shiftleft", F.lit(1), k))
+            return F.when(y.isNull(), x).when(x.isNull(), y).otherwise(join(y, x))
+
+        return F.transform(a, step)
+
+    passes = F.when(F.size(values) > 1, F.ceil(F.log2(F.size(values))).cast("int")).otherwise(0)
+    return F.aggregate(F.slice(F.sequence(F.lit(0), F.lit(31)), F.lit(1), passes), values, double)
+
+
+def matches(text: Column, pattern: Column | str) -> Column:
+    """array of struct(start, end, m, before): leftmost matches that do not overlap, in code points; before: the text
+    since the match before."""
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    both = F.struct(F.regexp_extract_all(text, pattern, F.lit(0)).alias("found"), F.split(text, pattern).alias("pieces"))
+
+    def all_of(x: Column) -> Column:
+        sizes = F.transform(x["found"], lambda m, k: F.length(m) + F.length(F.get(x["pieces"], k)))
+
+        def one(ends: Column) -> Column:
+            return F.transform(x["found"], lambda m, k: F.struct((F.get(ends, k) - F.length(m)).alias("start"), F.get(ends, k).alias("end"), m.alias("m"), F.get(x["pieces"], k).alias("before")))
+
+        return F.when(F.size(x["found"]) > 0, let(scanned(sizes, lambda a, b: a + b), one)).otherwise(F.array())
+
+    return let(both, all_of)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (xor-shift and multiply), in place where possible."""
     x = x ^ (x >> np.uint64(30))

@@ -122,20 +122,10 @@ def _labelled(at: Column, label: str) -> Column:
 
 def _hits(norm: Column, active: Column) -> Column:
     """struct(start, end, label, priority, confidence, rule) of all matches of the active rules, in code points."""
-    each = F.filter(F.transform(active, lambda r: F.struct(r.alias("r"), F.regexp_extract_all(norm, r["pattern"], F.lit(0)).alias("m"), F.split(norm, r["pattern"]).alias("p"))), lambda x: F.size(x["m"]) > 0)
+    def spans(r: Column) -> Column:
+        return F.transform(common.matches(norm, r["pattern"]), lambda x: F.struct(x["start"], x["end"], r["label"], r["priority"], r["confidence"], r["rule"]))
 
-    def spans(x: Column) -> Column:
-        def total(parts: Column) -> Column:
-            return F.aggregate(parts, F.lit(0), lambda a, y: a + F.length(y))
-
-        def one(m: Column, k: Column) -> Column:
-            start = total(F.slice(x["p"], F.lit(1), k + 1)) + total(F.slice(x["m"], F.lit(1), k))
-            r = x["r"]
-            return F.struct(start.alias("start"), (start + F.length(m)).alias("end"), r["label"].alias("label"), r["priority"].alias("priority"), r["confidence"].alias("confidence"), r["rule"].alias("rule"))
-
-        return F.transform(x["m"], one)
-
-    return F.flatten(F.transform(each, spans))
+    return F.flatten(F.transform(active, spans))
 
 
 def _beats(g: Column, h: Column) -> Column:
@@ -145,6 +135,34 @@ def _beats(g: Column, h: Column) -> Column:
     return (g["start"] <= h["start"]) & (g["end"] >= h["end"]) & first
 
 
+def _suppressed(hits: Column) -> Column:
+    """The hits without those that another one beats.
+
+    Sorted by start, then the longer, the higher priority and the earlier rule first, a hit is only beaten by earlier
+    ones that start no further back than the longest hit reaches; their number is where the search begins.
+    """
+    def order(h: Column) -> Column:
+        return F.struct(h["start"].alias("a"), (-h["end"]).alias("b"), (-h["priority"]).alias("c"), h["rule"].alias("d"), h.alias("h"))
+
+    def judged(h: Column) -> Column:
+        longest = F.array_max(F.transform(h, lambda x: x["end"] - x["start"]))
+        marks = F.array_sort(F.concat(
+            F.transform(h, lambda x: F.struct(x["start"].alias("at"), F.lit(1).alias("hit"))),
+            F.transform(h, lambda x: F.struct((x["start"] - longest).alias("at"), F.lit(0).alias("hit")))))
+
+        def found(m: Column) -> Column:
+            counts = common.scanned(F.transform(m, lambda x: x["hit"]), lambda a, b: a + b)
+            first = F.transform(F.filter(F.arrays_zip(m.alias("m"), counts.alias("n")), lambda x: x["m"]["hit"] == 0), lambda x: x["n"])
+            both = F.arrays_zip(h.alias("h"), first.alias("n"))
+            stays = F.filter(both, lambda x, i: ~F.exists(F.slice(h, x["n"] + 1, i - x["n"]), lambda g: _beats(g, x["h"])))
+            return F.transform(stays, lambda x: x["h"])
+
+        return common.let(marks, found)
+
+    ordered = F.transform(F.array_sort(F.transform(hits, order)), lambda x: x["h"])
+    return F.when(F.size(hits) > 1, common.let(ordered, judged)).otherwise(hits)
+
+
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds the struct `licence`: n_words, n_base, first_word, last_word, base_labels, labels, score, hits."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -156,7 +174,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     out = out.withColumns({"_norm": F.array_join("_w", " "), "_base": _base_places(F.col("_w"))})
     out = out.withColumn("_active", F.when(F.col("_norm") != "", F.filter(table, lambda r: F.contains(F.col("_norm"), r["keyword"]))).otherwise(F.filter(table, lambda r: F.lit(False))))
     out = out.withColumn("_hits", _hits(F.col("_norm"), F.col("_active")))
-    out = out.withColumn("_hits", F.filter("_hits", lambda h: ~F.exists("_hits", lambda g: _beats(g, h))))
+    out = out.withColumn("_hits", _suppressed(F.col("_hits")))
     starts = F.transform("_base", lambda x: x["start"])
     base = F.transform("_base", lambda x: x["label"])
     licence = F.struct(

@@ -55,23 +55,6 @@ ROUNDS, RATE, PRECISION = 16, 0.4, 0.95
 CANDIDATE = "array<struct<start:int,kind:int,end:int,base:boolean,valid:boolean,digits:int,length:int,marks:int,context:int,mixed:int>>"
 
 
-def _matches(text: Column, pattern: str) -> Column:
-    """array of struct(start, end, m): leftmost matches that do not overlap."""
-    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern).alias("pieces"))
-
-    def total(parts: Column) -> Column:
-        return F.aggregate(parts, F.lit(0), lambda a, y: a + F.length(y))
-
-    def all_of(x: Column) -> Column:
-        def one(m: Column, k: Column) -> Column:
-            start = total(F.slice(x["pieces"], F.lit(1), k + 1)) + total(F.slice(x["found"], F.lit(1), k))
-            return F.struct(start.alias("start"), (start + F.length(m)).alias("end"), m.alias("m"))
-
-        return F.transform(x["found"], one)
-
-    return common.let(both, all_of)
-
-
 def _digits(m: Column) -> Column:
     return F.regexp_replace(m, "[^0-9]", "")
 
@@ -124,13 +107,13 @@ def _valid(kind: str, m: Column, before: Column) -> Column:
 def _described(text: Column, kind: str, pattern: str) -> Column:
     """Candidates of one kind with their binned features."""
     number = KINDS.index(kind)
-    at = _matches(text, pattern)
+    at = common.matches(text, pattern)
 
     def one(x: Column) -> Column:
         m = x["m"]
         n, digits = F.length(m), F.length(_digits(m))
         marks = F.length(F.regexp_replace(m, r"[^\x20().:=/@-]", ""))
-        before = F.substring(text, F.greatest(x["start"] - 23, F.lit(1)), F.least(x["start"], F.lit(24)))
+        before = F.right(x["before"], F.lit(24))
         context = before.rlike(CONTEXT) | m.rlike(r"(?i)^(?:password|passwd|pwd|secret|token|api|access)")
         valid = _valid(kind, m, before)
         return F.struct(
