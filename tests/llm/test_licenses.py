@@ -68,3 +68,45 @@ def test_names_without_the_keyword_of_another(spark):
     assert [tuple(r) for r in rows] == [("psf", 0.9), ("apache", 1.0), ("psf", 0.75), ("apache", 0.8)]
     ungated = [{r[1] for r in licenses.rules() if re.search(r[5], " ".join(WORD.findall(t.lower())))} for t in texts]
     assert [set(r["labels"].split(",")) for r in rows] == ungated
+
+
+def test_many_hits_in_one_text(spark):
+    import time
+
+    docs = spark.createDataFrame([(1, "mit license and gpl v2 text " * 20_000)], "doc_id long, text string")
+    start = time.time()
+    row = licenses.scan(docs).select("licence.n_base", "licence.labels", "licence.hits").first()
+    assert row["n_base"] == 20_000 and {"gpl", "mit"} <= set(row["labels"].split(",")) and len(row["hits"]) >= 40_000 and time.time() - start < 60
+
+
+BODY = {
+    "mit": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal.',
+    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted.\n* Redistributions of source code must retain the above copyright notice.",
+    "gpl": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published",
+    "lgpl": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License",
+    "apache": 'you may not use this file except in compliance with the License.\nYou may obtain a copy',
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+    "mpl": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "unlicense": "This is free and unencumbered software released into the public domain.",
+    "zlib": "The origin of this software must not be misrepresented; you must not claim",
+    "proprietary": "Unauthorized copying of this file, via any medium is strictly prohibited.",
+    "warranty-disclaimer": 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING',
+}
+
+
+def test_licence_bodies(spark):
+    plain = ["you can redistribute the seats", "a warranty of any kind is not free", "permission was granted to use the hall", "unauthorized persons are prohibited"]
+    docs = spark.createDataFrame(list(enumerate([*BODY.values(), *plain])), "doc_id long, text string")
+    rows = licenses.scan(docs).orderBy("doc_id").select("doc_id", *(f"licence.{c}" for c in COLUMNS[1:])).collect()
+    check(rows, docs)
+    for r, label in zip(rows, BODY, strict=False):
+        assert label in r["labels"].split(",") and r["score"] >= 0.7, label
+    assert all(r["labels"] == "" for r in rows[len(BODY) :])
+
+
+def test_bodies_imply_their_keywords():
+    gate = re.compile(licenses._GATE)
+    for _, _, _, keyword, body in licenses.BODIES:
+        least = re.sub(r"\(\?:[^)]*\)(?:\?|\{0,6\})", "", body)
+        least = re.sub(r"\(\?:([^|)]*)[^)]*\)", r"\1", least).replace("[sc]", "s").replace("s?", "s")
+        assert keyword in least and gate.search(least), body

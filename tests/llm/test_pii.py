@@ -72,7 +72,7 @@ def test_secrets_are_added(spark):
 
 
 def test_trees_follow_the_table():
-    table = [((4, 1, 2, 0, 1, 1), 90, 100), ((5, 1, 0, 1, 0, 0), 1, 100), ((8, 2, 2, 0, 0, 1), 100, 100)]
+    table = [((4, 1, 2, 0, 1, 1, 0), 90, 100), ((5, 1, 0, 1, 0, 0, 0), 1, 100), ((8, 2, 2, 0, 0, 1, 1), 100, 100)]
     trees, prior, threshold = pii.fit(table)
     assert pii.predict(trees, prior, table[2][0]) > pii.predict(trees, prior, table[1][0])
     assert pii.predict(trees, prior, table[1][0]) < threshold
@@ -103,7 +103,7 @@ def test_each_wide_kind_stays_among_decoys(spark):
 
 
 def test_all_positive_takes_all():
-    assert len(pii.chosen([((4, 1, 2, 0, 1, 1), 5, 5)])) == pii.CELLS and pii.chosen([((4, 1, 2, 0, 1, 1), 0, 5)]) == set()
+    assert len(pii.chosen([((4, 1, 2, 0, 1, 1, 0), 5, 5)])) == pii.CELLS and pii.chosen([((4, 1, 2, 0, 1, 1, 0), 0, 5)]) == set()
 
 
 def test_long_runs_are_whole_spans(spark):
@@ -119,3 +119,80 @@ def test_long_runs_are_whole_spans(spark):
         assert f"{kind}:5:{5 + len(m)}" in spans[i] and re.fullmatch(r"word \[[A-Z]+\] end", redacted[i]), (kind, redacted[i])
     found = pii.candidates(spark.createDataFrame([("12-" * 40 + "1 x",)], "text string")).selectExpr("inline(_found)").where("kind = 5").collect()
     assert [(r["start"], r["end"]) for r in found] == [(0, 121)]
+
+
+def valid(kind, m, before):
+    d = re.sub("[^0-9]", "", m)
+    if kind == "secret":
+        return bool(re.search("[=:].*[0-9]", m) or (re.search(r"[=:]\x20?[^=:]+[A-Z]", m) and re.search("[=:].*[a-z]", m)) or re.match(r"""[^=:]*(?:=|:\x20?["'])""", m))
+    if kind == "number":
+        return 7 <= len(d) <= 15 and bool(re.search(pii._CALL, before))
+    if kind == "contact":
+        return not re.search(r"\x20\.|\.\x20", m) and bool(re.search(r"(?i)[^a-z0-9-][a-z]{2,24}$", m))
+    if kind == "account":
+        a = m.replace(" ", "")
+        turned = "".join(str(int(c, 36)) for c in a[4:] + a[:4])
+        return a[:2] in dict((c, n) for n, all_of in pii.IBAN.items() for c in all_of.split("|")) and {c: n for n, all_of in pii.IBAN.items() for c in all_of.split("|")}[a[:2]] == len(a) and int(turned) % 97 == 1
+    if kind == "key":
+        return bool(re.search("[0-9]", m) and re.search("[a-f]", m))
+    return {"ip": all(int(p) <= 255 for p in m.split(".")) if kind == "ip" else 0, "card": 14 <= len(d) <= 19 and luhn(d), "phone": 10 <= len(d) <= 15}.get(kind, True)
+
+
+def brute_candidates(text):
+    """(start, kind, end, valid, features) of every candidate, one match after the other."""
+    import regex
+
+    out = []
+    for k, (kind, pattern) in enumerate(pii.BASE + pii.WIDE):
+        last = 0
+        for m in regex.finditer(pattern, text):
+            before = text[last : m.start()][-24:]
+            last, x = m.end(), m[0]
+            digits, n = len(re.sub("[^0-9]", "", x)), len(x)
+            marks = len(re.findall(r"[\x20().:=/@-]", x))
+            context = bool(re.search(pii.CONTEXT, before)) or bool(re.match(r"(?i)(?:password|passwd|pwd|secret|token|api|access)", x))
+            mixed = bool(re.search("[0-9]", x) and re.search("[A-Za-z]", x))
+            out.append((m.start(), k, m.end(), valid(kind, x, before), (k, sum(digits >= b for b in (8, 14, 20)), sum(n >= b for b in (12, 20, 32)), min(marks, 2), int(context), int(mixed))))
+    kinds = {c[1] for c in out if c[3]}
+    return [(*c[:4], (*c[4], int(bool(kinds - {c[1]})))) for c in sorted(out)]
+
+
+def test_added_spans_by_brute_force(spark, small):
+    """The cells' counts, the trees' scores and every span of every document, against a plain loop over all pairs."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    extra = [(10**6 + i, t) for i, t in enumerate(CASES + [x for v in PLANTED.values() for x in v] + DECOYS) if len(t) < 5000]
+    docs = docs.union(spark.createDataFrame(extra, docs.schema)).withColumn("text", docs["text"]).cache()
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    brute_of = {i: brute_candidates(t) for i, t in texts.items()}
+    first, second = pii.cells(pii.candidates(docs))
+    want = Counter()
+    for found in brute_of.values():
+        for c in found:
+            y = c[3] or any(g[3] and g[0] < c[2] and c[0] < g[2] for g in found)
+            want[c[4]] += 1
+            want[c[4], "y"] += y
+    got = Counter()
+    for x, y, n in first + second:
+        got[x] += n
+        got[x, "y"] += y
+    assert +got == +want
+    trees, prior, threshold = pii.fit(first, second)
+    rows = pii.detect(docs).collect()
+    for r in rows:
+        spans = [f"{pii.KINDS[k]}:{s}:{e}" for s, k, e, ok, x in brute_of[r["doc_id"]] if ok or (k >= len(pii.BASE) and pii.predict(trees, prior, x) >= threshold)]
+        assert r["spans"] == ",".join(spans), r["doc_id"]
+    quality = pii.report(first, second)
+    assert sum(n * p for n, p, _ in quality.values()) >= 0.9 * sum(n for n, _, _ in quality.values())
+
+
+def test_many_matches_in_one_text(spark):
+    """A text of a megabyte with 80,000 matches takes seconds; redaction keeps what lies between."""
+    import time
+
+    text = "12345678 ab " * 80_000
+    docs = spark.createDataFrame([(1, text), (2, "mail a@b.cc " * 20_000), (3, "plain")], "doc_id long, text string")
+    start = time.time()
+    rows = {r["doc_id"]: r for r in pii.detect(docs).collect()}
+    assert rows[2]["n_email"] == 20_000 and rows[3]["spans"] == ""
+    out = {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}
+    assert out[2] == "mail [EMAIL] " * 20_000 and out[3] == "plain" and time.time() - start < 60

@@ -1,8 +1,7 @@
 """Licence scans: ordered signature rules behind a keyword prefilter, with priorities and containment suppression.
 
 Texts are read as words `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after A-Z is lower-cased, joined by single spaces.
-Four base phrases give places and base labels. A few hundred signature rules (families x phrasings below) then
-give hits with a priority; a hit inside another hit's interval goes if the other one has the higher priority, or
+Four base phrases give places and base labels. A few hundred signature rules then give hits with a priority; a hit inside another hit's interval goes if the other one has the higher priority, or
 the same priority and a longer interval, or the same interval and an earlier rule. What stays adds its labels.
 
 Defined results: a null text is empty: no words, no places, null first and last word, empty labels, score 0;
@@ -80,9 +79,40 @@ PHRASINGS = (
     ("(?:subject to|terms of) (?:the )?{name}", 5, 0.85), ("spdx licen[sc]e identifier {name}", 8, 1.0),
 )
 
+#: Sentences of licences' own texts and notices, as words; label, priority, confidence, keyword, expression.
+BODIES = (
+    ("mit", 80, 1.0, "permission is hereby granted", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", 76, 0.9, "substantial portions of the software", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("isc", 80, 1.0, "permission to use", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("boost", 80, 1.0, "permission is hereby granted", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation"),
+    ("bsd", 78, 1.0, "redistribution and use", "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd", 76, 0.9, "redistributions", "redistributions (?:of source code|in binary form) must (?:retain|reproduce) the above copyright notice"),
+    ("bsd", 76, 0.95, "endorse or promote", "neither the names? of .{1,80}?may be used to endorse or promote products derived from this software"),
+    ("apache", 80, 1.0, "in compliance with the license", "you may not use this (?:file|work) except in compliance with the licen[sc]e"),
+    ("apache", 78, 0.95, "governing permissions", "see the licen[sc]e for the specific language governing permissions and limitations under the licen[sc]e"),
+    ("gpl", 78, 1.0, "redistribute it", "you can redistribute it and or modify it under the terms of the gnu general public licen[sc]e"),
+    ("lgpl", 79, 1.0, "redistribute it", "you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public licen[sc]e"),
+    ("agpl", 79, 1.0, "redistribute it", "you can redistribute it and or modify it under the terms of the gnu affero general public licen[sc]e"),
+    ("gpl", 74, 0.9, "either version", "either version [123](?: 0)? of the licen[sc]e or at your option any later version"),
+    ("mpl", 80, 1.0, "mozilla", "this source code form is subject to the terms of the mozilla public licen[sc]e"),
+    ("epl", 78, 1.0, "eclipse", "made available under the terms of the eclipse public licen[sc]e"),
+    ("zlib", 80, 1.0, "origin of this software", "the origin of this software must not be misrepresented"),
+    ("zlib", 76, 0.9, "altered source versions", "altered source versions must be plainly marked as such"),
+    ("unlicense", 80, 1.0, "unencumbered", "this is free and unencumbered software released into the public domain"),
+    ("wtfpl", 80, 1.0, "do what the fuck you want to", "do what the fuck you want to(?: public licen[sc]e)?"),
+    ("cc0", 80, 1.0, "waived all copyright", "has waived all copyright and related or neighboring rights"),
+    ("cc-by", 72, 0.9, "creative commons attribution", "this work is licen[sc]ed under (?:a|the) creative commons attribution(?: [1-4] [05])? (?:international |generic |unported )?licen[sc]e"),
+    ("ofl", 80, 1.0, "this font software", "this font software is licen[sc]ed under the sil open font licen[sc]e"),
+    ("artistic", 78, 0.95, "artistic", "under the same terms as perl itself.{1,60}?artistic licen[sc]e"),
+    ("warranty-disclaimer", 45, 0.7, "without warranty of any kind", "the software is provided as is without warranty of any kind express or implied"),
+    ("warranty-disclaimer", 45, 0.7, "without any warranty", "(?:in the hope that it will be useful but )?without any warranty"),
+    ("proprietary", 60, 0.9, "confidential", "(?:this (?:document|file|software) is|contains) (?:the )?(?:proprietary and confidential|confidential and proprietary)"),
+    ("proprietary", 60, 0.9, "unauthorized", "unauthorized (?:copying|use|distribution|reproduction)(?: [a-z]+){0,6} is strictly prohibited"),
+)
+
 
 def rules() -> list[tuple[int, str, int, float, str, str]]:
-    """rule number, label, priority, confidence, keyword, regular expression: families x phrasings, in order."""
+    """rule number, label, priority, confidence, keyword, regular expression: families x phrasings, then bodies, in order."""
     out = []
     for label, priority, keyword, names, versions in FAMILIES:
         for phrasing, more, confidence in PHRASINGS:
@@ -92,11 +122,15 @@ def rules() -> list[tuple[int, str, int, float, str, str]]:
             for name in names:
                 body = phrasing.format(name=name, version=version)
                 out.append((len(out), label, priority + more, confidence, keyword, rf"(?<![^ ]){body}(?![^ ])"))
+    for label, priority, confidence, keyword, body in BODIES:
+        out.append((len(out), label, priority, confidence, keyword, rf"(?<![^ ]){body}(?![^ ])"))
     return out
 
 
 #: What every base phrase and every rule needs somewhere in the raw text.
 _GATE = rf"(?i)licen[sc]e|cc{_GAP}by|gpl|bsd{_GAP}|[234]{_GAP}clause|wtfpl|cc0|copyright|public{_GAP}domain|creative{_GAP}commons|all{_GAP}rights"
+_GATE += rf"|permission{_GAP}(?:is{_GAP}hereby|to{_GAP}use)|substantial{_GAP}portions|redistribut|endorse{_GAP}or{_GAP}promote|mozilla|eclipse|artistic|origin{_GAP}of{_GAP}this{_GAP}software"
+_GATE += rf"|altered{_GAP}source|unencumbered|fuck{_GAP}you{_GAP}want|waived{_GAP}all|font{_GAP}software|without{_GAP}(?:any{_GAP})?warranty|confidential|unauthorized"
 
 
 def _base_places(w: Column) -> Column:
@@ -145,21 +179,21 @@ def _suppressed(hits: Column) -> Column:
         return F.struct(h["start"].alias("a"), (-h["end"]).alias("b"), (-h["priority"]).alias("c"), h["rule"].alias("d"), h.alias("h"))
 
     def judged(h: Column) -> Column:
-        longest = F.array_max(F.transform(h, lambda x: x["end"] - x["start"]))
-        marks = F.array_sort(F.concat(
-            F.transform(h, lambda x: F.struct(x["start"].alias("at"), F.lit(1).alias("hit"))),
-            F.transform(h, lambda x: F.struct((x["start"] - longest).alias("at"), F.lit(0).alias("hit")))))
+        def with_longest(longest: Column) -> Column:
+            starts = F.transform(h, lambda x: F.struct(x["start"].alias("at"), F.lit(1).alias("hit")))
+            reach = F.transform(h, lambda x: F.struct((x["start"] - longest).alias("at"), F.lit(0).alias("hit")))
+            return common.let(F.sort_array(F.concat(starts, reach)), found)
 
         def found(m: Column) -> Column:
             counts = common.scanned(F.transform(m, lambda x: x["hit"]), lambda a, b: a + b)
             first = F.transform(F.filter(F.arrays_zip(m.alias("m"), counts.alias("n")), lambda x: x["m"]["hit"] == 0), lambda x: x["n"])
             both = F.arrays_zip(h.alias("h"), first.alias("n"))
-            stays = F.filter(both, lambda x, i: ~F.exists(F.slice(h, x["n"] + 1, i - x["n"]), lambda g: _beats(g, x["h"])))
+            stays = F.filter(both, lambda x, i: (x["n"] == i) | ~F.exists(F.sequence(x["n"], F.greatest(x["n"], i - 1)), lambda k: _beats(F.get(h, k), x["h"])))
             return F.transform(stays, lambda x: x["h"])
 
-        return common.let(marks, found)
+        return common.let(F.array_max(F.transform(h, lambda x: x["end"] - x["start"])), with_longest)
 
-    ordered = F.transform(F.array_sort(F.transform(hits, order)), lambda x: x["h"])
+    ordered = F.transform(F.sort_array(F.transform(hits, order)), lambda x: x["h"])
     return F.when(F.size(hits) > 1, common.let(ordered, judged)).otherwise(hits)
 
 

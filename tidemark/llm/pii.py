@@ -2,14 +2,17 @@
 
 Base kinds (email, ip, card, phone) are matched and validated as they stand; their spans always stay. Wider
 generators propose overlapping spans, each kind with its own validation (see _valid); what passes it stays too. Every
-candidate is put in a cell of binned features. The cells' counts over all documents are one aggregate of at most CELLS
-rows, on which gradient-boosted trees are fitted on the driver to weak labels (is it validated, or does it overlap a
-validated span). The trees go back as CASE expressions and add candidates that fail their validation; the threshold is
-the lowest at which the chosen cells reach PRECISION, and none is needed where all candidates are positive. All work on
-rows is in built-in expressions.
+candidate is put in a cell of binned features, among them whether its document holds validated spans of other kinds.
+The cells' counts over all documents are one aggregate of at most 2 CELLS rows: a hash of the text deals documents
+into two halves. Gradient-boosted trees are fitted on the driver to weak labels of the first half (is it validated, or
+does it overlap a validated span); the threshold is the lowest at which the chosen cells of the second, held-out half
+reach PRECISION, and none is needed where all candidates are positive. The trees go back as CASE expressions and add
+candidates that fail their validation. All work on rows is in built-in expressions, linear in a text but for a
+logarithm of its number of candidates.
 
 Defined results: a null text is empty and has no spans; offsets count code points, ends are exclusive; repeated
-rows are judged each; without candidates nothing is added; an empty table gives an empty result.
+rows and rows of a null doc_id are judged each; without candidates nothing is added; an empty table gives an empty
+result; other columns are left alone.
 """
 
 from __future__ import annotations
@@ -49,10 +52,11 @@ KINDS = [k for k, _ in BASE + WIDE]
 CONTEXT = r"(?i)(?:phone|tel|fax|mail|contact|card|visa|account|iban|ssn|password|passwd|secret|token|key|ip|address)[\x20:=\x22#.]{0,4}$"
 _CALL = r"(?i)(?:phone|(?<![a-z])(?:tel|telefon|tel[e\u00e9]fono|t[e\u00e9]l|fax|mobile|mobil|cell|handy|call))(?:\x20(?:number|no|nr))?[\x20:=\x22#.]{0,4}$"
 #: Features and how many values each has; their product bounds the training table.
-BINS = {"kind": len(KINDS), "digits": 4, "length": 4, "marks": 3, "context": 2, "mixed": 2}
+BINS = {"kind": len(KINDS), "digits": 4, "length": 4, "marks": 3, "context": 2, "mixed": 2, "company": 2}
 CELLS = math.prod(BINS.values())
 ROUNDS, RATE, PRECISION = 16, 0.4, 0.95
-CANDIDATE = "array<struct<start:int,kind:int,end:int,base:boolean,valid:boolean,digits:int,length:int,marks:int,context:int,mixed:int>>"
+#: Code points of the chunks in which a text is cut for redaction.
+WINDOW = 1024
 
 
 def _digits(m: Column) -> Column:
@@ -129,29 +133,50 @@ def _described(text: Column, kind: str, pattern: str) -> Column:
 
 
 def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds _found: every candidate of every kind. Kinds whose signs a text lacks are matched against nothing."""
+    """Adds _found: every candidate of every kind by start. Kinds whose signs a text lacks are matched against nothing."""
     t = F.coalesce(F.col(text), F.lit(""))
     none = F.lit("")
     signs = {"email": F.contains(t, F.lit("@")), "phone": F.contains(t, F.lit("+")), "contact": t.rlike(r"(?i)[(\[]at[)\]]"), "secret": t.rlike(r"(?i)(?:password|passwd|pwd|secret|token|key)\x20?[=:]")}
     any_digit = t.rlike("[0-9]")
     out = docs.withColumns({f"_t_{k}": F.when(signs.get(k, any_digit), t).otherwise(none) for k in KINDS})
-    return out.withColumn("_found", F.concat(*(_described(F.col(f"_t_{k}"), k, p) for k, p in BASE + WIDE))).drop(*(f"_t_{k}" for k in KINDS))
+    out = out.withColumn("_found", F.sort_array(F.concat(*(_described(F.col(f"_t_{k}"), k, p) for k, p in BASE + WIDE)))).drop(*(f"_t_{k}" for k in KINDS))
+    valid = F.array_distinct(F.transform(F.filter("_found", lambda c: c["valid"]), lambda c: c["kind"]))
+    company = common.let(valid, lambda v: F.transform("_found", lambda c: c.withField("company", (F.size(F.array_remove(v, c["kind"])) > 0).cast("int"))))
+    return out.withColumn("_found", F.when(F.size("_found") > 0, company).otherwise(F.transform("_found", lambda c: c.withField("company", F.lit(0)))))
 
 
-def cells(found: DataFrame) -> list[tuple[tuple[int, ...], int, int]]:
-    """(features, positives, candidates) of each cell: one pre-aggregated shuffle, at most CELLS rows."""
-    def near(c: Column) -> Column:
-        return F.exists("_found", lambda b: b["valid"] & (b["start"] < c["end"]) & (c["start"] < b["end"]))
+def _labelled(found: Column) -> Column:
+    """Adds y: is a candidate (of an array by start) validated, or does it overlap one that is."""
+    ends = F.transform(found, lambda c: F.when(c["valid"], c["end"]))
+    starts = F.reverse(F.transform(found, lambda c: F.when(c["valid"], c["start"])))
+    reach = F.struct(common.scanned(ends, F.greatest).alias("before"), common.scanned(starts, F.least).alias("after"))
 
-    labelled = F.transform("_found", lambda c: c.withField("y", (c["valid"] | near(c)).cast("int")))
-    rows = found.where(F.size("_found") > 0).select(F.inline(labelled)).groupBy(*BINS).agg(F.sum("y").alias("y"), F.count("*").alias("n")).collect()
-    return sorted((tuple(r[f] for f in BINS), r["y"], r["n"]) for r in rows)
+    def all_of(x: Column) -> Column:
+        def one(c: Column, i: Column) -> Column:
+            near = F.coalesce(F.get(x["before"], i - 1) > c["start"], F.lit(False)) | F.coalesce(F.get(x["after"], F.size(found) - i - 2) < c["end"], F.lit(False))
+            return c.withField("y", (c["valid"] | near).cast("int"))
 
+        return F.transform(found, one)
 
-def fit(table: list[tuple[tuple[int, ...], int, int]], rounds: int = ROUNDS) -> tuple[list, float, float]:
+    return common.let(reach, all_of)
+
+
+def cells(found: DataFrame, text: str = "text") -> tuple[list[tuple[tuple[int, ...], int, int]], list[tuple[tuple[int, ...], int, int]]]:
+    """(features, positives, candidates) of each cell, of either half of the documents: one pre-aggregated shuffle, at
+    most 2 CELLS rows."""
+    half = F.pmod(F.xxhash64(text), F.lit(2)).alias("half")
+    rows = found.where(F.size("_found") > 0).select(half, _labelled(F.col("_found")).alias("_y")).select("half", F.inline("_y")).groupBy("half", *BINS).agg(F.sum("y").alias("y"), F.count("*").alias("n")).collect()
+    first, second = (sorted((tuple(r[f] for f in BINS), r["y"], r["n"]) for r in rows if r["half"] == k) for k in (0, 1))
+    return first, second
+
+
+def fit(table: list[tuple[tuple[int, ...], int, int]], held: list[tuple[tuple[int, ...], int, int]] | None = None, rounds: int = ROUNDS) -> tuple[list, float, float]:
     """Trees of depth two ((f, at), (f, at, w, w), (f, at, w, w)), the prior log-odds and the threshold on the score.
 
-    There are no trees where all labels are equal: the threshold then takes nothing or, if all are positive, everything."""
+    held: the cells of the half that calibrates the threshold; where it has no candidate of a wide kind, or the other
+    half has none at all, both calibrate and fit. There are no trees where all labels are equal: the threshold then takes nothing or, if all are positive, everything."""
+    if held is None or not table or not any(x[0] >= len(BASE) for x, _, _ in held):
+        table = held = sorted([*table, *(held or [])])
     total, good = sum(n for _, _, n in table), sum(y for _, y, _ in table)
     if not good or good == total:
         return [], 0.0, -math.inf if good else math.inf
@@ -188,11 +213,11 @@ def fit(table: list[tuple[tuple[int, ...], int, int]], rounds: int = ROUNDS) ->
                 for i in part:
                     score[i] += w
         trees.append(tuple(tree))
-    threshold, held, right = math.inf, 0, 0
-    for s, y, n in sorted(((s, y, n) for s, (x, y, n) in zip(score, table, strict=True) if x[0] >= len(BASE)), reverse=True):
-        held, right = held + n, right + y
-        if right >= PRECISION * held:
-            threshold = s - 1e-9
+    threshold, count, right = math.inf, 0, 0
+    for x, y, n in sorted((r for r in held if r[0][0] >= len(BASE)), key=lambda r: -predict(trees, prior, r[0])):
+        count, right = count + n, right + y
+        if right >= PRECISION * count:
+            threshold = predict(trees, prior, x) - 1e-9
     return trees, prior, max(threshold, 0.0)
 
 
@@ -210,6 +235,18 @@ def chosen(table: list[tuple[tuple[int, ...], int, int]]) -> set[int]:
     return {n for n, x in enumerate(product(*(range(b) for b in BINS.values()))) if predict(trees, prior, x) >= threshold}
 
 
+def report(table: list[tuple[tuple[int, ...], int, int]], held: list[tuple[tuple[int, ...], int, int]]) -> dict[str, tuple[int, float, float]]:
+    """For each wide kind, the held-out candidates and the precision and recall of the trees alone on them."""
+    trees, prior, threshold = fit(table, held)
+    out = {}
+    for k, name in enumerate(KINDS):
+        rows = [(predict(trees, prior, x) >= threshold, y, n) for x, y, n in held if x[0] == k >= len(BASE)]
+        taken, right, good = sum(n for t, _, n in rows if t), sum(y for t, y, _ in rows if t), sum(y for _, y, _ in rows)
+        if rows:
+            out[name] = (sum(n for _, _, n in rows), right / taken if taken else 1.0, right / good if good else 1.0)
+    return out
+
+
 def score_expression(trees: list, prior: float, c: Column) -> Column:
     """The trees as nested CASE expressions over a candidate's features."""
     names = list(BINS)
@@ -223,14 +260,14 @@ def score_expression(trees: list, prior: float, c: Column) -> Column:
 def spans(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds _spans: struct(start, kind, end, base), the base spans and what the trees add, by start, then kind."""
     found = candidates(docs, text)
-    trees, prior, threshold = fit(cells(found))
+    trees, prior, threshold = fit(*cells(found, text))
 
     def keep(c: Column) -> Column:
         more = F.lit(threshold < 0) if math.isinf(threshold) else score_expression(trees, prior, c) >= threshold
         return c["valid"] | ((c["kind"] >= len(BASE)) & more)
 
     slim = F.transform(F.filter("_found", keep), lambda c: F.struct(c["start"], c["kind"], c["end"], c["base"]))
-    return found.withColumn("_spans", F.array_sort(slim)).drop("_found")
+    return found.withColumn("_spans", F.sort_array(slim)).drop("_found")
 
 
 def _written(spans_: Column) -> Column:
@@ -251,18 +288,33 @@ def _of(number: int):
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The documents with every span replaced by its kind in brackets; overlapping spans become one."""
+    """The documents with every span replaced by its kind in brackets; overlapping spans become one.
+
+    A span is written where it begins after all spans before it end. What stays of the text is taken from chunks of
+    WINDOW code points, so that its cost does not grow with its place.
+    """
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
     t = F.col(text)
 
-    def step(a: Column, x: Column) -> Column:
-        fresh = x["start"] >= a["at"]
-        more = F.concat(a["out"], F.substring(t, a["at"] + 1, x["start"] - a["at"]), F.get(names, x["kind"]))
-        return F.struct(F.greatest(a["at"], x["end"]).alias("at"), F.when(fresh, more).otherwise(a["out"]).alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    done = F.aggregate("_spans", start, step, lambda a: F.concat(a["out"], F.substring(t, a["at"] + 1, F.length(t))))
-    return spans(docs, text).withColumn(text, F.when(F.size("_spans") > 0, done).otherwise(t)).select(*docs.columns)
+    def between(chunks: Column, a: Column, b: Column) -> Column:
+        """Code points a to b (exclusive)."""
+        i, j = (F.floor(x / WINDOW).cast("int") for x in (a, b))
+        first, last = F.coalesce(F.get(chunks, i), F.lit("")), F.coalesce(F.get(chunks, j), F.lit(""))
+        inner = F.array_join(F.slice(chunks, i + 2, F.greatest(j - i - 1, F.lit(0))), "")
+        apart = F.concat(F.substring(first, a % WINDOW + 1, F.lit(WINDOW)), inner, F.substring(last, F.lit(1), b % WINDOW))
+        return F.when(i == j, F.substring(first, a % WINDOW + 1, b - a)).otherwise(apart)
+
+    def rewritten(x: Column) -> Column:
+        def piece(c: Column, i: Column) -> Column:
+            at = F.coalesce(F.get(x["reach"], i - 1), F.lit(0))
+            return F.when(c["start"] >= at, F.concat(between(x["chunks"], at, c["start"]), F.get(names, c["kind"]))).otherwise(F.lit(""))
+
+        rest = between(x["chunks"], F.element_at(x["reach"], -1), F.length(t))
+        return F.concat(F.array_join(F.transform("_spans", piece), ""), rest)
+
+    reach = common.scanned(F.transform("_spans", lambda c: c["end"]), F.greatest)
+    both = F.struct(F.regexp_extract_all(t, F.lit(f"(?s).{{1,{WINDOW}}}"), F.lit(0)).alias("chunks"), reach.alias("reach"))
+    return spans(docs, text).withColumn(text, F.when(F.size("_spans") > 0, common.let(both, rewritten)).otherwise(t)).select(*docs.columns)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
