@@ -149,11 +149,11 @@ def _labelled(found: Column) -> Column:
     """Adds y: is a candidate (of an array by start) validated, or does it overlap one that is."""
     ends = F.transform(found, lambda c: F.when(c["valid"], c["end"]))
     starts = F.reverse(F.transform(found, lambda c: F.when(c["valid"], c["start"])))
-    reach = F.struct(common.scanned(ends, F.greatest).alias("before"), common.scanned(starts, F.least).alias("after"))
+    reach = F.struct(common.scanned(ends, F.greatest).alias("before"), common.scanned(starts, F.least).alias("after"), F.size(found).alias("n"))
 
     def all_of(x: Column) -> Column:
         def one(c: Column, i: Column) -> Column:
-            near = F.coalesce(F.get(x["before"], i - 1) > c["start"], F.lit(False)) | F.coalesce(F.get(x["after"], F.size(found) - i - 2) < c["end"], F.lit(False))
+            near = F.coalesce(F.get(x["before"], i - 1) > c["start"], F.lit(False)) | F.coalesce(F.get(x["after"], x["n"] - i - 2) < c["end"], F.lit(False))
             return c.withField("y", (c["valid"] | near).cast("int"))
 
         return F.transform(found, one)
@@ -165,7 +165,8 @@ def cells(found: DataFrame, text: str = "text") -> tuple[list[tuple[tuple[int, .
     """(features, positives, candidates) of each cell, of either half of the documents: one pre-aggregated shuffle, at
     most 2 CELLS rows."""
     half = F.pmod(F.xxhash64(text), F.lit(2)).alias("half")
-    rows = found.where(F.size("_found") > 0).select(half, _labelled(F.col("_found")).alias("_y")).select("half", F.inline("_y")).groupBy("half", *BINS).agg(F.sum("y").alias("y"), F.count("*").alias("n")).collect()
+    # an outer generator: of the other one the optimizer would infer a filter, and compute all candidates once more for it
+    rows = found.select(half, _labelled(F.col("_found")).alias("_y")).select("half", F.inline_outer("_y")).where("kind is not null").groupBy("half", *BINS).agg(F.sum("y").alias("y"), F.count("*").alias("n")).collect()
     first, second = (sorted((tuple(r[f] for f in BINS), r["y"], r["n"]) for r in rows if r["half"] == k) for k in (0, 1))
     return first, second
 
