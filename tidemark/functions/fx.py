@@ -65,6 +65,11 @@ def bar_hours(interval: Column) -> Column:
     return F.coalesce(table[interval], F.lit(5 / 60))
 
 
+#: The share of a session's 390 minutes that has bars, and the other vendor's periods.
+SESSION_MINUTES = 390 * 0.65
+PERIODS = {"1m": "7d", "5m": "60d", "15m": "60d", "1h": "730d", "1d": "max"}
+
+
 def lookback_days(interval: Column, n_bars: Column) -> Column:
     """Calendar days to ask for so that n bars of an interval are there, within the vendor's caps."""
     n = F.greatest(n_bars, F.lit(50))
@@ -72,12 +77,23 @@ def lookback_days(interval: Column, n_bars: Column) -> Column:
     return (
         F.when(interval == "1d", F.least(whole(n * 1.5) + 10, F.lit(10950)))
         .when(interval == "1h", F.least(whole(n / 6.5) + 30, F.lit(1825)))
-        .when(interval == "15m", F.least(whole(n / 26.0) + 15, F.lit(120)))
-        .when(interval == "1m", F.least(F.greatest(F.lit(5), whole(n / 253.5) + 3), F.lit(10)))
-        .otherwise(F.least(whole(n / 78.0) + 10, F.lit(70)))
+        .when(interval == "15m", F.least(whole(n * 15 / SESSION_MINUTES) + 10, F.lit(120)))
+        .when(interval == "5m", F.least(whole(n * 5 / SESSION_MINUTES) + 10, F.lit(70)))
+        .when(interval == "1m", F.least(F.greatest(F.lit(5), whole(n / SESSION_MINUTES) + 3), F.lit(10)))
+        .otherwise(F.lit(60))
     )
 
 
+def vendor_period(interval: Column) -> Column:
+    """The period to ask the other vendor for, as it writes it."""
+    table = F.create_map(*[F.lit(x) for kv in PERIODS.items() for x in kv])
+    return F.coalesce(table[interval], F.lit("60d"))
+
+
+def start_date(interval: Column, n_bars: Column, today: Column) -> Column:
+    return F.date_sub(today, lookback_days(interval, n_bars).cast("int"))
+
+
 def stop_rate(is_buy: Column, bid: Column, ask: Column, pct: Column, digits: Column) -> Column:
     p = F.greatest(pct / 100, F.lit(1e-11))
     raw, scale = F.when(is_buy, ask * (1 - p)).otherwise(bid * (1 + p)), F.pow(F.lit(10.0), F.greatest(digits, F.lit(1)))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import fx
+
 PAYLOAD = "struct<error:string,results:array<struct<t:bigint,o:double,h:double,l:double,c:double,v:double>>>"
 
 
@@ -83,5 +85,34 @@ def day_aligned(bars: DataFrame, a: str, b: str, least: int = 60) -> DataFrame:
     first = bars.where(F.col("symbol").isin(a, b)).withColumn("day", F.to_date("ts")).withColumn("_k", F.row_number().over(w)).where("_k = 1")
     one, two = (first.where(F.col("symbol") == s).select("day", F.ln("close").alias(n)) for s, n in ((a, "ly"), (b, "lx")))
     both = one.join(two, "day").where("ly IS NOT NULL AND lx IS NOT NULL")
-    enough = both.count() >= least
-    return both if enough else both.limit(0)
+    # one row a day at most
+    return both.withColumn("_n", F.count("*").over(Window.partitionBy(F.lit(0)))).where(F.col("_n") >= least).drop("_n")
+
+
+def load_universe(bars: DataFrame, daily: DataFrame, groups: DataFrame, presets: DataFrame, seed: DataFrame, macro: DataFrame, interval: str, n_bars: int = 1000, top: int = 100) -> dict[str, DataFrame]:
+    """What a run starts from: `top`, the ranked symbols, one a group; `etf_raw`, the last n bars of these and of the
+    presets' symbols, as far as the seed has them; `etf_top`, those of the ranked ones; `macro`, the last n bars of
+    each label's candidate; `macro_resolved`, the candidates; `settings`, one row with the interval, the period and n."""
+    n = max(50, n_bars)
+    ranked = rank_by_volume(daily, groups, top)
+    names = ranked.select("symbol").union(presets.select("sym_a")).union(presets.select("sym_b")).distinct().join(seed.select("symbol").distinct(), "symbol", "left_semi")
+    raw = last_bars(of_universe(bars, names), n)
+    chosen = macro_choice(bars, macro, max(50, min(500, n // 2)))
+    known = chosen.select("label", "symbol")
+    settings = bars.sparkSession.range(1).select(F.lit(interval).alias("bar_interval"), fx.vendor_period(F.lit(interval)).alias("bar_period"), F.lit(n).alias("n_bars"))
+    return {"top": ranked, "etf_raw": raw, "etf_top": of_universe(raw, ranked), "macro": last_bars(bars.join(known, "symbol"), n, "label"), "macro_resolved": known, "settings": settings}
+
+
+#: Series for which the vendor has no symbol, each with its note.
+PLACEHOLDERS = {
+    "spx_rr_35d_call_put_vol": "N/A — not on Yahoo Finance (use CBOE / prime broker options surface)",
+    "spx_rr_25d_call_put_vol": "N/A — not on Yahoo Finance",
+    "spx_rr_15d_call_put_vol": "N/A — not on Yahoo Finance",
+    "spx_rr_10d_call_put_vol": "N/A — not on Yahoo Finance",
+    "spx_rr_5d_call_put_vol": "N/A — not on Yahoo Finance",
+}
+
+
+def placeholder_status(spark: SparkSession) -> DataFrame:
+    """series, yahoo_symbol (null), note."""
+    return spark.createDataFrame([(k, None, v) for k, v in PLACEHOLDERS.items()], "series string, yahoo_symbol string, note string")

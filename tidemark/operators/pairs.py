@@ -23,11 +23,15 @@ def align(bars: DataFrame, groups: DataFrame | None = None, least: int = 30, wan
         side = side.join(groups, "symbol", "left").withColumn("g", F.coalesce("group_id", F.concat(F.lit("asset:"), "symbol"))).drop("group_id")
     else:
         side = side.withColumn("g", F.col("symbol"))
-    a, b = side.alias("a"), side.alias("b")
-    both = a.join(b, (F.col("a.ts") == F.col("b.ts")) & (F.col("a.symbol") < F.col("b.symbol")) & (F.col("a.g") != F.col("b.g")))
-    out = both.select(F.col("a.symbol").alias("y"), F.col("b.symbol").alias("x"), F.col("a.ts").alias("ts"), F.col("a.l").alias("ly"), F.col("b.l").alias("lx"))
-    if wanted is not None:
-        out = out.join(wanted, ["y", "x"], "left_semi")
+    if wanted is None:
+        a, b = side.alias("a"), side.alias("b")
+        both = a.join(b, (F.col("a.ts") == F.col("b.ts")) & (F.col("a.symbol") < F.col("b.symbol")) & (F.col("a.g") != F.col("b.g")))
+        out = both.select(F.col("a.symbol").alias("y"), F.col("b.symbol").alias("x"), F.col("a.ts").alias("ts"), F.col("a.l").alias("ly"), F.col("b.l").alias("lx"))
+    else:
+        # the wanted pairs first, so that only they are built
+        first = wanted.select("y", "x").where("y < x").distinct().join(side.select(F.col("symbol").alias("y"), "ts", F.col("l").alias("ly"), F.col("g").alias("gy")), "y")
+        both = first.join(side.select(F.col("symbol").alias("x"), "ts", F.col("l").alias("lx"), F.col("g").alias("gx")), ["x", "ts"])
+        out = both.where("gy <> gx").select("y", "x", "ts", "ly", "lx")
     return out.withColumn("_n", F.count("*").over(Window.partitionBy(*KEY))).where(F.col("_n") >= least).drop("_n")
 
 
@@ -140,3 +144,13 @@ def weekend_bands(spans: DataFrame, most: int = 160) -> DataFrame:
     k = F.ceil(weeks / most).cast("int")
     at = F.explode(F.transform(F.sequence(F.lit(0), (F.floor((weeks - 1) / k)).cast("int")), lambda i: F.date_add(F.col("first"), (i * k * 7).cast("int"))))
     return d.select("key", at.alias("band_start")).withColumn("band_end", F.date_add("band_start", 2))
+
+
+def key_of(y: Column, x: Column) -> Column:
+    return F.concat_ws("|", y, x)
+
+
+def find(pairs: DataFrame, key: str) -> DataFrame:
+    """The row of the pair named by its key `y|x`; none if it is not there."""
+    y, _, x = key.partition("|")
+    return pairs.where((F.col("y") == y) & (F.col("x") == x)).limit(1)

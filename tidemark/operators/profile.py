@@ -20,3 +20,16 @@ def refresh_progress(log: DataFrame) -> DataFrame:
     """done, total from lines "Forecast a/b", and the last line that is not blank."""
     part = lambda k: F.max(F.regexp_extract("line", r"Forecast (\d+)/(\d+)", k).try_cast("int"))
     return log.agg(part(1).alias("done"), part(2).alias("total"), F.max_by("line", F.when(F.trim("line") != "", F.col("line_no"))).alias("last_line"))
+
+
+def manifest(tables: dict[str, DataFrame | None], at: dict[str, str]) -> DataFrame:
+    """name, n_rows, n_columns, first, last, error of each table; a table that is not there has an error alone."""
+    out = None
+    for name, df in tables.items():
+        if df is None:
+            nothing = next(d for d in tables.values() if d is not None).limit(0).agg(F.count("*").alias("_n"))
+            row = nothing.select(F.lit(name).alias("name"), F.lit(None).cast("long").alias("n_rows"), F.lit(None).cast("int").alias("n_columns"), F.lit(None).cast("string").alias("first"), F.lit(None).cast("string").alias("last"), F.lit("missing").alias("error"))
+        else:
+            row = profile(df, name, at[name]).withColumn("error", F.lit(None).cast("string"))
+        out = row if out is None else out.unionByName(row)
+    return out

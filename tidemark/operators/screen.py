@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import files
 from . import bars as B
 from . import pairs as P
 from . import stats as S
@@ -32,13 +33,14 @@ def bind_legs(presets: DataFrame, ranked: DataFrame, groups: DataFrame, bars: Da
 
 def screen(bars: DataFrame, presets: DataFrame, ranked: DataFrame, groups: DataFrame, hours_per_bar: float, least: int = 30, p_limit: float = 0.05, half_life: tuple[float, float] = (0.5, 2.0)) -> DataFrame:
     """The table of screened presets: z over the full window, tests on the last SCREEN_BARS bars, passes first."""
-    bound = bind_legs(presets, ranked, groups, bars)
+    bound = files.kept(bind_legs(presets, ranked, groups, bars), "bound")  # one row a preset
     low, high = F.least("y", "x"), F.greatest("y", "x")
     wanted = bound.select(low.alias("y"), high.alias("x")).distinct()
     flat = P.align(bars, None, least, wanted)
     # both directions of a pair, so that each preset finds its own
     both = flat.unionByName(flat.select(F.col("x").alias("y"), F.col("y").alias("x"), "ts", F.col("lx").alias("ly"), F.col("ly").alias("lx")))
     both = both.join(bound.select("y", "x").union(bound.select(F.col("follow").alias("y"), F.col("lead").alias("x"))).distinct(), ["y", "x"], "left_semi")
+    both = files.kept(both, "legs")  # four statistics need it
     full = P.fit_stats(P.spreads(both)).select("y", "x", "z", "signal", "beta")
     last = both.withColumn("_k", F.row_number().over(Window.partitionBy("y", "x").orderBy(F.desc("ts")))).where(F.col("_k") <= SCREEN_BARS).drop("_k")
     recent = P.fit_stats(P.spreads(last)).select("y", "x", "half_life_bars")
@@ -58,6 +60,7 @@ def scan(bars: DataFrame, groups: DataFrame, days: int = 60, least: int = 1500,
     fitted = P.spreads(P.align(recent, groups, least))
     stats = P.fit_stats(fitted).where("NOT near_duplicate")
     left = fitted.join(stats.select("y", "x"), ["y", "x"], "left_semi")
-    tests = S.cointegration(left).where(F.col("pvalue") <= p_limit)
+    # both the episodes and the result need the tests: written once
+    tests = files.kept(S.cointegration(left).where(F.col("pvalue") <= p_limit), "tests")
     moves = P.episode_summary(P.episodes(left.join(tests.select("y", "x"), ["y", "x"], "left_semi"))).where((F.col("n_high") >= events) & (F.col("n_low") >= events))
     return stats.join(tests, ["y", "x"]).join(moves, ["y", "x"]).orderBy("pvalue", "y", "x").limit(n)

@@ -26,6 +26,11 @@ def close_basis(signals: DataFrame) -> DataFrame:
     return signals.where(F.lower("target_return_basis") == "close")
 
 
+def strong(signals: DataFrame) -> DataFrame:
+    """Signals of at least the strong accuracy, on a close basis."""
+    return close_basis(accurate(signals, STRONG))
+
+
 def for_display(signals: DataFrame, least: float = 0.60) -> DataFrame:
     kept = accurate(signals, least)
     known = [c for c in DISPLAY if c in kept.columns]

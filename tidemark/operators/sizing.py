@@ -14,32 +14,49 @@ def valid_quotes(quotes: DataFrame) -> DataFrame:
 
 
 def resolve_offers(orders: DataFrame, quotes: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
-    """Each order with its offer: an override first, then the pair's key; subscribed ones preferred, else an error."""
-    o = orders if overrides is None else orders.join(overrides, "primary_pair", "left")
-    symbol = F.coalesce(F.col("override"), F.col("primary_pair")) if overrides is not None else F.col("primary_pair")
-    found = o.withColumn("_key", fx.pair_key(symbol)).join(quotes.withColumn("_key", fx.pair_key(F.col("instrument"))), "_key", "left")
-    w = Window.partitionBy("order_id").orderBy((F.col("subscription_status") == "T").desc_nulls_last(), "offer_idx")
-    best = found.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k", "_key")
+    """Each order with its offer: that of an override (primary_pair, override) if there is one, else the pair's own.
+
+    The best offer of each key is chosen first, subscribed ones preferred, so that orders are only looked up.
+    """
+    w = Window.partitionBy("_key").orderBy((F.col("subscription_status") == "T").desc_nulls_last(), "offer_idx")
+    best = quotes.withColumn("_key", fx.pair_key(F.col("instrument"))).withColumn("_k", F.row_number().over(w)).where("_k = 1").select("_key", F.struct(*quotes.columns).alias("_offer"))
+    found = orders.withColumn("_key", fx.pair_key(F.col("primary_pair"))).join(best, "_key", "left")
+    if overrides is not None:
+        named = best.select(F.col("_key").alias("_other"), F.col("_offer").alias("_named"))
+        found = found.join(overrides, "primary_pair", "left").withColumn("_other", fx.pair_key(F.col("override"))).join(named, "_other", "left").withColumn("_offer", F.coalesce("_named", "_offer")).drop("_other", "_named")
+    out = found.select("*", "_offer.*").drop("_key", "_offer")
     status = F.when(F.col("instrument").isNull(), "no offer").when(F.col("subscription_status") != "T", "not subscribed")
-    return best.withColumn("status_error", status)
+    return out.withColumn("status_error", status)
 
 
 def conversions(quotes: DataFrame, hops: int = 6) -> DataFrame:
     """src, dst, hops, mult along the fewest quotes; among equal ones the path of the earliest quotes.
 
-    Edges run both ways at the mid of valid subscribed quotes; the currencies of a quote list bound the table.
+    Edges run both ways at the mid of valid subscribed quotes. A quote list is bounded by its currencies: its edges
+    are one array, and each source currency walks it hop by hop in one expression.
     """
     q = valid_quotes(quotes).where("subscription_status = 'T'").withColumn("p", fx.parse_pair(F.col("instrument"))).where("p IS NOT NULL")
     mid = (F.col("bid") + F.col("ask")) / 2
-    edges = q.select(F.col("p.base").alias("a"), F.col("p.quote").alias("b"), mid.alias("m"), (F.col("offer_idx") * 2).alias("e")).union(q.select("p.quote", "p.base", 1 / mid, F.col("offer_idx") * 2 + 1))
-    nodes = edges.select(F.col("a").alias("c")).distinct()
-    best = nodes.select(F.col("c").alias("src"), F.col("c").alias("dst"), F.lit(0).alias("hops"), F.lit(1.0).alias("mult"), F.array().cast("array<int>").alias("path"))
-    front = best
-    for _ in range(hops):
-        step = front.join(edges, front["dst"] == edges["a"]).select("src", F.col("b").alias("dst"), (F.col("hops") + 1).alias("hops"), (F.col("mult") * F.col("m")).alias("mult"), F.concat("path", F.array(F.col("e").cast("int"))).alias("path"))
-        new = step.join(best.select("src", "dst"), ["src", "dst"], "left_anti").groupBy("src", "dst").agg(F.min_by(F.struct("hops", "mult", "path"), F.col("path")).alias("s")).select("src", "dst", "s.*").persist()
-        best, front = best.union(new), new
-    return best.select("src", "dst", "hops", "mult")
+    there = F.struct(F.col("p.base").alias("a"), F.col("p.quote").alias("b"), mid.alias("m"), (F.col("offer_idx") * 2).cast("int").alias("e"))
+    back = F.struct(F.col("p.quote").alias("a"), F.col("p.base").alias("b"), (1 / mid).alias("m"), (F.col("offer_idx") * 2 + 1).cast("int").alias("e"))
+    edges = q.select(F.explode(F.array(there, back)).alias("edge")).agg(F.collect_list("edge").alias("edges"))
+    start = F.struct(F.col("src").alias("dst"), F.lit(0).alias("hops"), F.lit(1.0).alias("mult"), F.array().cast("array<int>").alias("path"))
+
+    def hop(s: Column, k: Column) -> Column:
+        def onward(f: Column) -> Column:
+            return F.transform(F.filter("edges", lambda e: e["a"] == f["dst"]), lambda e: F.struct(F.concat(f["path"], F.array(e["e"])).alias("path"), e["b"].alias("dst"), (f["mult"] * e["m"]).alias("mult")))
+
+        def added(c: Column) -> Column:
+            new = F.filter(c, lambda x, i: ~F.exists(s["best"], lambda b: b["dst"] == x["dst"]) & ~F.exists(F.slice(c, 1, i), lambda y: y["dst"] == x["dst"]))
+            new = F.transform(new, lambda x: F.struct(x["dst"], k.alias("hops"), x["mult"], x["path"]))
+            return F.struct(F.concat(s["best"], new).alias("best"), new.alias("front"))
+
+        steps = F.sort_array(F.flatten(F.transform(s["front"], onward)))
+        return F.get(F.transform(F.array(steps), added), F.lit(0))
+
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(hops)), F.struct(F.array(start).alias("best"), F.array(start).alias("front")), hop, lambda s: s["best"])
+    source = edges.select("edges", F.explode(F.array_distinct(F.transform("edges", lambda e: e["a"]))).alias("src"))
+    return source.select("src", F.explode(walked).alias("r")).select("src", "r.dst", "r.hops", "r.mult")
 
 
 def convert(amounts: DataFrame, rates: DataFrame) -> DataFrame:

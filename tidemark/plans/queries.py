@@ -132,13 +132,31 @@ def bars_payloads(spark, sf):
     return d.groupBy("symbol").agg(F.count("*").alias("n"), F.sum("close").alias("closes"), F.sum("volume").alias("volume"), F.date_format(F.min("ts"), "yyyy-MM-dd HH:mm").alias("first"))
 
 
-@query("SELECT e.event_type, event_id, i.interval, CASE i.interval WHEN '1d' THEN least(CAST(floor(n * 1.5) AS INT) + 10, 10950) WHEN '1h' THEN least(CAST(floor(n / 6.5) AS INT) + 30, 1825) WHEN '15m' THEN least(CAST(floor(n / 26.0) AS INT) + 15, 120) WHEN '1m' THEN least(greatest(5, CAST(floor(n / 253.5) AS INT) + 3), 10) ELSE least(CAST(floor(n / 78.0) AS INT) + 10, 70) END AS days, round(h, 6) AS hours FROM (SELECT *, greatest(event_id % 3000, 50) AS n FROM events) e CROSS JOIN (VALUES ('1m', 1 / 60.0), ('5m', 5 / 60.0), ('15m', 0.25), ('1h', 1.0), ('1d', 24.0), ('odd', 5 / 60.0)) AS i(interval, h) WHERE (event_id % 6) = (CASE i.interval WHEN '1m' THEN 0 WHEN '5m' THEN 1 WHEN '15m' THEN 2 WHEN '1h' THEN 3 WHEN '1d' THEN 4 ELSE 5 END)")
+@query("SELECT e.event_type, event_id, i.interval, CASE i.interval WHEN '1d' THEN least(CAST(floor(n * 1.5) AS INT) + 10, 10950) WHEN '1h' THEN least(CAST(floor(n / 6.5) AS INT) + 30, 1825) WHEN '15m' THEN least(CAST(floor(n * 15 / 253.5) AS INT) + 10, 120) WHEN '5m' THEN least(CAST(floor(n * 5 / 253.5) AS INT) + 10, 70) WHEN '1m' THEN least(greatest(5, CAST(floor(n / 253.5) AS INT) + 3), 10) ELSE 60 END AS days, round(h, 6) AS hours FROM (SELECT *, greatest(event_id % 3000, 50) AS n FROM events) e CROSS JOIN (VALUES ('1m', 1 / 60.0), ('5m', 5 / 60.0), ('15m', 0.25), ('1h', 1.0), ('1d', 24.0), ('odd', 5 / 60.0)) AS i(interval, h) WHERE (event_id % 6) = (CASE i.interval WHEN '1m' THEN 0 WHEN '5m' THEN 1 WHEN '15m' THEN 2 WHEN '1h' THEN 3 WHEN '1d' THEN 4 ELSE 5 END)")
 def bars_timeframes(spark, sf):
     names = F.array(*map(F.lit, ("1m", "5m", "15m", "1h", "1d", "odd")))
     e = spark.read.parquet(f"{sf}/events.parquet").select("event_type", "event_id", F.get(names, (F.col("event_id") % 6).cast("int")).alias("interval"))
     return e.withColumns({"days": fx.lookback_days(F.col("interval"), F.col("event_id") % 3000).cast("int"), "hours": F.round(fx.bar_hours(F.col("interval")), 6)})
 
 
+@query("SELECT event_id, i.interval, i.period, strftime(CAST(ts AS DATE) - CAST(CASE i.interval WHEN '1d' THEN least(CAST(floor(n * 1.5) AS INT) + 10, 10950) WHEN '15m' THEN least(CAST(floor(n * 15 / 253.5) AS INT) + 10, 120) ELSE 60 END AS INT), '%Y-%m-%d') AS start FROM (SELECT *, greatest(event_id % 3000, 50) AS n FROM events) e JOIN (VALUES (0, '1d', 'max'), (1, '15m', '60d'), (2, 'odd', '60d')) AS i(k, interval, period) ON e.event_id % 3 = i.k")
+def bars_periods(spark, sf):
+    """For each event as a request: the vendor's period and the first day to ask for."""
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    name = F.get(F.array(*map(F.lit, ("1d", "15m", "odd"))), (F.col("event_id") % 3).cast("int"))
+    d = e.select("event_id", name.alias("interval"), fx.vendor_period(name).alias("period"), fx.start_date(name, F.col("event_id") % 3000, F.to_date("ts")).alias("start"))
+    return d.withColumn("start", F.date_format("start", "yyyy-MM-dd"))
+
+
+@query(f"WITH {BARS}, {ADV}, {TOP}, p AS ({PRESETS}), m AS ({MACRO}), u AS (SELECT DISTINCT symbol FROM (SELECT symbol FROM t UNION SELECT sym_a FROM p UNION SELECT sym_b FROM p) x WHERE symbol IN (SELECT p_brand FROM part)), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS k FROM w) q WHERE k <= 60), n AS (SELECT symbol, count(*) AS n, round(sum(close), 6) AS closes FROM b GROUP BY symbol), mc AS (SELECT label, symbol FROM (SELECT label, m.symbol, row_number() OVER (PARTITION BY label ORDER BY coalesce(c, 0) >= 50 DESC, CASE WHEN coalesce(c, 0) >= 50 THEN cand_idx END NULLS FIRST, coalesce(c, 0) DESC, cand_idx) AS k FROM m LEFT JOIN (SELECT symbol, count(*) AS c FROM w GROUP BY symbol) s ON s.symbol = m.symbol) x WHERE k = 1) SELECT 'etf_raw' AS part, n.symbol AS name, n, closes FROM n JOIN u ON u.symbol = n.symbol UNION ALL SELECT 'etf_top', n.symbol, n, closes FROM n JOIN u ON u.symbol = n.symbol JOIN t ON t.symbol = n.symbol UNION ALL SELECT 'macro', label, n, closes FROM mc JOIN n ON n.symbol = mc.symbol")
+def bars_load_universe(spark, sf):
+    """The bars that a run starts from, counted by part."""
+    seed = spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_brand").alias("symbol"))
+    parts = B.load_universe(weekly(spark, sf), daily(spark, sf), groups(spark, sf), spark.sql(PRESETS), seed, spark.sql(MACRO), "1d", 60)
+    counted = [parts[k].groupBy(F.lit(k).alias("part"), F.col(c).alias("name")).agg(F.count("*").alias("n"), F.round(F.sum("close"), 6).alias("closes")) for k, c in (("etf_raw", "symbol"), ("etf_top", "symbol"), ("macro", "label"))]
+    return counted[0].union(counted[1]).union(counted[2])
+
+
 @query(f"WITH {BARS} SELECT symbol, strftime(ts, '%Y-%m-%d') AS day, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS k FROM d) x WHERE k <= 5")
 def profile_ohlc_tail(spark, sf):
     d = R.tail(daily(spark, sf), "symbol", "ts", 5, ("open", "high", "low", "close"))
@@ -151,6 +169,11 @@ def profile_tables(spark, sf):
     return R.profile(read("orders"), "orders", "o_orderkey").union(R.profile(read("customer"), "customer", "c_custkey"))
 
 
+@query("SELECT 'orders' AS name, count(*) AS n_rows, 6 AS n_columns, CAST(min(o_orderkey) AS VARCHAR) AS first, CAST(max(o_orderkey) AS VARCHAR) AS last, CAST(NULL AS VARCHAR) AS error FROM orders UNION ALL SELECT 'absent', NULL, NULL, NULL, NULL, 'missing'")
+def profile_manifest(spark, sf):
+    return R.manifest({"orders": spark.read.parquet(f"{sf}/orders.parquet"), "absent": None}, {"orders": "o_orderkey"})
+
+
 LOG = "SELECT event_id AS line_no, CASE WHEN event_id % 3 = 0 THEN concat('Forecast ', CAST(event_id AS VARCHAR(12)), '/', CAST(event_id + 10 AS VARCHAR(12)), ' done') WHEN event_id % 3 = 1 THEN '  ' ELSE concat('note ', event_type) END AS line FROM events"
 
 
@@ -206,6 +229,13 @@ def pairs_dickey_fuller(spark, sf):
     return T.dickey_fuller_lag0(fitted(spark, sf)).withColumn("df_t", F.round("df_t", 5))
 
 
+@query(f"WITH {BARS}, {PAIR} SELECT y, x, any_value(round(beta, 6)) AS beta, count(*) AS n FROM ft WHERE y = 'Brand#1' AND x = 'Brand#2' GROUP BY y, x")
+def pairs_find(spark, sf):
+    """One pair by its key."""
+    d = fitted(spark, sf).groupBy("y", "x").agg(F.round(F.first("beta"), 6).alias("beta"), F.count("*").alias("n"))
+    return P.find(d, "Brand#1|Brand#2")
+
+
 @query()
 def pairs_cointegration(spark, sf):
     return T.cointegration(P.align(weekly(spark, sf), groups(spark, sf), 20))
@@ -254,6 +284,11 @@ ALL = "ok AS (SELECT * FROM cl WHERE side IS NOT NULL)"
 GOOD = "ok AS (SELECT * FROM cl WHERE side IS NOT NULL AND avg_oos_accuracy >= 0.55)"
 
 
+@query(f"WITH sg AS ({X.SIGNALS}) SELECT event_id, forecast_date, avg_oos_accuracy FROM sg WHERE avg_oos_accuracy >= 0.65 AND lower(target_return_basis) = 'close'")
+def signals_strong(spark, sf):
+    return S.strong(signals(spark, sf)).select("event_id", "forecast_date", "avg_oos_accuracy")
+
+
 @query(f"WITH {CLASSIFIED} SELECT event_id, primary_pair, forecast_date, side FROM cl")
 def signals_classified(spark, sf):
     return S.classified(signals(spark, sf)).select("event_id", "primary_pair", "forecast_date", "side")
@@ -362,6 +397,15 @@ def book_daily_check(spark, sf):
     return K.summary(history(spark, sf)).select("finished_at", "book", "actions", "n_positions", "n_errors")
 
 
+@query(f"{BOOK} SELECT concat(max(rk.forecast_date), 'T17:00:00') AS finished_at, (SELECT count(*) FROM bk WHERE forecast_date = (SELECT max(forecast_date) FROM rk)) AS n_book FROM rk")
+def source_current(spark, sf):
+    """The current payload, which each write replaces, read again."""
+    path, d = files.shared_path(spark, "current"), files.kept(history(spark, sf), "payloads")
+    K.write_current(d.where("finished_at < '2024-01-20'"), path)
+    K.write_current(d, path)
+    return K.read_history(spark, path).select("finished_at", F.coalesce(F.size("selected_book"), F.lit(0)).cast("long").alias("n_book"))
+
+
 @query()
 def book_report(spark, sf):
     return K.report(history(spark, sf))
@@ -372,6 +416,14 @@ def book_latest_section(spark, sf):
     return K.section(K.latest(history(spark, sf)), "selected_book").select("finished_at", "selection_rank", F.col("primary").alias("primary_pair"), "side")
 
 
+@query(f"WITH q AS ({X.QUOTES}), o AS (SELECT o_orderkey AS order_id, u.primary_pair, CASE u.primary_pair WHEN 'EUR/USD' THEN 'GBPUSD' WHEN 'USD/JPY' THEN 'XX/YY' WHEN 'GBP/JPY' THEN 'EUR/GBP' END AS override FROM orders JOIN ({X.PAIRS}) u ON o_orderkey % 10 = u.universe_idx) SELECT order_id, primary_pair, coalesce(n.offer_idx, q.offer_idx) AS offer_idx, CASE WHEN coalesce(n.offer_idx, q.offer_idx) IS NULL THEN 'no offer' WHEN coalesce(n.subscription_status, q.subscription_status) <> 'T' THEN 'not subscribed' END AS status_error FROM o LEFT JOIN q ON q.instrument = o.primary_pair LEFT JOIN q n ON replace(n.instrument, '/', '') = replace(o.override, '/', '')")
+def sizing_overrides(spark, sf):
+    """Offers under overrides: one that names another offer, one that names none (the pair's own stays), one for a pair without."""
+    o = X.sql(spark, sf, f"SELECT o_orderkey AS order_id, u.primary_pair FROM orders JOIN ({X.PAIRS}) u ON o_orderkey % 10 = u.universe_idx")
+    names = spark.createDataFrame([("EUR/USD", "GBPUSD"), ("USD/JPY", "XX/YY"), ("GBP/JPY", "EUR/GBP")], "primary_pair string, override string")
+    return Z.resolve_offers(o, spark.sql(X.QUOTES), names).select("order_id", "primary_pair", "offer_idx", "status_error")
+
+
 @query(f"WITH q AS ({X.QUOTES}), o AS (SELECT o_orderkey AS order_id, u.primary_pair FROM orders JOIN ({X.PAIRS}) u ON o_orderkey % 10 = u.universe_idx) SELECT order_id, primary_pair, offer_idx, CASE WHEN offer_idx IS NULL THEN 'no offer' WHEN subscription_status <> 'T' THEN 'not subscribed' END AS status_error FROM o LEFT JOIN q ON q.instrument = o.primary_pair")
 def sizing_offers(spark, sf):
     o = X.sql(spark, sf, f"SELECT o_orderkey AS order_id, u.primary_pair FROM orders JOIN ({X.PAIRS}) u ON o_orderkey % 10 = u.universe_idx")
@@ -399,7 +451,7 @@ EQUITY = f"eq AS (SELECT account_id, coalesce(CASE WHEN equity > 0 THEN equity E
 def sizing_conversions(spark, sf):
     """Balances of all accounts in US dollars, over the quotes' shortest paths."""
     a = Z.account_equity(X.sql(spark, sf, ACCOUNTS)).select("account_id", F.col("money").alias("src"), F.lit("USD").alias("dst"), F.col("equity_used").alias("amount"))
-    return Z.convert(a, F.broadcast(rates(spark))).select("account_id", "src", F.round("converted", 6).alias("converted"), "error")  # currencies squared
+    return Z.convert(a, rates(spark)).select("account_id", "src", F.round("converted", 6).alias("converted"), "error")  # currencies squared
 
 
 ORDERS = f"SELECT o_orderkey AS order_id, u.primary_pair, o_custkey AS account_id, o_orderkey % 2 = 0 AS is_buy, CASE WHEN o_orderkey % 5 = 0 THEN o_totalprice / 50000 END AS lots, 5.0 AS pct_equity, 10.0 AS leverage, 1.0 AS stop_loss_pct FROM orders JOIN ({X.PAIRS}) u ON o_orderkey % 10 = u.universe_idx"
@@ -408,7 +460,7 @@ INSTRUMENTS = "SELECT primary_pair AS instrument, CAST(1000.0 AS DOUBLE) AS base
 
 @query()
 def sizing_basket(spark, sf):
-    return Z.size_basket(X.sql(spark, sf, ORDERS), X.sql(spark, sf, ACCOUNTS), spark.sql(X.QUOTES), F.broadcast(rates(spark)), spark.sql(INSTRUMENTS))
+    return Z.size_basket(X.sql(spark, sf, ORDERS), X.sql(spark, sf, ACCOUNTS), spark.sql(X.QUOTES), rates(spark), spark.sql(INSTRUMENTS))
 
 
 @query("SELECT o_orderkey AS order_id, CASE WHEN o_totalprice / 50000 <= 0 THEN 'no lots' WHEN floor(o_totalprice / 50000 + 1e-9) < 1 THEN 'below one step' END AS error, CASE WHEN floor(o_totalprice / 50000 + 1e-9) >= 1 THEN least(greatest(floor(least(o_totalprice / 50000, 100) + 1e-9), 2) * 1000, 5000.0) END AS amount, round(least(greatest(round_even(o_totalprice * 5 / 100 * 10 / 100000, 0), 1.0), 3.0), 6) AS placeholder FROM orders")

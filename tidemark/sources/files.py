@@ -18,6 +18,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """Writes df to a new path of the shared folder and reads it back: computed once, and safe from lost executors."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def normal_bars(raw: DataFrame, symbol: str | None = None) -> DataFrame:
     """Lower-case names with _ for blanks; the ticker, or else the given symbol, as `symbol`."""
     out = raw.toDF(*(c.strip().lower().replace(" ", "_") for c in raw.columns)).withColumnsRenamed({"ticker": "symbol", "datetime": "ts", "date": "ts"})
