@@ -9,11 +9,11 @@ def brute(rows):
     v = {}
     for i, x in rows:
         if i is not None and x and all(y is not None and math.isfinite(y) for y in x):
-            v.setdefault(i, np.floor(64 * np.asarray(x, dtype=np.float64)).astype(np.int64))
+            v.setdefault(i, [int(y) for y in np.floor(64 * np.asarray(x, dtype=np.float64))])
     out = set()
     for q in v:
         if q % 20 == 0:
-            scores = sorted((-int(v[q] @ y), i) for i, y in v.items() if i != q and len(y) == len(v[q]))[:20]
+            scores = sorted((-min(sum(a * b for a, b in zip(v[q], y)), 2**63 - 1), i) for i, y in v.items() if i != q and len(y) == len(v[q]))[:20]
             out |= {(q, k, i, -s) for k, (s, i) in enumerate(scores, 1)}
     return out
 
@@ -44,3 +44,42 @@ def test_edges(spark):
     check(df)
     check(df, block_rows=2)
     assert topk.top_k(df.where("false")).count() == 0
+
+
+def test_large_components_score_exactly(spark):
+    rows = [(i, [1e7 + i / 64, -3.0, 1e7 - i / 64]) for i in range(60)] + [(100 + i, [2.0**25 + i, float(i)]) for i in range(40)] + [(200 + i, [2.0**40 + i]) for i in range(30)]
+    check(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), block_rows=16)
+
+
+def test_cover_tree_invariants():
+    rng = np.random.default_rng(3)
+    x = np.concatenate((rng.normal(size=(300, 4)), rng.normal(size=(100, 4)) * 0.01 + 2, np.repeat(rng.normal(size=(1, 4)), 50, axis=0)))
+    seen = []
+
+    def walk(node):
+        apart = np.sqrt(((x[node.rows] - node.centre) ** 2).sum(axis=1))
+        assert np.isclose(apart.max(), node.radius) and node.radius <= 2.0**node.level * (1 + 1e-12) or node.radius == 0
+        if not node.children:
+            seen.extend(node.rows.tolist())
+            return
+        assert (node.children[0].centre == node.centre).all()
+        for i, a in enumerate(node.children):
+            assert a.level <= node.level - 1 or a.radius == 0
+            assert np.sqrt(((x[a.rows] - a.centre) ** 2).sum(axis=1)).max() <= 2.0 ** (node.level - 1)
+            assert all(np.sqrt(((a.centre - b.centre) ** 2).sum()) > 2.0 ** (node.level - 1) for b in node.children[:i])
+            walk(a)
+
+    walk(topk.Node(x, np.arange(len(x)), 0, None, 4))
+    assert sorted(seen) == list(range(len(x)))
+
+
+def test_cells_are_split_again(spark, monkeypatch):
+    monkeypatch.setattr(topk, "PIVOTS", 2)
+    monkeypatch.setattr(topk, "SUB_PIVOTS", 3)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(500, 6))
+    x[:150] = x[0]
+    df = spark.createDataFrame([(i, [float(y) for y in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    blocks = topk.placed(topk.quantised(df), 25).groupBy("block").count().collect()
+    assert max(r["count"] for r in blocks) <= 75 and len(blocks) > 8
+    check(df, block_rows=25)

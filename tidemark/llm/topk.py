@@ -1,14 +1,21 @@
 """Exact top-k by inner product with cover trees over data and queries, traversed together.
 
-Vectors are dealt into blocks of bounded size by their nearest pivot (the pivots are a bounded sample; they only
-place rows). Every block has a cover tree: nodes with a centre and a covering radius. A pair of a query node and a
-data node is left out when its largest possible product, c_q.c_d + r_q |c_d| + r_d |c_q| + r_q r_d, is below the
-worst kth score of the node's queries. Pairs of whole blocks are pruned first, by the blocks' roots and the kth
-scores that queries find in their own block; what is left is searched block by block and merged.
+Vectors are dealt into blocks of bounded size by their nearest pivot, round by round: a cell that is still too large
+gets pivots of its own, from a sample of its rows (pivots only place rows). Every block has a cover tree of its data
+and one of its queries: a node of level l holds rows within 2^l of its centre, a row; its children, of level l - 1,
+have centres more than 2^(l - 1) apart, the first one its own. A pair of a query node and a data node is left out when
+its largest possible product, c_q.c_d + r_q |c_d| + r_d |c_q| + r_q r_d, is below the worst kth score of the node's
+queries; the radii are the covering radii. Pairs of whole blocks are pruned first, by the blocks' roots and the kth
+scores that queries find in their own block, then single queries by the block's root; what is left is searched block by
+block and merged.
+
+Scores are whole numbers: products in doubles where no partial sum can reach 2^53, else in longs, else in unbounded
+integers, cut to the range of a long.
 
 Defined results: vectors that are null, empty, or hold null, NaN or infinite components take no part; nor do rows
-without a vec_id; vectors of different lengths do not meet; rows of one vec_id count once; ties go to the smaller
-vec_id; an empty table gives an empty result; other columns do not matter.
+without a vec_id; components and scores beyond a long become its largest or smallest value; vectors of different
+lengths do not meet; of rows of one vec_id the smallest vector counts; ties go to the smaller vec_id; an empty table
+gives an empty result; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -24,8 +31,10 @@ from pyspark.sql import functions as F
 from . import common
 
 K, EVERY, SCALE = 20, 20, 64
-BLOCK_ROWS, MAX_PIVOTS = 4096, 512
-LEAF, QUERY_LEAF, FAN = 256, 64, 12
+#: Rows of a block; pivots of the first round; pivots of a cell that is split again; rounds.
+BLOCK_ROWS, PIVOTS, SUB_PIVOTS, ROUNDS = 4096, 512, 16, 8
+LEAF, QUERY_LEAF = 256, 64
+LONG = np.iinfo(np.int64)
 VECTOR = "vec_id long, dim int, v binary"
 FOUND = "query_id long, vec_id long, score long"
 
@@ -39,88 +48,110 @@ def quantised(df: DataFrame) -> DataFrame:
                 if i is None or not x or any(y is None for y in x):
                     continue
                 scaled = np.floor(np.asarray(x, dtype=np.float64) * SCALE)
-                if np.isfinite(scaled).all():
+                if np.isfinite(np.asarray(x, dtype=np.float64)).all():
+                    # the largest double below 2^63 is 2^63 - 1024
+                    whole = np.where(scaled >= 2.0**63, LONG.max, np.clip(scaled, -(2.0**63), 2.0**63 - 1024).astype("<i8"))
                     ids.append(i)
                     dims.append(len(x))
-                    values.append(scaled.astype("<i8").tobytes())
+                    values.append(whole.astype("<i8").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(dims, pa.int32()), pa.array(values, pa.binary())], names=["vec_id", "dim", "v"])
 
-    return df.select("vec_id", "embedding").mapInArrow(run, VECTOR).dropDuplicates(["vec_id"])
+    rows = df.select("vec_id", "embedding").mapInArrow(run, VECTOR)
+    return rows.groupBy("vec_id").agg(F.min(F.struct("dim", "v")).alias("s")).select("vec_id", "s.dim", "s.v")
 
 
 def matrix(values, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(values), dtype="<i8").reshape(-1, dim).astype(np.float64)
+    return np.frombuffer(b"".join(values), dtype="<i8").reshape(-1, dim)
+
+
+def _most(x: np.ndarray) -> int:
+    """The largest absolute value."""
+    return max(abs(int(x.min())), abs(int(x.max()))) if x.size else 0
 
 
 class Node:
-    __slots__ = ("centre", "children", "norm", "radius", "rows")
-
-    def __init__(self, x: np.ndarray, rows: np.ndarray, leaf: int) -> None:
-        points = x[rows]
-        self.centre = points.mean(axis=0)
-        apart = np.sqrt(((points - self.centre) ** 2).sum(axis=1))
-        self.radius, self.norm = float(apart.max()), float(np.sqrt((self.centre**2).sum()))
-        self.rows, self.children = rows, []
+    """A node of a cover tree over the rows of x (doubles); see the module text for what holds of levels."""
+
+    def __init__(self, x: np.ndarray, rows: np.ndarray, centre: int, level: int | None, leaf: int) -> None:
+        apart = np.sqrt(((x[rows] - x[centre]) ** 2).sum(axis=1))
+        self.rows, self.centre, self.radius = rows, x[centre], float(apart.max())
+        self.norm = float(np.sqrt((self.centre**2).sum()))
+        self.children: list[Node] = []
+        top = int(np.ceil(np.log2(self.radius))) if self.radius > 0 else 0
+        # levels at which the node would have itself as its only child are passed over
+        self.level = top if level is None else min(level, top)
         if len(rows) <= leaf or self.radius == 0:
             return
-        # farthest-first centres; each point goes to its nearest one, and each child keeps its covering radius
-        nearest = np.full(len(rows), np.inf)
-        home = np.zeros(len(rows), dtype=np.int64)
-        pick = int(apart.argmax())
-        for k in range(FAN):
-            d = ((points - points[pick]) ** 2).sum(axis=1)
-            closer = d < nearest
-            nearest[closer], home[closer] = d[closer], k
+        least, nearest, home, centres = 2.0 ** (self.level - 1), apart, np.zeros(len(rows), dtype=np.int64), [centre]
+        while nearest.max() > least:
             pick = int(nearest.argmax())
-            if nearest[pick] <= (self.radius / 2) ** 2:
-                break
-        parts = [rows[home == k] for k in range(int(home.max()) + 1)]
-        parts = [p for p in parts if len(p)]
-        if len(parts) > 1:
-            self.children = [Node(x, p, leaf) for p in parts]
+            d = np.sqrt(((x[rows] - x[rows[pick]]) ** 2).sum(axis=1))
+            closer = d < nearest
+            nearest, home = np.where(closer, d, nearest), np.where(closer, len(centres), home)
+            centres.append(int(rows[pick]))
+        self.children = [Node(x, rows[home == k], c, self.level - 1, leaf) for k, c in enumerate(centres)]
+        self.centres = np.stack([c.centre for c in self.children])
+        self.radii, self.norms = (np.array([getattr(c, n) for c in self.children]) for n in ("radius", "norm"))
+
+
+def largest(c: np.ndarray, norm: float, radius: float, centres: np.ndarray, norms: np.ndarray, radii: np.ndarray) -> np.ndarray:
+    """The largest products of vectors around c with vectors around each of the centres, and a little more."""
+    room = radius * norms + radii * norm + radius * radii
+    return centres @ c + room + 1e-6 + 1e-9 * (norm * norms + room)
 
 
 class Search:
     """Queries against one block of data; kth: what each query has found elsewhere (a score that k others reach)."""
 
     def __init__(self, q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, kth: np.ndarray, k: int = K) -> None:
-        self.q_ids, self.q, self.k, self.kth = q_ids, q, k, kth.astype(np.float64).copy()
         order = np.argsort(ids, kind="stable")
-        self.ids, self.x = ids[order], x[order]
-        self.score = [np.empty(0)] * len(q)
+        self.q_ids, self.k, self.ids, x = q_ids, k, ids[order], x[order]
+        bound = _most(q) * _most(x) * x.shape[1]
+        kind = np.float64 if bound < 2**53 else np.int64 if bound < 2**63 else object
+        self.q, self.x = q.astype(kind), x.astype(kind)
+        self.kth = kth.astype(np.int64).copy()
+        self.score = [np.empty(0, dtype=np.int64)] * len(q)
         self.found = [np.empty(0, dtype=np.int64)] * len(q)
         if len(q) and len(ids):
-            self.walk(Node(q, np.arange(len(q)), QUERY_LEAF), Node(self.x, np.arange(len(ids)), LEAF))
-
-    def bound(self, a: Node, b: Node) -> float:
-        return float(a.centre @ b.centre) + a.radius * b.norm + b.radius * a.norm + a.radius * b.radius + 1e-6
+            a, b = q.astype(np.float64), x.astype(np.float64)
+            self.queries, self.data = Node(a, np.arange(len(q)), 0, None, QUERY_LEAF), Node(b, np.arange(len(ids)), 0, None, LEAF)
+            self.walk(self.queries, self.data)
 
     def walk(self, a: Node, b: Node) -> None:
         stack = [(a, b)]
         while stack:
             a, b = stack.pop()
-            if self.bound(a, b) < self.kth[a.rows].min():
+            worst = float(self.kth[a.rows].min())
+            if largest(a.centre, a.norm, a.radius, b.centre[None], np.array([b.norm]), np.array([b.radius]))[0] < worst:
                 continue
             if a.children and (not b.children or a.radius >= b.radius):
                 stack += [(c, b) for c in a.children]
             elif b.children:
-                best_last = sorted(b.children, key=lambda c: float(a.centre @ c.centre))
-                stack += [(a, c) for c in best_last]
+                near = np.flatnonzero(largest(a.centre, a.norm, a.radius, b.centres, b.norms, b.radii) >= worst)
+                near = near[np.argsort(b.centres[near] @ a.centre, kind="stable")]
+                # children without children meet the queries together, the best ones of the others are next
+                last = [b.children[c].rows if b.children[c].radius else np.sort(b.children[c].rows)[: self.k + 1] for c in near.tolist() if not b.children[c].children]
+                stack += [(a, b.children[c]) for c in near.tolist() if b.children[c].children]
+                if last:
+                    self.split(a, np.sort(np.concatenate(last)))
             else:
-                self.meet(a.rows, b)
+                # equal vectors: only the smallest ids and one for the query itself can matter
+                self.split(a, np.sort(b.rows)[: None if b.radius else self.k + 1])
 
-    def meet(self, rows: np.ndarray, b: Node) -> None:
-        at = np.sort(b.rows)
-        if b.radius == 0:
-            at = at[: self.k + 1]  # equal vectors: only the smallest ids and one for the query itself can matter
+    def split(self, a: Node, at: np.ndarray) -> None:
+        for k in range(0, len(a.rows), QUERY_LEAF):
+            self.meet(a.rows[k : k + QUERY_LEAF], at)
+
+    def meet(self, rows: np.ndarray, at: np.ndarray) -> None:
         score = self.q[rows] @ self.x[at].T
+        score = (np.clip(score, LONG.min, LONG.max) if score.dtype == object else score).astype(np.int64)
         hit = (score >= self.kth[rows][:, None]) & (self.ids[at] != self.q_ids[rows][:, None])
         for r in np.flatnonzero(hit.any(axis=1)).tolist():
             i, new = int(rows[r]), np.flatnonzero(hit[r])
             s = np.concatenate((self.score[i], score[r, new]))
             f = np.concatenate((self.found[i], self.ids[at[new]]))
             if len(s) > self.k:
-                best = np.lexsort((f, -s))[: self.k]
+                best = np.lexsort((f, ~s))[: self.k]  # ~s falls as s grows, and never leaves the longs
                 s, f = s[best], f[best]
             self.score[i], self.found[i] = s, f
             if len(s) == self.k:
@@ -128,99 +159,137 @@ class Search:
 
     def frame(self) -> pd.DataFrame:
         n = [len(s) for s in self.score]
-        return pd.DataFrame({"query_id": np.repeat(self.q_ids, n), "vec_id": np.concatenate([*self.found, np.empty(0, np.int64)]), "score": np.concatenate([*self.score, np.empty(0)]).astype(np.int64)})
+        none = np.empty(0, np.int64)
+        return pd.DataFrame({"query_id": np.repeat(self.q_ids, n), "vec_id": np.concatenate([*self.found, none]), "score": np.concatenate([*self.score, none])})
+
+
+def _nearest(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return (2 * x @ pivots.T - (pivots**2).sum(axis=1)).argmax(axis=1)
 
 
 def placed(vectors: DataFrame, block_rows: int) -> DataFrame:
-    """vectors with their block: the nearest of some pivots, split by a hash where a block would be too large."""
+    """vectors with their block: cells of nearest pivots, split again by pivots of their own while they are too large;
+    what no pivot splits (equal vectors) is split by a hash."""
     n = vectors.count()
-    want = min(MAX_PIVOTS, max(1, n // block_rows))
-    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(want).collect()  # at most MAX_PIVOTS rows
-    pivots: dict[int, np.ndarray] = {}
-    for d in {r["dim"] for r in sample}:
-        pivots[d] = matrix([r["v"] for r in sample if r["dim"] == d], d)
+    want = min(PIVOTS, max(1, n // block_rows))
+    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(want).collect()  # at most PIVOTS rows
+    pivots = {d: matrix([r["v"] for r in sample if r["dim"] == d], d).astype(np.float64) for d in {r["dim"] for r in sample}}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             dims = batch.column(1).to_numpy(zero_copy_only=False)
-            cell = np.zeros(len(dims), dtype=np.int32)
+            cell = np.zeros(len(dims), dtype=np.int64)
             for d in np.unique(dims).tolist():
-                p = pivots.get(d)
                 at = np.flatnonzero(dims == d)
-                if p is not None:
-                    x = matrix([batch.column(2)[i].as_py() for i in at.tolist()], d)
-                    cell[at] = (2 * x @ p.T - (p**2).sum(axis=1)).argmax(axis=1)
+                if d in pivots:
+                    cell[at] = _nearest(matrix([batch.column(2)[i].as_py() for i in at.tolist()], d).astype(np.float64), pivots[d])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], names=["vec_id", "dim", "v", "cell"])
 
-    cells = common.written(vectors.mapInArrow(run, VECTOR + ", cell int"), "cells")
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell, sub = batch.column(3).to_numpy().copy(), np.zeros(batch.num_rows, dtype=np.int32)
+            for i, (d, v, p) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(4).to_pylist(), strict=True)):
+                if p is not None:
+                    sub[i] = 1 + _nearest(matrix([v], d).astype(np.float64), matrix(p, d).astype(np.float64))[0]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(cell), pa.array(sub)], names=["vec_id", "dim", "v", "cell", "sub"])
+
+    cells = common.written(vectors.mapInArrow(first, VECTOR + ", cell long"), "cells")
     counts = cells.groupBy("dim", "cell").agg(F.count("*").alias("n"))
-    parts = F.ceil(F.col("n") / block_rows)
-    key = F.xxhash64("dim", "cell", F.pmod(F.xxhash64("vec_id"), parts))
-    return cells.join(F.broadcast(counts) if len(pivots) == 1 else counts, ["dim", "cell"]).select(key.alias("block"), "vec_id", "dim", "v")
+    for k in range(ROUNDS):
+        large = counts.where(F.col("n") > 2 * block_rows)
+        if large.isEmpty():
+            break
+        order = F.xxhash64("vec_id", F.lit(k))
+        some = cells.join(large, ["dim", "cell"]).where(F.pmod(order, F.greatest(F.lit(1), F.floor(F.col("n") / (4 * SUB_PIVOTS)))) == 0)
+        some = some.groupBy("dim", "cell").agg(F.slice(F.array_sort(F.collect_set("v")), 1, SUB_PIVOTS).alias("p"))
+        joined = cells.join(some, ["dim", "cell"], "left").select("vec_id", "dim", "v", "cell", "p").mapInArrow(again, VECTOR + ", cell long, sub int")
+        cells = common.written(joined.withColumn("cell", F.when(F.col("sub") > 0, F.xxhash64("cell", "sub", F.lit(k))).otherwise(F.col("cell"))).drop("sub"), "cells")
+        before, counts = large.agg(F.sum("n")).first()[0], cells.groupBy("dim", "cell").agg(F.count("*").alias("n"))
+        if (counts.where(F.col("n") > 2 * block_rows).agg(F.sum("n")).first()[0] or 0) >= 0.9 * before:
+            break
+    key = F.xxhash64("dim", "cell", F.pmod(F.xxhash64("vec_id"), F.ceil(F.col("n") / (2 * block_rows))))
+    return cells.join(counts, ["dim", "cell"]).select(key.alias("block"), "vec_id", "dim", "v")
 
 
 def is_query(ids: np.ndarray) -> np.ndarray:
     return ids % EVERY == 0
 
 
-def own_block(pdf: pd.DataFrame) -> Search:
-    ids, x = pdf["vec_id"].to_numpy(), matrix(pdf["v"], int(pdf["dim"].iloc[0]))
-    q = is_query(ids)
-    return Search(ids[q], x[q], ids, x, np.full(int(q.sum()), -np.inf))
-
+OWN = FOUND + ", block long, dim int, centre binary, radius double, q_centre binary, q_radius double, worst long"
 
-SUMMARY = "block long, dim int, centre binary, radius double, q_centre binary, q_radius double, worst double"
 
+def own_block(pdf: pd.DataFrame) -> pd.DataFrame:
+    """What a block's queries find in it, and one row (without query_id) on the roots of its two trees and the worst
+    kth score of its queries."""
+    dim = int(pdf["dim"].iloc[0])
+    ids, x = pdf["vec_id"].to_numpy(), matrix(pdf["v"], dim)
+    q = is_query(ids)
+    search = Search(ids[q], x[q], ids, x, np.full(int(q.sum()), LONG.min))
+    data = search.data if q.any() else Node(x.astype(np.float64), np.arange(len(ids)), 0, None, len(ids))
+    root = lambda n: (n.centre.astype("<f8").tobytes(), n.radius)
+    found = search.frame().astype(object)
+    more = (int(pdf["block"].iloc[0]), dim, *root(data), *(root(search.queries) if q.any() else (None, None)), int(search.kth.min()) if q.any() else None)
+    rows = [(*r, *[None] * 7) for r in found.itertuples(index=False)] + [(None, None, None, *more)]
+    out = pd.DataFrame(rows, columns=[f.split()[0] for f in OWN.split(", ")], dtype=object)
+    return out.astype({"query_id": "Int64", "vec_id": "Int64", "score": "Int64", "block": "Int64", "dim": "Int32", "radius": "Float64", "q_radius": "Float64", "worst": "Int64"})
 
-def summary(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The roots of a block's two trees and the worst kth score that its queries find in it."""
-    search = own_block(pdf)
-    ids, x = pdf["vec_id"].to_numpy(), matrix(pdf["v"], int(pdf["dim"].iloc[0]))
-
-    def root(points: np.ndarray) -> tuple[bytes, float]:
-        centre = points.mean(axis=0)
-        return centre.astype("<f8").tobytes(), float(np.sqrt(((points - centre) ** 2).sum(axis=1)).max())
 
-    q = is_query(ids)
-    none = (None, None)
-    row = (int(pdf["block"].iloc[0]), int(pdf["dim"].iloc[0]), *root(x), *(root(x[q]) if q.any() else none), float(search.kth.min()) if q.any() else None)
-    return pd.DataFrame([row], columns=[f.split()[0] for f in SUMMARY.split(", ")])
+def _centre(raw: bytes) -> tuple[np.ndarray, float]:
+    c = np.frombuffer(raw, dtype="<f8")
+    return c, float(np.sqrt(c @ c))
 
 
 def block_pairs(summaries: DataFrame) -> DataFrame:
-    """(block, other): data blocks that may hold better scores for the queries of `other`; bounds of the roots."""
+    """(block, other, centre, radius): data blocks that may hold better scores for the queries of `other`, by the
+    roots' bounds. Every pair of summaries is looked at, a few hundred bytes a block; salts deal them out."""
+    salts = common.partitions(summaries.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             c = {n: batch.column(k).to_pylist() for k, n in enumerate(batch.schema.names)}
             keep = []
             for k in range(batch.num_rows):
-                a, b = (np.frombuffer(c[n][k], dtype="<f8") for n in ("q_centre", "centre"))
-                top = a @ b + c["q_radius"][k] * np.sqrt(b @ b) + c["radius"][k] * np.sqrt(a @ a) + c["q_radius"][k] * c["radius"][k]
-                if top + 1e-6 >= c["worst"][k]:
+                (a, norm), (b, other) = _centre(c["q_centre"][k]), _centre(c["centre"][k])
+                if largest(a, norm, c["q_radius"][k], b[None], np.array([other]), np.array([c["radius"][k]]))[0] >= c["worst"][k]:
                     keep.append(k)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), batch.column(1).take(pa.array(keep, pa.int64()))], names=["block", "other"])
+            at = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(k).take(at) for k in range(4)], names=["block", "other", "centre", "radius"])
 
-    data = summaries.select("dim", "block", "centre", "radius")
-    asked = summaries.where("q_centre is not null").select("dim", F.col("block").alias("other"), "q_centre", "q_radius", "worst")
-    both = data.join(asked, "dim").where("block <> other")
-    return both.select("block", "other", "centre", "radius", "q_centre", "q_radius", "worst").mapInArrow(run, "block long, other long")
+    data = summaries.select("dim", "block", "centre", "radius", F.pmod(F.xxhash64("block"), F.lit(salts)).alias("salt"))
+    asked = summaries.where("q_centre is not null").select("dim", F.col("block").alias("other"), "q_centre", "q_radius", "worst", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
+    both = data.join(asked, ["dim", "salt"]).where("block <> other")
+    return both.select("block", "other", "centre", "radius", "q_centre", "q_radius", "worst").mapInArrow(run, "block long, other long, centre binary, radius double")
 
 
 def top_k(df: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: the K best for every row whose vec_id is divisible by EVERY."""
     rows = common.written(placed(common.written(quantised(df), "vectors"), block_rows), "blocks")
-    first = common.written(rows.groupBy("block").applyInPandas(lambda pdf: own_block(pdf).frame(), FOUND), "own_block")
-    pairs = block_pairs(rows.groupBy("block").applyInPandas(summary, SUMMARY))
+    own = common.written(rows.groupBy("block").applyInPandas(own_block, OWN), "own_block")
+    first = own.where("query_id is not null").select("query_id", "vec_id", "score")
+    pairs = block_pairs(own.where("query_id is null").drop("query_id", "vec_id", "score"))
     # a query's kth score in its own block, where it has K
     kth = first.groupBy("query_id").agg(F.min("score").alias("kth"), F.count("*").alias("n")).where(F.col("n") >= K).select("query_id", "kth")
     asked = rows.where(F.col("vec_id") % EVERY == 0).select(F.col("block").alias("other"), F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    asked = asked.join(kth, "query_id", "left").join(pairs, "other").select("block", "query_id", "q", "kth")
+    asked = asked.join(kth, "query_id", "left").withColumn("kth", F.coalesce("kth", F.lit(int(LONG.min)))).join(pairs, "other").select("block", "query_id", "q", "kth", "centre", "radius")
+
+    def hopeful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Only the queries for which the block's root leaves something better than their kth score."""
+        for batch in batches:
+            keep = []
+            for k, (q, kth, centre, radius) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(2, 6)), strict=True)):
+                v, (c, norm) = np.frombuffer(q, dtype="<i8").astype(np.float64), _centre(centre)
+                if largest(v, float(np.sqrt(v @ v)), 0.0, c[None], np.array([norm]), np.array([radius]))[0] >= kth:
+                    keep.append(k)
+            at = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(k).take(at) for k in range(4)], names=["block", "query_id", "q", "kth"])
+
+    asked = asked.mapInArrow(hopeful, "block long, query_id long, q binary, kth long")
 
     def others(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="int64")})
         dim = int(right["dim"].iloc[0])
-        return Search(left["query_id"].to_numpy(), matrix(left["q"], dim), right["vec_id"].to_numpy(), matrix(right["v"], dim), left["kth"].astype("float64").fillna(-np.inf).to_numpy()).frame()
+        return Search(left["query_id"].to_numpy(), matrix(left["q"], dim), right["vec_id"].to_numpy(), matrix(right["v"], dim), left["kth"].to_numpy(dtype=np.int64)).frame()
 
     more = asked.groupBy("block").cogroup(rows.groupBy("block")).applyInPandas(others, FOUND)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
