@@ -65,7 +65,7 @@ def test_cover_tree_invariants():
         assert (node.children[0].centre == node.centre).all()
         for i, a in enumerate(node.children):
             assert a.level <= node.level - 1 or a.radius == 0
-            assert np.sqrt(((x[a.rows] - a.centre) ** 2).sum(axis=1)).max() <= 2.0 ** (node.level - 1)
+            assert np.sqrt(((x[a.rows] - a.centre) ** 2).sum(axis=1)).max() <= 2.0 ** (node.level - 1) * (1 + 1e-6)
             assert all(np.sqrt(((a.centre - b.centre) ** 2).sum()) > 2.0 ** (node.level - 1) for b in node.children[:i])
             walk(a)
 

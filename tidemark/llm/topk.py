@@ -73,7 +73,8 @@ class Node:
     """A node of a cover tree over the rows of x (doubles); see the module text for what holds of levels."""
 
     def __init__(self, x: np.ndarray, rows: np.ndarray, centre: int, level: int | None, leaf: int) -> None:
-        apart = np.sqrt(((x[rows] - x[centre]) ** 2).sum(axis=1))
+        points = x[rows]
+        apart = np.sqrt(((points - x[centre]) ** 2).sum(axis=1))
         self.rows, self.centre, self.radius = rows, x[centre], float(apart.max())
         self.norm = float(np.sqrt((self.centre**2).sum()))
         self.children: list[Node] = []
@@ -82,12 +83,14 @@ class Node:
         self.level = top if level is None else min(level, top)
         if len(rows) <= leaf or self.radius == 0:
             return
-        least, nearest, home, centres = 2.0 ** (self.level - 1), apart, np.zeros(len(rows), dtype=np.int64), [centre]
-        while nearest.max() > least:
-            pick = int(nearest.argmax())
-            d = np.sqrt(((x[rows] - x[rows[pick]]) ** 2).sum(axis=1))
+        # squares from one product a centre; a hair is left for their rounding
+        square = (points**2).sum(axis=1)
+        least, nearest, home, centres = 4.0 ** (self.level - 1) * (1 + 1e-9), apart**2, np.zeros(len(rows), dtype=np.int64), [centre]
+        while nearest[pick := int(nearest.argmax())] > least:
+            d = square + (square[pick] - 2 * (points @ points[pick]))
+            d[pick] = 0
             closer = d < nearest
-            nearest, home = np.where(closer, d, nearest), np.where(closer, len(centres), home)
+            nearest[closer], home[closer] = d[closer], len(centres)
             centres.append(int(rows[pick]))
         self.children = [Node(x, rows[home == k], c, self.level - 1, leaf) for k, c in enumerate(centres)]
         self.centres = np.stack([c.centre for c in self.children])
