@@ -33,11 +33,11 @@ def shared_dir(spark: SparkSession) -> str:
 TABLES: list[str] = []
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     TABLES.append(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -30,6 +30,8 @@ from . import common, pretoken
 
 MODEL = "byte_bpe_50k.json"
 END_ID = 0
+#: Ranges of ids in which the tasks' counts are added up.
+COUNT_PARTS = 8
 BLOCK_DOCS = "part int, block int, nulls int, doc_ids binary, counts binary, n long, ids binary"
 FILE = "part int, block int, nulls int, doc_ids binary, counts binary, n long, control binary, data binary"
 
@@ -102,19 +104,24 @@ def _row(values: tuple, schema: str) -> pa.RecordBatch:
 
 
 def frequencies(encoded: DataFrame, size: int) -> list[tuple[int, int]]:
-    """(id, count) over all documents: pre-aggregated in each task, at most the vocabulary's size for the driver."""
-    kind = "<u2" if size <= 1 << 16 else "<u4"
+    """(id, count) over all documents: added up in each task, then by ranges of ids; at most the vocabulary's size for
+    the driver."""
+    kind, step = "<u2" if size <= 1 << 16 else "<u4", -(-size // COUNT_PARTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, dtype=np.int64)
         for batch in batches:
             for x in batch.column(0):
                 total += np.bincount(np.frombuffer(x.as_buffer(), dtype=kind), minlength=size)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["id", "n"])
+        if total.any():
+            yield pa.RecordBatch.from_arrays([pa.array(range(COUNT_PARTS), pa.int32()), pa.array([total[k * step : (k + 1) * step].tobytes() for k in range(COUNT_PARTS)], pa.binary())], names=["range", "counts"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x, dtype=np.int64) for x in table["counts"].to_pylist())
+        return pa.table([table["range"][:1], pa.array([total.tobytes()], pa.binary())], names=["range", "counts"])
 
-    counted = encoded.select("ids").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    return [(r["id"], r["n"]) for r in counted.collect()]
+    held = encoded.select("ids").mapInArrow(run, "range int, counts binary").groupBy("range").applyInArrow(add, "range int, counts binary").collect()
+    return [(r["range"] * step + i, n) for r in held for i, n in enumerate(np.frombuffer(r["counts"], dtype=np.int64).tolist()) if n]
 
 
 def ranking(counts: list[tuple[int, int]], size: int) -> np.ndarray:
@@ -130,7 +137,7 @@ def write(docs: DataFrame, path: str | None = None) -> str:
     path = path or public_tokenizers.path(MODEL)
     size = max(pretoken.vocabulary(path).size, END_ID + 1)
     kind = "<u2" if size <= 1 << 16 else "<u4"
-    encoded = common.written(blocks(docs, path), "token_blocks")
+    encoded = common.written(blocks(docs, path), "token_blocks", "snappy")
     counts = frequencies(encoded, size)
     by_rank = ranking(counts, size)
     rank = np.empty(size, dtype="<u4")
