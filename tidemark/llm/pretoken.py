@@ -2,7 +2,7 @@
 
 The pieces are those of the public pattern
 's|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+
-and every distinct piece is encoded once for each worker while it stays in a bounded store.
+and every distinct piece is encoded once for each worker while it stays in one of two bounded stores.
 """
 
 from __future__ import annotations
@@ -19,15 +19,17 @@ from . import common
 #: The code points that the pattern takes as white space.
 WHITE = (9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 OTHER, LETTER, NUMBER, SPACE = range(4)
-#: Pieces that a worker's store keeps before it starts anew.
-STORE = 400_000
-BATCH_CHARS = 1 << 20
+#: Pieces in each of a worker's two stores: about 200 bytes each; when the younger is full it becomes the older one.
+STORE = 500_000
+BATCH_CHARS = 1 << 21
 
 
 @cache
 def classes() -> np.ndarray:
-    kinds = {"L": LETTER, "N": NUMBER}
-    out = np.fromiter((kinds.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x110000)), dtype=np.uint8, count=0x110000)
+    first = "".join(map(unicodedata.category, map(chr, range(0x110000)))).encode()[::2]  # of the two letters of each
+    out = np.full(256, OTHER, dtype=np.uint8)
+    out[[ord("L"), ord("N")]] = LETTER, NUMBER
+    out = out[np.frombuffer(first, dtype=np.uint8)]
     out[list(WHITE)] = SPACE
     return out
 
@@ -121,7 +123,9 @@ class Encoder:
     """Encodes texts piece by piece; encode_new gives the ids (little-endian uint32 bytes) of pieces not in store."""
 
     def __init__(self, special: dict[str, int], encode_new: Callable[[list[str]], list[bytes]]) -> None:
-        self.special, self.encode_new, self.store = special, encode_new, {}
+        self.special, self.encode_new = special, encode_new
+        self.store: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _segments(self, text: str) -> list[tuple[str, int]]:
         """The text cut at special tokens: (text, -1) or ("", id)."""
@@ -186,11 +190,16 @@ class Encoder:
     def _look_up(self, words: list[str]) -> list[bytes]:
         """The ids of distinct pieces."""
         if len(self.store) > STORE:
-            self.store.clear()
+            self.store, self.older = {}, self.store
         found = list(map(self.store.get, words))
-        new = [w for w, x in zip(words, found, strict=True) if x is None]
-        if new:
-            fresh = dict(zip(new, self.encode_new(new), strict=True))
-            self.store |= fresh
-            found = [fresh[w] if x is None else x for w, x in zip(words, found, strict=True)]
+        missing = [k for k, x in enumerate(found) if x is None]
+        new = []
+        for k in missing:
+            x = found[k] = self.older.get(words[k])
+            if x is None:
+                new.append(k)
+            else:
+                self.store[words[k]] = x
+        for k, x in zip(new, self.encode_new([words[k] for k in new]) if new else [], strict=True):
+            found[k] = self.store[words[k]] = x
         return found

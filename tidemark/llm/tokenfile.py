@@ -24,7 +24,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from . import common, pretoken
 
@@ -45,6 +45,7 @@ def encoder(path: str) -> pretoken.Encoder:
     library = Tokenizer.from_file(path)
     library.no_truncation()
     library.no_padding()
+    library.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)  # it only gets pieces
 
     def encode_new(words: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in library.encode_batch_fast(words, add_special_tokens=False)]
