@@ -6,7 +6,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from tidemark.llm import bpe, pretoken
+from tidemark.llm import bpe, pretoken, tokenfile
 
 PATH = public_tokenizers.path(bpe.MODEL)
 LIBRARY = Tokenizer.from_file(PATH)
@@ -27,6 +27,18 @@ def test_odd_texts_as_the_library():
         assert x == LIBRARY.encode(t, add_special_tokens=False).ids, t
 
 
+def test_stores_of_few_pieces_take_turns(monkeypatch):
+    monkeypatch.setattr(pretoken, "STORE", 4)
+    for made in (bpe.encoder(PATH), tokenfile.encoder(PATH)):
+        enc = pretoken.Encoder(made.special, made.encode_new)
+        older = set()
+        for t in [*ODD, *ODD[::-1], "a b a b c d e f a b"]:
+            (got,) = enc.texts([t])
+            assert got.tolist() == LIBRARY.encode(t, add_special_tokens=False).ids, t
+            older.add(frozenset(enc.older))
+        assert len(older) > 2
+
+
 def test_random_texts_as_the_library():
     rng = random.Random(5)
     alphabet = "aest  '\n\t.,1ré漢<|>"
