@@ -346,8 +346,8 @@ hurt AS (
   FROM hashed WHERE d <> 0),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS k FROM hurt),
 marked AS (
-  SELECT *, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 AS again,
-    NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') AS open, substr(role, 1, 1) AS class, lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY k) AS before
+  SELECT *, NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 AS again,
+    NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') AS open, substr(role, 1, 1) AS class, lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY k) AS before
   FROM ranked),
 turns AS (SELECT *, blank OR again AS must, CASE WHEN open THEN 3 ELSE 0 END AS cut FROM marked),
 walk AS (
