@@ -5,10 +5,11 @@ A pair table has y, x, ts, ly, lx; pairs are found by an equi-join on ts with sy
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import quantiles as Q
+
 KEY = ("y", "x")
 
 
@@ -42,17 +43,20 @@ def spreads(pairs: DataFrame) -> DataFrame:
     return out.withColumn("spread", F.col("ly") - (F.col("alpha") + F.col("beta") * F.col("lx")))
 
 
-def fit_stats(fitted: DataFrame) -> DataFrame:
+def fit_stats(fitted: DataFrame, longest: int | None = None) -> DataFrame:
     """One row a pair: n, beta, half-life, bands, z-score, percentile and near-duplicate flag.
 
-    Half-life: rho without intercept on the demeaned spread; null unless n >= 10 and 0 < rho < 1.
+    Half-life: rho without intercept on the demeaned spread; null unless n >= 10 and 0 < rho < 1. longest: the rows of
+    the longest pair where known; beyond Q.HELD the bands come from counts.
     """
     w = Window.partitionBy(*KEY)
     d = fitted.withColumns({"mean": F.avg("spread").over(w), "last": F.max_by("spread", "ts").over(w), "gap": (F.unix_micros(F.col("ts").cast("timestamp")) - F.lag(F.unix_micros(F.col("ts").cast("timestamp"))).over(in_time())) / 3.6e9, "before": F.lag("spread").over(in_time())})
     z1, z2 = F.col("before") - F.col("mean"), F.col("spread") - F.col("mean")
     flat = F.abs(z1 - z2) <= 1e-8 + 1e-5 * F.abs(z2)
     s = F.col("spread")
-    p = F.percentile("spread", F.array(*(F.lit(q) for q in (0.1, 0.3, 0.5, 0.7, 0.9))))
+    qs = (0.1, 0.3, 0.5, 0.7, 0.9)
+    counted = longest is not None and longest > Q.HELD
+    p = F.first(F.lit(None).cast("array<double>")) if counted else F.percentile("spread", F.array(*(F.lit(q) for q in qs)))
     out = d.groupBy(*KEY).agg(
         F.count("*").alias("n"), F.first("alpha").alias("alpha"), F.first("beta").alias("beta"), F.first("last").alias("latest"),
         F.sum(z1 * z2).alias("z12"), F.sum(z1 * z1).alias("z11"), F.bool_and(flat).alias("flat"), F.median("gap").alias("gap_hours"),
@@ -60,6 +64,8 @@ def fit_stats(fitted: DataFrame) -> DataFrame:
         F.count_if(s < F.col("last")).alias("below"), F.count_if(s <= F.col("last")).alias("upto"),
         F.stddev_pop("ly").alias("sy"), F.stddev_pop("lx").alias("sx"), F.covar_pop("ly", "lx").alias("cov"),
     )
+    if counted:
+        out = out.drop("p").join(Q.exact(fitted, KEY, "spread", qs), list(KEY))
     rho = F.try_divide("z12", "z11")
     half = F.when((F.col("n") >= 10) & ~F.col("flat") & (rho > 0) & (rho < 1), -F.lit(0.6931471805599453) / F.ln(rho))
     r = F.try_divide(F.col("cov"), F.col("sy") * F.col("sx"))
@@ -76,38 +82,67 @@ def signal(z: Column, n: Column, sd: Column) -> Column:
     return F.when(n < 20, "Insufficient history for Z-score").when(sd < 1e-12, "Spread std ~ 0").when(z > 2, "Short Y / Long X").when(z < -2, "Long Y / Short X").otherwise("Neutral")
 
 
-def episodes(fitted: DataFrame, least: int = 20) -> DataFrame:
+def episodes(fitted: DataFrame, least: int = 20, span_days: int = 365, longest: int | None = None) -> DataFrame:
     """y, x, kind, start, stop, hours of completed excursions of the spread.
 
-    High: entered when the spread comes to p90 from below (or begins there), left at the first value at or under
-    p70. Rows are cut into segments after each exit; a segment's first entry and its closing row are an episode.
-    Low mirrors it with p10 and p30. Where the two bands are equal the rule is followed row by row.
+    High: entered when the spread comes to p90 from below (or begins there), left at the first later value at or under
+    p70. Low mirrors it with p10 and p30.
+
+    Each row is a function of the state (inside or not): it enters, leaves, does nothing or, where both bands are equal,
+    turns the state over. Functions compose, so the rows of a pair are cut into spans of time: each span is composed by
+    itself, spans are composed along the pair, and with its incoming state each span finds its own starts and stops.
+    Only those, and one row a span, meet in a pair's own task.
     """
-    w = Window.partitionBy(*KEY)
-    p = F.percentile("spread", F.array(*(F.lit(q) for q in (0.1, 0.3, 0.7, 0.9)))).over(w)
-    d = fitted.select(*KEY, "ts", "spread").withColumns({"p": p, "n": F.count("*").over(w), "before": F.lag("spread").over(in_time())}).where(F.col("n") >= least)
-    out = None
-    for kind, sign, outer, inner in (("high", 1, 3, 2), ("low", -1, 0, 1)):
-        v, out_at, in_at, prev = (F.col("spread") * sign, F.col("p")[outer] * sign, F.col("p")[inner] * sign, F.col("before") * sign)
-        e = d.withColumns({"enter": (v >= out_at) & (prev.isNull() | (prev < out_at)), "leave": v <= in_at, "apart": in_at < out_at})
-        clear = e.where("apart")
-        seg = F.coalesce(F.count_if("leave").over(in_time().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        found = clear.withColumn("seg", seg).groupBy(*KEY, "seg").agg(F.min(F.when(F.col("enter"), F.col("ts"))).alias("start"), F.max(F.when(F.col("leave"), F.col("ts"))).alias("stop")).where("start < stop").select(*KEY, "start", "stop")
-        tied = e.where("NOT apart").select(*KEY, "ts", "enter", "leave").groupBy(*KEY).applyInPandas(_row_by_row, "y string, x string, start timestamp, stop timestamp")
-        both = found.select(*KEY, F.col("start").cast("timestamp").alias("start"), F.col("stop").cast("timestamp").alias("stop")).unionByName(tied).select(*KEY, F.lit(kind).alias("kind"), "start", "stop")
-        out = both if out is None else out.unionByName(both)
-    return out.withColumn("hours", (F.unix_micros("stop") - F.unix_micros("start")) / 3.6e9)
-
-
-def _row_by_row(pdf: pd.DataFrame) -> pd.DataFrame:
-    rows, start = [], None
-    for r in pdf.sort_values("ts").itertuples(index=False):
-        if start is None and r.enter:
-            start = r.ts
-        elif start is not None and r.leave:
-            rows.append((r.y, r.x, start, r.ts))
-            start = None
-    return pd.DataFrame(rows, columns=["y", "x", "start", "stop"]).astype({"start": "datetime64[ns]", "stop": "datetime64[ns]"})
+    qs = (0.1, 0.3, 0.7, 0.9)
+    d = fitted.select(*KEY, "ts", "spread").withColumn("_at", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / (span_days * 86_400_000_000)))
+    bands = quantiles(d, qs, longest).where(F.col("n") >= least)
+    d = d.join(bands, list(KEY)).repartition(*KEY, "_at")
+    # negative values for the low side, so that both sides read alike
+    side = lambda kind, sign, outer, inner: F.struct(F.lit(kind).alias("kind"), (F.col("spread") * sign).alias("v"), (F.col("p")[outer] * sign).alias("outer"), (F.col("p")[inner] * sign).alias("inner"))
+    d = d.select(*KEY, "_at", "ts", F.inline(F.array(side("high", 1, 3, 2), side("low", -1, 0, 1))))
+    span, pair = [*KEY, "kind", "_at"], Window.partitionBy(*KEY, "kind").orderBy("_at")
+    along = Window.partitionBy(*span).orderBy("ts")
+    d = d.withColumn("prev", F.lag("v").over(along))
+    inside = F.col("prev").isNotNull()
+
+    def functions(enter: Column, leave: Column) -> tuple[Column, Column]:
+        """(turns: 1 if the state is turned over, to: the state if it is set, else null)"""
+        return (enter & leave).cast("int"), F.when(enter & ~leave, 1).when(leave & ~enter, 0)
+
+    turns, to = functions((F.col("v") >= F.col("outer")) & (F.col("prev") < F.col("outer")), F.col("v") <= F.col("inner"))
+    d = d.withColumns({"turns": F.when(inside, turns).otherwise(0), "to": F.when(inside, to)})
+    d = d.withColumn("turned", F.sum("turns").over(along))
+    # what a span sets the state to, with the turns up to there taken out again
+    base = F.when(F.col("to").isNotNull(), (F.col("to") + F.col("turned")) % 2)
+    spans = d.groupBy(*span).agg(F.max_by(base, F.when(base.isNotNull(), F.col("ts"))).alias("base"), F.sum("turns").alias("turned"), F.min_by("v", "ts").alias("first"), F.max_by("v", "ts").alias("last"), F.first("outer").alias("outer"), F.first("inner").alias("inner"))
+    spans = spans.withColumn("prior", F.lag("last").over(pair))
+    turns, to = functions((F.col("first") >= F.col("outer")) & (F.col("prior").isNull() | (F.col("prior") < F.col("outer"))), F.col("first") <= F.col("inner"))
+    # the first row, which looks at the span before, and then the rest
+    out = F.when(F.col("base").isNotNull(), F.col("base") + F.col("turned")).when(to.isNotNull(), to + F.col("turned")) % 2
+    spans = spans.withColumns({"sets": out, "flips": F.when(out.isNull(), F.col("turned") + turns).otherwise(0)}).withColumn("flipped", F.sum("flips").over(pair))
+    state = (F.coalesce(F.last(F.when(F.col("sets").isNotNull(), (F.col("sets") + F.col("flipped")) % 2), ignorenulls=True).over(pair), F.lit(0)) + F.col("flipped")) % 2
+    known = spans.withColumn("after", state).select(*span, "prior", F.coalesce(F.lag("after").over(pair), F.lit(0)).alias("incoming"))
+    d = d.select(*span, "ts", "v", "outer", "inner", "prev").join(known, span)
+    before = F.coalesce("prev", "prior")
+    enter, leave = (F.col("v") >= F.col("outer")) & (before.isNull() | (before < F.col("outer"))), F.col("v") <= F.col("inner")
+    turns, to = functions(enter, leave)
+    d = d.withColumns({"enter": enter, "leave": leave, "turned": F.sum(turns).over(along), "to": to})
+    base = F.when(F.col("to").isNotNull(), (F.col("to") + F.col("turned")) % 2)
+    d = d.withColumn("after", (F.coalesce(F.last(base, ignorenulls=True).over(along), F.col("incoming")) + F.col("turned")) % 2)
+    d = d.withColumn("was", F.coalesce(F.lag("after").over(along), F.col("incoming")))
+    events = d.where("(was = 0 AND enter) OR (was = 1 AND leave)").select(*KEY, "kind", F.col("ts").cast("timestamp").alias("stop"), "was")
+    events = events.withColumn("start", F.lag("stop").over(Window.partitionBy(*KEY, "kind").orderBy("stop"))).where("was = 1")
+    return events.select(*KEY, "kind", "start", "stop", ((F.unix_micros("stop") - F.unix_micros("start")) / 3.6e9).alias("hours"))
+
+
+def quantiles(fitted: DataFrame, qs: tuple[float, ...], longest: int | None = None) -> DataFrame:
+    """y, x, n, p of the spread. longest: the rows of the longest pair, counted if not given; beyond Q.HELD the values
+    are not held but counted."""
+    if longest is None:
+        longest = fitted.groupBy(*KEY).count().agg(F.max("count")).head()[0] or 0  # one number
+    if longest <= Q.HELD:
+        return fitted.groupBy(*KEY).agg(F.count("*").alias("n"), F.percentile("spread", F.array(*(F.lit(q) for q in qs))).alias("p"))
+    return fitted.groupBy(*KEY).agg(F.count("*").alias("n")).join(Q.exact(fitted, KEY, "spread", qs), list(KEY))
 
 
 def episode_summary(found: DataFrame) -> DataFrame:

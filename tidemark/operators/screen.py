@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources import files
 from . import bars as B
+from . import gram as G
 from . import pairs as P
 from . import stats as S
 
@@ -34,17 +35,14 @@ def bind_legs(presets: DataFrame, ranked: DataFrame, groups: DataFrame, bars: Da
 def screen(bars: DataFrame, presets: DataFrame, ranked: DataFrame, groups: DataFrame, hours_per_bar: float, least: int = 30, p_limit: float = 0.05, half_life: tuple[float, float] = (0.5, 2.0)) -> DataFrame:
     """The table of screened presets: z over the full window, tests on the last SCREEN_BARS bars, passes first."""
     bound = files.kept(bind_legs(presets, ranked, groups, bars), "bound")  # one row a preset
-    low, high = F.least("y", "x"), F.greatest("y", "x")
-    wanted = bound.select(low.alias("y"), high.alias("x")).distinct()
-    flat = P.align(bars, None, least, wanted)
     # both directions of a pair, so that each preset finds its own
-    both = flat.unionByName(flat.select(F.col("x").alias("y"), F.col("y").alias("x"), "ts", F.col("lx").alias("ly"), F.col("ly").alias("lx")))
-    both = both.join(bound.select("y", "x").union(bound.select(F.col("follow").alias("y"), F.col("lead").alias("x"))).distinct(), ["y", "x"], "left_semi")
+    wanted = bound.select("y", "x").union(bound.select(F.col("follow").alias("y"), F.col("lead").alias("x"))).where("y <> x").distinct()
+    both = G.rows_of(bars, wanted).withColumn("_n", F.count("*").over(Window.partitionBy("y", "x"))).where(F.col("_n") >= least).drop("_n")
     both = files.kept(both, "legs")  # four statistics need it
     full = P.fit_stats(P.spreads(both)).select("y", "x", "z", "signal", "beta")
     last = both.withColumn("_k", F.row_number().over(Window.partitionBy("y", "x").orderBy(F.desc("ts")))).where(F.col("_k") <= SCREEN_BARS).drop("_k")
     recent = P.fit_stats(P.spreads(last)).select("y", "x", "half_life_bars")
-    tests = S.cointegration(last).select("y", "x", "pvalue")
+    tests = S.cointegration(last, SCREEN_BARS).select("y", "x", "pvalue")
     lead = S.granger(P.returns(both, SCREEN_BARS)).select(F.col("y").alias("follow"), F.col("x").alias("lead"), "granger_p")
     days = F.col("half_life_bars") * hours_per_bar / 24
     out = bound.join(full, ["y", "x"]).join(recent, ["y", "x"], "left").join(tests, ["y", "x"], "left").join(lead, ["follow", "lead"], "left")
@@ -55,12 +53,12 @@ def screen(bars: DataFrame, presets: DataFrame, ranked: DataFrame, groups: DataF
 
 
 def scan(bars: DataFrame, groups: DataFrame, days: int = 60, least: int = 1500, p_limit: float = 0.05, n: int = 200, events: int = 3) -> DataFrame:
-    """The all-pairs scan: cheap gates first, the test on survivors, episodes last; ordered by p, then y, x."""
-    recent = B.at_least(B.last_days(bars, days), least)
-    fitted = P.spreads(P.align(recent, groups, least))
-    stats = P.fit_stats(fitted).where("NOT near_duplicate")
-    left = fitted.join(stats.select("y", "x"), ["y", "x"], "left_semi")
-    # both the episodes and the result need the tests: written once
-    tests = files.kept(S.cointegration(left).where(F.col("pvalue") <= p_limit), "tests")
-    moves = P.episode_summary(P.episodes(left.join(tests.select("y", "x"), ["y", "x"], "left_semi"))).where((F.col("n_high") >= events) & (F.col("n_low") >= events))
-    return stats.join(tests, ["y", "x"]).join(moves, ["y", "x"]).orderBy("pvalue", "y", "x").limit(n)
+    """The all-pairs scan: gates from Gram products before any pair row, the test on their survivors, episodes and
+    statistics on its own; ordered by p, then y, x."""
+    recent = files.kept(B.at_least(B.last_days(bars, days), least).select("symbol", "ts", "close"), "recent")
+    pairs = files.kept(G.fits(recent, groups, least).where("NOT near_duplicate"), "fits")  # one row a pair
+    longest = G.longest(pairs)
+    tests = files.kept(S.cointegration(G.fitted(recent, pairs), longest).where(F.col("pvalue") <= p_limit), "tests")
+    rows = files.kept(G.fitted(recent, pairs.join(tests, list(P.KEY), "left_semi")), "rows")
+    moves = P.episode_summary(P.episodes(rows, longest=longest)).where((F.col("n_high") >= events) & (F.col("n_low") >= events))
+    return P.fit_stats(rows, longest).join(tests, ["y", "x"]).join(moves, ["y", "x"]).orderBy("pvalue", "y", "x").limit(n)

@@ -1,4 +1,4 @@
-"""The two tests that need more than aggregates, in grouped pandas: one pair in, one row out.
+"""The tests of a pair, all of it aggregates and expressions: one state a pair, no grouped Python.
 
 Engle-Granger: ADF without constant on the residuals, lag by AIC, p from MacKinnon's response surface for two
 variables with a constant. Granger: the SSR F-test for each lag, smallest p.
@@ -8,133 +8,105 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import moments as M
+
 #: MacKinnon (1994), two variables, constant: small and large p surfaces and their limits.
 SMALL_P = (2.92, 1.5012, 0.039796)
 LARGE_P = (2.1945, 0.64695, -0.29198, -0.042377)
 TAU_MIN, TAU_STAR, TAU_MAX = -18.86, -2.62, 0.92
+#: The share of the variance left unexplained up to which two series count as one: 100 times the root of double rounding.
+COLLINEAR = 100 * math.sqrt(2.0**-52)
+KEY = ("y", "x")
+
+
+def mackinnon_p(tau: Column) -> Column:
+    surface = lambda c: sum((F.lit(v) * tau**k for k, v in enumerate(c)), F.lit(0.0))
+    inner = F.when(tau <= TAU_STAR, surface(SMALL_P)).otherwise(surface(LARGE_P))
+    return F.when(tau > TAU_MAX, 1.0).when(tau < TAU_MIN, 0.0).otherwise(M.normal_cdf(inner))
+
+
+def most_lags(n: Column) -> Column:
+    """Schwert's rule, kept below half the rows."""
+    return F.least(F.ceil(12 * F.pow(n / 100, F.lit(0.25))), F.floor(n / 2) - 1).cast("int")
+
+
+def adf(residuals: DataFrame, longest: int) -> DataFrame:
+    """y, x, n, lags, tau of rows y, x, ts, spread; longest: the rows of the longest pair. Null where n < 4.
+
+    Variables: the level e_t, then the differences d_(t-1), ..., d_(t-L), against d_t. Every lag order is judged on the
+    rows that the largest one has; the chosen one is fitted again on all its own rows.
+    """
+    top = max(1, math.ceil(12 * (longest / 100) ** 0.25))
+    w = Window.partitionBy(*KEY).orderBy("ts")
+    rows = residuals.select(*KEY, "ts", F.col("spread").alias("e"), (F.lead("spread").over(w) - F.col("spread")).alias("d")).where("d IS NOT NULL")
+    state = M.lag_moments(rows, KEY, "ts", ("e", "d"), top)
+    n = F.col("rows") + 1
+    state = state.where("rows >= 3").withColumn("n", n).withColumn("most", most_lags(F.col("n")))
+    level, target = M.variables((0, 0)), M.variables((1, 0))
+
+    def last(vs: Column, drop: Column) -> Column:
+        """The factor's last row with the sum of squares it stands for."""
+        return M.let(M.matrix(vs, drop, 2), lambda m: F.struct(F.element_at(M.factor(m), -1).alias("c"), F.element_at(F.element_at(m, -1), -1).alias("yy")))
+
+    every = last(F.concat(level, M.lagged(1, F.col("most")), target), F.col("most"))
+    used = F.col("n") - 1 - F.col("most")
+    left = M.let(every, lambda f: F.slice(M.nested(f["c"], f["yy"]), 2, F.col("most") + 1))
+    aic = F.transform(left, lambda s, k: F.struct((used * F.ln(F.greatest(s, F.lit(1e-300)) / used) + 2 * (k + 1)).alias("aic"), k.alias("lags")))
+    chosen = state.withColumn("lags", F.array_min(aic)["lags"])
+    own = last(F.concat(M.lagged(1, F.col("lags")), level, target), F.col("lags"))
 
+    def tau(f: Column) -> Column:
+        rest = F.element_at(M.nested(f["c"], f["yy"]), -1) / (F.col("n") - 1 - F.col("lags") - F.col("lags") - 1)
+        return F.when(rest > 0, F.get(f["c"], F.col("lags")) / F.sqrt(rest)).otherwise(float("-inf"))
 
-def normal_cdf(x: float) -> float:
-    return 0.5 * math.erfc(-x / math.sqrt(2))
-
-
-def mackinnon_p(tau: float) -> float:
-    if tau > TAU_MAX:
-        return 1.0
-    if tau < TAU_MIN:
-        return 0.0
-    c = SMALL_P if tau <= TAU_STAR else LARGE_P
-    return normal_cdf(sum(v * tau**k for k, v in enumerate(c)))
-
-
-def _beta_fraction(a: float, b: float, x: float) -> float:
-    """Lentz's continued fraction of the incomplete beta function."""
-    tiny, c, d = 1e-300, 1.0, 1 - (a + b) * x / (a + 1)
-    d = 1 / (d if abs(d) > tiny else tiny)
-    out = d
-    for m in range(1, 500):
-        for t in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d, c = 1 + t * d, 1 + t / c
-            d, c = 1 / (d if abs(d) > tiny else tiny), c if abs(c) > tiny else tiny
-            out *= d * c
-        if abs(d * c - 1) < 1e-14:
-            break
-    return out
-
-
-def beta_cdf(a: float, b: float, x: float) -> float:
-    if x <= 0 or x >= 1:
-        return float(x >= 1)
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log(1 - x))
-    return front * _beta_fraction(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1 - front * _beta_fraction(b, a, 1 - x) / b
-
-
-def f_survival(f: float, d1: int, d2: int) -> float:
-    return 1.0 if f <= 0 else beta_cdf(d2 / 2, d1 / 2, d2 / (d2 + d1 * f))
-
-
-def _ols(y: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
-    b, *_ = np.linalg.lstsq(x, y, rcond=None)
-    e = y - x @ b
-    ssr = float(e @ e)
-    dof = len(y) - x.shape[1]
-    scale = ssr / dof if dof > 0 else math.nan
-    return b, ssr, np.sqrt(np.maximum(np.diag(np.linalg.pinv(x.T @ x)) * scale, 0))
-
-
-def adf_tau(e: np.ndarray, max_lag: int | None = None) -> float:
-    d = np.diff(e)
-    n = len(e)
-    top = min(math.ceil(12 * (n / 100) ** 0.25), n // 2 - 1) if max_lag is None else max_lag
-
-    def design(lags: int, drop: int) -> tuple[np.ndarray, np.ndarray]:
-        rows = np.arange(drop, len(d))
-        return d[rows], np.column_stack([e[rows]] + [d[rows - k] for k in range(1, lags + 1)])
-
-    best = None
-    for lags in range(top + 1):
-        y, x = design(lags, top)
-        _, ssr, _ = _ols(y, x)
-        aic = len(y) * math.log(max(ssr, 1e-300) / len(y)) + 2 * x.shape[1]
-        if best is None or aic < best[0]:
-            best = (aic, lags)
-    y, x = design(best[1], best[1])
-    b, _, se = _ols(y, x)
-    return float(b[0] / se[0]) if se[0] > 0 else -math.inf
-
-
-def engle_granger(ly: np.ndarray, lx: np.ndarray) -> tuple[float, float]:
-    """(statistic, p)"""
-    x = np.column_stack((lx, np.ones(len(lx))))
-    b, ssr, _ = _ols(ly, x)
-    total = float(((ly - ly.mean()) ** 2).sum())
-    if total == 0 or 1 - ssr / total >= 1 - 100 * np.sqrt(np.finfo(float).eps):
-        return -math.inf, 0.0
-    tau = adf_tau(ly - x @ b)
-    return tau, mackinnon_p(tau)
-
-
-def granger_min_p(follower: np.ndarray, leader: np.ndarray, max_lag: int = 5) -> float | None:
-    n = len(follower)
-    if n < max_lag + 15:
-        return None
-    ps = []
-    for lag in range(1, min(max_lag, max(1, n // 10)) + 1):
-        y = follower[lag:]
-        own = [follower[lag - k : n - k] for k in range(1, lag + 1)]
-        other = [leader[lag - k : n - k] for k in range(1, lag + 1)]
-        one = np.ones(len(y))
-        _, small, _ = _ols(y, np.column_stack([*own, one]))
-        _, full, _ = _ols(y, np.column_stack([*own, *other, one]))
-        dof = len(y) - 2 * lag - 1
-        if dof > 0 and full > 0:
-            ps.append(f_survival((small - full) / lag / (full / dof), lag, dof))
-    return min(ps) if ps else None
-
-
-def cointegration(pairs: DataFrame) -> DataFrame:
-    """y, x, coint_t, pvalue: one group is one pair; run after the cheap gates."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts")
-        t, p = engle_granger(pdf["ly"].to_numpy(), pdf["lx"].to_numpy())
-        return pd.DataFrame({"y": [pdf["y"].iloc[0]], "x": [pdf["x"].iloc[0]], "coint_t": [t], "pvalue": [p]})
-
-    return pairs.select("y", "x", "ts", "ly", "lx").groupBy("y", "x").applyInPandas(run, "y string, x string, coint_t double, pvalue double")
+    return chosen.select(*KEY, "n", "lags", M.let(own, tau).alias("tau"))
+
+
+def cointegration(pairs: DataFrame, longest: int | None = None) -> DataFrame:
+    """y, x, coint_t, pvalue of rows y, x, ts, ly, lx. longest: the rows of the longest pair, counted if not given.
+
+    A pair whose fit leaves no more than COLLINEAR of ly's variance, or a constant ly, has statistic -inf and p 0. Null
+    below four rows.
+    """
+    w = Window.partitionBy(*KEY)
+    d = pairs if "spread" in pairs.columns else pairs.withColumns({"_b": F.regr_slope("ly", "lx").over(w), "_a": F.regr_intercept("ly", "lx").over(w)}).withColumn("spread", F.col("ly") - (F.coalesce(F.col("_a") + F.col("_b") * F.col("lx"), F.avg("ly").over(w))))
+    if longest is None:
+        longest = d.groupBy(*KEY).agg(F.count("*").alias("n")).agg(F.max("n")).head()[0] or 1  # one number
+    fit = d.groupBy(*KEY).agg((F.count("*") * F.var_pop("ly")).alias("total"), F.sum(F.col("spread") * F.col("spread")).alias("ssr"))
+    out = adf(d, longest).join(fit, list(KEY))
+    tau = F.when((F.col("total") == 0) | (F.col("ssr") / F.col("total") <= COLLINEAR), float("-inf")).otherwise(F.col("tau"))
+    return out.withColumn("coint_t", tau).select(*KEY, "coint_t", mackinnon_p(F.col("coint_t")).alias("pvalue"))
 
 
 def granger(rets: DataFrame, max_lag: int = 5) -> DataFrame:
-    """y, x, granger_p: does x lead y? on the returns ry and rx."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts")
-        p = granger_min_p(pdf["ry"].to_numpy(), pdf["rx"].to_numpy(), max_lag)
-        return pd.DataFrame({"y": [pdf["y"].iloc[0]], "x": [pdf["x"].iloc[0]], "granger_p": pd.Series([p], dtype="float64")})
+    """y, x, granger_p: does x lead y? on the returns ry and rx, the least p of the lags up to max_lag.
+
+    Each lag order has its own rows. With the constant first, then the follower's lags, then the leader's, one factor
+    holds the restricted and the full model. Null below max_lag + 15 rows.
+    """
+    state = M.lag_moments(rets.withColumn("one", F.lit(1.0)), KEY, "ts", ("one", "ry", "rx"), max_lag)
+    n = F.col("rows")
+
+    def p(lag: Column) -> Column:
+        vs = F.concat(M.variables((0, 0)), M.lagged(1, lag), M.lagged(2, lag), M.variables((1, 0)))
+
+        def of(m: Column) -> Column:
+            left = M.nested(F.element_at(M.factor(m), -1), F.element_at(F.element_at(m, -1), -1))
+
+            def test(s: Column) -> Column:
+                small, full, free = F.get(s, lag + 1), F.get(s, 2 * lag + 1), n - lag - 2 * lag - 1
+                return F.when((free > 0) & (full > 0), M.f_survival((small - full) / lag / (full / free), lag, free))
+
+            return M.let(left, test)
+
+        return M.let(M.matrix(vs, lag, 3), of)
 
-    return rets.select("y", "x", "ts", "ry", "rx").groupBy("y", "x").applyInPandas(run, "y string, x string, granger_p double")
+    lags = F.sequence(F.lit(1), F.least(F.lit(max_lag), F.greatest(F.lit(1), F.floor(n / 10))).cast("int"))
+    least = F.array_min(F.transform(lags, p))
+    return state.select(*KEY, F.when(n >= max_lag + 15, least).alias("granger_p"))
 
 
 def dickey_fuller_lag0(fitted: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import fx
 from ..operators import bars as B
 from ..operators import book as K
+from ..operators import gram as G
 from ..operators import pairs as P
 from ..operators import profile as R
 from ..operators import screen as C
@@ -187,31 +188,44 @@ STATS = "st0 AS (SELECT *, avg(spread) OVER (PARTITION BY y, x) AS mean, lag(spr
 STAT_COLUMNS = ("alpha", "beta", "latest", "half_life_bars", "half_life_hours", "z", "p10", "p30", "p50", "p70", "p90", "percentile")
 
 
-def fitted(spark: SparkSession, sf: str, least: int = 20) -> DataFrame:
-    return P.spreads(P.align(weekly(spark, sf), groups(spark, sf), least))
+def gated(spark: SparkSession, sf: str, least: int = 20) -> tuple[DataFrame, DataFrame]:
+    """The weekly bars and the fits of their pairs, each computed once."""
+    bars = files.kept(weekly(spark, sf).select("symbol", "ts", "close"), "bars")
+    return bars, files.kept(G.fits(bars, groups(spark, sf), least), "fits")
+
+
+def fitted(spark: SparkSession, sf: str) -> tuple[DataFrame, int]:
+    """The pairs' rows with their spread, and the rows of the longest pair."""
+    bars, pairs = gated(spark, sf)
+    return G.fitted(bars, pairs), G.longest(pairs)
+
+
+def aligned(spark: SparkSession, sf: str) -> DataFrame:
+    bars, pairs = gated(spark, sf)
+    return G.rows_of(bars, pairs.select("y", "x"))
 
 
 @query(f"WITH {BARS}, {PAIR}, {STATS} SELECT y, x, n, round(alpha, 6) AS alpha, round(beta, 6) AS beta, round(latest, 6) AS latest, round(hl, 6) AS half_life_bars, round(CASE WHEN gap > 0 THEN hl * gap END, 6) AS half_life_hours, round(z, 6) AS z, CASE WHEN n < 20 THEN 'Insufficient history for Z-score' WHEN sd < 1e-12 THEN 'Spread std ~ 0' WHEN z > 2 THEN 'Short Y / Long X' WHEN z < -2 THEN 'Long Y / Short X' ELSE 'Neutral' END AS signal, round(p[1], 6) AS p10, round(p[2], 6) AS p30, round(p[3], 6) AS p50, round(p[4], 6) AS p70, round(p[5], 6) AS p90, round((below + upto + CASE WHEN upto > below THEN 1 ELSE 0 END) * 50.0 / n, 6) AS percentile, abs(beta - 1) < 0.04 AND n >= 10 AND r >= 0.997 AS near_duplicate FROM st")
 def pairs_fit(spark, sf):
     """The flagship: all pairs of weekly bars with fit, half-life, bands, z-score, percentile and duplicate test."""
-    return rounded(P.fit_stats(fitted(spark, sf)), *STAT_COLUMNS).orderBy("y", "x")
+    return rounded(P.fit_stats(*fitted(spark, sf)), *STAT_COLUMNS).orderBy("y", "x")
 
 
 @query(f"WITH {BARS}, {PAIR}, {STATS} SELECT concat(y, '|', x) AS pair, n, CAST(floor(epoch(t1 - t0) / 86400) AS BIGINT) AS days, strftime(t0, '%Y-%m-%d') AS t_start, strftime(t1, '%Y-%m-%d') AS t_end, round(alpha, 6) AS alpha, round(beta, 6) AS beta, round(CASE WHEN gap > 0 THEN hl * gap END, 6) AS half_life_hours, round((below + upto + CASE WHEN upto > below THEN 1 ELSE 0 END) * 50.0 / n, 6) AS percentile FROM st JOIN (SELECT y, x, min(ts) AS t0, max(ts) AS t1 FROM pr GROUP BY y, x) q USING (y, x)")
 def pairs_chart(spark, sf):
-    f = fitted(spark, sf)
-    return rounded(P.chart_window(P.fit_stats(f), f), "alpha", "beta", "half_life_hours", "percentile")
+    f, longest = fitted(spark, sf)
+    return rounded(P.chart_window(P.fit_stats(f, longest), f), "alpha", "beta", "half_life_hours", "percentile")
 
 
 @query(f"WITH {BARS}, {PAIR}, q AS (SELECT y, x, exp(ly - lag(ly) OVER o) - 1 AS ry, exp(lx - lag(lx) OVER o) - 1 AS rx FROM (SELECT * FROM pr QUALIFY row_number() OVER (PARTITION BY y, x ORDER BY ts DESC) <= 150) z WINDOW o AS (PARTITION BY y, x ORDER BY ts)) SELECT y, x, count(*) AS n, round(avg(ry), 6) AS mean_ry, round(avg(rx), 6) AS mean_rx FROM q WHERE ry IS NOT NULL AND rx IS NOT NULL GROUP BY y, x")
 def pairs_returns(spark, sf):
-    d = P.returns(P.align(weekly(spark, sf), groups(spark, sf), 20))
+    d = P.returns(aligned(spark, sf))
     return rounded(d.groupBy("y", "x").agg(F.count("*").alias("n"), F.avg("ry").alias("mean_ry"), F.avg("rx").alias("mean_rx")), "mean_ry", "mean_rx")
 
 
 @query(f"WITH {BARS}, {PAIR}, q AS (SELECT y, x, ly - first_value(ly) OVER o AS ry, lx - first_value(lx) OVER o AS rx FROM pr WINDOW o AS (PARTITION BY y, x ORDER BY ts)) SELECT y, x, round(max(ry), 6) AS top_y, round(min(rx), 6) AS low_x FROM q GROUP BY y, x")
 def pairs_rebased(spark, sf):
-    d = P.rebased(P.align(weekly(spark, sf), groups(spark, sf), 20))
+    d = P.rebased(aligned(spark, sf))
     return rounded(d.groupBy("y", "x").agg(F.max("ry").alias("top_y"), F.min("rx").alias("low_x")), "top_y", "low_x")
 
 
@@ -221,29 +235,30 @@ def _episode_sql(kind: str, enter: str, leave: str) -> str:
 
 @query(f"WITH {BARS}, {PAIR}, e AS (SELECT ft.*, p, lag(spread) OVER (PARTITION BY y, x ORDER BY ts) AS prev FROM ft JOIN (SELECT y, x, quantile_cont(spread, [0.1, 0.3, 0.7, 0.9]) AS p FROM ft GROUP BY y, x) q USING (y, x)), {_episode_sql('high', 'spread >= p[4] AND (prev IS NULL OR prev < p[4])', 'spread <= p[3]')}, {_episode_sql('low', 'spread <= p[1] AND (prev IS NULL OR prev > p[1])', 'spread >= p[2]')}, b AS (SELECT * FROM high UNION ALL SELECT * FROM low) SELECT y, x, count(*) FILTER (WHERE kind = 'high') AS n_high, round(avg(hours) FILTER (WHERE kind = 'high'), 6) AS high_hours, count(*) FILTER (WHERE kind = 'low') AS n_low, round(avg(hours) FILTER (WHERE kind = 'low'), 6) AS low_hours FROM b GROUP BY y, x")
 def pairs_episodes(spark, sf):
-    return rounded(P.episode_summary(P.episodes(fitted(spark, sf))), "high_hours", "low_hours")
+    f, longest = fitted(spark, sf)
+    return rounded(P.episode_summary(P.episodes(f, longest=longest)), "high_hours", "low_hours")
 
 
 @query(f"WITH {BARS}, {PAIR}, q AS (SELECT y, x, spread - lag(spread) OVER o AS de, lag(spread) OVER o AS e1 FROM ft WINDOW o AS (PARTITION BY y, x ORDER BY ts)), a AS (SELECT y, x, sum(e1 * de) AS xy, sum(e1 * e1) AS xx, sum(de * de) AS yy, count(*) AS n FROM q WHERE e1 IS NOT NULL GROUP BY y, x) SELECT y, x, round((xy / xx) / sqrt(((yy - xy / xx * xy) / (n - 1)) / xx), 5) AS df_t FROM a WHERE n > 1")
 def pairs_dickey_fuller(spark, sf):
-    return T.dickey_fuller_lag0(fitted(spark, sf)).withColumn("df_t", F.round("df_t", 5))
+    return T.dickey_fuller_lag0(fitted(spark, sf)[0]).withColumn("df_t", F.round("df_t", 5))
 
 
 @query(f"WITH {BARS}, {PAIR} SELECT y, x, any_value(round(beta, 6)) AS beta, count(*) AS n FROM ft WHERE y = 'Brand#1' AND x = 'Brand#2' GROUP BY y, x")
 def pairs_find(spark, sf):
     """One pair by its key."""
-    d = fitted(spark, sf).groupBy("y", "x").agg(F.round(F.first("beta"), 6).alias("beta"), F.count("*").alias("n"))
+    d = fitted(spark, sf)[0].groupBy("y", "x").agg(F.round(F.first("beta"), 6).alias("beta"), F.count("*").alias("n"))
     return P.find(d, "Brand#1|Brand#2")
 
 
 @query()
 def pairs_cointegration(spark, sf):
-    return T.cointegration(P.align(weekly(spark, sf), groups(spark, sf), 20))
+    return T.cointegration(*fitted(spark, sf))
 
 
 @query()
 def pairs_granger(spark, sf):
-    return T.granger(P.returns(P.align(weekly(spark, sf), groups(spark, sf), 20)))
+    return T.granger(P.returns(aligned(spark, sf)))
 
 
 @query()
@@ -488,7 +503,7 @@ def sizing_lifecycle(spark, sf):
 
 @query(f"WITH {BARS}, {PAIR}, {STATS} SELECT y, x, CASE WHEN pc >= 90 THEN 'Spread very high' WHEN pc <= 10 THEN 'Spread very low' WHEN pc >= 70 THEN 'Spread high' WHEN pc <= 30 THEN 'Spread low' ELSE 'Neutral' END AS hint, concat(substring(concat('A long category of pairs ', y, ' against ', x), 1, 37), '…') AS label FROM (SELECT *, (below + upto + CASE WHEN upto > below THEN 1 ELSE 0 END) * 50.0 / n AS pc FROM st) q WHERE length(concat('A long category of pairs ', y, ' against ', x)) > 40")
 def pairs_hints(spark, sf):
-    d = P.fit_stats(fitted(spark, sf))
+    d = P.fit_stats(*fitted(spark, sf))
     label = F.concat(F.lit("A long category of pairs "), "y", F.lit(" against "), "x")
     return d.select("y", "x", fx.trade_hint(F.col("percentile")).alias("hint"), fx.ellipsis(label).alias("label"))
 
