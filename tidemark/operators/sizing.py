@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fx
+from ..sources import files
 
 
 def valid_quotes(quotes: DataFrame) -> DataFrame:
@@ -29,42 +30,42 @@ def resolve_offers(orders: DataFrame, quotes: DataFrame, overrides: DataFrame |
     return out.withColumn("status_error", status)
 
 
-def conversions(quotes: DataFrame, hops: int = 6) -> DataFrame:
-    """src, dst, hops, mult along the fewest quotes; among equal ones the path of the earliest quotes.
-
-    Edges run both ways at the mid of valid subscribed quotes. A quote list is bounded by its currencies: its edges
-    are one array, and each source currency walks it hop by hop in one expression.
-    """
-    q = valid_quotes(quotes).where("subscription_status = 'T'").withColumn("p", fx.parse_pair(F.col("instrument"))).where("p IS NOT NULL")
+def quote_edges(quotes: DataFrame) -> DataFrame:
+    """a, b, m, e: an edge each way at the mid of a valid subscribed quote; e orders the quotes."""
+    q = valid_quotes(quotes).where("subscription_status = 'T'").withColumn("p", fx.parse_pair(F.col("instrument"))).where("p IS NOT NULL AND p.base <> p.quote")
     mid = (F.col("bid") + F.col("ask")) / 2
-    there = F.struct(F.col("p.base").alias("a"), F.col("p.quote").alias("b"), mid.alias("m"), (F.col("offer_idx") * 2).cast("int").alias("e"))
-    back = F.struct(F.col("p.quote").alias("a"), F.col("p.base").alias("b"), (1 / mid).alias("m"), (F.col("offer_idx") * 2 + 1).cast("int").alias("e"))
-    edges = q.select(F.explode(F.array(there, back)).alias("edge")).agg(F.collect_list("edge").alias("edges"))
-    start = F.struct(F.col("src").alias("dst"), F.lit(0).alias("hops"), F.lit(1.0).alias("mult"), F.array().cast("array<int>").alias("path"))
+    there = F.struct(F.col("p.base").alias("a"), F.col("p.quote").alias("b"), mid.alias("m"), F.col("offer_idx").alias("e"))
+    back = F.struct(F.col("p.quote").alias("a"), F.col("p.base").alias("b"), (1 / mid).alias("m"), F.col("offer_idx").alias("e"))
+    return q.select(F.inline(F.array(there, back)))
 
-    def hop(s: Column, k: Column) -> Column:
-        def onward(f: Column) -> Column:
-            return F.transform(F.filter("edges", lambda e: e["a"] == f["dst"]), lambda e: F.struct(F.concat(f["path"], F.array(e["e"])).alias("path"), e["b"].alias("dst"), (f["mult"] * e["m"]).alias("mult")))
 
-        def added(c: Column) -> Column:
-            new = F.filter(c, lambda x, i: ~F.exists(s["best"], lambda b: b["dst"] == x["dst"]) & ~F.exists(F.slice(c, 1, i), lambda y: y["dst"] == x["dst"]))
-            new = F.transform(new, lambda x: F.struct(x["dst"], k.alias("hops"), x["mult"], x["path"]))
-            return F.struct(F.concat(s["best"], new).alias("best"), new.alias("front"))
+def conversions(quotes: DataFrame) -> DataFrame:
+    """src, dst, hops, mult along the fewest quotes, of any number; among equal ones as a breadth-first search finds them.
 
-        steps = F.sort_array(F.flatten(F.transform(s["front"], onward)))
-        return F.get(F.transform(F.array(steps), added), F.lit(0))
-
-    walked = F.aggregate(F.sequence(F.lit(1), F.lit(hops)), F.struct(F.array(start).alias("best"), F.array(start).alias("front")), hop, lambda s: s["best"])
-    source = edges.select("edges", F.explode(F.array_distinct(F.transform("edges", lambda e: e["a"]))).alias("src"))
-    return source.select("src", F.explode(walked).alias("r")).select("src", "r.dst", "r.hops", "r.mult")
+    All sources are searched together: a round joins the currencies reached last with the edges, keeps those not
+    reached before (by the place of the currency they come from, then by the quotes' order) and writes them, until a
+    round reaches none. A source's state is one row a currency.
+    """
+    edges = files.kept(quote_edges(quotes), "edges")
+    reached = edges.select(F.col("a").alias("src")).distinct().select("src", F.col("src").alias("dst"), F.lit(0).alias("hops"), F.lit(1.0).alias("mult"), F.lit(1).alias("place"))
+    front = reached = files.kept(reached, "reached")
+    while not front.isEmpty():
+        steps = front.join(edges, front["dst"] == edges["a"]).select("src", F.col("b").alias("dst"), F.col("hops") + 1, F.col("mult") * F.col("m"), F.struct("place", "e").alias("way")).toDF("src", "dst", "hops", "mult", "way")
+        first = steps.join(reached, ["src", "dst"], "left_anti").groupBy("src", "dst").agg(F.min(F.struct("way", "hops", "mult")).alias("best"))
+        front = first.select("src", "dst", "best.hops", "best.mult", F.row_number().over(Window.partitionBy("src").orderBy("best.way")).alias("place"))
+        front = files.kept(front, "front")
+        reached = reached.unionByName(front)
+    return reached.drop("place")
 
 
 def convert(amounts: DataFrame, rates: DataFrame) -> DataFrame:
-    """amounts(src, dst, amount) with converted, or an error where there is no path or no positive amount."""
-    out = amounts.join(rates, ["src", "dst"], "left")
-    error = F.when(~(F.col("amount") > 0) | F.col("amount").isNull(), "amount not positive").when((F.col("src") != F.col("dst")) & F.col("mult").isNull(), "no path")
+    """amounts(src, dst, amount) with converted. One currency needs no rate and takes any amount; else there is an error
+    where the amount is not positive and finite, or there is no path."""
+    out = amounts.withColumns({"src": F.upper(F.trim("src")), "dst": F.upper(F.trim("dst"))}).join(rates, ["src", "dst"], "left")
+    good = (F.col("amount") > 0) & (F.abs("amount") < float("inf"))
+    error = F.when(F.col("src") == F.col("dst"), F.lit(None).cast("string")).when(F.coalesce(~good, F.lit(True)), "amount not positive").when(F.col("mult").isNull(), "no path")
     value = F.when(F.col("src") == F.col("dst"), F.col("amount")).otherwise(F.col("amount") * F.col("mult"))
-    return out.withColumns({"error": error, "converted": F.when(error.isNull(), value)})
+    return out.withColumn("error", error).withColumn("converted", F.when(F.col("error").isNull(), value))
 
 
 def account_equity(accounts: DataFrame) -> DataFrame:

@@ -457,18 +457,47 @@ def rates(spark: SparkSession) -> DataFrame:
     return Z.conversions(spark.sql(X.QUOTES))
 
 
-DIRECT = f"ed AS (SELECT substring(instrument, 1, 3) AS a, substring(instrument, 5, 3) AS b, (bid + ask) / 2 AS m FROM ({X.QUOTES}) q WHERE bid > 0 AND ask >= bid AND subscription_status = 'T'), ud AS (SELECT a AS src, m AS mult FROM ed WHERE b = 'USD' UNION ALL SELECT b, 1 / m FROM ed WHERE a = 'USD' UNION ALL SELECT 'USD', 1.0)"
+#: The twin's search: every path without a repeated currency, the fewest quotes, then the quotes' order from the start.
+PATHS = """
+ed AS (SELECT unnest([{{'a': base, 'b': quote, 'm': mid, 'e': offer_idx}}, {{'a': quote, 'b': base, 'm': 1 / mid, 'e': offer_idx}}], recursive := true)
+  FROM (SELECT substring(instrument, 1, 3) AS base, substring(instrument, 5, 3) AS quote, (bid + ask) / 2 AS mid, offer_idx
+        FROM ({quotes}) q WHERE bid > 0 AND ask >= bid AND subscription_status = 'T') r),
+walk AS (
+  SELECT DISTINCT a AS src, a AS dst, 0 AS hops, CAST(1 AS DOUBLE) AS mult, [a] AS seen, CAST([] AS INT[]) AS way FROM ed
+  UNION ALL
+  SELECT src, b, hops + 1, mult * m, list_append(seen, b), list_append(way, e) FROM walk JOIN ed ON a = dst AND NOT list_contains(seen, b)),
+best AS (SELECT src, dst, hops, mult FROM walk QUALIFY row_number() OVER (PARTITION BY src, dst ORDER BY hops, way) = 1)
+"""
 EQUITY = f"eq AS (SELECT account_id, coalesce(CASE WHEN equity > 0 THEN equity END, CASE WHEN balance > 0 THEN balance END, CASE WHEN usable_margin > 0 THEN usable_margin END) AS amount, CASE WHEN regexp_full_match(upper(trim(currency)), '[A-Z]{{3}}') THEN upper(trim(currency)) ELSE 'USD' END AS src FROM ({ACCOUNTS}) q)"
 
 
-# every currency of these accounts that has a path to the dollar has a quote against it, so the twin needs no recursion
-@query(f"WITH {DIRECT}, {EQUITY} SELECT account_id, eq.src, CASE WHEN amount > 0 THEN round(amount * mult, 6) END AS converted, CASE WHEN amount IS NULL OR amount <= 0 THEN 'amount not positive' WHEN mult IS NULL THEN 'no path' END AS error FROM eq LEFT JOIN ud ON ud.src = eq.src")
+@query(f"""
+WITH RECURSIVE {PATHS.format(quotes=X.QUOTES)}, {EQUITY}
+SELECT account_id, eq.src, CASE WHEN eq.src = 'USD' THEN round(amount, 6) WHEN amount > 0 THEN round(amount * mult, 6) END AS converted,
+  CASE WHEN eq.src = 'USD' THEN NULL WHEN amount IS NULL OR amount <= 0 THEN 'amount not positive' WHEN mult IS NULL THEN 'no path' END AS error
+FROM eq LEFT JOIN best ON best.src = eq.src AND best.dst = 'USD'
+""")
 def sizing_conversions(spark, sf):
     """Balances of all accounts in US dollars, over the quotes' shortest paths."""
     a = Z.account_equity(X.sql(spark, sf, ACCOUNTS)).select("account_id", F.col("money").alias("src"), F.lit("USD").alias("dst"), F.col("equity_used").alias("amount"))
     return Z.convert(a, rates(spark)).select("account_id", "src", F.round("converted", 6).alias("converted"), "error")  # currencies squared
 
 
+#: Quotes between nations' currencies: a chain of 13, others quoted twice, short cuts, a chain apart.
+NATION_QUOTES = """
+SELECT CAST(n_nationkey + off AS INT) AS offer_idx, concat('C', chr(CAST(65 + n_nationkey AS INT)), 'X/C', chr(CAST(65 + n_nationkey + far AS INT)), 'X') AS instrument,
+  CAST(1 + (n_nationkey + off) / 64.0 AS DOUBLE) AS bid, CAST(1.25 + (n_nationkey + off) / 64.0 AS DOUBLE) AS ask, 5 AS digits, 'T' AS subscription_status
+FROM nation JOIN (SELECT * FROM (VALUES (0, 1), (100, 1), (200, 2)) AS o(off, far)) o ON off = 0 OR off = 100 AND n_nationkey % 4 = 1 OR off = 200 AND n_nationkey % 7 = 5
+WHERE n_nationkey + far < 25 AND NOT (n_nationkey <= 13 AND n_nationkey + far > 13)
+"""
+
+
+@query(f"WITH RECURSIVE {PATHS.format(quotes=NATION_QUOTES)} SELECT src, dst, hops, round(mult, 6) AS mult FROM best")
+def sizing_rates(spark, sf):
+    """Rates between all currencies that quotes connect, over paths of up to a dozen quotes and more."""
+    return rounded(Z.conversions(X.sql(spark, sf, NATION_QUOTES)), "mult")
+
+
 ORDERS = f"SELECT o_orderkey AS order_id, u.primary_pair, o_custkey AS account_id, o_orderkey % 2 = 0 AS is_buy, CASE WHEN o_orderkey % 5 = 0 THEN o_totalprice / 50000 END AS lots, 5.0 AS pct_equity, 10.0 AS leverage, 1.0 AS stop_loss_pct FROM orders JOIN ({X.PAIRS}) u ON o_orderkey % 10 = u.universe_idx"
 INSTRUMENTS = "SELECT primary_pair AS instrument, CAST(1000.0 AS DOUBLE) AS base_unit_size, CAST(2000.0 AS DOUBLE) AS min_quantity, CAST(50000.0 AS DOUBLE) AS max_quantity FROM (" + X.PAIRS + ") u"
 

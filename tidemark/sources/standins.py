@@ -38,7 +38,7 @@ SELECT offer_idx, instrument, CAST(bid AS DOUBLE) AS bid, CAST(ask AS DOUBLE) AS
   (7, 'EUR/JPY', 165.2, 165.23, 3, 'T'), (8, 'EUR/GBP', 0.86, 0.8602, 5, 'T'), (9, 'SEK/NOK', 0.98, 0.9803, 5, 'T')
 ) AS t(offer_idx, instrument, bid, ask, digits, subscription_status)
 """
-TABLES = ("lineitem", "part", "orders", "customer", "events")
+TABLES = ("lineitem", "part", "orders", "customer", "events", "nation")
 
 
 def sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
