@@ -79,10 +79,9 @@ def test_book_has_no_shared_currency(spark):
 
 def test_history_round_trip(spark, tmp_path):
     path = str(tmp_path / "history")
-    one_pass = spark.createDataFrame([("2024-01-01T17:00:00", ["x"])], "finished_at string, errors array<string>")
-    book.append_history(one_pass, path)
-    book.append_history(one_pass.withColumn("finished_at", F.lit("2024-01-02T17:00:00")), path)
-    spark.createDataFrame([("not json",)], "value string").write.mode("append").text(path)
+    one_pass = spark.createDataFrame([("2024-01-01T17:00:00", [("list", "x")])], "finished_at string, errors array<struct<step:string,error:string>>")
+    book.append_history(one_pass, path, "finished_at")
+    book.append_history(one_pass.withColumn("finished_at", F.lit("2024-01-02T17:00:00")), path, "finished_at")
     got = book.summary(book.read_history(spark, path)).collect()
     assert [r["finished_at"] for r in got] == ["2024-01-02T17:00:00", "2024-01-01T17:00:00"] and got[0]["n_errors"] == 1 and got[0]["actions"] == "(none)"
 
@@ -93,14 +92,17 @@ def test_conversions(spark):
     assert got["EUR", "JPY"][0] == 2 and math.isclose(got["EUR", "JPY"][1], 1.1 * 101) and ("EUR", "AUD") not in got and ("GBP", "USD") not in got
 
 
-def test_distributions_and_tests():
-    assert abs(stats.mackinnon_p(-3.34) - 0.05) < 0.002 and stats.mackinnon_p(1.0) == 1.0 and stats.mackinnon_p(-20) == 0.0
-    # F(1, d) is the square of t: at t = 1.96 with many degrees of freedom, 5 %
-    assert abs(stats.f_survival(1.96**2, 1, 100_000) - 0.05) < 1e-3 and abs(stats.f_survival(4.965, 1, 10) - 0.05) < 1e-4
+def test_known_values_of_the_tests(spark):
+    p = {r["t"]: r["p"] for r in spark.createDataFrame([(-3.34,), (1.0,), (-20.0,)], "t double").select("t", stats.mackinnon_p(F.col("t")).alias("p")).collect()}
+    assert abs(p[-3.34] - 0.05) < 0.002 and p[1.0] == 1.0 and p[-20.0] == 0.0
     rng = np.random.default_rng(0)
-    walk = np.cumsum(rng.normal(size=400))
-    assert stats.engle_granger(2 * walk + rng.normal(size=400), walk)[1] < 0.01
-    assert stats.engle_granger(np.cumsum(rng.normal(size=400)), walk)[1] > 0.05
+    walk, noise, other = np.cumsum(rng.normal(size=400)), rng.normal(size=400), np.cumsum(rng.normal(size=400))
+    rows = [(name, "x", k, float(y), float(walk[k])) for name, ys in (("tied", 2 * walk + noise), ("loose", other), ("same", 2 * walk + 1), ("flat", 0 * walk)) for k, y in enumerate(ys)]
+    rows += [("short", "x", k, float(k * k), float(k)) for k in range(3)]
+    got = {r["y"]: (r["coint_t"], r["pvalue"]) for r in stats.cointegration(spark.createDataFrame(rows, "y string, x string, ts int, ly double, lx double")).collect()}
+    assert got["tied"][1] < 0.01 and got["loose"][1] > 0.05 and got["same"] == (-math.inf, 0.0) == got["flat"] and "short" not in got
     lead = rng.normal(size=200)
     follow = np.concatenate(([0.0], 0.8 * lead[:-1])) + 0.3 * rng.normal(size=200)
-    assert stats.granger_min_p(follow, lead) < 1e-6 and stats.granger_min_p(lead[:10], follow[:10]) is None
+    rets = [("f", "l", k, float(a), float(b)) for k, (a, b) in enumerate(zip(follow, lead))] + [("s", "l", k, float(follow[k]), float(lead[k])) for k in range(10)]
+    led = {r["y"]: r["granger_p"] for r in stats.granger(spark.createDataFrame(rets, "y string, x string, ts int, ry double, rx double")).collect()}
+    assert led["f"] < 1e-6 and led["s"] is None

@@ -34,7 +34,7 @@ def most_lags(n: Column) -> Column:
 
 
 def adf(residuals: DataFrame, longest: int) -> DataFrame:
-    """y, x, n, lags, tau of rows y, x, ts, spread; longest: the rows of the longest pair. Null where n < 4.
+    """y, x, n, lags, tau of rows y, x, ts, spread, for pairs of at least four rows; longest: those of the longest pair.
 
     Variables: the level e_t, then the differences d_(t-1), ..., d_(t-L), against d_t. Every lag order is judged on the
     rows that the largest one has; the chosen one is fitted again on all its own rows.
@@ -68,8 +68,8 @@ def adf(residuals: DataFrame, longest: int) -> DataFrame:
 def cointegration(pairs: DataFrame, longest: int | None = None) -> DataFrame:
     """y, x, coint_t, pvalue of rows y, x, ts, ly, lx. longest: the rows of the longest pair, counted if not given.
 
-    A pair whose fit leaves no more than COLLINEAR of ly's variance, or a constant ly, has statistic -inf and p 0. Null
-    below four rows.
+    A pair whose fit leaves no more than COLLINEAR of ly's variance, or a constant ly, has statistic -inf and p 0. A pair
+    of fewer than four rows has no row.
     """
     w = Window.partitionBy(*KEY)
     d = pairs if "spread" in pairs.columns else pairs.withColumns({"_b": F.regr_slope("ly", "lx").over(w), "_a": F.regr_intercept("ly", "lx").over(w)}).withColumn("spread", F.col("ly") - (F.coalesce(F.col("_a") + F.col("_b") * F.col("lx"), F.avg("ly").over(w))))

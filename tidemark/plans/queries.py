@@ -372,7 +372,7 @@ def book_selected(spark, sf):
 
 @query(f"{BOOK} SELECT p.forecast_date, primary_pair, CAST(rank AS INTEGER) AS ranking_rank, concat('shares ', list_min(list_intersect(p.used, [substring(primary_pair, 1, 3), substring(primary_pair, 5, 3)])), ' with already-selected pair(s)') AS skipped_because FROM wk p JOIN rk ON rk.forecast_date = p.forecast_date AND rk.rank = p.k + 1 WHERE p.got < 2 AND list_has_any(p.used, [substring(primary_pair, 1, 3), substring(primary_pair, 5, 3)])")
 def book_skips(spark, sf):
-    return K.skips(K.select_book(ranked(spark, sf)))
+    return K.skips(K.select_book(ranked(spark, sf))).drop("abs_score")
 
 
 def positions(spark: SparkSession, sf: str) -> DataFrame:
@@ -395,23 +395,77 @@ def book_diff(spark, sf):
 
 @query(f"{BOOK}, {DIFF.replace('FROM (' + X.POSITIONS + ') q)', 'FROM (' + X.POSITIONS + ') q WHERE amount > 495000)')} SELECT o.forecast_date, primary_pair, side, CAST(selection_rank AS INTEGER) AS selection_rank, CAST(k AS INTEGER) AS slot FROM (SELECT *, row_number() OVER (PARTITION BY forecast_date ORDER BY selection_rank) AS k FROM df WHERE decision = 'open') o JOIN (SELECT forecast_date, count(*) FILTER (WHERE decision = 'keep') AS kept FROM df GROUP BY 1) c ON c.forecast_date = o.forecast_date WHERE k <= greatest(2 - kept, 0)")
 def book_open_slots(spark, sf):
-    return K.capped_opens(changes(spark, sf, 495000))
+    return K.capped_opens(changes(spark, sf, 495000)).select("forecast_date", "primary_pair", "side", "selection_rank", "slot")
+
+
+#: What came of the actions: some closes fail, opens of one pair are not subscribed; errors of some passes.
+RESULTS = f"""
+SELECT forecast_date, 'close' AS kind, instrument AS primary_pair, CASE WHEN buy_sell = 'B' THEN 'buy' ELSE 'sell' END AS side, CAST(trade_id AS BIGINT) AS trade_id,
+  CASE WHEN trade_id % 5 <> 0 THEN 'closed' END AS message, CASE WHEN trade_id % 5 = 0 THEN 'timeout' END AS error
+FROM ({X.POSITIONS}) p
+"""
+ERRORS = f"SELECT DISTINCT forecast_date, 1 AS seq, 'list_trades' AS step, concat('no session on ', forecast_date) AS error FROM ({X.POSITIONS}) p WHERE substring(forecast_date, 9, 1) = '2'"
+MAX_OPEN = 1
 
 
 def history(spark: SparkSession, sf: str) -> DataFrame:
-    """The check for all dates at once, as payloads read back through JSON."""
-    r = ranked(spark, sf)
-    b = K.select_book(r)
-    c = changes(spark, sf)
-    p = K.payloads(r, K.selected(b), K.skips(b), c, K.capped_opens(c))
-    return p.select(F.from_json(F.to_json(F.struct(*p.columns)), K.PAYLOAD).alias("j")).select("j.*")
+    """The check for all dates at once, as payloads read back through JSON; even days are dry runs."""
+    r = files.kept(ranked(spark, sf), "ranked")
+    b = files.kept(K.select_book(r), "book")
+    chosen, p = K.selected(b), positions(spark, sf)
+    c = files.kept(K.diff(p, chosen), "changes")
+    opens, live = K.capped_opens(c, MAX_OPEN), F.col("forecast_date").substr(10, 1).isin("1", "3", "5", "7", "9")
+    config = F.struct(live.alias("enabled"), F.lit(2).alias("top_n"), F.lit(5.0).alias("pct_equity_per_trade"), F.lit(10.0).alias("leverage"), F.lit(1.0).alias("stop_pct"), F.lit(MAX_OPEN).alias("max_open"), F.lit(True).alias("skip_unsubscribed"))
+    at = lambda t: F.concat("forecast_date", F.lit(t))
+    passes = r.select("forecast_date").distinct().select("forecast_date", at("T16:59:00").alias("started_at"), at("T17:00:00").alias("finished_at"), (~live).alias("dry_run"), config.alias("config"))
+    done = K.done_actions(c.where(live), opens.where(live), X.sql(spark, sf, RESULTS))
+    parts = {"ranking": r, "selected_book": chosen, "overlap_skips": K.skips(b), "open_positions": p, "decisions": c.where("decision <> 'open'"), "planned_opens": opens, "actions": done, "errors": X.sql(spark, sf, ERRORS)}
+    d = K.payloads(passes, parts)
+    return d.select(F.from_json(F.to_json(F.struct(*d.columns)), K.PAYLOAD).alias("j")).select("j.*")
+
+
+OPENS = f"op AS (SELECT o.* FROM (SELECT *, row_number() OVER (PARTITION BY forecast_date ORDER BY selection_rank) AS k FROM df WHERE decision = 'open') o JOIN (SELECT forecast_date, count(*) FILTER (WHERE decision = 'keep') AS kept FROM df GROUP BY 1) c ON c.forecast_date = o.forecast_date WHERE k <= greatest({MAX_OPEN} - kept, 0)), er AS ({ERRORS}), live AS (SELECT DISTINCT forecast_date FROM rk WHERE CAST(forecast_date[10] AS INT) % 2 = 1)"
 
 
-@query(f"{BOOK}, {DIFF}, dt AS (SELECT DISTINCT forecast_date FROM rk ORDER BY 1 DESC LIMIT 20), bw AS (SELECT forecast_date, string_agg(concat('#', CAST(selection_rank AS VARCHAR), ' ', primary_pair, ' ', side), ', ' ORDER BY selection_rank) AS book FROM bk GROUP BY 1), np AS (SELECT forecast_date, count(DISTINCT concat(primary_pair, side)) AS n FROM df WHERE decision <> 'open' GROUP BY 1) SELECT concat(dt.forecast_date, 'T17:00:00') AS finished_at, coalesce(book, '') AS book, '(none)' AS actions, CAST(coalesce(n, 0) AS INTEGER) AS n_positions, CAST(0 AS INTEGER) AS n_errors FROM dt LEFT JOIN bw ON bw.forecast_date = dt.forecast_date LEFT JOIN np ON np.forecast_date = dt.forecast_date")
+@query(f"""
+{BOOK}, {DIFF}, {OPENS}, dt AS (SELECT DISTINCT forecast_date FROM rk ORDER BY 1 DESC LIMIT 20),
+bw AS (SELECT forecast_date, string_agg(concat('#', CAST(selection_rank AS VARCHAR), ' ', primary_pair, ' ', side), ', ' ORDER BY selection_rank) AS book FROM bk GROUP BY 1),
+np AS (SELECT forecast_date, count(*) AS n FROM df WHERE decision <> 'open' GROUP BY 1),
+ac AS (SELECT forecast_date, string_agg(DISTINCT kind, ', ' ORDER BY kind) AS actions FROM (SELECT forecast_date, 'close' AS kind FROM df WHERE decision = 'close' UNION ALL SELECT forecast_date, 'open' FROM op) q WHERE forecast_date IN (FROM live) GROUP BY 1)
+SELECT concat(dt.forecast_date, 'T17:00:00') AS finished_at, coalesce(book, '') AS book, coalesce(actions, '(none)') AS actions, CAST(coalesce(n, 0) AS INTEGER) AS n_positions,
+  CAST((SELECT count(*) FROM er WHERE er.forecast_date = dt.forecast_date) AS INTEGER) AS n_errors
+FROM dt LEFT JOIN bw ON bw.forecast_date = dt.forecast_date LEFT JOIN np ON np.forecast_date = dt.forecast_date LEFT JOIN ac ON ac.forecast_date = dt.forecast_date
+""")
 def book_daily_check(spark, sf):
     return K.summary(history(spark, sf)).select("finished_at", "book", "actions", "n_positions", "n_errors")
 
 
+@query(f"""
+{BOOK}, {DIFF}, {OPENS}, rs AS ({RESULTS})
+SELECT concat(q.forecast_date, 'T17:00:00') AS finished_at, kind, q.primary_pair AS "primary", q.side, q.trade_id, CASE WHEN error IS NULL THEN 'ok' ELSE 'error' END AS status, message,
+  CASE WHEN error IS NOT NULL THEN concat('close failed for ', q.primary_pair, ' ', q.side, ' (', q.trade_id, '): ', error) END AS error
+FROM (SELECT forecast_date, 'close' AS kind, primary_pair, side, trade_id FROM df WHERE decision = 'close' UNION ALL SELECT forecast_date, 'open', primary_pair, side, NULL FROM op) q
+LEFT JOIN (SELECT trade_id AS t, message, error FROM rs) r ON r.t = q.trade_id WHERE q.forecast_date IN (FROM live)
+""")
+def book_actions(spark, sf):
+    return K.section(history(spark, sf), "actions")
+
+
+@query(f"{BOOK}, er AS ({ERRORS}) SELECT concat(forecast_date, 'T17:00:00') AS finished_at, step, error FROM er WHERE forecast_date IN (SELECT forecast_date FROM rk)")
+def book_errors(spark, sf):
+    return K.section(history(spark, sf), "errors")
+
+
+@query(f"""
+{BOOK}, {DIFF} SELECT concat(df.forecast_date, 'T17:00:00') AS finished_at, df.trade_id, df.primary_pair AS "primary", df.side, decision, CAST(df.selection_rank AS INTEGER) AS selection_rank,
+  CASE WHEN decision = 'keep' THEN CASE WHEN df.side = 'buy' THEN 'long' ELSE 'short' END END AS today_side, round(df.lots, 6) AS lots, CAST(ps.amount AS BIGINT) AS amount, round(ps.open_rate, 6) AS open_rate, round(ps.gross_pl, 6) AS gross_pl
+FROM df JOIN ps ON ps.trade_id = df.trade_id WHERE decision <> 'open' AND df.forecast_date IN (SELECT forecast_date FROM rk)
+""")
+def book_decisions(spark, sf):
+    """Every ticket of every pass with its own data."""
+    return rounded(K.section(history(spark, sf), "decisions").drop("pair_score", "reason"), "lots", "open_rate", "gross_pl")
+
+
 @query(f"{BOOK} SELECT concat(max(rk.forecast_date), 'T17:00:00') AS finished_at, (SELECT count(*) FROM bk WHERE forecast_date = (SELECT max(forecast_date) FROM rk)) AS n_book FROM rk")
 def source_current(spark, sf):
     """The current payload, which each write replaces, read again."""
