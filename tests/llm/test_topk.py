@@ -1,27 +1,44 @@
 import math
+from collections import Counter
 
+import duckdb
 import numpy as np
 
 from tidemark.llm import topk
 
 
 def brute(rows):
-    v = {}
+    v = []
     for i, x in rows:
         if i is not None and x and all(y is not None and math.isfinite(y) for y in x):
-            v.setdefault(i, [int(y) for y in np.floor(64 * np.asarray(x, dtype=np.float64))])
-    out = set()
-    for q in v:
-        if q % 20 == 0:
-            scores = sorted((-min(sum(a * b for a, b in zip(v[q], y)), 2**63 - 1), i) for i, y in v.items() if i != q and len(y) == len(v[q]))[:20]
-            out |= {(q, k, i, -s) for k, (s, i) in enumerate(scores, 1)}
+            v.append((i, [int(y) for y in np.floor(64 * np.asarray(x, dtype=np.float64))]))
+    out = Counter()
+    for q in {i for i, _ in v if i % 20 == 0}:
+        scores = sorted((-min(sum(a * b for a, b in zip(x, y)), 2**63 - 1), i) for p, x in v if p == q for i, y in v if i != q and len(x) == len(y))[:20]
+        out.update((q, k, i, -s) for k, (s, i) in enumerate(scores, 1))
     return out
 
 
 def check(df, **more):
     rows = [(r["vec_id"], r["embedding"]) for r in df.collect()]
     got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(df, **more).collect()]
-    assert len(got) == len(set(got)) and set(got) == brute(rows)
+    assert Counter(got) == brute(rows)
+    return got
+
+
+def test_repeated_ids_are_candidates_each(spark, tmp_path):
+    df = spark.createDataFrame([(20, [1.0, 0.0]), (1, [0.5, 0.0]), (1, [0.9, 0.0]), (2, [0.1, 0.0])], "vec_id long, embedding array<float>")
+    assert [s for *_, s in sorted(check(df))] == [3648, 2048, 384]
+    rng = np.random.default_rng(6)
+    rows = [(int(rng.integers(0, 45)), [float(round(y, 1)) for y in rng.normal(size=3)]) for _ in range(300)]
+    rows += [(40, [1.0, 1.0, 1.0])] * 60 + [(20, [1.0, 1.0, 1.0])] * 30 + [(k, [1.0, 1.0, 1.0]) for k in range(30)]
+    many = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    for block_rows in (16, 4096):
+        got = check(many, block_rows=block_rows)
+    many.write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert Counter(con.sql(f"SELECT query_id, rank, vec_id, score FROM ({topk.SQL}) q").fetchall()) == Counter(got)
 
 
 def test_whole_table(spark, small):

@@ -14,8 +14,9 @@ integers, cut to the range of a long.
 
 Defined results: vectors that are null, empty, or hold null, NaN or infinite components take no part; nor do rows
 without a vec_id; components and scores beyond a long become its largest or smallest value; vectors of different
-lengths do not meet; of rows of one vec_id the smallest vector counts; ties go to the smaller vec_id; an empty table
-gives an empty result; other columns do not matter.
+lengths do not meet; of a repeated vec_id every row is a candidate for other ids and every row is a query, whose
+results are pooled (so only the K first of rows equal in id and vector can matter); ties go to the smaller vec_id; an
+empty table gives an empty result; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ FOUND = "query_id long, vec_id long, score long"
 
 
 def quantised(df: DataFrame) -> DataFrame:
-    """vec_id, dim, v: floor(64 x) of every component as little-endian int64 bytes."""
+    """vec_id, dim, v: floor(64 x) of every component as little-endian int64 bytes; of equal rows the first K."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, dims, values = [], [], []
@@ -57,7 +58,8 @@ def quantised(df: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(dims, pa.int32()), pa.array(values, pa.binary())], names=["vec_id", "dim", "v"])
 
     rows = df.select("vec_id", "embedding").mapInArrow(run, VECTOR)
-    return rows.groupBy("vec_id").agg(F.min(F.struct("dim", "v")).alias("s")).select("vec_id", "s.dim", "s.v")
+    counts = rows.groupBy("vec_id", "dim", "v").agg(F.count("*").alias("n"))
+    return counts.select("vec_id", "dim", "v", F.explode(F.sequence(F.lit(1), F.least("n", F.lit(K)).cast("int"))).alias("_")).drop("_")
 
 
 def matrix(values, dim: int) -> np.ndarray:
@@ -133,13 +135,18 @@ class Search:
                 near = np.flatnonzero(largest(a.centre, a.norm, a.radius, b.centres, b.norms, b.radii) >= worst)
                 near = near[np.argsort(b.centres[near] @ a.centre, kind="stable")]
                 # children without children meet the queries together, the best ones of the others are next
-                last = [b.children[c].rows if b.children[c].radius else np.sort(b.children[c].rows)[: self.k + 1] for c in near.tolist() if not b.children[c].children]
+                last = [b.children[c].rows if b.children[c].radius else self.smallest(b.children[c].rows) for c in near.tolist() if not b.children[c].children]
                 stack += [(a, b.children[c]) for c in near.tolist() if b.children[c].children]
                 if last:
                     self.split(a, np.sort(np.concatenate(last)))
             else:
-                # equal vectors: only the smallest ids and one for the query itself can matter
-                self.split(a, np.sort(b.rows)[: None if b.radius else self.k + 1])
+                self.split(a, np.sort(b.rows) if b.radius else self.smallest(b.rows))
+
+    def smallest(self, rows: np.ndarray) -> np.ndarray:
+        """Of equal vectors, those that can matter: the rows of the k smallest ids and of one more, the query's own."""
+        rows = np.sort(rows)  # rows are in the order of ids
+        new = np.concatenate(([True], self.ids[rows[1:]] != self.ids[rows[:-1]]))
+        return rows[np.cumsum(new) <= self.k + 1]
 
     def split(self, a: Node, at: np.ndarray) -> None:
         for k in range(0, len(a.rows), QUERY_LEAF):
