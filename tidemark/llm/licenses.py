@@ -87,8 +87,8 @@ BODIES = (
     ("boost", 80, 1.0, "permission is hereby granted", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation"),
     ("bsd", 78, 1.0, "redistribution and use", "redistribution and use in source and binary forms with or without modification are permitted"),
     ("bsd", 76, 0.9, "redistributions", "redistributions (?:of source code|in binary form) must (?:retain|reproduce) the above copyright notice"),
-    ("bsd", 76, 0.95, "endorse or promote", "neither the names? of .{1,80}?may be used to endorse or promote products derived from this software"),
-    ("apache", 80, 1.0, "in compliance with the license", "you may not use this (?:file|work) except in compliance with the licen[sc]e"),
+    ("bsd", 76, 0.95, "endorse or promote", "may be used to endorse or promote products derived from this software"),
+    ("apache", 80, 1.0, "in compliance with the", "you may not use this (?:file|work) except in compliance with the licen[sc]e"),
     ("apache", 78, 0.95, "governing permissions", "see the licen[sc]e for the specific language governing permissions and limitations under the licen[sc]e"),
     ("gpl", 78, 1.0, "redistribute it", "you can redistribute it and or modify it under the terms of the gnu general public licen[sc]e"),
     ("lgpl", 79, 1.0, "redistribute it", "you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public licen[sc]e"),
@@ -103,11 +103,11 @@ BODIES = (
     ("cc0", 80, 1.0, "waived all copyright", "has waived all copyright and related or neighboring rights"),
     ("cc-by", 72, 0.9, "creative commons attribution", "this work is licen[sc]ed under (?:a|the) creative commons attribution(?: [1-4] [05])? (?:international |generic |unported )?licen[sc]e"),
     ("ofl", 80, 1.0, "this font software", "this font software is licen[sc]ed under the sil open font licen[sc]e"),
-    ("artistic", 78, 0.95, "artistic", "under the same terms as perl itself.{1,60}?artistic licen[sc]e"),
+    ("artistic", 78, 0.9, "perl itself", "under the same terms as perl itself"),
     ("warranty-disclaimer", 45, 0.7, "without warranty of any kind", "the software is provided as is without warranty of any kind express or implied"),
     ("warranty-disclaimer", 45, 0.7, "without any warranty", "(?:in the hope that it will be useful but )?without any warranty"),
     ("proprietary", 60, 0.9, "confidential", "(?:this (?:document|file|software) is|contains) (?:the )?(?:proprietary and confidential|confidential and proprietary)"),
-    ("proprietary", 60, 0.9, "unauthorized", "unauthorized (?:copying|use|distribution|reproduction)(?: [a-z]+){0,6} is strictly prohibited"),
+    ("proprietary", 60, 0.9, "unauthorized", "unauthorized (?:copying|use|distribution|reproduction)(?: of (?:this|these) (?:file|files|document|software|work|material|code))?(?: via any medium)? is strictly prohibited"),
 )
 
 
@@ -129,7 +129,7 @@ def rules() -> list[tuple[int, str, int, float, str, str]]:
 
 #: What every base phrase and every rule needs somewhere in the raw text.
 _GATE = rf"(?i)licen[sc]e|cc{_GAP}by|gpl|bsd{_GAP}|[234]{_GAP}clause|wtfpl|cc0|copyright|public{_GAP}domain|creative{_GAP}commons|all{_GAP}rights"
-_GATE += rf"|permission{_GAP}(?:is{_GAP}hereby|to{_GAP}use)|substantial{_GAP}portions|redistribut|endorse{_GAP}or{_GAP}promote|mozilla|eclipse|artistic|origin{_GAP}of{_GAP}this{_GAP}software"
+_GATE += rf"|permission{_GAP}(?:is{_GAP}hereby|to{_GAP}use)|substantial{_GAP}portions|redistribut|endorse{_GAP}or{_GAP}promote|perl{_GAP}itself|compliance{_GAP}with|mozilla|eclipse|artistic|origin{_GAP}of{_GAP}this{_GAP}software"
 _GATE += rf"|altered{_GAP}source|unencumbered|fuck{_GAP}you{_GAP}want|waived{_GAP}all|font{_GAP}software|without{_GAP}(?:any{_GAP})?warranty|confidential|unauthorized"
 
 
