@@ -60,3 +60,15 @@ def test_weak_rules_count_where_the_host_is_suspect(spark):
     assert Counter(r["doc_id"] for r in quality.stage(spark, docs, "").collect()) == kept
     out = quality.stage(spark, docs.withColumnRenamed("lang", "rule"), "")
     assert out.columns == ["doc_id", "text", "rule", "source", "n_chars"] and out.count() == sum(kept.values())
+
+
+def test_windows_whose_hashes_meet(spark, monkeypatch):
+    """With no or few bits of the hash left, different windows lie between equal ones."""
+    import random
+
+    rng = random.Random(4)
+    texts = ["a b c x y z a b c", "a b c d a b c", "a a a a b", "p q r s t u v"] + [" ".join(rng.choice("abcd") for _ in range(rng.randint(0, 40))) for _ in range(60)]
+    docs = spark.createDataFrame([(i, x, "en", "s", 1) for i, x in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    for bits in (0, 7 << 60):
+        monkeypatch.setattr(quality, "HASH_BITS", bits)
+        check(quality.quality(docs).collect(), list(enumerate(texts)))

@@ -31,13 +31,15 @@ RULES = ("base", "symbols", "lines")
 #: A host is suspect for a weak rule when its posterior mean less Z standard deviations exceeds this rate.
 SUSPECT_RATE, Z = 0.04, 1.2816
 SALTS = 16
+#: The bits of window hashes that count; all of them, fewer only in tests.
+HASH_BITS = -1
 
 
 def features(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words and the failures of RULES under a struct named rule.
 
     Three-word windows are hashed and packed with their position into one long, so that one primitive sort brings
-    equal windows together; neighbours with equal hash bits are compared word by word.
+    equal windows together; windows with equal hash bits are compared word by word.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
@@ -50,7 +52,7 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
     })
 
     def packed(x: Column, i: Column) -> Column:
-        window = F.xxhash64(x, F.get("_h", i + 1), F.get("_h", i + 2))
+        window = F.xxhash64(x, F.get("_h", i + 1), F.get("_h", i + 2)).bitwiseAND(F.lit(HASH_BITS))
         return window.bitwiseAND(F.bitwise_not(F.col("_low"))).bitwiseOR(i.cast("long"))
 
     out = out.withColumn("_packed", F.sort_array(F.transform(F.slice("_h", 1, F.col("_n")), packed)))
@@ -63,7 +65,14 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
             same = same & (F.get("_w", p + k) == F.get("_w", q + k))
         return F.coalesce(same, F.lit(False))
 
-    found = F.filter("_packed", lambda x, i: equal(x, F.get("_packed", i - 1)) | equal(x, F.get("_packed", i + 1)))
+    def repeated(x: Column, i: Column) -> Column:
+        low = F.col("_low")
+        near = [F.get("_packed", i - 1), F.get("_packed", i + 1)]
+        meets = F.coalesce(x.bitwiseOR(low) == near[0].bitwiseOR(low), F.lit(False)) | F.coalesce(x.bitwiseOR(low) == near[1].bitwiseOR(low), F.lit(False))
+        # one that shares its bits with neighbours but equals none of them may equal another of the same bits
+        return F.when(equal(x, near[0]) | equal(x, near[1]), True).when(meets, F.exists("_packed", lambda y: (y != x) & equal(x, y))).otherwise(False)
+
+    found = F.filter("_packed", repeated)
     out = out.withColumn("_at", found)
     out = out.withColumn("_at", F.sort_array(F.transform("_at", lambda x: x.bitwiseAND(F.col("_low")))))
     covered = F.aggregate(
