@@ -1,5 +1,7 @@
+from concurrent.futures import ThreadPoolExecutor
+
 import corpus_pipeline as pipeline
-from tidemark.llm import jaccard, packing, pii, quality, repeats
+from tidemark.llm import common, jaccard, packing, pii, quality, repeats
 
 
 def test_stages_follow_each_other(spark, small):
@@ -37,3 +39,19 @@ def test_stages_on_edge_and_empty_tables(spark, edge, empty, tmp_path):
             assert sorted((r["doc_id"] or 0) for r in docs.collect()) == [0, 0, 2**53 + 1]
         if start is empty:
             assert docs.count() == 0
+
+
+def test_two_pipelines_and_another_table_at_once(spark, small):
+    """Each scope deletes what it wrote itself and nothing else."""
+    mine = common.written(spark.range(5), "mine")
+    with ThreadPoolExecutor(2) as pool:
+        a, b = (sorted(map(tuple, f.result().collect())) for f in [pool.submit(pipeline.run, spark, small) for _ in range(2)])
+    assert a == b and a and mine.count() == 5
+    with common.Scope(spark) as scope:
+        one, two = common.written(spark.range(3), "one"), common.written(spark.range(4), "two")
+        scope.release(keep=1)
+        assert two.count() == 4 and len(scope.paths) == 1
+        with common.Scope(spark) as inner:
+            common.written(spark.range(2), "three")
+        assert len(inner.paths) == 1 and len(scope.paths) == 1
+    assert mine.count() == 5 and one.inputFiles() and not common.written(spark.range(1), "x").isEmpty()

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from contextvars import ContextVar
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,8 +30,32 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-#: The folders that written() made and nobody has released yet.
-TABLES: list[str] = []
+class Scope:
+    """Collects what written() writes inside a `with` block of this thread, and deletes it by release().
+
+    Scopes are apart from each other and from everything written outside, so that a pipeline only ever deletes its own
+    tables. Tables outside any scope are deleted when the application ends.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scope:
+        self._token = _SCOPE.set(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        _SCOPE.reset(self._token)
+
+    def release(self, keep: int = 0) -> None:
+        """Deletes the scope's tables but the last `keep`; for callers whose result is written and reads no others."""
+        gone, self.paths = self.paths[: len(self.paths) - keep], self.paths[len(self.paths) - keep :]
+        for path in gone:
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+_SCOPE: ContextVar[Scope | None] = ContextVar("scope", default=None)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -38,18 +63,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    TABLES.append(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    if scope := _SCOPE.get():
+        scope.paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession, keep: list[str]) -> None:
-    """Deletes the tables of written() but those to keep; for callers whose result is written and no longer reads them."""
-    for path in [x for x in TABLES if x not in keep]:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-        TABLES.remove(path)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
