@@ -20,13 +20,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows. What a stage and those before it have written is deleted once the stage's own result is.
+    """The last stage's rows. What a stage and those before it have written is deleted once the stage's own result is;
+    tables that others write meanwhile are not touched.
 
     Rows of null or repeated doc_ids and nulls in any column go through each stage as its docstring says; an empty
     documents table gives an empty result.
     """
-    others, docs = list(common.TABLES), common.read(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = common.written(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
-        common.release(spark, [*others, common.TABLES[-1]])
+    docs = common.read(spark, sf_dir, "documents")
+    with common.Scope(spark) as scope:
+        for name, stage in STAGES:
+            docs = common.written(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+            scope.release(keep=1)
     return docs
