@@ -11,6 +11,8 @@ DISPLAY = ("primary_pair", "recommendation", "position", "pred_class", "p_buy",
 STRONG = 0.65
 #: The pair that stands for a base currency.
 PREFERRED = {"EUR": "EUR/USD", "GBP": "GBP/USD", "AUD": "AUD/USD", "NZD": "NZD/USD", "USD": "USD/JPY"}
+#: Pairs of a universe at most.
+PAIRS_LIMIT = 10_000
 
 
 def classified(signals: DataFrame) -> DataFrame:
@@ -47,16 +49,27 @@ def currency_legs(signals: DataFrame, *keys: str) -> DataFrame:
     return out.withColumns({"score": d / F.col("n_total"), "dominant": F.when(d > 0, "long").when(d < 0, "short").otherwise("tie")})
 
 
-def pair_scores(legs: DataFrame, universe: DataFrame, *keys: str) -> DataFrame:
-    """Every pair of the universe with base - quote score; a currency without signals scores 0."""
+def _pairs(universe: DataFrame) -> list:
+    """The universe's pairs that have two currencies: a list of at most PAIRS_LIMIT, else an error."""
     p = fx.parse_pair(F.col("primary_pair"))
-    pairs = F.broadcast(universe.withColumn("p", p).where("p IS NOT NULL").select("universe_idx", "primary_pair", F.col("p.base").alias("base"), F.col("p.quote").alias("quote")))  # a fixed list of pairs
-    scores = legs.select(*keys, "currency", "score")
-    dates = legs.select(*keys).distinct()
-    grid = dates.withColumn("_one", F.lit(1)).join(pairs.withColumn("_one", F.lit(1)), "_one").drop("_one") if keys else pairs
-    out = grid
-    for leg in ("base", "quote"):
-        out = out.join(scores.select(*keys, F.col("currency").alias(leg), F.col("score").alias(f"{leg}_score")), [*keys, leg], "left").na.fill(0.0, [f"{leg}_score"])
+    rows = universe.withColumn("p", p).where("p IS NOT NULL").select("universe_idx", "primary_pair", F.col("p.base").alias("base"), F.col("p.quote").alias("quote")).limit(PAIRS_LIMIT + 1).collect()
+    if len(rows) > PAIRS_LIMIT:
+        raise ValueError(f"a universe has at most {PAIRS_LIMIT} pairs")
+    return rows
+
+
+def pair_scores(legs: DataFrame, universe: DataFrame, *keys: str) -> DataFrame:
+    """Every pair of the universe with base - quote score; a currency without signals scores 0.
+
+    A date's currencies are one map, the universe one array: its pairs are unfolded and looked up without a join.
+    """
+    rows = _pairs(universe)
+    kinds = {f.name: f.dataType for f in universe.schema.fields}
+    item = lambda r: F.struct(F.lit(r["universe_idx"]).cast(kinds["universe_idx"]).alias("universe_idx"), *(F.lit(r[c]).alias(c) for c in ("primary_pair", "base", "quote")))
+    pairs = F.array(*map(item, rows)) if rows else F.array().cast(f"array<struct<universe_idx:{kinds['universe_idx'].simpleString()},primary_pair:string,base:string,quote:string>>")
+    known = legs.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("currency", "score"))).alias("_s"))
+    out = known.select(*keys, "_s", F.inline(pairs))
+    out = out.withColumns({f"{leg}_score": F.coalesce(F.try_element_at("_s", F.col(leg)), F.lit(0.0)) for leg in ("base", "quote")}).drop("_s")
     raw = F.col("base_score") - F.col("quote_score")
     side = F.when(raw > 1e-9, "long").when(raw < -1e-9, "short").otherwise("neutral")
     return out.select(*keys, "universe_idx", "primary_pair", "base", "quote", F.round("base_score", 4).alias("base_score"), F.round("quote_score", 4).alias("quote_score"), F.round(raw, 4).alias("pair_score"), side.alias("expected_side"))
@@ -84,11 +97,13 @@ def kpis(signals: DataFrame) -> DataFrame:
 
 
 def modal_date(signals: DataFrame, metadata: DataFrame | None = None) -> DataFrame:
-    """forecast_date: the most frequent one, the smallest on a tie; else the metadata's."""
-    n = signals.where("forecast_date IS NOT NULL").groupBy("forecast_date").count()
+    """forecast_date: the most frequent date, the smallest on a tie; where no row has a date, the metadata's value of
+    target_forecast_date, its key in any case."""
+    day = F.date_format(F.col("forecast_date").cast("string").try_cast("date"), "yyyy-MM-dd")
+    n = signals.select(day.alias("forecast_date")).where("forecast_date IS NOT NULL").groupBy("forecast_date").count()
     best = n.orderBy(F.desc("count"), "forecast_date").limit(1).select("forecast_date", F.lit(0).alias("o"))
     if metadata is not None:
-        best = best.union(metadata.where("key = 'target_forecast_date'").select("value", F.lit(1)))
+        best = best.union(metadata.where(F.lower("key") == "target_forecast_date").select(F.col("value").cast("string"), F.lit(1)))
     return best.orderBy("o").limit(1).select("forecast_date")
 
 
@@ -98,7 +113,7 @@ def bias_orders(legs: DataFrame, universe: DataFrame, *keys: str) -> DataFrame:
     preferred = F.create_map(*[F.lit(x) for kv in PREFERRED.items() for x in kv])
     base = p.groupBy(F.col("p.base").alias("currency")).agg(F.min("primary_pair").alias("low"), F.max(F.when(F.col("primary_pair") == preferred[F.col("p.base")], F.col("primary_pair"))).alias("best")).select("currency", F.coalesce("best", "low").alias("pair"), F.lit(True).alias("as_base"))
     quote = p.groupBy(F.col("p.quote").alias("currency")).agg(F.min("primary_pair").alias("pair")).join(base, "currency", "left_anti").withColumn("as_base", F.lit(False))
-    table = F.broadcast(base.unionByName(quote))  # one row a currency of the fixed universe
+    table = base.unionByName(quote)  # one row a currency
     out = legs.where("dominant IN ('long', 'short')").join(table, "currency")
     return out.select(*keys, "currency", "dominant", "pair", ((F.col("dominant") == "long") == F.col("as_base")).alias("buy"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fx
@@ -17,7 +17,7 @@ from ..operators import screen as C
 from ..operators import signals as S
 from ..operators import sizing as Z
 from ..operators import stats as T
-from ..sources import files
+from ..sources import files, lines
 from ..sources import standins as X
 from ..streaming import lifecycle as L
 
@@ -170,9 +170,17 @@ def profile_tables(spark, sf):
     return R.profile(read("orders"), "orders", "o_orderkey").union(R.profile(read("customer"), "customer", "c_custkey"))
 
 
-@query("SELECT 'orders' AS name, count(*) AS n_rows, 6 AS n_columns, CAST(min(o_orderkey) AS VARCHAR) AS first, CAST(max(o_orderkey) AS VARCHAR) AS last, CAST(NULL AS VARCHAR) AS error FROM orders UNION ALL SELECT 'absent', NULL, NULL, NULL, NULL, 'missing'")
+@query("""
+SELECT 'orders' AS name, count(*) AS n_rows, 6 AS n_columns, CAST(min(o_orderkey) AS VARCHAR) AS first, CAST(max(o_orderkey) AS VARCHAR) AS last, CAST(NULL AS VARCHAR) AS error FROM orders
+UNION ALL SELECT 'customer', count(*), 5, CAST(min(c_custkey) AS VARCHAR), CAST(max(c_custkey) AS VARCHAR), NULL FROM customer
+UNION ALL SELECT * FROM (VALUES ('absent', NULL, NULL, NULL, NULL, 'missing'), ('corrupt', NULL, NULL, NULL, NULL, 'unreadable')) v
+""")
 def profile_manifest(spark, sf):
-    return R.manifest({"orders": spark.read.parquet(f"{sf}/orders.parquet"), "absent": None}, {"orders": "o_orderkey"})
+    """Two tables by their footers, one that is not there, and one whose file is no Parquet."""
+    bad = files.shared_path(spark, "corrupt")
+    spark.sql("SELECT 'no parquet' AS value").coalesce(1).write.text(bad)
+    paths = {"orders": (f"{sf}/orders.parquet", "o_orderkey"), "customer": (f"{sf}/customer.parquet", "c_custkey"), "absent": (f"{sf}/absent.parquet", "x"), "corrupt": (bad, "x")}
+    return R.manifest(spark, paths)
 
 
 LOG = "SELECT event_id AS line_no, CASE WHEN event_id % 3 = 0 THEN concat('Forecast ', CAST(event_id AS VARCHAR(12)), '/', CAST(event_id + 10 AS VARCHAR(12)), ' done') WHEN event_id % 3 = 1 THEN '  ' ELSE concat('note ', event_type) END AS line FROM events"
@@ -180,7 +188,21 @@ LOG = "SELECT event_id AS line_no, CASE WHEN event_id % 3 = 0 THEN concat('Forec
 
 @query(f"WITH l AS ({LOG}) SELECT CAST(max(TRY_CAST(regexp_extract(line, 'Forecast (\\d+)/(\\d+)', 1) AS INT)) AS INT) AS done, CAST(max(TRY_CAST(regexp_extract(line, 'Forecast (\\d+)/(\\d+)', 2) AS INT)) AS INT) AS total, arg_max(line, line_no) FILTER (WHERE trim(line) <> '') AS last_line FROM l")
 def profile_refresh_log(spark, sf):
-    return R.refresh_progress(X.sql(spark, sf, LOG))
+    """Of a log's lines as written to files, in their order there."""
+    return R.refresh_progress(lines.placed(spark, logged(spark, sf)), "place")
+
+
+def logged(spark: SparkSession, sf: str) -> str:
+    path = files.shared_path(spark, "log")
+    X.sql(spark, sf, LOG).repartitionByRange(4, "line_no").sortWithinPartitions("line_no").select("line").write.text(path)
+    return path
+
+
+@query(f"WITH l AS ({LOG}) SELECT row_number() OVER (ORDER BY line_no DESC) AS k, line FROM (SELECT * FROM l WHERE trim(line) <> '' ORDER BY line_no DESC LIMIT 20) q")
+def profile_log_tail(spark, sf):
+    """The last twenty lines of the log that are not blank, the last one first."""
+    d = lines.last(lines.placed(spark, logged(spark, sf)), 20)
+    return d.select(F.row_number().over(Window.orderBy(F.desc("place"))).cast("long").alias("k"), "line")
 
 
 PAIR = "s AS (SELECT w.symbol, ts, ln(close) AS l, coalesce(g.group_id, concat('asset:', w.symbol)) AS gr FROM w LEFT JOIN g ON g.symbol = w.symbol), pr0 AS (SELECT a.symbol AS y, b.symbol AS x, a.ts, a.l AS ly, b.l AS lx FROM s a JOIN s b ON a.ts = b.ts AND a.symbol < b.symbol AND a.gr <> b.gr), pr AS (SELECT * FROM pr0 QUALIFY count(*) OVER (PARTITION BY y, x) >= 20), ft AS (SELECT *, ly - (alpha + beta * lx) AS spread FROM (SELECT *, regr_slope(ly, lx) OVER (PARTITION BY y, x) AS beta, regr_intercept(ly, lx) OVER (PARTITION BY y, x) AS alpha FROM pr) q)"
@@ -601,12 +623,12 @@ def order_events(orders: DataFrame) -> DataFrame:
     return orders.select(F.col("o_orderkey").alias("order_id"), F.explode(F.array_compact(kinds)).alias("e")).select("order_id", "e.kind", "e.ts")
 
 
-@query("SELECT o_orderkey AS order_id, CASE WHEN o_orderstatus = 'F' THEN 'complete' ELSE 'timeout' END AS status, o_orderstatus = 'F' AND o_orderkey % 2 = 0 AS has_trade FROM orders WHERE o_orderdate < (SELECT max(o_orderdate) FROM orders)")
+@query("SELECT o_orderkey AS order_id, CASE WHEN o_orderstatus = 'F' THEN 'complete' ELSE 'timeout' END AS status, o_orderstatus = 'F' AND o_orderkey % 2 = 0 AS has_trade FROM orders")
 def stream_lifecycle(spark, sf):
-    """Orders as a stream of files. Those of the last day are still open: the watermark has not passed them."""
-    schema = spark.read.parquet(f"{sf}/orders.parquet").schema
+    """Orders as a stream of files; a clock moves time past the last ones."""
+    schema, path = spark.read.parquet(f"{sf}/orders.parquet").schema, files.shared_path(spark, "clock")
     orders = spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet").parquet(sf)
-    return L.drained(L.lifecycle(order_events(orders)), "stream_lifecycle")
+    return L.drained(L.lifecycle(order_events(orders), clock=L.clock(spark, path)), "stream_lifecycle", path)
 
 
 @query(f"WITH {BARS}, m AS ({MACRO}) SELECT m.symbol, count(ts) AS n, round(sum(volume), 6) AS volume FROM (SELECT DISTINCT symbol FROM m) m LEFT JOIN d ON d.symbol = m.symbol GROUP BY m.symbol")

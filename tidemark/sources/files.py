@@ -22,9 +22,12 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to a new path of the shared folder and reads it back: computed once, and safe from lost executors."""
-    path = shared_path(df.sparkSession, name)
+    """Writes df to a new path of the shared folder and reads it back: computed once, and safe from lost executors. The
+    table goes when the application ends."""
+    path, jvm = shared_path(df.sparkSession, name), df.sparkSession._jvm
     df.write.parquet(path)
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).deleteOnExit(where)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
