@@ -20,6 +20,7 @@ from ..operators import stats as T
 from ..sources import files, lines
 from ..sources import standins as X
 from ..streaming import lifecycle as L
+from . import twins as W
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -273,19 +274,34 @@ def pairs_find(spark, sf):
     return P.find(d, "Brand#1|Brand#2")
 
 
-@query()
+@query(f"WITH RECURSIVE {BARS}, {PAIR}, {W.COINTEGRATION} SELECT y, x, round(coint_t, 5) AS coint_t, round(pvalue, 6) AS pvalue FROM co")
 def pairs_cointegration(spark, sf):
-    return T.cointegration(*fitted(spark, sf))
+    d = T.cointegration(*fitted(spark, sf))
+    return d.withColumns({"coint_t": F.round("coint_t", 5), "pvalue": F.round("pvalue", 6)})
 
 
-@query()
+RETURNS = "rt AS (SELECT * FROM (SELECT y, x, ts, exp(ly - lag(ly) OVER o) - 1 AS ry, exp(lx - lag(lx) OVER o) - 1 AS rx FROM (SELECT * FROM pr QUALIFY row_number() OVER (PARTITION BY y, x ORDER BY ts DESC) <= 150) z WINDOW o AS (PARTITION BY y, x ORDER BY ts)) q WHERE ry IS NOT NULL AND rx IS NOT NULL)"
+
+
+@query(f"WITH RECURSIVE {BARS}, {PAIR}, {RETURNS}, {W.GRANGER} SELECT y, x, round(granger_p, 6) AS granger_p FROM gr")
 def pairs_granger(spark, sf):
-    return T.granger(P.returns(aligned(spark, sf)))
+    return rounded(T.granger(P.returns(aligned(spark, sf))), "granger_p")
 
 
-@query()
+RECENT = "w AS (SELECT * FROM w0 QUALIFY ts >= max(ts) OVER (PARTITION BY symbol) - INTERVAL 3650 DAY)"
+MOVES = f"e AS (SELECT ft.*, p, lag(spread) OVER (PARTITION BY y, x ORDER BY ts) AS prev FROM ft JOIN (SELECT y, x, quantile_cont(spread, [0.1, 0.3, 0.7, 0.9]) AS p FROM ft GROUP BY y, x) q USING (y, x)), {_episode_sql('high', 'spread >= p[4] AND (prev IS NULL OR prev < p[4])', 'spread <= p[3]')}, {_episode_sql('low', 'spread <= p[1] AND (prev IS NULL OR prev > p[1])', 'spread >= p[2]')}, mv AS (SELECT y, x, count(*) FILTER (WHERE kind = 'high') AS n_high, avg(hours) FILTER (WHERE kind = 'high') AS high_hours, count(*) FILTER (WHERE kind = 'low') AS n_low, avg(hours) FILTER (WHERE kind = 'low') AS low_hours FROM (SELECT * FROM high UNION ALL SELECT * FROM low) b GROUP BY y, x)"
+STAT_SQL = "n, round(alpha, 6) AS alpha, round(beta, 6) AS beta, round(latest, 6) AS latest, round(hl, 6) AS half_life_bars, round(CASE WHEN gap > 0 THEN hl * gap END, 6) AS half_life_hours, round(z, 6) AS z, CASE WHEN n < 20 THEN 'Insufficient history for Z-score' WHEN sd < 1e-12 THEN 'Spread std ~ 0' WHEN z > 2 THEN 'Short Y / Long X' WHEN z < -2 THEN 'Long Y / Short X' ELSE 'Neutral' END AS signal, round(p[1], 6) AS p10, round(p[2], 6) AS p30, round(p[3], 6) AS p50, round(p[4], 6) AS p70, round(p[5], 6) AS p90, round((below + upto + CASE WHEN upto > below THEN 1 ELSE 0 END) * 50.0 / n, 6) AS percentile, abs(beta - 1) < 0.04 AND n >= 10 AND r >= 0.997 AS near_duplicate"
+
+
+@query(f"""
+WITH RECURSIVE {BARS.replace('w AS', 'w0 AS', 1)}, {RECENT}, {PAIR}, {STATS}, {W.COINTEGRATION}, {MOVES}
+SELECT st.y, st.x, {STAT_SQL}, round(coint_t, 5) AS coint_t, round(pvalue, 6) AS pvalue, n_high, round(high_hours, 6) AS high_hours, n_low, round(low_hours, 6) AS low_hours
+FROM st JOIN co ON co.y = st.y AND co.x = st.x JOIN mv ON mv.y = st.y AND mv.x = st.x
+WHERE NOT (abs(beta - 1) < 0.04 AND n >= 10 AND r >= 0.997) AND co.pvalue <= 0.5 AND n_high >= 1 AND n_low >= 1 ORDER BY co.pvalue, st.y, st.x LIMIT 200
+""")
 def scan_all_pairs(spark, sf):
-    return C.scan(weekly(spark, sf), groups(spark, sf), days=3650, least=20, events=1, p_limit=0.5)
+    d = C.scan(weekly(spark, sf), groups(spark, sf), days=3650, least=20, events=1, p_limit=0.5)
+    return rounded(d, *STAT_COLUMNS, "pvalue", "high_hours", "low_hours").withColumn("coint_t", F.round("coint_t", 5))
 
 
 @query()
@@ -578,9 +594,20 @@ ORDERS = f"SELECT o_orderkey AS order_id, u.primary_pair, o_custkey AS account_i
 INSTRUMENTS = "SELECT primary_pair AS instrument, CAST(1000.0 AS DOUBLE) AS base_unit_size, CAST(2000.0 AS DOUBLE) AS min_quantity, CAST(50000.0 AS DOUBLE) AS max_quantity FROM (" + X.PAIRS + ") u"
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {PATHS.format(quotes=X.QUOTES)}, {EQUITY.replace('SELECT account_id,', 'SELECT account_id AS account,')}, od AS ({ORDERS}), qt AS ({X.QUOTES}),
+j AS (SELECT od.*, qt.bid, qt.ask, qt.digits, qt.subscription_status AS st, qt.instrument AS ins, eq.amount AS equity, eq.src AS money, substring(od.primary_pair, 1, 3) AS base
+  FROM od LEFT JOIN qt ON qt.instrument = od.primary_pair LEFT JOIN eq ON eq.account = od.account_id),
+k AS (SELECT j.*, coalesce(lots, equity * pct_equity / 100 * leverage * CASE WHEN money = base THEN 1 ELSE mult END / 1000) AS want FROM j LEFT JOIN best ON best.src = j.money AND best.dst = j.base),
+s AS (SELECT *, floor(least(want, 100) + 1e-9) AS steps, CASE WHEN ins IS NULL THEN 'no offer' WHEN st <> 'T' THEN 'not subscribed' WHEN NOT (bid > 0 AND ask >= bid) THEN 'bad quote' WHEN equity IS NULL THEN 'no equity' WHEN want IS NULL THEN 'no conversion' END AS bad FROM k),
+g AS (SELECT *, coalesce(bad, CASE WHEN want <= 0 THEN 'no lots' WHEN steps < 1 THEN 'below one step' END) AS error, least(greatest(steps * 1000, 2000), 50000) AS size, pow(10.0, least(greatest(digits, 1), 10)) AS ten FROM s)
+SELECT order_id, primary_pair, is_buy, CASE WHEN error IS NULL THEN size END AS amount, CASE WHEN error IS NULL THEN round(size / 1000, 6) END AS lots,
+  CASE WHEN error IS NULL THEN round(round(CASE WHEN is_buy THEN ask * 0.99 ELSE bid * 1.01 END * ten) / ten, 6) END AS stop_rate, error
+FROM g
+""")
 def sizing_basket(spark, sf):
-    return Z.size_basket(X.sql(spark, sf, ORDERS), X.sql(spark, sf, ACCOUNTS), spark.sql(X.QUOTES), rates(spark), spark.sql(INSTRUMENTS))
+    d = Z.size_basket(X.sql(spark, sf, ORDERS), X.sql(spark, sf, ACCOUNTS), spark.sql(X.QUOTES), rates(spark), spark.sql(INSTRUMENTS))
+    return rounded(d, "lots", "stop_rate")
 
 
 @query("SELECT o_orderkey AS order_id, CASE WHEN o_totalprice / 50000 <= 0 THEN 'no lots' WHEN floor(o_totalprice / 50000 + 1e-9) < 1 THEN 'below one step' END AS error, CASE WHEN floor(o_totalprice / 50000 + 1e-9) >= 1 THEN least(greatest(floor(least(o_totalprice / 50000, 100) + 1e-9), 2) * 1000, 5000.0) END AS amount, round(least(greatest(round_even(o_totalprice * 5 / 100 * 10 / 100000, 0), 1.0), 3.0), 6) AS placeholder FROM orders")
