@@ -89,3 +89,31 @@ def test_pair_scores_without_joins(spark):
     assert {(r["day"], r["primary_pair"], r["pair_score"], r["expected_side"]) for r in d.collect()} == {("d1", "EUR/USD", 0.75, "long"), ("d1", "USD/JPY", -0.25, "short"), ("d2", "EUR/USD", 0.0, "neutral"), ("d2", "USD/JPY", -1.0, "short")}
     assert "Join" not in d._jdf.queryExecution().executedPlan().toString()
     assert signals.pair_scores(legs, universe.limit(0), "day").count() == 0 and signals.pair_scores(legs.limit(0), universe, "day").count() == 0
+
+
+def test_stored_bars_are_joined_without_a_shuffle(spark, tmp_path):
+    import uuid
+
+    from tidemark.operators import gram
+    from tidemark.sources import stored
+
+    rows = [(s, T0 + timedelta(days=d), 10.0 + d + len(s)) for s in ("A", "BB", "CCC", "D") for d in range(40)]
+    bars = spark.createDataFrame(rows, "symbol string, ts timestamp, close double")
+    name = f"bars_{uuid.uuid4().hex}"
+    stored.store(bars.where(F.col("ts") < T0 + timedelta(days=30)), name, 4)
+    stored.upsert(bars.withColumn("close", F.when((F.col("symbol") == "A") & (F.col("ts") == T0), 99.0).otherwise(F.col("close"))), name)
+    assert spark.table(name).where("batch = 1").count() == 41  # ten new days of each, one changed bar
+    stored.upsert(stored.read(spark, name), name)
+    assert spark.table(name).agg(F.max("batch")).head()[0] == 1
+    read = stored.read(spark, name)
+    assert read.count() == 160 and read.where("symbol = 'A'").orderBy("ts").first()["close"] == 99.0
+    assert "Exchange" not in read._jdf.queryExecution().executedPlan().toString()
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        met = gram.rows_of(read, spark.createDataFrame([("A", "BB"), ("CCC", "D")], "y string, x string"))
+        plan = met._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(symbol") == 1 and plan.count("Exchange") == 2, plan  # the asking side, and the pairs
+        assert met.count() == 80
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)

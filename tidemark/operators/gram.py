@@ -90,10 +90,18 @@ def fits(bars: DataFrame, groups: DataFrame | None = None, least: int = 30) -> D
 
 
 def rows_of(bars: DataFrame, pairs: DataFrame) -> DataFrame:
-    """y, x, ts, ly, lx and the pairs' other columns: the common bars of these pairs alone."""
-    side = logs(bars)
-    left = pairs.join(side.select(F.col("symbol").alias("y"), "ts", F.col("l").alias("ly")), "y")
-    return left.join(side.select(F.col("symbol").alias("x"), "ts", F.col("l").alias("lx")), ["x", "ts"]).select(*KEY, "ts", "ly", "lx", *(c for c in pairs.columns if c not in KEY))
+    """y, x, ts, ly, lx and the pairs' other columns: the common bars of these pairs alone.
+
+    Each pair asks for its two legs by symbol (bars in buckets of symbols are not shuffled for that), legs meet by pair,
+    in the one shuffle of pair rows there is: windows and aggregates by pair that follow need none.
+    """
+    more = [c for c in pairs.columns if c not in KEY]
+    leg = lambda c: F.struct(F.col(c).alias("symbol"), F.lit(c == "y").alias("_y"))
+    asked = pairs.select(*pairs.columns, F.inline(F.array(leg("y"), leg("x"))))
+    both = asked.join(bars.where("close > 0").select("symbol", "ts", F.ln("close").alias("_l")), "symbol").repartition(*KEY)
+    side = lambda own: F.max(F.when(F.col("_y") == F.lit(own), F.col("_l")))
+    met = both.groupBy(*KEY, "ts").agg(side(True).alias("ly"), side(False).alias("lx"), *(F.first(c).alias(c) for c in more))
+    return met.where("ly IS NOT NULL AND lx IS NOT NULL")
 
 
 def fitted(bars: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -19,6 +20,7 @@ from ..operators import sizing as Z
 from ..operators import stats as T
 from ..sources import files, lines
 from ..sources import standins as X
+from ..sources import stored
 from ..streaming import lifecycle as L
 from . import twins as W
 
@@ -681,6 +683,18 @@ def source_cache(spark, sf):
     return rounded(d.groupBy("symbol").agg(F.count("*").alias("n"), F.sum("volume").alias("volume")), "volume")
 
 
+@query(f"WITH {BARS} SELECT symbol, count(*) AS n, round(sum(close), 6) AS total, CAST(max(ts) AS VARCHAR) AS last FROM w GROUP BY symbol")
+def source_stored(spark, sf):
+    """Bars in buckets of symbols: an early part with some wrong closes, then all bars upserted, twice."""
+    bars, name = files.kept(weekly(spark, sf), "bars"), f"bars_{uuid.uuid4().hex}"
+    early = bars.where("ts < TIMESTAMP '2000-01-01'").withColumn("close", F.when(F.dayofyear("ts") < 60, F.col("close") + 1).otherwise(F.col("close")))
+    stored.store(early, name)
+    for _ in range(2):
+        stored.upsert(bars, name)
+    d = stored.read(spark, name).groupBy("symbol").agg(F.count("*").alias("n"), F.round(F.sum("close"), 6).alias("total"), F.max("ts").cast("string").alias("last"))
+    return d
+
+
 @query(f"WITH {CLASSIFIED} SELECT 'data_through_date' AS key, max(forecast_date) AS value FROM sg UNION ALL SELECT 'signals', CAST(count(*) AS VARCHAR) FROM sg")
 def source_metadata(spark, sf):
     wide = signals(spark, sf).agg(F.max("forecast_date").alias("data_through_date"), F.count("*").alias("signals"))
