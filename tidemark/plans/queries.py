@@ -306,10 +306,31 @@ def scan_all_pairs(spark, sf):
     return rounded(d, *STAT_COLUMNS, "pvalue", "high_hours", "low_hours").withColumn("coint_t", F.round("coint_t", 5))
 
 
-@query()
+FITTED = "ft AS (SELECT *, ly - (alpha + beta * lx) AS spread FROM (SELECT *, regr_slope(ly, lx) OVER (PARTITION BY y, x) AS beta, regr_intercept(ly, lx) OVER (PARTITION BY y, x) AS alpha FROM pr) q)"
+LEGS_MET = "pr AS (SELECT p.y, p.x, a.ts, ln(a.close) AS ly, ln(b.close) AS lx FROM want p JOIN d a ON a.symbol = p.y JOIN d b ON b.symbol = p.x AND b.ts = a.ts QUALIFY count(*) OVER (PARTITION BY p.y, p.x) >= 30)"
+LAST_MET = LEGS_MET.replace("pr AS", "pa AS", 1) + ", pr AS (SELECT * FROM pa QUALIFY row_number() OVER (PARTITION BY y, x ORDER BY ts DESC) <= 150)"
+
+
+@query(f"""
+WITH {BARS}, {ADV}, {TOP}, p AS ({PRESETS}), {LEGS},
+bound AS (SELECT preset_idx, category, a.rep AS y, b.rep AS x, l.rep AS lead, f.rep AS follow FROM p JOIN r a ON a.symbol = sym_a JOIN r b ON b.symbol = sym_b JOIN r l ON l.symbol = leader JOIN r f ON f.symbol = follower
+  WHERE a.rep <> b.rep AND l.rep IS NOT NULL AND f.rep IS NOT NULL),
+want AS (SELECT y, x FROM bound UNION SELECT follow, lead FROM bound WHERE follow <> lead),
+res AS (
+  SELECT bound.*, s.beta, coalesce(c.pvalue, 1) AS pvalue, g.granger_p, h.hl AS days, s.z, s.n, s.sd
+  FROM bound JOIN (WITH {LEGS_MET}, {FITTED}, {STATS} SELECT * FROM st) s ON s.y = bound.y AND s.x = bound.x
+  LEFT JOIN (WITH {LAST_MET}, {FITTED}, {STATS} SELECT * FROM st) h ON h.y = bound.y AND h.x = bound.x
+  LEFT JOIN (WITH RECURSIVE {LAST_MET}, {FITTED}, {W.COINTEGRATION} SELECT * FROM co) c ON c.y = bound.y AND c.x = bound.x
+  LEFT JOIN (WITH RECURSIVE {LEGS_MET}, {RETURNS}, {W.GRANGER} SELECT * FROM gr) g ON g.y = follow AND g.x = lead),
+gate AS (SELECT *, pvalue < 0.05 AS pass_coint, coalesce(granger_p < 0.05, false) AS pass_granger, coalesce(days BETWEEN 0.5 AND 2.0, false) AS pass_half_life FROM res)
+SELECT preset_idx, category, y, x, lead AS leader, follow AS follower, round(beta, 6) AS beta, round(pvalue, 6) AS pvalue, round(granger_p, 6) AS granger_p, round(days, 6) AS half_life_days, round(z, 6) AS z,
+  CASE WHEN n < 20 THEN 'Insufficient history for Z-score' WHEN sd < 1e-12 THEN 'Spread std ~ 0' WHEN z > 2 THEN 'Short Y / Long X' WHEN z < -2 THEN 'Long Y / Short X' ELSE 'Neutral' END AS signal,
+  pass_coint, pass_granger, pass_half_life, pass_coint AND pass_granger AND pass_half_life AS passed FROM gate
+""")
 def screen_presets(spark, sf):
-    d = daily(spark, sf)
-    return C.screen(d, spark.sql(PRESETS), B.rank_by_volume(d, groups(spark, sf)), groups(spark, sf), 24.0)
+    d = files.kept(daily(spark, sf), "bars")
+    out = C.screen(d, spark.sql(PRESETS), B.rank_by_volume(d, groups(spark, sf)), groups(spark, sf), 24.0)
+    return rounded(out, "beta", "pvalue", "granger_p", "half_life_days", "z")
 
 
 @query(f"WITH {BARS}, q AS (SELECT symbol, CAST(ts AS DATE) AS day, arg_min(close, ts) AS c FROM d WHERE symbol IN ('Brand#1', 'Brand#2') GROUP BY 1, 2) SELECT strftime(a.day, '%Y-%m-%d') AS day, round(ln(a.c), 6) AS ly, round(ln(b.c), 6) AS lx FROM q a JOIN q b ON a.day = b.day AND a.symbol = 'Brand#1' AND b.symbol = 'Brand#2' QUALIFY count(*) OVER () >= 60")
