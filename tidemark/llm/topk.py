@@ -3,7 +3,8 @@
 Vectors are dealt into blocks of bounded size by their nearest pivot, round by round: a cell that is still too large
 gets pivots of its own, from a sample of its rows (pivots only place rows). Every block has a cover tree of its data
 and one of its queries: a node of level l holds rows within 2^l of its centre, a row; its children, of level l - 1,
-have centres more than 2^(l - 1) apart, the first one its own. A pair of a query node and a data node is left out when
+have centres more than 2^(l - 1) apart, the first one its own; a node of few rows, or of rows nearly as far apart as
+they are from its centre, has none. A pair of a query node and a data node is left out when
 its largest possible product, c_q.c_d + r_q |c_d| + r_d |c_q| + r_q r_d, is below the worst kth score of the node's
 queries; the radii are the covering radii. Pairs of whole blocks are pruned first, by the blocks' roots and the kth
 scores that queries find in their own block, then single queries by the block's root; what is left is searched block by
@@ -35,6 +36,8 @@ K, EVERY, SCALE = 20, 20, 64
 #: Rows of a block; pivots of the first round; pivots of a cell that is split again; rounds.
 BLOCK_ROWS, PIVOTS, SUB_PIVOTS, ROUNDS = 4096, 512, 16, 8
 LEAF, QUERY_LEAF = 256, 64
+#: Rows so far apart that a node would have a child for fewer than CROWD of them stay a leaf: no radius tells them apart.
+CROWD = 8
 LONG = np.iinfo(np.int64)
 VECTOR = "vec_id long, dim int, v binary"
 FOUND = "query_id long, vec_id long, score long"
@@ -89,6 +92,8 @@ class Node:
         square = (points**2).sum(axis=1)
         least, nearest, home, centres = 4.0 ** (self.level - 1) * (1 + 1e-9), apart**2, np.zeros(len(rows), dtype=np.int64), [centre]
         while nearest[pick := int(nearest.argmax())] > least:
+            if len(centres) * CROWD > len(rows):
+                return
             d = square + (square[pick] - 2 * (points @ points[pick]))
             d[pick] = 0
             closer = d < nearest
@@ -158,6 +163,8 @@ class Search:
         hit = (score >= self.kth[rows][:, None]) & (self.ids[at] != self.q_ids[rows][:, None])
         for r in np.flatnonzero(hit.any(axis=1)).tolist():
             i, new = int(rows[r]), np.flatnonzero(hit[r])
+            if len(new) > 4 * self.k:  # the k best and their ties are enough
+                new = new[score[r, new] >= np.partition(score[r, new], len(new) - self.k)[len(new) - self.k]]
             s = np.concatenate((self.score[i], score[r, new]))
             f = np.concatenate((self.found[i], self.ids[at[new]]))
             if len(s) > self.k:
