@@ -146,3 +146,28 @@ def test_both_spellings_of_a_body(spark):
     texts = ["You may not use this file except in compliance with the Licence.", "You may not use this file except in compliance with the License."]
     docs = spark.createDataFrame([(i, x, "en", "s", 1) for i, x in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     assert [r["l"] for r in licenses.scan(docs).orderBy("doc_id").selectExpr("licence.labels AS l").collect()] == ["apache", "apache"]
+
+
+def test_each_hand_written_rule_has_a_text_that_matches_and_one_that_does_not():
+    written = [(k, p) for _, _, _, k, p in licenses.BODIES] + [(k, p) for _, k, p in licenses.NOTICES]
+    assert len(written) > 110 and len({p for _, p in written}) == len(written)
+    for _, p in written:
+        rule = re.compile(rf"(?<![^ ]){p}(?![^ ])")
+        assert all(rule.fullmatch(x) for x in spellings(p))
+        x = min(spellings(p), key=len)  # without optional parts
+        w = x.split()
+        assert not rule.search("un" + x) and not rule.search(x + "ing") and (len(w) == 1 or not rule.search(" ".join([*w[: len(w) // 2], "zzz", *w[len(w) // 2 :]])))
+
+
+def test_notices_in_context(spark):
+    texts = {
+        "apache": "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS,",
+        "gpl": "You should have received a copy of the GNU General Public License along with this program.", "cc-by-nc-sa": "Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International",
+        "bsd": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.", "ofl": "This Font Software is licensed under the SIL Open Font License, Version 1.1.",
+        "perl": "you can redistribute it and/or modify it under the same terms as Perl itself.", "mpl": "The contents of this file are subject to the Mozilla Public License Version 1.1",
+    }
+    docs = spark.createDataFrame(list(enumerate(texts.values())), "doc_id long, text string")
+    rows = licenses.scan(docs).orderBy("doc_id").select("doc_id", *(f"licence.{c}" for c in COLUMNS[1:])).collect()
+    check(rows, docs)
+    for r, label in zip(rows, texts, strict=True):
+        assert label in r["labels"].split(","), (label, r["labels"])

@@ -111,8 +111,116 @@ BODIES = (
 )
 
 
+#: Further notices, sentences and names, as words; label, keyword, expression. They share one priority and
+#: confidence.
+NOTICES = (
+    ("mit", "to deal in the software", "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicen[sc]e and or sell copies of the software"),
+    ("mit", "expressly mit licen", "this (?:project|library|program|package) is expressly mit licen[sc]ed"),
+    ("mit", "mit licen", "(?:code|project|library|package) is mit licen[sc]ed"),
+    ("mit", "mit licen", "see the licen[sc]e file for the full text of the mit licen[sc]e"),
+    ("isc", "with or without fee", "use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("0bsd", "free public licen", "free public licen[sc]e 1 0 0"),
+    ("bsd", "must retain the above copyright", "source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", "must reproduce the above copyright", "binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation"),
+    ("bsd", "copyright holders and contributors", "this software is provided by the copyright holders and contributors as is"),
+    ("bsd", "bsd style", "(?:governed|covered) by a bsd style licen[sc]e"),
+    ("bsd", "bsd style", "bsd style licen[sc]e that can be found in the licen[sc]e file"),
+    ("bsd-3-clause-clear", "no express or implied licen", "no express or implied licen[sc]es to any party s patent rights are granted by this licen[sc]e"),
+    ("apache", "obtain a copy of the licen", "you may obtain a copy of the licen[sc]e at http www apache org licen[sc]es licen[sc]e 2 0"),
+    ("apache", "licensed to the apache software foundation", "licensed to the apache software foundation asf under one or more contributor licen[sc]e agreements"),
+    ("apache", "unless required by applicable law", "unless required by applicable law or agreed to in writing software distributed under the licen[sc]e is distributed on an as is basis"),
+    ("apache", "perpetual worldwide", "a perpetual worldwide non exclusive no charge royalty free irrevocable copyright licen[sc]e to reproduce"),
+    ("apache", "appendix how to apply", "appendix how to apply the apache licen[sc]e to your work"),
+    ("gpl", "distributed in the hope that it will be useful", "this program is distributed in the hope that it will be useful but without any warranty"),
+    ("gpl", "merchantability or fitness", "without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public licen[sc]e"),
+    ("gpl", "received a copy of the gnu general", "you should have received a copy of the gnu general public licen[sc]e along with"),
+    ("gpl", "free software foundation either version", "published by the free software foundation either version [1-3] of the licen[sc]e"),
+    ("gpl", "verbatim copies", "everyone is permitted to copy and distribute verbatim copies of this licen[sc]e document"),
+    ("gpl", "take away your freedom", "the licen[sc]es for most software(?: and other practical works)? are designed to take away your freedom to share and change"),
+    ("gpl", "gpl compatible", "gpl compatible free software licen[sc]e"),
+    ("gpl", "version 2 only", "gnu general public licen[sc]e version 2 only"),
+    ("gpl", "any later version", "under the gpl version [1-3] or any later version"),
+    ("gpl-exception", "linking exception", "gpl(?: v2| v3)? with (?:a )?linking exception"),
+    ("gpl-exception", "classpath exception", "gpl(?: v2)? with (?:the )?classpath exception"),
+    ("gpl-exception", "as a special exception", "as a special exception the copyright holders of this library give you permission to link this library"),
+    ("gpl-exception", "font exception", "gpl with font exception"),
+    ("lgpl", "received a copy of the gnu lesser", "you should have received a copy of the gnu lesser general public licen[sc]e along with"),
+    ("lgpl", "received a copy of the gnu library", "you should have received a copy of the gnu library general public licen[sc]e along with"),
+    ("agpl", "received a copy of the gnu affero", "you should have received a copy of the gnu affero general public licen[sc]e along with"),
+    ("agpl", "remote network interaction", "remote network interaction use with the gnu general public licen[sc]e"),
+    ("gfdl", "free documentation", "gnu free documentation licen[sc]e"),
+    ("gfdl", "invariant sections", "with no invariant sections no front cover texts and no back cover texts a copy of the licen[sc]e"),
+    ("mpl", "mpl was not distributed", "if a copy of the mpl was not distributed with this file you can obtain one at(?: https?)? mozilla org mpl 2 0"),
+    ("mpl", "incompatible with secondary licen", "this source code form is incompatible with secondary licen[sc]es as defined by the mozilla public licen[sc]e"),
+    ("mpl", "the contents of this file are subject", "the contents of this file are subject to the mozilla public licen[sc]e version 1 [01]"),
+    ("epl", "accompanies this distribution", "the eclipse public licen[sc]e which accompanies this distribution"),
+    ("edl", "eclipse distribution", "made available under the eclipse distribution licen[sc]e"),
+    ("cddl", "subject to the terms of the common development", "the contents of this file are subject to the terms of the common development and distribution licen[sc]e"),
+    ("cddl", "include this cddl header", "include this cddl header notice in each file and include the licen[sc]e file"),
+    ("cpl", "common public licen", "terms of the common public licen[sc]e which accompanies this distribution"),
+    ("ipl", "ibm public", "ibm public licen[sc]e(?: version)?(?: 1 0)?"),
+    ("osl", "open software licen", "open software licen[sc]e(?: version)? [1-3] [01]"),
+    ("afl", "academic free", "academic free licen[sc]e(?: version)? [1-3] [01]"),
+    ("ecl", "educational community", "educational community licen[sc]e(?: version)?(?: 2 0)?"),
+    ("eupl", "eupl", "licen[sc]ed under the eupl(?: version 1 [0-2]| v1 [0-2])?"),
+    ("cecill", "cecill", "governed by the cecill(?: b| c)? licen[sc]e under french law"),
+    ("ms-pl", "microsoft public", "this licen[sc]e governs use of the accompanying software microsoft public licen[sc]e"),
+    ("ms-limited", "microsoft software licen", "microsoft software licen[sc]e terms"),
+    ("libpng", "png", "(?:png reference library licen[sc]e(?: version 2)?|libpng licen[sc]e)"),
+    ("boost", "boost software licen", "distributed under the boost software licen[sc]e version 1 0 see accompanying file"),
+    ("unlicense", "relinquishment in perpetuity", "overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law"),
+    ("wtfpl", "you just do what the fuck", "you just do what the fuck you want to"),
+    ("cc0", "no copyright", "no copyright the person who associated a work with this deed has dedicated the work to the public domain"),
+    ("cc0", "cc0 1 0 universal", "cc0 1 0 universal(?: public domain dedication)?"),
+    ("cc-by", "creative commons by", "creative commons by(?: [1-4] [05])? licen[sc]e"),
+    ("cc-by", "attribution 4 0 international", "creative commons attribution 4 0 international"),
+    ("cc-by", "give appropriate credit", "you must give appropriate credit provide a link to the licen[sc]e and indicate if changes were made"),
+    ("cc-by-sa", "same license as the original", "you must distribute your contributions under the same license as the original"),
+    ("cc-by-sa", "sharealike", "creative commons attribution sharealike [1-4] [05](?: international| unported| generic)?"),
+    ("cc-by-nc", "noncommercial", "creative commons attribution noncommercial [1-4] [05](?: international| unported| generic)?"),
+    ("cc-by-nc-sa", "noncommercial sharealike", "creative commons attribution noncommercial sharealike [1-4] [05](?: international| unported| generic)?"),
+    ("cc-by-nc-nd", "noncommercial noderiv", "creative commons attribution noncommercial noderiv(?:ative)?s [1-4] [05](?: international| unported| generic)?"),
+    ("cc-by-nd", "noderiv", "creative commons attribution noderiv(?:ative)?s [1-4] [05](?: international| unported| generic)?"),
+    ("cc-pd-mark", "public domain mark", "public domain mark 1 0"),
+    ("ofl", "reserved font name", "copyright (?:19|20)[0-9][0-9] with reserved font name"),
+    ("ofl", "font software is furnished", "font software is furnished subject to the sil open font licen[sc]e"),
+    ("odbl", "open database licen", "made available under the open database licen[sc]e any rights in individual contents"),
+    ("odc-by", "open data commons attribution", "open data commons attribution licen[sc]e"),
+    ("pddl", "public domain dedication and licen", "public domain dedication and licen[sc]e(?: version)?(?: 1 0)?"),
+    ("ogl", "open government", "open government licen[sc]e(?: version)?(?: [1-3] 0)?"),
+    ("openssl", "openssl toolkit", "redistributions of any form whatsoever must retain this product includes software developed by the openssl project for use in the openssl toolkit"),
+    ("ssleay", "ssleay", "(?:original )?ssleay licen[sc]e"),
+    ("php", "php licen", "php licen[sc]e(?: version)?(?: 3 01| 3 0)?"),
+    ("ruby", "ruby", "you can redistribute it and or modify it under (?:the same terms as ruby|either the terms of the 2 clause bsdl ruby)"),
+    ("perl", "perl itself", "(?:redistribute it and or modify it under the same terms as|redistribute it under the terms of) perl itself"),
+    ("vim", "vim licen", "distributed under the vim licen[sc]e"),
+    ("tcl", "tcl", "tcl tk licen[sc]e(?: terms)?"),
+    ("postgresql", "postgresql", "released under the postgresql licen[sc]e a liberal open source licen[sc]e"),
+    ("sleepycat", "sleepycat", "sleepycat(?: software)?(?: public)? licen[sc]e"),
+    ("curl", "curl licen", "curl licen[sc]e(?: mit x derivate)?"),
+    ("beerware", "beer ware", "the beer ware licen[sc]e(?: revision 42)?"),
+    ("elastic", "elastic licen", "elastic licen[sc]e(?: version)?(?: 2 0)?"),
+    ("sspl", "server side public", "server side public licen[sc]e(?: version)?(?: 1)?"),
+    ("busl", "business source", "business source licen[sc]e(?: version)?(?: 1 1)?"),
+    ("commons-clause", "commons clause", "commons clause licen[sc]e condition(?: version)?(?: 1 0)?"),
+    ("polyform", "polyform", "polyform (?:noncommercial|shield|strict|small business|free trial) licen[sc]e"),
+    ("openrail", "openrail", "(?:creativeml|bigscience|big code|bigcode) openrail(?: m)? licen[sc]e"),
+    ("llama", "llama", "llama [2-4](?: [1-9])? community licen[sc]e(?: agreement)?"),
+    ("proprietary", "trade secret", "contains (?:valuable )?trade secrets? and confidential information"),
+    ("proprietary", "internal use only", "confidential for internal use only"),
+    ("proprietary", "end user licen", "end user licen[sc]e agreement"),
+    ("proprietary", "non transferable", "non exclusive non transferable(?: limited)? licen[sc]e"),
+    ("academic-use", "academic", "licen[sc]ed for academic (?:and research )?use only"),
+    ("warranty-disclaimer", "in no event shall the copyright", "in no event shall the copyright (?:owners?|holders?)(?: or contributors)? be liable for any"),
+    ("copyright", "copyright held by", "copyright held by the owner authors?"),
+    ("copyright", "rights licensed", "publication rights licensed to"),
+)
+NOTICE_PRIORITY, NOTICE_CONFIDENCE = 77, 0.9
+
+
 def rules() -> list[tuple[int, str, int, float, str, str]]:
-    """rule number, label, priority, confidence, keyword, regular expression: families x phrasings, then bodies, in order."""
+    """rule number, label, priority, confidence, keyword, regular expression: families x phrasings, then bodies and notices,
+    in order."""
     out = []
     for label, priority, keyword, names, versions in FAMILIES:
         for phrasing, more, confidence in PHRASINGS:
@@ -122,7 +230,7 @@ def rules() -> list[tuple[int, str, int, float, str, str]]:
             for name in names:
                 body = phrasing.format(name=name, version=version)
                 out.append((len(out), label, priority + more, confidence, keyword, rf"(?<![^ ]){body}(?![^ ])"))
-    for label, priority, confidence, keyword, body in BODIES:
+    for label, priority, confidence, keyword, body in (*BODIES, *((label, NOTICE_PRIORITY, NOTICE_CONFIDENCE, keyword, body) for label, keyword, body in NOTICES)):
         out.append((len(out), label, priority, confidence, keyword, rf"(?<![^ ]){body}(?![^ ])"))
     return out
 
