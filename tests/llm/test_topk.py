@@ -100,3 +100,23 @@ def test_cells_are_split_again(spark, monkeypatch):
     blocks = topk.placed(topk.quantised(df), 25).groupBy("block").count().collect()
     assert max(r["count"] for r in blocks) <= 75 and len(blocks) > 8
     check(df, block_rows=25)
+
+
+def test_branches_lose_no_pair_of_blocks(spark):
+    """Pairs of blocks by way of branches are those that every pair of blocks alone would leave."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for k in range(120):
+        d = 3 if k % 10 else 2
+        c, q = rng.normal(size=(2, d)) * (5 if k % 3 else 0.2)
+        asks = k % 4 != 0
+        rows.append((k, d, c.tobytes(), float(rng.random()), q.tobytes() if asks else None, float(rng.random()) if asks else None, int(rng.integers(-5, 25)) if asks else None))
+    got = {(r["block"], r["other"]) for r in topk.block_pairs(spark.createDataFrame(rows, topk.SUMMARY)).collect()}
+    want = set()
+    for a in rows:
+        for b in rows:
+            if a[0] != b[0] and a[1] == b[1] and b[4] is not None:
+                (q, norm), (c, other) = topk._centre(b[4]), topk._centre(a[2])
+                if topk.largest(q, norm, b[5], c[None], np.array([other]), np.array([a[3]]))[0] >= b[6]:
+                    want.add((a[0], b[0]))
+    assert got == want and 0 < len(want) < 120 * 60

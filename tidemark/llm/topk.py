@@ -6,9 +6,9 @@ and one of its queries: a node of level l holds rows within 2^l of its centre, a
 have centres more than 2^(l - 1) apart, the first one its own; a node of few rows, or of rows nearly as far apart as
 they are from its centre, has none. A pair of a query node and a data node is left out when
 its largest possible product, c_q.c_d + r_q |c_d| + r_d |c_q| + r_q r_d, is below the worst kth score of the node's
-queries; the radii are the covering radii. Pairs of whole blocks are pruned first, by the blocks' roots and the kth
-scores that queries find in their own block, then single queries by the block's root; what is left is searched block by
-block and merged.
+queries; the radii are the covering radii. Blocks hang on branches under the same bound: pairs of branches are pruned
+first, then pairs of whole blocks by the blocks' roots and the kth scores that queries find in their own block, then
+single queries by the block's root; what is left is searched block by block and merged.
 
 Scores are whole numbers: products in doubles where no partial sum can reach 2^53, else in longs, else in unbounded
 integers, cut to the range of a long.
@@ -22,6 +22,7 @@ empty table gives an empty result; other columns do not matter.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -256,26 +257,74 @@ def _centre(raw: bytes) -> tuple[np.ndarray, float]:
     return c, float(np.sqrt(c @ c))
 
 
-def block_pairs(summaries: DataFrame) -> DataFrame:
-    """(block, other, centre, radius): data blocks that may hold better scores for the queries of `other`, by the
-    roots' bounds. Every pair of summaries is looked at, a few hundred bytes a block; salts deal them out."""
-    salts = common.partitions(summaries.sparkSession)
+def _hopeful(df: DataFrame, keep: list[str], schema: str) -> DataFrame:
+    """The columns `keep` of rows (q_centre, q_radius, worst, centre, radius) whose bound reaches the worst kth score."""
+    bound = ["q_centre", "q_radius", "worst", "centre", "radius"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            c = {n: batch.column(k).to_pylist() for k, n in enumerate(batch.schema.names)}
-            keep = []
-            for k in range(batch.num_rows):
-                (a, norm), (b, other) = _centre(c["q_centre"][k]), _centre(c["centre"][k])
-                if largest(a, norm, c["q_radius"][k], b[None], np.array([other]), np.array([c["radius"][k]]))[0] >= c["worst"][k]:
-                    keep.append(k)
-            at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(k).take(at) for k in range(4)], names=["block", "other", "centre", "radius"])
+            rows = zip(*(batch.column(c).to_pylist() for c in bound), strict=True)
+            hope = []
+            for k, (q, q_radius, worst, c, radius) in enumerate(rows):
+                (a, norm), (b, other) = _centre(q), _centre(c)
+                if largest(a, norm, q_radius, b[None], np.array([other]), np.array([radius]))[0] >= worst:
+                    hope.append(k)
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(hope, pa.int64())) for c in keep], names=keep)
+
+    return df.select(*keep, *(c for c in bound if c not in keep)).mapInArrow(run, schema)
+
+
+def _ball(centres: list[bytes], radii: list[float]) -> tuple[bytes, float]:
+    """A ball around balls: the mean of their centres, and a radius that covers them all."""
+    x = np.stack([np.frombuffer(c, dtype="<f8") for c in centres])
+    mean = x.mean(axis=0)
+    return mean.astype("<f8").tobytes(), float((np.sqrt(((x - mean) ** 2).sum(axis=1)) + np.array(radii)).max() * (1 + 1e-12))
+
+
+def branches(summaries: DataFrame) -> DataFrame:
+    """summaries with `branch`: blocks dealt to the nearest of about as many pivot blocks as the root of their number."""
+    want = min(PIVOTS, math.isqrt(summaries.count()) + 1)
+    pivots: dict[int, np.ndarray] = {}
+    for r in summaries.orderBy(F.xxhash64("block"), "block").limit(want).select("dim", "centre").collect():  # at most PIVOTS rows
+        pivots[r["dim"]] = np.concatenate([pivots.get(r["dim"], np.empty((0, r["dim"]))), [_centre(bytes(r["centre"]))[0]]])
 
-    data = summaries.select("dim", "block", "centre", "radius", F.pmod(F.xxhash64("block"), F.lit(salts)).alias("salt"))
-    asked = summaries.where("q_centre is not null").select("dim", F.col("block").alias("other"), "q_centre", "q_radius", "worst", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
-    both = data.join(asked, ["dim", "salt"]).where("block <> other")
-    return both.select("block", "other", "centre", "radius", "q_centre", "q_radius", "worst").mapInArrow(run, "block long, other long, centre binary, radius double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims, centres = batch.column("dim").to_pylist(), batch.column("centre").to_pylist()
+            at = [int(_nearest(_centre(c)[0][None], pivots[d])[0]) if d in pivots else 0 for d, c in zip(dims, centres, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at, pa.int32())], names=[*batch.schema.names, "branch"])
+
+    return summaries.mapInArrow(run, SUMMARY + ", branch int")
+
+
+SUMMARY = "block long, dim int, centre binary, radius double, q_centre binary, q_radius double, worst long"
+
+
+def block_pairs(summaries: DataFrame) -> DataFrame:
+    """(block, other, centre, radius): data blocks that may hold better scores for the queries of `other`.
+
+    Two levels above the blocks' own trees: blocks hang on branches, whose balls cover theirs and whose worst kth score
+    is their least. Pairs of branches are pruned first, so that whole branches of blocks go at once; blocks only meet
+    within the pairs of branches that are left, and are pruned by their roots. There are at most PIVOTS^2 pairs of
+    branches a length of vectors, dealt out by the data branch.
+    """
+    placed = common.written(branches(summaries.select(*(c.split()[0] for c in SUMMARY.split(", ")))), "branches")
+
+    def root(pdf: pd.DataFrame) -> pd.DataFrame:
+        centre, radius = _ball(pdf["centre"].tolist(), pdf["radius"].tolist())
+        asked = pdf[pdf["q_centre"].notna()]
+        q = (*_ball(asked["q_centre"].tolist(), asked["q_radius"].tolist()), int(asked["worst"].min())) if len(asked) else (None, None, None)
+        out = pd.DataFrame([(int(pdf["dim"].iloc[0]), int(pdf["branch"].iloc[0]), centre, radius, *q)], columns=["dim", "branch", "centre", "radius", "q_centre", "q_radius", "worst"], dtype=object)
+        return out.astype({"radius": "Float64", "q_radius": "Float64", "worst": "Int64"})
+
+    roots = common.written(placed.groupBy("dim", "branch").applyInPandas(root, "dim int, branch int, centre binary, radius double, q_centre binary, q_radius double, worst long"), "roots")
+    wide = roots.select("dim", "branch", "centre", "radius").repartition(common.partitions(summaries.sparkSession), "branch")
+    asking = roots.where("q_centre is not null").select("dim", F.col("branch").alias("q_branch"), "q_centre", "q_radius", "worst")
+    left = common.written(_hopeful(wide.join(asking, "dim"), ["dim", "branch", "q_branch"], "dim int, branch int, q_branch int"), "branch_pairs")
+    data = placed.select("dim", "branch", "block", "centre", "radius")
+    asked = placed.where("q_centre is not null").select("dim", F.col("branch").alias("q_branch"), F.col("block").alias("other"), "q_centre", "q_radius", "worst")
+    both = data.join(left, ["dim", "branch"]).join(asked, ["dim", "q_branch"]).where("block <> other")
+    return _hopeful(both, ["block", "other", "centre", "radius"], "block long, other long, centre binary, radius double")
 
 
 def top_k(df: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -283,7 +332,7 @@ def top_k(df: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     rows = common.written(placed(common.written(quantised(df), "vectors"), block_rows), "blocks")
     own = common.written(rows.groupBy("block").applyInPandas(own_block, OWN), "own_block")
     first = own.where("query_id is not null").select("query_id", "vec_id", "score")
-    pairs = block_pairs(own.where("query_id is null").drop("query_id", "vec_id", "score"))
+    pairs = block_pairs(own.where("query_id is null"))
     # a query's kth score in its own block, where it has K
     kth = first.groupBy("query_id").agg(F.min("score").alias("kth"), F.count("*").alias("n")).where(F.col("n") >= K).select("query_id", "kth")
     asked = rows.where(F.col("vec_id") % EVERY == 0).select(F.col("block").alias("other"), F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
