@@ -536,7 +536,40 @@ def source_current(spark, sf):
     return K.read_history(spark, path).select("finished_at", F.coalesce(F.size("selected_book"), F.lit(0)).cast("long").alias("n_book"))
 
 
-@query()
+REASON = "CASE WHEN bk.selection_rank = 1 THEN format('highest |pair_score| ({:.4f})', abs(bk.pair_score)) ELSE concat('highest remaining |pair_score|; used ', (SELECT array_to_string(list_sort(flatten(list([b.primary_pair[1:3], b.primary_pair[5:7]]))), ' ') FROM bk b WHERE b.forecast_date = bk.forecast_date AND b.selection_rank < bk.selection_rank)) END"
+REPORT = f"""
+rb AS (SELECT bk.*, abs(bk.pair_score) AS abs_score, {REASON} AS reason FROM bk),
+sk AS (SELECT p.forecast_date, primary_pair, rank, abs_score, concat('shares ', list_min(list_intersect(p.used, [substring(primary_pair, 1, 3), substring(primary_pair, 5, 3)])), ' with already-selected pair(s)') AS why
+  FROM wk p JOIN rk ON rk.forecast_date = p.forecast_date AND rk.rank = p.k + 1 WHERE p.got < 2 AND list_has_any(p.used, [substring(primary_pair, 1, 3), substring(primary_pair, 5, 3)])),
+dt AS (SELECT DISTINCT forecast_date, forecast_date IN (FROM live) AS on_ FROM rk),
+de AS (SELECT df.*, CASE WHEN df.decision = 'keep' THEN format('already on and matches selection #{{}} ({{}} {{}}, |score| {{:.4f}}) - kept (no churn)', CAST(df.selection_rank AS INT), df.primary_pair, CASE WHEN df.side = 'buy' THEN 'long' ELSE 'short' END, rb.abs_score)
+  ELSE 'not in today''s selected top-N book' END AS why FROM df LEFT JOIN rb ON rb.forecast_date = df.forecast_date AND rb.primary_pair = df.primary_pair WHERE decision <> 'open'),
+ac AS (SELECT d.forecast_date, 1 AS o, trade_id, d.primary_pair, 'CLOSE' AS kind, CASE WHEN r.error IS NULL THEN 'ok' ELSE 'error' END AS status, coalesce(r.message, concat('close failed for ', d.primary_pair, ' ', d.side, ' (', d.trade_id, '): ', r.error), '') AS text
+    FROM de d LEFT JOIN (SELECT trade_id AS t, message, error FROM ({RESULTS}) x) r ON r.t = d.trade_id WHERE decision = 'close'
+  UNION ALL SELECT forecast_date, 2, selection_rank, primary_pair, 'OPEN', 'ok', '' FROM op),
+al AS (SELECT * FROM ac WHERE forecast_date IN (FROM live)),
+li AS (
+  SELECT forecast_date, 0 AS b, 0 AS o, 0 AS i, concat(repeat('=', 90), chr(10), '[', forecast_date, 'T16:59:00 -> ', forecast_date, 'T17:00:00] forecast=', forecast_date, ' top_n=2 max_open={MAX_OPEN} enabled=', CASE WHEN on_ THEN 'True dry_run=False' ELSE 'False dry_run=True' END) AS line FROM dt
+  UNION ALL SELECT forecast_date, 1, 0, 0, 'Ranking (top 10 by |pair_score|):' FROM dt
+  UNION ALL SELECT forecast_date, 1, 1, rank, concat('  #', lpad(CAST(rank AS VARCHAR), 2, ' '), '  ', rpad(primary_pair, 10, ' '), ' ', rpad(expected_side, 6, ' '), format(' score={{:+.4f}}  |score|={{:.4f}}', pair_score, abs_score)) FROM rk WHERE rank <= 10
+  UNION ALL SELECT dt.forecast_date, 2, 0, 0, CASE WHEN count(rb.forecast_date) > 0 THEN format('Selected book (top {{}}, currency-disjoint):', count(rb.forecast_date)) ELSE 'Selected book: (empty)' END FROM dt LEFT JOIN rb ON rb.forecast_date = dt.forecast_date GROUP BY dt.forecast_date
+  UNION ALL SELECT forecast_date, 2, 1, selection_rank, concat('  ##', CAST(selection_rank AS INT), ' ', rpad(primary_pair, 10, ' '), ' ', rpad(side, 5, ' '), format(' |score|={{:.4f}}  rank=', abs_score), CAST(ranking_rank AS INT), chr(10), '      reason: ', reason) FROM rb
+  UNION ALL SELECT DISTINCT forecast_date, 3, 0, 0, 'Overlap skips (candidates passed over for currency overlap):' FROM sk
+  UNION ALL SELECT forecast_date, 3, 1, rank, concat('  - ', rpad(primary_pair, 10, ' '), ' ranking_rank=', rank, format(' |score|={{:.4f}}  ', abs_score), why) FROM sk
+  UNION ALL SELECT forecast_date, 4, 0, 0, CASE WHEN forecast_date IN (SELECT forecast_date FROM ps) THEN 'Open positions:' ELSE 'Open positions: (none)' END FROM dt
+  UNION ALL SELECT forecast_date, 4, 1, trade_id, concat('  ', rpad(instrument, 10, ' '), ' ', rpad(side, 5, ' '), format(' lots={{:g}} amount=', lots), CAST(amount AS BIGINT), ' open_rate=', CAST(open_rate AS DOUBLE), ' gross_pl=', CAST(gross_pl AS DOUBLE)) FROM ps
+  UNION ALL SELECT DISTINCT forecast_date, 5, 0, 0, 'Decisions:' FROM de
+  UNION ALL SELECT forecast_date, 5, 1, trade_id, concat('  ', rpad(upper(decision), 5, ' '), ' ', rpad(primary_pair, 10, ' '), ' ', rpad(side, 5, ' '), ' -- ', why) FROM de
+  UNION ALL SELECT DISTINCT forecast_date, 6, 0, 0, 'Planned opens:' FROM op
+  UNION ALL SELECT op.forecast_date, 6, 1, op.selection_rank, concat('  OPEN  ', rpad(op.primary_pair, 10, ' '), ' ', rpad(op.side, 5, ' '), ' -- ', reason) FROM op JOIN rb ON rb.forecast_date = op.forecast_date AND rb.primary_pair = op.primary_pair
+  UNION ALL SELECT forecast_date, 7, 0, 0, CASE WHEN forecast_date IN (SELECT forecast_date FROM al) THEN 'Actions executed:' WHEN on_ THEN 'Actions executed: (none)' ELSE 'Actions executed: (none - dry run because auto-trade disabled)' END FROM dt
+  UNION ALL SELECT forecast_date, 7, o, trade_id, concat('  ', kind, ' ', primary_pair, ' [', status, '] ', text) FROM al
+  UNION ALL SELECT DISTINCT forecast_date, 8, 0, 0, 'Errors:' FROM er
+  UNION ALL SELECT forecast_date, 8, 1, seq, concat('  [', step, '] ', error) FROM er)
+"""
+
+
+@query(f"{BOOK}, {DIFF}, {OPENS}, {REPORT} SELECT concat(forecast_date, 'T17:00:00') AS finished_at, string_agg(line, chr(10) ORDER BY b, o, i) AS report FROM li WHERE forecast_date IN (SELECT forecast_date FROM rk) GROUP BY forecast_date")
 def book_report(spark, sf):
     return K.report(history(spark, sf))
 
