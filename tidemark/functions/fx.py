@@ -34,6 +34,7 @@ def pair_key(c: Column) -> Column:
 def side_of_text(c: Column) -> Column:
     """buy or sell as the words say; null when they say neither or both."""
     t = F.lower(F.coalesce(c, F.lit("")))
+    #: The words of each side.
     buy, sell = t.rlike(r"\bbuy\b|\blong\b|bullish|\bbull\b"), t.rlike(r"\bsell\b|\bshort\b|bearish|\bbear\b")
     up, down = t.rlike(r"\bup\b"), t.rlike(r"\bdown\b")
     return F.when((buy | up) & ~sell & ~down, F.lit("buy")).when((sell | down) & ~buy & ~up, F.lit("sell"))

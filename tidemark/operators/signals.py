@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fx
 
+#: The columns that are shown, in order.
 DISPLAY = ("primary_pair", "recommendation", "position", "pred_class", "p_buy", "p_sell", "avg_oos_accuracy", "binary_oos_sharpe")
 STRONG = 0.65
 #: The pair that stands for a base currency.
