@@ -261,7 +261,8 @@ def _episode_sql(kind: str, enter: str, leave: str) -> str:
 @query(f"WITH {BARS}, {PAIR}, e AS (SELECT ft.*, p, lag(spread) OVER (PARTITION BY y, x ORDER BY ts) AS prev FROM ft JOIN (SELECT y, x, quantile_cont(spread, [0.1, 0.3, 0.7, 0.9]) AS p FROM ft GROUP BY y, x) q USING (y, x)), {_episode_sql('high', 'spread >= p[4] AND (prev IS NULL OR prev < p[4])', 'spread <= p[3]')}, {_episode_sql('low', 'spread <= p[1] AND (prev IS NULL OR prev > p[1])', 'spread >= p[2]')}, b AS (SELECT * FROM high UNION ALL SELECT * FROM low) SELECT y, x, count(*) FILTER (WHERE kind = 'high') AS n_high, round(avg(hours) FILTER (WHERE kind = 'high'), 6) AS high_hours, count(*) FILTER (WHERE kind = 'low') AS n_low, round(avg(hours) FILTER (WHERE kind = 'low'), 6) AS low_hours FROM b GROUP BY y, x")
 def pairs_episodes(spark, sf):
     f, longest = fitted(spark, sf)
-    return rounded(P.episode_summary(P.episodes(f, longest=longest)), "high_hours", "low_hours")
+    # the bands and the excursions both read the rows
+    return rounded(P.episode_summary(P.episodes(files.kept(f, "rows"), longest=longest)), "high_hours", "low_hours")
 
 
 @query(f"WITH {BARS}, {PAIR}, q AS (SELECT y, x, spread - lag(spread) OVER o AS de, lag(spread) OVER o AS e1 FROM ft WINDOW o AS (PARTITION BY y, x ORDER BY ts)), a AS (SELECT y, x, sum(e1 * de) AS xy, sum(e1 * e1) AS xx, sum(de * de) AS yy, count(*) AS n FROM q WHERE e1 IS NOT NULL GROUP BY y, x) SELECT y, x, round((xy / xx) / sqrt(((yy - xy / xx * xy) / (n - 1)) / xx), 5) AS df_t FROM a WHERE n > 1")
