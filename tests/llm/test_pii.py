@@ -72,11 +72,28 @@ def test_secrets_are_added(spark):
 
 
 def test_trees_follow_the_table():
-    table = [((4, 1, 2, 0, 1, 1, 0), 90, 100), ((5, 1, 0, 1, 0, 0, 0), 1, 100), ((8, 2, 2, 0, 0, 1, 1), 100, 100)]
-    trees, prior, threshold = pii.fit(table)
+    table = [((4, 1, 2, 0, 1, 1, 0, 2), 90, 100), ((5, 1, 0, 1, 0, 0, 0, 1), 1, 100), ((8, 2, 2, 0, 0, 1, 1, 2), 100, 100)]
+    trees, prior, thresholds = pii.fit(table)
     assert pii.predict(trees, prior, table[2][0]) > pii.predict(trees, prior, table[1][0])
-    assert pii.predict(trees, prior, table[1][0]) < threshold
-    assert pii.fit([]) == ([], 0.0, float("inf")) and len(pii.chosen(table)) < pii.CELLS
+    # each kind has its own: 0.90 and 0.01 are below the precision asked for
+    assert pii.predict(trees, prior, table[2][0]) >= thresholds[8] and thresholds[4] == thresholds[5] == float("inf")
+    assert pii.fit([]) == ([], 0.0, [float("inf")] * len(pii.KINDS)) and 0 < len(pii.chosen(table)) < pii.CELLS
+
+
+def test_one_kind_does_not_decide_for_another():
+    """A thousand sure keys do not carry a hundred secrets of which half are validated."""
+    table = [((8, 0, 2, 0, 0, 0, 1, 2), 1000, 1000), ((8, 0, 0, 0, 0, 0, 0, 1), 0, 50), ((4, 0, 2, 0, 1, 0, 1, 2), 50, 100)]
+    _, _, thresholds = pii.fit(table, table)
+    assert thresholds[4] == float("inf") and thresholds[8] < float("inf")
+
+
+def test_trust_comes_from_other_kinds():
+    email = ((0, 0, 0, 0, 0, 0, 0, 7), 30, 30)  # after word 7
+    number = ((5, 0, 0, 0, 0, 0, 0, 7), 0, 30)
+    phone = ((3, 0, 0, 0, 0, 0, 0, 9), 0, 60)
+    trust = pii.trusts([email, number, phone])
+    assert trust[5 * pii.LEADS + 7] == 2 and trust[5 * pii.LEADS + 9] == 0 and trust[5 * pii.LEADS + 8] == 1
+    assert trust[7] == 1 and len(trust) == len(pii.KINDS) * pii.LEADS  # numbers alone say little of emails
 
 
 PLANTED = {
@@ -103,7 +120,7 @@ def test_each_wide_kind_stays_among_decoys(spark):
 
 
 def test_all_positive_takes_all():
-    assert len(pii.chosen([((4, 1, 2, 0, 1, 1, 0), 5, 5)])) == pii.CELLS and pii.chosen([((4, 1, 2, 0, 1, 1, 0), 0, 5)]) == set()
+    assert len(pii.chosen([((4, 1, 2, 0, 1, 1, 0, 1), 5, 5)])) == pii.CELLS and pii.chosen([((4, 1, 2, 0, 1, 1, 0, 1), 0, 5)]) == set()
 
 
 def test_long_runs_are_whole_spans(spark):
@@ -141,6 +158,7 @@ def valid(kind, m, before):
 def brute_candidates(text):
     """(start, kind, end, valid, features) of every candidate, one match after the other."""
     import regex
+    import xxhash
 
     out = []
     for k, (kind, pattern) in enumerate(pii.BASE + pii.WIDE):
@@ -152,9 +170,13 @@ def brute_candidates(text):
             marks = len(re.findall(r"[\x20().:=/@-]", x))
             context = bool(re.search(pii.CONTEXT, before)) or bool(re.match(r"(?i)(?:password|passwd|pwd|secret|token|api|access)", x))
             mixed = bool(re.search("[0-9]", x) and re.search("[A-Za-z]", x))
-            out.append((m.start(), k, m.end(), valid(kind, x, before), (k, sum(digits >= b for b in (8, 14, 20)), sum(n >= b for b in (12, 20, 32)), min(marks, 2), int(context), int(mixed))))
+            features = {"digits": sum(digits >= b for b in (8, 14, 20)), "length": sum(n >= b for b in (12, 20, 32)), "marks": min(marks, 2), "context": int(context), "mixed": int(mixed)}
+            words = re.findall("[A-Za-z]+", before)
+            h = xxhash.xxh64(words[-1].lower().encode(), seed=42).intdigest() if words else 0
+            lead = (h - (h >> 63 << 64)) % (pii.LEADS - 1) + 1 if words else 0
+            out.append((m.start(), k, m.end(), valid(kind, x, before), (k, *(0 if f in pii.HIDDEN[kind] else v for f, v in features.items())), lead))
     kinds = {c[1] for c in out if c[3]}
-    return [(*c[:4], (*c[4], int(bool(kinds - {c[1]})))) for c in sorted(out)]
+    return [(*c[:4], (*c[4], int(bool(kinds - {c[1]})), c[5])) for c in sorted(out)]
 
 
 def test_added_spans_by_brute_force(spark, small):
@@ -168,21 +190,46 @@ def test_added_spans_by_brute_force(spark, small):
     want = Counter()
     for found in brute_of.values():
         for c in found:
-            y = c[3] or any(g[3] and g[0] < c[2] and c[0] < g[2] for g in found)
-            want[c[4]] += 1
-            want[c[4], "y"] += y
+            if c[3] or not any(g[3] and g[0] < c[2] and c[0] < g[2] for g in found):
+                want[c[4]] += 1
+                want[c[4], "y"] += c[3]
     got = Counter()
     for x, y, n in first + second:
         got[x] += n
         got[x, "y"] += y
     assert +got == +want
-    trees, prior, threshold = pii.fit(first, second)
+    trust = pii.trusts(first)
+    trees, prior, thresholds = pii.fit(pii.trusting(first, trust), pii.trusting(second, trust))
+
+    def added(c, found):
+        x = (*c[4][:-1], trust[c[1] * pii.LEADS + c[4][-1]])
+        inside = any(g[3] and g[0] <= c[0] and c[2] <= g[2] for g in found)
+        return not c[3] and c[1] >= len(pii.BASE) and not inside and pii.predict(trees, prior, x) >= thresholds[c[1]]
+
     rows = pii.detect(docs).collect()
     for r in rows:
-        spans = [f"{pii.KINDS[k]}:{s}:{e}" for s, k, e, ok, x in brute_of[r["doc_id"]] if ok or (k >= len(pii.BASE) and pii.predict(trees, prior, x) >= threshold)]
-        assert r["spans"] == ",".join(spans), r["doc_id"]
-    quality = pii.report(first, second)
-    assert sum(n * p for n, p, _ in quality.values()) >= 0.9 * sum(n for n, _, _ in quality.values())
+        found = brute_of[r["doc_id"]]
+        more = [c for c in found if added(c, found)]
+        spans = [f"{pii.KINDS[c[1]]}:{c[0]}:{c[2]}" for c in found if c[3] or c in more]
+        assert r["spans"] == ",".join(spans) and r["n_added"] == len(more), r["doc_id"]
+    quality = pii.report(pii.trusting(first, trust), pii.trusting(second, trust))
+    assert all(p >= pii.PRECISION or n == 0 for n, p, *_ in quality.values())
+
+
+def test_hidden_truth_is_found_by_context(spark):
+    """Numbers that no validation knows, after a word that telephone numbers follow in other documents, are added; the
+    same numbers after other words are not."""
+    texts = [f"notes {i} reach +49 30 {1000000 + i * 37} and mail a{i}@x.example" for i in range(300)]
+    texts += [f"notes {i} dial tel {2000000 + i * 41} and mail b{i}@x.example" for i in range(300)]
+    texts += [f"notes {i} dial tel +49 40 {3000000 + i * 43} and mail c{i}@x.example" for i in range(300)]
+    planted = range(len(texts), len(texts) + 8)
+    texts += [f"notes {i} reach {5550100 + i} and mail d{i}@x.example" for i in range(8)]
+    decoys = range(len(texts), len(texts) + 300)
+    texts += [f"notes {i} invoice {7000000 + i * 47} and mail e{i}@x.example" for i in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in pii.detect(docs).collect()}
+    assert all("number:" in rows[i]["spans"] and rows[i]["n_added"] == 1 for i in planted)
+    assert not any("number:" in rows[i]["spans"] or rows[i]["n_added"] for i in decoys)
 
 
 def test_many_matches_in_one_text(spark):

@@ -1,14 +1,20 @@
-"""Personal data: high-recall generators, boosted trees over format and context, a calibrated threshold.
+"""Personal data: high-recall generators, boosted trees over format and context, a calibrated threshold a kind.
 
 Base kinds (email, ip, card, phone) are matched and validated as they stand; their spans always stay. Wider
-generators propose overlapping spans, each kind with its own validation (see _valid); what passes it stays too. Every
-candidate is put in a cell of binned features, among them whether its document holds validated spans of other kinds.
-The cells' counts over all documents are one aggregate of at most 2 CELLS rows: a hash of the text deals documents
-into two halves. Gradient-boosted trees are fitted on the driver to weak labels of the first half (is it validated, or
-does it overlap a validated span); the threshold is the lowest at which the chosen cells of the second, held-out half
-reach PRECISION, and none is needed where all candidates are positive. The trees go back as CASE expressions and add
-candidates that fail their validation. All work on rows is in built-in expressions, linear in a text but for a
-logarithm of its number of candidates.
+generators propose overlapping spans, each kind with its own validation (see _valid); what passes it stays too. The
+trees decide on the rest. They learn which candidates are validated, but do not see what a kind's validation reads
+(HIDDEN); what they see is the remaining format, whether the document holds validated spans of other kinds, and trust:
+how often candidates of the other kinds are validated after the same word, in all documents of the half that is fitted.
+So a word that stands before telephone numbers or addresses elsewhere speaks for a candidate that no validation knows.
+Candidates that overlap a validated span are not learned from, and those inside one are not added.
+
+Every candidate is put in a cell of binned features and its leading word's hash, one of LEADS. The cells' counts over
+all documents are one aggregate of at most 2 RAW_CELLS rows: a hash of the text deals documents into two halves.
+Gradient-boosted trees are fitted on the driver to the first half; for each kind the threshold is the lowest at which
+the chosen cells of the second, held-out half reach PRECISION. A kind without validated candidates there adds nothing;
+if every candidate of all kinds is validated, all are taken. Candidates that should have been validated count as wrong,
+so the precision is a lower bound. The trees go back as CASE expressions. All work on rows is in built-in expressions,
+linear in a text but for a logarithm of its number of candidates.
 
 Defined results: a null text is empty and has no spans; offsets count code points, ends are exclusive; repeated
 rows and rows of a null doc_id are judged each; without candidates nothing is added; an empty table gives an empty
@@ -51,9 +57,20 @@ WIDE = (
 KINDS = [k for k, _ in BASE + WIDE]
 CONTEXT = r"(?i)(?:phone|tel|fax|mail|contact|card|visa|account|iban|ssn|password|passwd|secret|token|key|ip|address)[\x20:=\x22#.]{0,4}$"
 _CALL = r"(?i)(?:phone|(?<![a-z])(?:tel|telefon|tel[e\u00e9]fono|t[e\u00e9]l|fax|mobile|mobil|cell|handy|call))(?:\x20(?:number|no|nr))?[\x20:=\x22#.]{0,4}$"
+#: The last word before a candidate.
+_LEAD = r"(?i)([a-z]++)[^a-z]*+$"
 #: Features and how many values each has; their product bounds the training table.
-BINS = {"kind": len(KINDS), "digits": 4, "length": 4, "marks": 3, "context": 2, "mixed": 2, "company": 2}
+BINS = {"kind": len(KINDS), "digits": 4, "length": 4, "marks": 3, "context": 2, "mixed": 2, "company": 2, "trust": 3}
 CELLS = math.prod(BINS.values())
+#: In the table, trust is still the hash of the leading word; 0 is none.
+LEADS = 64
+RAW = [*list(BINS)[:-1], "lead"]
+RAW_CELLS = CELLS // BINS["trust"] * LEADS
+#: What the trees do not see of a kind, as its validation reads it.
+HIDDEN = {
+    "email": ("marks",), "ip": ("digits", "length", "marks"), "card": ("digits", "length"), "phone": ("digits", "length"),
+    "secret": ("digits", "marks", "mixed"), "number": ("digits", "length", "context"), "contact": ("marks",), "account": ("digits", "length"), "key": ("digits", "mixed"),
+}
 ROUNDS, RATE, PRECISION = 16, 0.4, 0.95
 #: Code points of the chunks in which a text is cut for redaction.
 WINDOW = 1024
@@ -120,20 +137,26 @@ def _described(text: Column, kind: str, pattern: str) -> Column:
         before = F.right(x["before"], F.lit(24))
         context = before.rlike(CONTEXT) | m.rlike(r"(?i)^(?:password|passwd|pwd|secret|token|api|access)")
         valid = _valid(kind, m, before)
+        word = F.lower(F.regexp_extract(before, _LEAD, 1))
+        features = {
+            "digits": F.when(digits < 8, 0).when(digits < 14, 1).when(digits < 20, 2).otherwise(3),
+            "length": F.when(n < 12, 0).when(n < 20, 1).when(n < 32, 2).otherwise(3),
+            "marks": F.least(marks, F.lit(2)), "context": context.cast("int"), "mixed": (m.rlike("[0-9]") & m.rlike("[A-Za-z]")).cast("int"),
+        }
         return F.struct(
-            x["start"].alias("start"), F.lit(number).alias("kind"), x["end"].alias("end"),
+            # of equal starts the validated ones come first
+            x["start"].alias("start"), (~valid).cast("int").alias("open"), F.lit(number).alias("kind"), x["end"].alias("end"),
             (valid if number < len(BASE) else F.lit(False)).alias("base"), valid.alias("valid"),
-            F.when(digits < 8, 0).when(digits < 14, 1).when(digits < 20, 2).otherwise(3).alias("digits"),
-            F.when(n < 12, 0).when(n < 20, 1).when(n < 32, 2).otherwise(3).alias("length"),
-            F.least(marks, F.lit(2)).alias("marks"), context.cast("int").alias("context"),
-            (m.rlike("[0-9]") & m.rlike("[A-Za-z]")).cast("int").alias("mixed"),
+            *((F.lit(0) if k in HIDDEN[kind] else c).alias(k) for k, c in features.items()),
+            F.when(word == "", 0).otherwise(F.pmod(F.xxhash64(word), F.lit(LEADS - 1)).cast("int") + 1).alias("lead"),
         )
 
     return F.transform(at, one)
 
 
 def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds _found: every candidate of every kind by start. Kinds whose signs a text lacks are matched against nothing."""
+    """Adds _found: every candidate of every kind by start, validated ones first. Kinds whose signs a text lacks are
+    matched against nothing."""
     t = F.coalesce(F.col(text), F.lit(""))
     none = F.lit("")
     signs = {"email": F.contains(t, F.lit("@")), "phone": F.contains(t, F.lit("+")), "contact": t.rlike(r"(?i)[(\[]at[)\]]"), "secret": t.rlike(r"(?i)(?:password|passwd|pwd|secret|token|key)\x20?[=:]")}
@@ -142,45 +165,80 @@ def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     out = out.withColumn("_found", F.sort_array(F.concat(*(_described(F.col(f"_t_{k}"), k, p) for k, p in BASE + WIDE)))).drop(*(f"_t_{k}" for k in KINDS))
     valid = F.array_distinct(F.transform(F.filter("_found", lambda c: c["valid"]), lambda c: c["kind"]))
     company = common.let(valid, lambda v: F.transform("_found", lambda c: c.withField("company", (F.size(F.array_remove(v, c["kind"])) > 0).cast("int"))))
-    return out.withColumn("_found", F.when(F.size("_found") > 0, company).otherwise(F.transform("_found", lambda c: c.withField("company", F.lit(0)))))
+    plain = lambda c: c.withField("company", F.lit(0)).withField("near", F.lit(False)).withField("inside", F.lit(False))
+    return out.withColumn("_found", F.when(F.size("_found") > 0, _placed(company)).otherwise(F.transform("_found", plain)))
 
 
-def _labelled(found: Column) -> Column:
-    """Adds y: is a candidate (of an array by start) validated, or does it overlap one that is."""
+def _placed(found: Column) -> Column:
+    """Adds near and inside: does a candidate that is not validated (of an array by start) overlap a validated one, does
+    it lie inside one?"""
     ends = F.transform(found, lambda c: F.when(c["valid"], c["end"]))
     starts = F.reverse(F.transform(found, lambda c: F.when(c["valid"], c["start"])))
     reach = F.struct(common.scanned(ends, F.greatest).alias("before"), common.scanned(starts, F.least).alias("after"), F.size(found).alias("n"))
 
     def all_of(x: Column) -> Column:
         def one(c: Column, i: Column) -> Column:
-            near = F.coalesce(F.get(x["before"], i - 1) > c["start"], F.lit(False)) | F.coalesce(F.get(x["after"], x["n"] - i - 2) < c["end"], F.lit(False))
-            return c.withField("y", (c["valid"] | near).cast("int"))
+            before = F.get(x["before"], i - 1)
+            near = F.coalesce(before > c["start"], F.lit(False)) | F.coalesce(F.get(x["after"], x["n"] - i - 2) < c["end"], F.lit(False))
+            inside = F.coalesce(before >= c["end"], F.lit(False))
+            return c.withField("near", near & ~c["valid"]).withField("inside", inside & ~c["valid"])
 
         return F.transform(found, one)
 
     return common.let(reach, all_of)
 
 
-def cells(found: DataFrame, text: str = "text") -> tuple[list[tuple[tuple[int, ...], int, int]], list[tuple[tuple[int, ...], int, int]]]:
-    """(features, positives, candidates) of each cell, of either half of the documents: one pre-aggregated shuffle, at
-    most 2 CELLS rows."""
+Cells = list[tuple[tuple[int, ...], int, int]]
+
+
+def cells(found: DataFrame, text: str = "text") -> tuple[Cells, Cells]:
+    """(RAW features, validated, candidates) of each cell, of either half of the documents: one pre-aggregated shuffle,
+    at most 2 RAW_CELLS rows."""
     half = F.pmod(F.xxhash64(text), F.lit(2)).alias("half")
     # an outer generator: of the other one the optimizer would infer a filter, and compute all candidates once more for it
-    rows = found.select(half, _labelled(F.col("_found")).alias("_y")).select("half", F.inline_outer("_y")).where("kind is not null").groupBy("half", *BINS).agg(F.sum("y").alias("y"), F.count("*").alias("n")).collect()
-    first, second = (sorted((tuple(r[f] for f in BINS), r["y"], r["n"]) for r in rows if r["half"] == k) for k in (0, 1))
+    rows = found.select(half, F.filter("_found", lambda c: ~c["near"]).alias("_y")).select("half", F.inline_outer("_y")).where("kind is not null")
+    rows = rows.groupBy("half", *RAW).agg(F.count_if("valid").alias("y"), F.count("*").alias("n")).collect()
+    first, second = (sorted((tuple(r[f] for f in RAW), r["y"], r["n"]) for r in rows if r["half"] == k) for k in (0, 1))
     return first, second
 
 
-def fit(table: list[tuple[tuple[int, ...], int, int]], held: list[tuple[tuple[int, ...], int, int]] | None = None, rounds: int = ROUNDS) -> tuple[list, float, float]:
-    """Trees of depth two ((f, at), (f, at, w, w), (f, at, w, w)), the prior log-odds and the threshold on the score.
+def trusts(table: Cells) -> list[int]:
+    """For each kind and leading word, at kind * LEADS + word: 2 where candidates of the other kinds after this word are
+    validated far more often than all of them, 0 where far less often, else 1, as where there are none."""
+    out = []
+    for kind in range(len(KINDS)):
+        y, n = [0] * LEADS, [0] * LEADS
+        for x, good, count in table:
+            if x[0] != kind:
+                y[x[-1]] += good
+                n[x[-1]] += count
+        overall = sum(y) / max(sum(n), 1)
+        for good, count in zip(y, n, strict=True):
+            share = (good + overall) / (count + 1)  # shrunk by one candidate
+            out.append(1 if not count else 2 if share >= (1 + overall) / 2 else 0 if share < overall / 2 else 1)
+    return out
+
+
+def trusting(table: Cells, trust: list[int]) -> Cells:
+    """The table with the trust in each leading word in its place."""
+    out: dict[tuple[int, ...], tuple[int, int]] = {}
+    for x, y, n in table:
+        key = (*x[:-1], trust[x[0] * LEADS + x[-1]])
+        a, b = out.get(key, (0, 0))
+        out[key] = (a + y, b + n)
+    return sorted((x, y, n) for x, (y, n) in out.items())
+
+
+def fit(table: Cells, held: Cells | None = None, rounds: int = ROUNDS) -> tuple[list, float, list[float]]:
+    """Trees of depth two ((f, at), (f, at, w, w), (f, at, w, w)), the prior log-odds and each kind's threshold on the score.
 
     held: the cells of the half that calibrates the threshold; where it has no candidate of a wide kind, or the other
-    half has none at all, both calibrate and fit. There are no trees where all labels are equal: the threshold then takes nothing or, if all are positive, everything."""
+    half has none at all, both calibrate and fit. There are no trees where all labels are equal: the thresholds then take nothing or, if all are positive, everything."""
     if held is None or not table or not any(x[0] >= len(BASE) for x, _, _ in held):
         table = held = sorted([*table, *(held or [])])
     total, good = sum(n for _, _, n in table), sum(y for _, y, _ in table)
     if not good or good == total:
-        return [], 0.0, -math.inf if good else math.inf
+        return [], 0.0, [-math.inf if good else math.inf] * len(KINDS)
     prior = math.log(good / (total - good))
     score = [prior] * len(table)
     options = [(f, at) for f, size in enumerate(BINS.values()) for at in range(size - 1)]
@@ -214,12 +272,20 @@ def fit(table: list[tuple[tuple[int, ...], int, int]], held: list[tuple[tuple[in
                 for i in part:
                     score[i] += w
         trees.append(tuple(tree))
-    threshold, count, right = math.inf, 0, 0
-    for x, y, n in sorted((r for r in held if r[0][0] >= len(BASE)), key=lambda r: -predict(trees, prior, r[0])):
-        count, right = count + n, right + y
-        if right >= PRECISION * count:
-            threshold = predict(trees, prior, x) - 1e-9
-    return trees, prior, max(threshold, 0.0)
+    thresholds = [math.inf] * len(KINDS)
+    for kind in range(len(BASE), len(KINDS)):
+        by_score: dict[float, tuple[int, int]] = {}
+        for x, y, n in held:
+            if x[0] == kind:
+                at = round(predict(trees, prior, x), 9)
+                a, b = by_score.get(at, (0, 0))
+                by_score[at] = (a + y, b + n)
+        count = right = 0
+        for at in sorted(by_score, reverse=True):
+            right, count = right + by_score[at][0], count + by_score[at][1]
+            if right >= PRECISION * count:
+                thresholds[kind] = max(at - 1e-8, 0.0)
+    return trees, prior, thresholds
 
 
 def predict(trees: list, prior: float, x: tuple[int, ...]) -> float:
@@ -230,21 +296,22 @@ def predict(trees: list, prior: float, x: tuple[int, ...]) -> float:
     return total
 
 
-def chosen(table: list[tuple[tuple[int, ...], int, int]]) -> set[int]:
-    """The numbers of all cells, seen or not, whose score reaches the threshold."""
-    trees, prior, threshold = fit(table)
-    return {n for n, x in enumerate(product(*(range(b) for b in BINS.values()))) if predict(trees, prior, x) >= threshold}
+def chosen(table: Cells) -> set[int]:
+    """The numbers of all cells, seen or not, whose score reaches their kind's threshold."""
+    trees, prior, thresholds = fit(table)
+    return {n for n, x in enumerate(product(*(range(b) for b in BINS.values()))) if predict(trees, prior, x) >= thresholds[x[0]]}
 
 
-def report(table: list[tuple[tuple[int, ...], int, int]], held: list[tuple[tuple[int, ...], int, int]]) -> dict[str, tuple[int, float, float]]:
-    """For each wide kind, the held-out candidates and the precision and recall of the trees alone on them."""
-    trees, prior, threshold = fit(table, held)
+def report(table: Cells, held: Cells) -> dict[str, tuple[int, float, float, int]]:
+    """For each wide kind, the held-out candidates, the precision and recall of the trees alone against validation, and
+    how many candidates outside all validated spans they add."""
+    trees, prior, thresholds = fit(table, held)
     out = {}
     for k, name in enumerate(KINDS):
-        rows = [(predict(trees, prior, x) >= threshold, y, n) for x, y, n in held if x[0] == k >= len(BASE)]
+        rows = [(predict(trees, prior, x) >= thresholds[k], y, n) for x, y, n in held if x[0] == k >= len(BASE)]
         taken, right, good = sum(n for t, _, n in rows if t), sum(y for t, y, _ in rows if t), sum(y for _, y, _ in rows)
         if rows:
-            out[name] = (sum(n for _, _, n in rows), right / taken if taken else 1.0, right / good if good else 1.0)
+            out[name] = (sum(n for _, _, n in rows), right / taken if taken else 1.0, right / good if good else 1.0, taken - right)
     return out
 
 
@@ -258,16 +325,24 @@ def score_expression(trees: list, prior: float, c: Column) -> Column:
     return total
 
 
+def learned(found: DataFrame, text: str = "text") -> tuple[list[int], list, float, list[float]]:
+    """The trust in leading words, the trees, the prior and the thresholds of these documents' candidates."""
+    first, second = cells(found, text)
+    trust = trusts(first or second)
+    return trust, *fit(trusting(first, trust), trusting(second, trust))
+
+
 def spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds _spans: struct(start, kind, end, base), the base spans and what the trees add, by start, then kind."""
+    """Adds _spans: struct(start, kind, end, base, added), the validated spans and what the trees add, by start, then kind."""
     found = candidates(docs, text)
-    trees, prior, threshold = fit(*cells(found, text))
+    trust, trees, prior, thresholds = learned(found, text)
+    words, least = F.array(*map(F.lit, trust)), F.array(*map(F.lit, thresholds))
 
     def keep(c: Column) -> Column:
-        more = F.lit(threshold < 0) if math.isinf(threshold) else score_expression(trees, prior, c) >= threshold
-        return c["valid"] | ((c["kind"] >= len(BASE)) & more)
+        more = score_expression(trees, prior, c.withField("trust", F.get(words, c["kind"] * LEADS + c["lead"]))) >= F.get(least, c["kind"])
+        return c["valid"] | ((c["kind"] >= len(BASE)) & ~c["inside"] & more)
 
-    slim = F.transform(F.filter("_found", keep), lambda c: F.struct(c["start"], c["kind"], c["end"], c["base"]))
+    slim = F.transform(F.filter("_found", keep), lambda c: F.struct(c["start"], c["kind"], c["end"], c["base"], (~c["valid"]).alias("added")))
     return found.withColumn("_spans", F.sort_array(slim)).drop("_found")
 
 
@@ -277,11 +352,11 @@ def _written(spans_: Column) -> Column:
 
 
 def detect(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added (spans that are there by the trees alone)."""
     out = spans(docs.select("doc_id", "text"))
     base = F.filter("_spans", lambda x: x["base"])
     counts = [F.size(F.filter("_spans", _of(k))).cast("long").alias(f"n_{name}") for k, (name, _) in enumerate(BASE)]
-    return out.select("doc_id", *counts, F.sha2(_written(base), 256).alias("base_sha256"), _written(F.col("_spans")).alias("spans"))
+    return out.select("doc_id", *counts, F.sha2(_written(base), 256).alias("base_sha256"), _written(F.col("_spans")).alias("spans"), F.size(F.filter("_spans", lambda x: x["added"])).cast("long").alias("n_added"))
 
 
 def _of(number: int):
