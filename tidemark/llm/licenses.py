@@ -214,6 +214,110 @@ NOTICES = (
     ("warranty-disclaimer", "in no event shall the copyright", "in no event shall the copyright (?:owners?|holders?)(?: or contributors)? be liable for any"),
     ("copyright", "copyright held by", "copyright held by the owner authors?"),
     ("copyright", "rights licensed", "publication rights licensed to"),
+    ("mit-0", "mit no attribution", "mit no attribution licen[sc]e"),
+    ("mit", "x11 licen", "x11 licen[sc]e"),
+    ("mit", "to whom the software is furnished", "persons to whom the software is furnished to do so subject to the following conditions the above copyright notice"),
+    ("isc", "isc style", "(?:under|covered by) an isc style licen[sc]e"),
+    ("0bsd", "zero clause bsd", "zero clause bsd licen[sc]e"),
+    ("0bsd", "bsd zero clause", "bsd zero clause licen[sc]e"),
+    ("bsd-4-clause", "all advertising materials", "all advertising materials mentioning features or use of this software must display the following acknowledgement"),
+    ("bsd", "freebsd", "freebsd licen[sc]e"),
+    ("bsd", "regents of the university", "copyright (?:c )?(?:19|20)[0-9][0-9] the regents of the university of california"),
+    ("bsd", "bsd protection", "bsd protection licen[sc]e"),
+    ("apache", "apache 2 0 licen", "apache 2 0 licen[sc]ed"),
+    ("apache", "contributor licen", "apache (?:individual |corporate )?contributor licen[sc]e agreement"),
+    ("apache-exception", "llvm exception", "apache licen[sc]e v2 0 with llvm exceptions?"),
+    ("apache", "contents of the notice file", "contents of the notice file are for informational purposes only and do not modify the licen[sc]e"),
+    ("apache", "grant of patent", "grant of patent licen[sc]e subject to the terms and conditions of this licen[sc]e"),
+    ("gpl", "gpl 2 0 only", "spdx licen[sc]e identifier gpl 2 0 only"),
+    ("gpl", "gpl 2 0 or later", "spdx licen[sc]e identifier gpl 2 0 or later"),
+    ("gpl", "gpl 3 0 only", "spdx licen[sc]e identifier gpl 3 0 only"),
+    ("gpl", "gpl 3 0 or later", "spdx licen[sc]e identifier gpl 3 0 or later"),
+    ("lgpl", "lgpl 2 1 only", "spdx licen[sc]e identifier lgpl 2 1 only"),
+    ("lgpl", "lgpl 2 1 or later", "spdx licen[sc]e identifier lgpl 2 1 or later"),
+    ("lgpl", "lgpl 3 0 only", "spdx licen[sc]e identifier lgpl 3 0 only"),
+    ("lgpl", "lgpl 3 0 or later", "spdx licen[sc]e identifier lgpl 3 0 or later"),
+    ("agpl", "agpl 3 0 only", "spdx licen[sc]e identifier agpl 3 0 only"),
+    ("agpl", "agpl 3 0 or later", "spdx licen[sc]e identifier agpl 3 0 or later"),
+    ("gfdl", "gfdl 1", "spdx licen[sc]e identifier gfdl 1 [1-3](?: only| or later)?"),
+    ("gpl", "free copyleft", "the gnu general public licen[sc]e is a free copyleft licen[sc]e for software and other kinds of works"),
+    ("gpl", "corresponding source", "convey the corresponding source under the terms of this licen[sc]e"),
+    ("gpl", "work based on the program", "a work based on the program means either the program or any derivative work under copyright law"),
+    ("lgpl", "library general public", "gnu library general public licen[sc]e(?: version 2| v2)?"),
+    ("gpl-exception", "autoconf exception", "gpl(?: v2| v3)? with (?:the )?autoconf exception"),
+    ("gpl-exception", "bison exception", "gpl(?: v2| v3)? with (?:the )?bison exception"),
+    ("gpl-exception", "gcc runtime library", "gpl(?: v3)? with (?:the )?gcc runtime library exception"),
+    ("gpl-exception", "openssl exception", "gpl(?: v2| v3)? with (?:the |an )?openssl exception"),
+    ("gpl-exception", "qt gpl", "qt gpl exception(?: 1 0)?"),
+    ("gpl-exception", "syscall note", "gpl 2 0 with linux syscall note"),
+    ("mpl", "mpl 2 0", "spdx licen[sc]e identifier mpl 2 0"),
+    ("mpl", "no copyleft exception", "mpl 2 0 no copyleft exception licen[sc]e"),
+    ("npl", "netscape public", "netscape public licen[sc]e(?: version)?(?: 1 [01])?"),
+    ("epl", "epl 2 0", "spdx licen[sc]e identifier epl 2 0"),
+    ("apsl", "apple public source", "apple public source licen[sc]e(?: version)?(?: [12] [0-2])?"),
+    ("qpl", "q public", "q public licen[sc]e(?: version)?(?: 1 0)?"),
+    ("lppl", "latex project public", "latex project public licen[sc]e(?: version)?(?: 1 [0-3])?"),
+    ("spl", "sun public", "sun public licen[sc]e(?: version)?(?: 1 0)?"),
+    ("intel", "intel open source", "intel open source licen[sc]e"),
+    ("w3c", "w3c", "w3c software(?: and document)?(?: notice and)? licen[sc]e"),
+    ("zpl", "zope public", "zope public licen[sc]e(?: version)?(?: 2 [01])?"),
+    ("upl", "universal permissive", "universal permissive licen[sc]e(?: version)?(?: 1 0)?"),
+    ("ncsa", "university of illinois", "university of illinois(?: ncsa)? open source licen[sc]e"),
+    ("unicode", "data files and software", "unicode (?:inc )?licen[sc]e agreement data files and software"),
+    ("icu", "icu licen", "icu licen[sc]e(?: icu 1 8 1 and later)?"),
+    ("hpnd", "historical permission notice", "historical permission notice and disclaimer licen[sc]e"),
+    ("blueoak", "blue oak model", "blue oak model licen[sc]e(?: 1 0 0)?"),
+    ("mulan", "mulan", "mulan (?:psl|permissive software) licen[sc]e(?: v[12]| version [12])?"),
+    ("artistic", "clarified artistic", "clarified artistic licen[sc]e"),
+    ("json", "json licen", "json licen[sc]e"),
+    ("rpl", "reciprocal public", "reciprocal public licen[sc]e(?: version)?(?: 1 [15])?"),
+    ("ogl-canada", "open government", "open government licen[sc]e canada"),
+    ("etalab", "etalab", "etalab open licen[sc]e(?: 2 0)?"),
+    ("cdla", "community data", "community data licen[sc]e agreement (?:permissive|sharing)"),
+    ("cc-by", "attribution 3 0 unported", "creative commons attribution 3 0 unported"),
+    ("cc-by", "attribution 2 0 generic", "creative commons attribution 2 0 generic"),
+    ("cc-by-sa", "attribution share alike", "creative commons attribution share alike [1-4] [05](?: international| unported| generic)?"),
+    ("cc-by-nc", "attribution non commercial", "creative commons attribution non commercial [1-4] [05](?: international| unported| generic)?"),
+    ("cc-by-nd", "attribution no deriv", "creative commons attribution no deriv(?:ative)?s [1-4] [05](?: international| unported| generic)?"),
+    ("cc-by-nc-sa", "non commercial share alike", "creative commons attribution non commercial share alike [1-4] [05](?: international| unported| generic)?"),
+    ("cc-by-sa", "cc by sa", "spdx licen[sc]e identifier cc by sa [1-4] [05]"),
+    ("cc0", "waived all copyright", "to the extent possible under law (?:the )?authors? (?:has|have) waived all copyright"),
+    ("openrail", "responsible ai", "responsible ai licen[sc]es?"),
+    ("falcon", "falcon", "falcon (?:llm|180b tii) licen[sc]e"),
+    ("llama", "llama 2 is licen", "llama 2 is licen[sc]ed under the llama 2 community licen[sc]e"),
+    ("proprietary", "may not be reproduced", "may not be reproduced (?:or distributed )?without (?:the )?prior written permission of the copyright (?:holder|owner)"),
+    ("proprietary", "no part of this", "no part of this (?:publication|book|document) may be reproduced (?:or transmitted )?in any form without permission of the copyright (?:holder|owner)"),
+    ("proprietary", "commercial licen", "requires a commercial licen[sc]e"),
+    ("proprietary", "unpublished work", "this is an unpublished work protected (?:under|by) copyright laws?"),
+    ("proprietary", "for evaluation", "licen[sc]ed for evaluation (?:purposes )?only"),
+    ("proprietary", "for personal", "licen[sc]ed for personal (?:and )?non ?commercial use only"),
+    ("proprietary", "do not redistribute", "confidential do not redistribute"),
+    ("academic-use", "non commercial research", "licen[sc]ed for non commercial research (?:purposes|use) only"),
+    ("shareware", "shareware", "shareware licen[sc]e agreement"),
+    ("freeware", "freeware", "freeware licen[sc]e(?: agreement)?"),
+    ("dual-license", "dual licen", "dual licen[sc]ed under (?:the )?(?:mit|gpl|bsd|apache)"),
+    ("dual-license", "at your option", "licen[sc]ed under either of apache licen[sc]e version 2 0 or mit licen[sc]e at your option"),
+    ("dual-license", "tri licen", "mpl gpl lgpl tri licen[sc]e"),
+    ("warranty-disclaimer", "authors or copyright holders", "in no event shall the authors or copyright holders be liable for any claim damages or other liability"),
+    ("copyright", "protected by copyright", "protected by copyright and (?:related|neighbou?ring) rights"),
+    ("copyright", "filecopyrighttext", "spdx filecopyrighttext"),
+    ("public-domain", "released", "(?:hereby |has been )?released (?:to|into) the public domain"),
+    ("public-domain", "dedicated to the public", "dedicated to the public domain by"),
+    ("public-domain", "united states government", "work of the united states government and is not subject to copyright protection"),
+    ("public-domain", "not copyrighted", "this (?:file|software|work) is not copyrighted"),
+    ("sqlite", "disclaims copyright", "the author disclaims copyright to this source code in place of a legal notice here is a blessing"),
+    ("nist", "nist software", "nist software licen[sc]e"),
+    ("cern-ohl", "cern open hardware", "cern open hardware licen[sc]e(?: version)?(?: 1 [12]| 2)?"),
+    ("tapr", "tapr", "tapr open hardware licen[sc]e"),
+    ("solderpad", "solderpad", "solderpad hardware licen[sc]e"),
+    ("opl", "open publication", "open publication licen[sc]e(?: version 1 0| v1 0)?"),
+    ("dsl", "design science", "design science licen[sc]e"),
+    ("fal", "free art", "free art licen[sc]e(?: 1 [23])?"),
+    ("gust", "gust font", "gust font licen[sc]e"),
+    ("bitstream-vera", "bitstream vera", "bitstream vera (?:fonts )?copyright"),
+    ("ubuntu-font", "ubuntu font", "ubuntu font licen[sc]e(?: version)?(?: 1 0)?"),
+    ("rsa-md", "message digest algorithm", "licen[sc]e to copy and use this software is granted provided that it is identified as the rsa data security inc md[45] message digest algorithm"),
+    ("ietf", "ietf trust", "copyright (?:c )?(?:19|20)[0-9][0-9] ietf trust and the persons identified as the document authors"),
 )
 NOTICE_PRIORITY, NOTICE_CONFIDENCE = 77, 0.9
 
@@ -238,7 +342,7 @@ def rules() -> list[tuple[int, str, int, float, str, str]]:
 #: What every base phrase and every rule needs somewhere in the raw text.
 _GATE = rf"(?i)licen[sc]e|cc{_GAP}by|gpl|bsd{_GAP}|[234]{_GAP}clause|wtfpl|cc0|copyright|public{_GAP}domain|creative{_GAP}commons|all{_GAP}rights"
 _GATE += rf"|permission{_GAP}(?:is{_GAP}hereby|to{_GAP}use)|substantial{_GAP}portions|redistribut|endorse{_GAP}or{_GAP}promote|perl{_GAP}itself|compliance{_GAP}with|mozilla|eclipse|artistic|origin{_GAP}of{_GAP}this{_GAP}software"
-_GATE += rf"|altered{_GAP}source|unencumbered|fuck{_GAP}you{_GAP}want|waived{_GAP}all|font{_GAP}software|without{_GAP}(?:any{_GAP})?warranty|confidential|unauthorized"
+_GATE += rf"|altered{_GAP}source|unencumbered|fuck{_GAP}you{_GAP}want|waived{_GAP}all|font{_GAP}software|without{_GAP}(?:any{_GAP})?warranty|confidential|unauthorized|advertising{_GAP}materials"
 
 
 def _base_places(w: Column) -> Column:
